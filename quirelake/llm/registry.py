@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirelake.llm.decontaminate import OP2_SQL, op2_decontamination
 from quirelake.llm.licenses import op7_license_scan
+from quirelake.llm.line_dedup import op6_line_dedup
+from quirelake.llm.near_dedup import op9_near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_decontamination": op2_decontamination,
+        "op6_line_dedup": op6_line_dedup,
         "op7_license_scan": op7_license_scan,
+        "op9_near_dedup": op9_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL}
