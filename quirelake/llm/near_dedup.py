@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.durable import durable
@@ -287,3 +287,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents alike by their three-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).drop("row")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest key.
+
+    Of rows equal in key and text one stays. Rows without a word are linked
+    with nothing and stay. Columns are those of ``docs``.
+    """
+    kept = near_duplicates(docs, text, key, size, percent).filter("kept")
+    chosen = durable(kept.groupBy(F.col(key).alias("__kid"), F.col("row").alias("__krow")).agg(F.count(F.lit(1)).alias("__times")))
+    marked = docs.withColumn("__row", F.xxhash64(F.col(text)))
+    joined = marked.join(chosen, marked[key].eqNullSafe(chosen["__kid"]) & (F.col("__row") == F.col("__krow")))
+    if chosen.filter("__times > 1").head(1):
+        number = F.row_number().over(Window.partitionBy("__kid", "__krow").orderBy(F.lit(1)))
+        joined = joined.withColumn("__nth", number).filter("__nth = 1")
+    return joined.select(*docs.columns)

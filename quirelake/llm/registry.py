@@ -7,19 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelake.llm.decontaminate import OP2_SQL, op2_decontamination
+from quirelake.llm.language_id import op1_language_id
 from quirelake.llm.licenses import op7_license_scan
 from quirelake.llm.line_dedup import op6_line_dedup
+from quirelake.llm.lm_score import op5_lm_score
+from quirelake.llm.mixing import op3_source_mix
 from quirelake.llm.near_dedup import op9_near_dedup
+from quirelake.llm.quality_rules import op10_quality_rules
+from quirelake.llm.url_filter import op4_url_filter
+from quirelake.llm.warc import op8_warc_derivatives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_decontamination": op2_decontamination,
+        "op3_source_mix": op3_source_mix,
+        "op4_url_filter": op4_url_filter,
+        "op5_lm_score": op5_lm_score,
         "op6_line_dedup": op6_line_dedup,
         "op7_license_scan": op7_license_scan,
+        "op8_warc_derivatives": op8_warc_derivatives,
         "op9_near_dedup": op9_near_dedup,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
