@@ -98,27 +98,32 @@ def flight(probability: list[float], size: list[float], draw: list[float]) -> li
         active = [k for k in active if 0 < p[k] < 1]
 
 
-def landing(probability: list[float], size: list[float], reserve: int = 10) -> list[float]:
+def landing(probability: list[float], size: list[float], swaps: int = 6) -> list[float]:
     """Rounds what a flight left undecided so that the token total changes least.
 
-    The undecided ones, two at most, may be large; the ``reserve`` smallest
-    decided ones are open to change as well, and all roundings of these few are
-    compared: by the token total, then by how many decided ones change.
+    The undecided ones, two at most, may be large. All their roundings are
+    tried; what the best of them lacks or exceeds is then made up by changing
+    up to ``swaps`` decided ones, each time the one that brings the total
+    nearest to its target (the first of equally good ones), as long as it helps.
     """
-    rest = [k for k, x in enumerate(probability) if 0 < x < 1]
-    out = [float(x) for x in probability]
-    if not rest:
-        return out
-    spare = sorted((k for k, x in enumerate(probability) if not 0 < x < 1), key=lambda k: (size[k], k))[:reserve]
-    near = rest + spare
-    bits = np.arange(1 << len(near))[:, None] >> np.arange(len(near)) & 1
-    now, weight = np.array([out[k] for k in near]), np.array([size[k] for k in near], float)
-    tokens = np.abs(np.round(((bits - now) * weight).sum(axis=1), 6))
-    changes = np.abs(bits - now)[:, len(rest) :].sum(axis=1)
-    best = bits[np.lexsort((changes, tokens))[0]]
-    for k, bit in zip(near, best.tolist(), strict=True):
-        out[k] = float(bit)
-    return out
+    out = np.array(probability, float)
+    weight = np.array(size, float)
+    rest = np.flatnonzero((out > 0) & (out < 1))
+    if not len(rest):
+        return out.tolist()
+    bits = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest)) & 1).astype(float)
+    excess = ((bits - out[rest]) * weight[rest]).sum(axis=1)
+    best = int(np.abs(np.round(excess, 6)).argmin())
+    over = float(excess[best])
+    out[rest] = bits[best]
+    for _ in range(swaps):
+        after = np.abs(over + np.where(out > 0, -weight, weight))
+        k = int(after.argmin())
+        if after[k] >= abs(over) - 0.5:
+            break
+        over += -weight[k] if out[k] > 0 else weight[k]
+        out[k] = 1 - out[k]
+    return out.tolist()
 
 
 def _fly(block: pd.DataFrame) -> pd.DataFrame:
