@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: fixed value: a token is a maximal run of letters and numbers
 TOKEN = r"[\p{L}\p{N}]+"
@@ -24,7 +25,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), F.lit(TOKEN), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def strict_tokens(text: pd.Series) -> pd.Series:
     """Tokens after NFKC and full case folding, for any script."""
 
@@ -52,11 +53,11 @@ CONTROL = r"[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f]"
 def page_counters(text: Column, run: int = 12) -> dict[str, Column]:
     """The six counters of a page; ``run`` is the length from which repetition counts."""
     text = F.coalesce(text, F.lit(""))
-    repeated = F.regexp_extract_all(text, F.lit(rf"(?s)([^\s])\1{{{run - 1},}}"), F.lit(0))
+    repeated = F.regexp_extract_all(text, F.lit(rf"(?sU)([^\s\x1c-\x1f])\1{{{run - 1},}}"), F.lit(0))
     return {
         "characters": F.length(text),
         "non_whitespace": F.length(F.regexp_replace(text, "(?U)" + SPACE, "")),
-        "printable": F.length(text) - count_of(text, r"[\p{C}\p{Zl}\p{Zp}]") - count_of(text, r"[\p{Zs}&&[^ ]]"),
+        "printable": F.length(text) - count_of(text, r"[\t\n\r\f]") - count_of(text, CONTROL),
         "controls": count_of(text, CONTROL),
         "replacements": count_of(text, "�"),
         "repeated": F.aggregate(repeated, F.lit(0), lambda acc, x: acc + F.length(x)),
@@ -91,8 +92,8 @@ def paragraphs(text: Column) -> Column:
 
 
 def oversized_pieces(budget: int) -> str:
-    """Cuts at the last white space within the budget, else at the budget; a rest within it stays whole."""
-    return rf"(?Us).{{1,{budget}}}\z|.{{1,{budget - 1}}}\s|.{{1,{budget}}}"
+    """Cuts behind the last white space within the budget that has text before it, else at the budget; a rest within it stays whole."""
+    return rf"(?Us).{{1,{budget}}}\z|(?=.{{0,{budget - 2}}}?[^\s\x1c-\x1f]{SPACE}).{{1,{budget - 1}}}{SPACE}|.{{1,{budget}}}"
 
 
 def without_frame_digits(line: Column) -> Column:
@@ -131,3 +132,16 @@ def url_problem(url: Column) -> Column:
         .when(host == "", "host")
         .when((port != "") & (~F.regexp_like(port, F.lit(r"^\d{1,5}$")) | (F.try_to_number(port, F.lit("99999")) > 65535)), "port")
     )
+
+
+def canonical_text(value: Column) -> Column:
+    """A string as canonical JSON: quotes, backslashes and control characters escaped, all else as it is."""
+    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    named = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+    for raw, escaped in named.items():
+        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    rest = out
+    for code in range(0x20):
+        if chr(code) not in named:
+            rest = F.replace(rest, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.concat(F.lit('"'), F.when(F.regexp_like(value, F.lit(r"[\x00-\x07\x0b\x0e-\x1f]")), rest).otherwise(out), F.lit('"'))

@@ -77,7 +77,7 @@ def scores(passages: DataFrame, questions: DataFrame, k1: float = 1.5, b: float
     part = F.col("idf") * term_weight(F.col("tf").cast("double"), F.col("dl") / F.col("avgdl"), k1, b)
     weights = tf.join(idf, "term").select("passage_id", "sequence", "term", F.round(part * FIXED_POINT).cast("long").alias("part"))
     summed = weights.join(wanted, "term").groupBy("query_id", "passage_id", "sequence").agg(F.sum("part").alias("parts"))
-    return summed.select("query_id", "passage_id", "sequence", F.round(F.col("parts") / FIXED_POINT, 9).alias("score")).filter("score > 0")
+    return summed.select("query_id", "passage_id", "sequence", (F.expr("(parts + 500) div 1000") / 1e9).alias("score")).filter("score > 0")
 
 
 def retrieve(

@@ -1,17 +1,497 @@
-"""All queries by name with their SQL twins."""
+"""All queries by name, over the whole driver tables, with their SQL twins in ``twins``.
+
+documents play papers and passages, benchmark the questions, labels (quality 1)
+the relevance judgments, conversations the shell's turns, pages the URLs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quirelake.functions import text as T
+from quirelake.operators import bm25, contracts, conversation, evaluate, generate, grounding, passages, preflight, quality, sections
+from quirelake.plans import twins
+from quirelake.session import table
+from quirelake.sources import library
+from quirelake.streaming import history
+
+Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "bm25_topk"
+KS = (1, 3, 5)
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents")
+
+
+def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select(F.col("doc_id").alias("passage_id"), F.col("source").alias("paper_id"), "text")
+
+
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _retrieved(spark: SparkSession, folder: str, k: int = 10, **options: float) -> DataFrame:
+    return bm25.retrieve(_passages(spark, folder), _questions(spark, folder), k, **options)
+
+
+def _judgments(spark: SparkSession, folder: str) -> DataFrame:
+    good = table(spark, folder, "labels").filter("quality = 1").select(F.col("doc_id").alias("passage_id"))
+    return _questions(spark, folder).select("query_id").crossJoin(good)
+
+
+# retrieval
+
+
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _retrieved(spark, folder)
+
+
+def bm25_no_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _retrieved(spark, folder, deduplicate=False)
+
+
+def bm25_k1_small(spark: SparkSession, folder: str) -> DataFrame:
+    return _retrieved(spark, folder, k1=0.6)
+
+
+def bm25_b_zero(spark: SparkSession, folder: str) -> DataFrame:
+    return _retrieved(spark, folder, b=0.0)
+
+
+def bm25_single_query_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """The best five passages for one question, as an ordered limit."""
+    one = spark.createDataFrame([(0, "the road of this and that")], "query_id long, query string")
+    scored = bm25.scores(_passages(spark, folder), one)
+    return scored.orderBy(F.desc("score"), "passage_id").limit(5).select("query_id", "passage_id", "score")
+
+
+def bm25_term_freq(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.term_frequencies(_passages(spark, folder))
+
+
+def bm25_doc_freq(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.document_frequencies(_passages(spark, folder))
+
+
+def bm25_corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.corpus_statistics(_passages(spark, folder)).withColumn("avgdl", F.round("avgdl", 6))
+
+
+def bm25_idf(spark: SparkSession, folder: str) -> DataFrame:
+    df = bm25.document_frequencies(_passages(spark, folder)).crossJoin(F.broadcast(bm25.corpus_statistics(_passages(spark, folder))))
+    return df.select("term", F.round(bm25.inverse_document_frequency(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+def retrieval_contract_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return contracts.retrieval_violations(_retrieved(spark, folder), 10)
+
+
+def result_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.result_digest(_retrieved(spark, folder))
+
+
+def citations_by_paper(spark: SparkSession, folder: str) -> DataFrame:
+    found = _retrieved(spark, folder, 5).join(_passages(spark, folder).select("passage_id", "paper_id"), "passage_id")
+    grouped = grounding.citations_by_paper(found.withColumnRenamed("query_id", "request_id"))
+    return grouped.select("request_id", "paper_id", "best_rank", F.array_join(F.transform("ranks", lambda r: r.cast("string")), ",").alias("ranks"), "paper_order")
+
+
+# evaluation
+
+
+def _per_query(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.query_metrics(_retrieved(spark, folder, max(KS)), _judgments(spark, folder), KS)
+
+
+def _thresholds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("hit_rate", 1, 0.6), ("hit_rate", 3, 0.9), ("recall", 5, 0.9), ("mrr", 5, 0.75)], "metric string, k int, minimum double")
+
+
+def eval_metrics_at_k(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.metrics(_per_query(spark, folder))
+
+
+def eval_threshold_failures(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.threshold_failures(evaluate.metrics(_per_query(spark, folder)), _thresholds(spark))
+
+
+def eval_affected_queries(spark: SparkSession, folder: str) -> DataFrame:
+    per_query = _per_query(spark, folder)
+    affected = evaluate.affected_queries(per_query, evaluate.threshold_failures(evaluate.metrics(per_query), _thresholds(spark)))
+    return affected.select("metric", "k", F.array_join(F.transform("queries", lambda q: q.cast("string")), ",").alias("queries"))
+
+
+def eval_timing_summary(spark: SparkSession, folder: str) -> DataFrame:
+    out = evaluate.timing_summary(table(spark, folder, "events"))
+    return out.select("count", *[F.round(c, 6).alias(c) for c in ("minimum", "median", "p95", "maximum")])
+
+
+def unknown_judgments(spark: SparkSession, folder: str) -> DataFrame:
+    judged = table(spark, folder, "labels").select(F.col("doc_id").alias("passage_id"), "quality")
+    retrieved = _retrieved(spark, folder).select("passage_id")
+    return evaluate.unknown_judgments(judged, retrieved)
+
+
+def corpus_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    row = F.concat(F.lit('{"paper_id":'), T.canonical_text(F.col("source")), F.lit(',"passage_id":'), F.col("doc_id").cast("string"), F.lit(',"text":'), T.canonical_text(F.col("text")), F.lit("}"))
+    return evaluate.fingerprint(_documents(spark, folder), ["doc_id"], row)
+
+
+def benchmark_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    row = F.concat(F.lit('{"query":'), T.canonical_text(F.col("text")), F.lit(',"query_id":'), F.col("item_id").cast("string"), F.lit("}"))
+    return evaluate.fingerprint_of_text(table(spark, folder, "benchmark"), ["item_id"], row)
+
+
+def scaling_corpus_counts(spark: SparkSession, folder: str) -> DataFrame:
+    base = _documents(spark, folder).select(F.col("doc_id").alias("passage_id"), F.col("source").alias("paper_id"), "text", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("ordinal"))
+    scaled = evaluate.scaled_corpus(base, base.count() * 5 // 2)
+    return scaled.groupBy("paper_id").agg(F.count(F.lit(1)).alias("passages"), F.max("ordinal").alias("last_ordinal"), F.count_distinct("ordinal").alias("ordinals"), F.sum(F.length("text")).alias("characters"))
+
+
+# quality
+
+
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    numbered = _documents(spark, folder).select("source", "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_number"))
+    return quality.page_quality(numbered, doc="source")
+
+
+def page_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return _measured(spark, folder)
+
+
+def doc_quality(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality.document_quality(_measured(spark, folder))
+    return out.select(*[F.round(c, 9).alias(c) if c.endswith("_ratio") else F.col(c) for c in out.columns])
+
+
+def quality_status(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality.quality_status(quality.document_quality(_measured(spark, folder)))
+    return out.select("doc_id", F.array_join("warnings", ",").alias("warnings"), "status")
+
+
+def quality_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    measured = _measured(spark, folder)
+    out = quality.warning_pages(measured, quality.quality_status(quality.document_quality(measured)))
+    return out.select("doc_id", "warning", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+# passages
+
+
+def passage_split(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.split_passages(_documents(spark, folder)).select("paper_id", "passage_id", "ordinal", "start", "end", F.md5("text").alias("text_md5"))
+
+
+def passage_stats(spark: SparkSession, folder: str) -> DataFrame:
+    cut = passages.split_passages(_documents(spark, folder))
+    return cut.groupBy("paper_id").agg(F.count(F.lit(1)).alias("passages"), F.sum(F.length("text")).alias("characters"), F.max(F.length("text")).alias("longest"))
+
+
+def _line_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of a document as a page of its own, with its range in the document."""
+    cut = _documents(spark, folder).select(F.col("doc_id").alias("paper_id"), F.explode(T.lines(F.col("text"))).alias("l"))
+    return cut.select("paper_id", F.col("l.no").alias("page_number"), F.col("l.start").alias("start"), F.col("l.end").alias("end"))
+
+
+def passage_fragments(spark: SparkSession, folder: str) -> DataFrame:
+    cut = passages.split_passages(_documents(spark, folder))
+    return passages.page_fragments(cut, _line_pages(spark, folder)).drop("passage_id")
+
+
+def passage_violations(spark: SparkSession, folder: str) -> DataFrame:
+    cut = passages.split_passages(_documents(spark, folder))
+    return passages.fragment_violations(passages.page_fragments(cut, _line_pages(spark, folder)), cut)
+
+
+# preflight and library
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select(F.format_string("/library/%08d.txt", "doc_id").alias("path"), F.length("text").alias("size"), F.sha2("text", 256).alias("sha256"), "source")
+
+
+def _checked(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder)
+    return preflight.preflight(files, files.filter("source = 'src0'").select(F.upper("sha256").alias("checksum")))
+
+
+def preflight_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return _checked(spark, folder)
+
+
+def preflight_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return preflight.preflight_counts(_checked(spark, folder))
+
+
+def stored_semi_join(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder)
+    stored = files.filter("source = 'src1'").select(F.lower("sha256").alias("sha256"))
+    return files.join(stored, "sha256", "left_semi").select("path", "size")
+
+
+def first_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return preflight.first_paths(_files(spark, folder)).select("path", "nth")
+
+
+def checksum_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    return preflight.checksum_conflicts(_files(spark, folder).select(F.col("sha256").alias("checksum")))
+
+
+def manifest_mismatches(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder)
+    manifest = files.select("path", (F.col("size") + F.when(F.col("source") == "src2", 1).otherwise(0)).alias("size"), F.when(F.col("source") == "src3", F.sha2("source", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    return preflight.mismatches(files.filter("source <> 'src4'"), manifest)
+
+
+def reuse_decision(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder).select("path", "sha256", F.col("source").alias("fingerprint"))
+    analyses = files.filter("fingerprint in ('src0', 'src1', 'src2')")
+    return preflight.reuse_decision(files, analyses, files.filter("fingerprint in ('src0', 'src1')")).groupBy("fingerprint", "action").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _results(spark: SparkSession, folder: str) -> DataFrame:
+    checked = _checked(spark, folder)
+    action = F.when(F.col("is_batch_duplicate"), "duplicate").when(F.col("is_stored"), "reuse").otherwise("new")
+    status = F.when(F.col("size") < 100, "halted").when(F.col("size") < 150, "failed").otherwise("completed")
+    return checked.select("sha256", action.alias("action"), status.alias("status"))
+
+
+def batch_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return preflight.batch_summary(_results(spark, folder))
+
+
+def exit_code(spark: SparkSession, folder: str) -> DataFrame:
+    return preflight.exit_code(_results(spark, folder))
+
+
+def library_eligibility(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _documents(spark, folder).select(
+        F.when(F.col("lang") != "es", F.col("doc_id")).alias("checksum"),
+        F.array(*map(F.lit, ("preflight", "extraction", "quality", "sections"))).alias("stages"),
+        F.when(F.col("n_chars") < 200, "unusable").otherwise("usable").alias("quality"),
+        F.when(F.col("lang") == "fr", 0).otherwise(2).alias("sections"),
+    )
+    return preflight.library_eligibility(rows).groupBy("outcome").agg(F.count(F.lit(1)).alias("papers"))
+
+
+def _papers(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select(F.col("doc_id").alias("paper_id"), "lang", F.col("n_chars").alias("size"), F.lit(1).cast("long").alias("created_at"))
+
+
+def library_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    existing = _papers(spark, folder).filter("lang <> 'es'")
+    new = _papers(spark, folder).filter("lang in ('es', 'fr')").withColumns({"size": F.col("size") * 2, "created_at": F.lit(9).cast("long")})
+    return library.upsert(existing, new, ["paper_id"], keep=["created_at"])
+
+
+def library_upsert_if_changed(spark: SparkSession, folder: str) -> DataFrame:
+    existing = _papers(spark, folder).withColumnRenamed("created_at", "updated_at")
+    new = existing.withColumns({"size": F.when(F.col("lang") == "de", F.col("size") + 1).otherwise(F.col("size")), "updated_at": F.lit(9).cast("long")})
+    return library.upsert_if_changed(existing, new, ["paper_id"])
+
+
+def library_cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
+    papers = _papers(spark, folder)
+    children = {"papers": papers.select("paper_id"), "labels": table(spark, folder, "labels").select(F.col("doc_id").alias("paper_id"))}
+    left = library.cascade_delete(children, papers.filter("lang = 'fr'"))
+    counts = [rows.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows")) for name, rows in left.items()]
+    return counts[0].union(counts[1])
+
+
+def library_latest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _documents(spark, folder).select(F.col("source").alias("checksum"), F.col("n_chars").alias("updated_at"), F.col("doc_id").alias("analysis_id"))
+    return library.latest(rows, "checksum")
+
+
+def library_differences(spark: SparkSession, folder: str) -> DataFrame:
+    papers = _papers(spark, folder).select("paper_id", "lang")
+    return library.differences(papers.filter("lang <> 'es'"), papers.filter("lang <> 'de'")).groupBy("side", "lang").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# contracts and grounding
+
+
+def fk_violations(spark: SparkSession, folder: str) -> DataFrame:
+    papers = _documents(spark, folder).filter("lang <> 'de'").select(F.col("doc_id").alias("paper_id"))
+    held = table(spark, folder, "labels").select(F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("paper_id"), F.lit(0).alias("ordinal"))
+    return contracts.corpus_violations(papers, held)
+
+
+def _evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The best three passages of every question as evidence e1 to e3, each a paper of its own."""
+    found = _retrieved(spark, folder, 3).join(_documents(spark, folder).select(F.col("doc_id").alias("passage_id"), "text"), "passage_id")
+    return found.select(F.col("query_id").alias("request_id"), F.concat(F.lit("e"), F.col("rank").cast("string")).alias("citation_id"), "rank", F.col("passage_id").alias("paper_id"), "passage_id", "text")
+
+
+def _claims(evidence: DataFrame) -> DataFrame:
+    """One claim a piece of evidence: its first sentence, always cited as e1, so that those of e2 and e3 leak."""
+    return evidence.select("request_id", (F.col("rank") - 1).alias("claim_index"), F.substring_index("text", ".", 1).alias("text"), F.array(F.lit("e1")).alias("citation_ids"))
+
+
+def _leaks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    evidence = _evidence(spark, folder)
+    claims = _claims(evidence)
+    questions = _questions(spark, folder).select(F.col("query_id").alias("request_id"), F.col("query").alias("question"))
+    return claims, grounding.leaked_terms(claims, evidence, questions)
+
+
+def grounding_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    _, leaks = _leaks(spark, folder)
+    return leaks.select("request_id", "claim_index", "term", "position", F.array_join(F.transform("papers", lambda p: p.cast("string")), ",").alias("papers"))
+
+
+def grounding_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    claims, leaks = _leaks(spark, folder)
+    out = grounding.verdicts(claims, leaks)
+    return out.select("request_id", "claim_index", "grounded", F.array_join("leaked_terms", ",").alias("leaked_terms"), F.array_join(F.transform("leaked_from_papers", lambda p: p.cast("string")), ",").alias("leaked_from_papers"), "method")
+
+
+def claim_anti(spark: SparkSession, folder: str) -> DataFrame:
+    """Claims that cite evidence which was not retrieved: every claim also cites e9."""
+    evidence = _evidence(spark, folder)
+    used = _claims(evidence).select("request_id", "claim_index", F.explode(F.array(F.lit("e1"), F.lit("e9"))).alias("citation_id"))
+    return used.join(evidence.select("request_id", "citation_id"), ["request_id", "citation_id"], "left_anti")
+
+
+def citation_semi(spark: SparkSession, folder: str) -> DataFrame:
+    """Citations that grounded claims use."""
+    claims, leaks = _leaks(spark, folder)
+    _, kept = grounding.surviving(claims, _evidence(spark, folder).select("request_id", "citation_id", "paper_id"), grounding.verdicts(claims, leaks))
+    return kept.select("request_id", "citation_id", "paper_id")
+
+
+def cited_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """The answer ladder for every question with the quoting stand-in."""
+    held = _documents(spark, folder).select(F.col("doc_id").alias("paper_id"), F.col("doc_id").alias("passage_id"), "text")
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("question"))
+    out = generate.cited_chat(held, asked)
+    return out.select("request_id", "outcome", "exit_code", "answer_text", F.array_join("citation_ids", ",").alias("citation_ids"))
+
+
+# conversation
+
+
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation.answered_turns(table(spark, folder, "conversations"))
+
+
+def follow_up_flag(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation.needs_context(_turns(spark, folder)).select("conv_id", "turn", "needs_context")
+
+
+def history_window(spark: SparkSession, folder: str) -> DataFrame:
+    known = conversation.history_before(_turns(spark, folder))
+    return known.select("conv_id", "turn", F.array_join(F.transform("history", lambda h: h["turn"].cast("string")), ",").alias("history"))
+
+
+def stream_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The streaming twin, run over the turns as a stream until all are read."""
+    import uuid
+
+    from quirelake.durable import ensure_checkpoint_dir
+
+    shared = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _turns(spark, folder).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "question", "answer").write.parquet(f"{shared}/in")
+    turns = spark.readStream.schema("conv_id long, turn long, question string, answer string").parquet(f"{shared}/in")
+    query = history.stream_history(turns).writeStream.format("parquet").option("checkpointLocation", f"{shared}/state").outputMode("append").trigger(availableNow=True).start(f"{shared}/out")
+    query.awaitTermination()
+    out = spark.read.parquet(f"{shared}/out")
+    return out.select("conv_id", "turn", F.size("history").alias("held"), "needs_context")
+
+
+# sections
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    one_page = _documents(spark, folder).select("doc_id", F.lit(1).alias("page_number"), "text")
+    return sections.line_table(one_page)
+
+
+def line_table(spark: SparkSession, folder: str) -> DataFrame:
+    return _lines(spark, folder).select("doc_id", "idx", "start", "end", "end_nl", F.md5("trimmed").alias("trimmed_md5"))
+
+
+def neighbor_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return sections.neighbours(_lines(spark, folder)).select("doc_id", "idx", "prev_blank", "next_blank", "first_on_page", "last_on_page")
+
+
+def column_width(spark: SparkSession, folder: str) -> DataFrame:
+    return sections.column_width(_lines(spark, folder)).select("doc_id", "idx", "width")
+
+
+def _source_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), "text")
+
+
+def running_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that recur across the documents of a source, which play its pages."""
+    pages = _source_pages(spark, folder)
+    return sections.running_headers(sections.neighbours(sections.line_table(pages)), pages).select("doc_id", "header")
+
+
+def heading_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines in the shape of a heading once a number is put before them."""
+    lines_ = _lines(spark, folder).filter((F.col("trimmed") != "") & (F.length("trimmed") <= 76))
+    numbered = F.concat(F.lit("2. "), F.col("trimmed"))
+    return lines_.filter(sections.heading_title(numbered, False)).select("doc_id", "idx", F.length("trimmed").alias("n_chars"))
+
+
+def section_detect(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of all documents, each text a page."""
+    one_page = _documents(spark, folder).select("doc_id", F.lit(1).alias("page_number"), "text")
+    out = sections.detect_sections(one_page)
+    return out.select("doc_id", F.size("sections").alias("sections"), F.array_join(F.transform("warnings", lambda w: w["code"]), ",").alias("warnings"))
+
+
+# pages
+
+
+def url_check(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").select("page_id", T.url_problem(F.col("url")).alias("problem"))
+
+
+def page_title_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    from quirelake.sources.pdf import title_or_stem
+
+    title = F.when(F.contains("url", F.lit("?")), F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    path = F.regexp_replace("url", r"[?#].*$", "")
+    return table(spark, folder, "pages").select("page_id", title_or_stem(title, path).alias("title"))
+
+
+def sanitized_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select("doc_id", F.md5(T.without_controls(F.col("text"))).alias("text_md5"))
+
+
+def page_range_text(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels")
+    return labels.select("doc_id", T.page_range(F.when(F.col("quality") == 1, F.col("doc_id")), F.when(F.col("toxic") == 1, F.col("doc_id") + 1)).alias("pages"))
+
+
+_QUERIES: list[Query] = [
+    bm25_topk, bm25_no_dedup, bm25_k1_small, bm25_b_zero, bm25_single_query_limit, bm25_term_freq, bm25_doc_freq, bm25_corpus_stats, bm25_idf,
+    retrieval_contract_violations, result_digest, citations_by_paper,
+    eval_metrics_at_k, eval_threshold_failures, eval_affected_queries, eval_timing_summary, unknown_judgments, corpus_fingerprint, benchmark_fingerprint, scaling_corpus_counts,
+    page_quality, doc_quality, quality_status, quality_warnings,
+    passage_split, passage_stats, passage_fragments, passage_violations,
+    preflight_duplicates, preflight_counts, stored_semi_join, first_paths, checksum_conflicts, manifest_mismatches, reuse_decision, batch_summary, exit_code,
+    library_eligibility, library_upsert, library_upsert_if_changed, library_cascade_delete, library_latest, library_differences,
+    fk_violations, grounding_leaks, grounding_verdicts, claim_anti, citation_semi, cited_chat,
+    follow_up_flag, history_window, stream_history,
+    line_table, neighbor_lines, column_width, running_headers, heading_candidates, section_detect,
+    url_check, page_title_fallback, sanitized_text, page_range_text,
+]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return twins.all_twins()
