@@ -213,8 +213,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """A CRF from a bounded sample of labelled texts, chosen by a hash of their key."""
     order = Window.partitionBy(quality).orderBy(F.xxhash64(key), key)
     chosen = labels.filter(F.col(quality).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(quality).alias("__quality"), F.row_number().over(order).alias("__rank"))
-    chosen = chosen.filter(F.col("__rank") <= SAMPLE_TEXTS)
-    rows = docs.join(chosen, F.col(key) == F.col("__key")).select(F.substring(text, 1, TEXT_CHARS).alias("t"), "__quality", "__rank").collect()
+    chosen = chosen.filter(F.col("__rank") <= SAMPLE_TEXTS)  # two labels: 2 * SAMPLE_TEXTS rows at most, so the broadcast is bounded
+    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).select(F.substring(text, 1, TEXT_CHARS).alias("t"), "__quality", "__rank").collect()
     return train([(r["t"], r["__quality"]) for r in sorted(rows, key=lambda r: (r["__quality"], r["__rank"], r["t"] or "")) if r["t"]])
 
 
