@@ -25,11 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelake.durable import durable
 from quirelake.llm.kernels import buffers, slices
 from quirelake.session import table
 
 #: bounds of the labelled sample: texts looked at and characters learnt a language, characters of one text
 SAMPLE_TEXTS, SAMPLE_CHARS, TEXT_CHARS = 160, 16_384, 768
+#: chosen rows (a language, a key, a number each) up to which they are broadcast to fetch their texts; beyond, a shuffle join does it
+BROADCAST_ROWS = 50_000
 BLOCK = 1024
 UNDETERMINED = "und"
 _PLANE = 0x3000  # code points above are told apart as letters or not, nothing more
@@ -49,7 +52,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
     chosen = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(lang, key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_TEXTS)
-    wanted = chosen.select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), "rank")
+    wanted = durable(chosen.select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), "rank"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     rows = docs.join(wanted, (F.col(key) == F.col("__key")) & (F.col(lang) == F.col("__lang"))).select("__lang", "rank", F.substring(text, 1, TEXT_CHARS).alias("text")).collect()
     seen: dict[str, dict[str, None]] = {}
     for row in sorted(rows, key=lambda r: (r["__lang"], r["rank"], r["text"])):
