@@ -148,7 +148,9 @@ def _decide(units: DataFrame, block: int) -> DataFrame:
         # through an expression, so that a large source's rows can be split in the join
         sized = per_source.select(F.col("sid").bitwiseXOR(F.lit(0).cast("long")).alias("__sid"), F.ceil(F.col("n") / block).cast("long").alias("blocks"))
         dealt = flying.join(sized, F.col("sid") == F.col("__sid")).withColumn("block", F.pmod(F.xxhash64("draw", "unit", F.lit(salt)), F.col("blocks")))
-        flown = durable(dealt.select("unit", "sid", "weight", "p", "draw", "block", "blocks").groupBy("sid", "block").applyInPandas(_fly, _UNIT))
+        # dealt out anew: the grouping alone would accept rows dealt by source, with a large source in one task
+        spread = dealt.select("unit", "sid", "weight", "p", "draw", "block", "blocks").repartition("sid", "block")
+        flown = durable(spread.groupBy("sid", "block").applyInPandas(_fly, _UNIT))
         settled = flown.filter(F.col("p").isin(0.0, 1.0)).select("unit", F.col("p").cast("int").alias("take"))
         decided = settled if decided is None else decided.union(settled)
         flying = flown.filter((F.col("p") > 0) & (F.col("p") < 1)).select("unit", "sid", "weight", "p", "draw")
