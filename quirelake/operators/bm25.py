@@ -9,6 +9,12 @@ one stays, before the cut at k.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +22,9 @@ from quirelake.functions.text import tokens
 
 METHOD = "bm25-v1"  # fixed value: the label of a result
 FIXED_POINT = 1e12
+#: questions times their terms up to which a batch travels to the tasks (8 bytes each at most)
+DENSE_CELLS = 8_000_000
+BLOCK = 256  # passages scored at once
 
 
 def check_parameters(k1: float, b: float, k: int) -> None:
@@ -80,6 +89,100 @@ def scores(passages: DataFrame, questions: DataFrame, k1: float = 1.5, b: float
     return summed.select("query_id", "passage_id", "sequence", (F.expr("(parts + 500) div 1000") / 1e9).alias("score")).filter("score > 0")
 
 
+class _Questions(NamedTuple):
+    """A batch of questions as arrays: what a task needs to score passages."""
+
+    ids: list
+    vocabulary: list[str]
+    idf: list[float]
+    terms: list[list[int]]  # of each question: numbers in the vocabulary
+    avgdl: float
+
+
+def _known_questions(passages: DataFrame, questions: DataFrame, key: str, text: str, question_key: str, question: str) -> _Questions | None:
+    """The batch with its document frequencies, or None if it is too large to travel."""
+    wanted = questions.select(F.col(question_key).alias("query_id"), F.array_distinct(tokens(F.col(question))).alias("terms")).filter(F.size("terms") > 0)
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).head()
+    if size["n"] * max(size["terms"], 1) > DENSE_CELLS:
+        return None
+    terms = wanted.select(F.explode("terms").alias("term")).distinct()
+    # the number of terms is bounded by the check above
+    occurring = tokenised(passages, key, text).select(F.size("tokens").alias("dl"), F.array_distinct("tokens").alias("tokens"))
+    counted = occurring.select(F.explode("tokens").alias("term")).join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    statistics = corpus_statistics(passages, key, text)
+    idf = counted.crossJoin(F.broadcast(statistics)).select("term", "avgdl", inverse_document_frequency(F.col("n"), F.col("df")).alias("idf")).orderBy("term").collect()
+    number = {r["term"]: k for k, r in enumerate(idf)}
+    asked = wanted.collect()
+    return _Questions([r["query_id"] for r in asked], list(number), [r["idf"] for r in idf], [[number[t] for t in r["terms"] if t in number] for r in asked], idf[0]["avgdl"] if idf else 0.0)
+
+
+def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, sequence: np.ndarray, k: int, deduplicate: bool) -> np.ndarray:
+    """Indices of each question's best k entries, of one token sequence the best only."""
+    _, place = np.unique(ids, return_inverse=True)
+    order = np.lexsort((place, -score, query))
+    if deduplicate:
+        _, kind = np.unique(sequence, return_inverse=True)
+        _, first = np.unique(query[order] * np.int64(kind.max(initial=0) + 1) + kind[order], return_index=True)
+        order = order[np.sort(first)]
+    groups = query[order]
+    start = np.searchsorted(groups, groups, "left")
+    return order[np.arange(len(order)) - start < k]
+
+
+def _scoring(asked: _Questions, k: int, k1: float, b: float, deduplicate: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores a partition's passages against all questions by matrix products and hands on each question's best k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idf, width = pa.array(asked.vocabulary, pa.string()), np.array(asked.idf), len(asked.vocabulary)
+        wanted = np.zeros((width, len(asked.ids)))
+        for q, terms in enumerate(asked.terms):
+            wanted[terms, q] = 1
+        held: list[tuple[np.ndarray, ...]] = []
+        kind = pa.int64()
+
+        def prune() -> None:
+            parts = [np.concatenate(c) for c in zip(*held, strict=True)]
+            keep = _best(*parts, k, deduplicate)
+            held[:] = [tuple(c[keep] for c in parts)]
+
+        for batch in batches:
+            kind = batch.schema.field("passage_id").type
+            ids, sequence = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("passage_id", "sequence"))
+            column = batch.column("tokens")
+            found = pc.fill_null(pc.index_in(column.flatten(), value_set=vocabulary), -1).to_numpy()
+            dl = pc.list_value_length(column).to_numpy()
+            owner = np.repeat(np.arange(len(dl)), dl)
+            hit = found >= 0
+            cell, tf = np.unique(owner[hit] * np.int64(max(width, 1)) + found[hit], return_counts=True)
+            doc, term = np.divmod(cell, max(width, 1))
+            norm = (1 - b) + b * (dl[doc] / asked.avgdl)
+            weight = tf * (1 + 1 / k1) / (tf / k1 + norm) if k1 >= 1 else tf / (tf + k1 * norm) * (k1 + 1)
+            part = np.floor(idf[term] * weight * FIXED_POINT + 0.5)  # whole numbers below 2^53: products are exact in any order
+            for at in range(0, len(dl), BLOCK):
+                a, z = np.searchsorted(doc, (at, at + BLOCK))
+                dense = np.zeros((min(BLOCK, len(dl) - at), width))
+                dense[doc[a:z] - at, term[a:z]] = part[a:z]
+                summed = ((dense @ wanted).astype(np.int64) + 500) // 1000
+                row, query = np.nonzero(summed)
+                score, row = summed[row, query], row + at
+                keep = _best(query, score, ids[row], sequence[row], k, deduplicate)
+                held.append((query[keep], score[keep], ids[row[keep]], sequence[row[keep]]))
+                if len(held) > 16:
+                    prune()
+        if held:
+            prune()
+            query, score, ids, sequence = held[0]
+            yield pa.RecordBatch.from_arrays([pa.array([asked.ids[q] for q in query.tolist()]), pa.array(ids, kind), pa.array(sequence, pa.string()), pa.array(score / 1e9)], ["query_id", "passage_id", "sequence", "score"])
+
+    return run
+
+
+def _candidates(passages: DataFrame, asked: _Questions, k: int, k1: float, b: float, deduplicate: bool, key: str, text: str, query_type: str) -> DataFrame:
+    rows = tokenised(passages, key, text).withColumn("sequence", F.md5(F.array_join("tokens", " ")))
+    kind = dict(rows.dtypes)["passage_id"]
+    return rows.mapInArrow(_scoring(asked, k, k1, b, deduplicate), f"query_id {query_type}, passage_id {kind}, sequence string, score double")
+
+
 def retrieve(
     passages: DataFrame,
     questions: DataFrame,
@@ -94,10 +197,17 @@ def retrieve(
 ) -> DataFrame:
     """(query_id, passage_id, score, rank, retrieval_method): the best k passages of each question.
 
-    Both windows carry a rank limit, so a task hands on at most k rows a question.
+    A batch of questions of checked size travels to the passages: every task
+    scores its own by matrix products and hands on k rows a question at most,
+    so nothing of the size of passages times questions is ever shuffled. A
+    larger batch is joined by term. Both ways give the same scores.
     """
     check_parameters(k1, b, k)
-    scored = scores(passages, questions, k1, b, key, text, question_key, question)
+    asked = _known_questions(passages, questions, key, text, question_key, question)
+    if asked is None:
+        scored = scores(passages, questions, k1, b, key, text, question_key, question)
+    else:
+        scored = _candidates(passages, asked, k, k1, b, deduplicate, key, text, dict(questions.dtypes)[question_key])
     best = (F.desc("score"), F.asc("passage_id"))
     if deduplicate:
         scored = scored.withColumn("copy", F.row_number().over(Window.partitionBy("query_id", "sequence").orderBy(*best))).filter("copy = 1")
