@@ -88,8 +88,11 @@ def dedup_lines(
     kept = F.filter("__chunks", lambda c: ~F.array_contains("__gone", c["start"]))
     rebuilt = F.array_join(F.transform(kept, _body), "\n")
     lost = F.aggregate(F.filter("__chunks", lambda c: F.array_contains("__gone", c["start"])), F.lit(0), lambda acc, c: acc + c["n"])
-    out = cut.withColumns({"removed_lines": F.when(touched, lost).otherwise(F.lit(0)).cast("long"), text: F.when(touched, rebuilt).otherwise(F.col(text))})
-    return out.select(*plain.columns, "removed_lines")
+    # computed in a generator, which a later filter on the text or the count cannot be pushed through:
+    # pushed down, it would repeat the cutting of the lines for every line
+    result = F.struct(F.when(touched, rebuilt).otherwise(F.col(text)).alias("__new_text"), F.when(touched, lost).otherwise(F.lit(0)).cast("long").alias("__lost"))
+    out = cut.select(*plain.columns, F.inline(F.array(result)))
+    return out.select(*[F.col("__new_text").alias(text) if c == text else c for c in plain.columns], F.col("__lost").alias("removed_lines"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
