@@ -96,7 +96,7 @@ class Words:
         """Hash of the ``size`` words from each word on, and whether they all lie in its row."""
         n = len(hashes)
         out = np.zeros(n, np.uint64)
-        for k in range(size):
+        for k in range(min(size, n)):
             out[: n - k] += hashes[k:] * _STEP[k]
         whole = np.arange(n) + size <= self.first[1:][self.row]
         return mix(out), whole
