@@ -48,17 +48,17 @@ def _hash(words: Column, at: Column) -> Column:
 
 
 def _items(benchmark: DataFrame, item_text: str, item_key: str) -> DataFrame:
-    """(item, size, grams: hash and text of each distinct shingle, smallest hash first)."""
+    """(code, item, size, grams: hash and text of each distinct shingle, smallest hash first); code stands for the item, whose id may be null."""
     rows = benchmark.select(F.col(item_key).alias("item"), _words(F.col(item_text)).alias("words"))
     grams = rows.select("item", F.array_distinct(F.transform(_starts(F.col("words")), lambda i: F.struct(_hash(F.col("words"), i).alias("hash"), _gram(F.col("words"), i).alias("gram")))).alias("grams"))
-    return grams.filter(F.size("grams") > 0).distinct().select("item", F.size("grams").alias("size"), F.array_sort("grams").alias("grams"))
+    return grams.filter(F.size("grams") > 0).distinct().select(F.xxhash64("item", "grams").alias("code"), "item", F.size("grams").alias("size"), F.array_sort("grams").alias("grams"))
 
 
 def _sketches(items: DataFrame, percent: int) -> DataFrame:
-    """(hash, item): the bottom-k sketch of every item, k by its size partition."""
+    """(hash, code): the bottom-k sketch of every item, k by its size partition."""
     top = (F.pow(F.lit(2.0), F.floor(F.log2("size")) + 1) - 1).cast("int")  # the largest size in the item's partition
     k = top - F.ceil(top * F.lit(percent) / 100).cast("int") + 1
-    return items.withColumn("k", k).select("item", F.explode(F.slice("grams", 1, F.col("k"))).alias("g")).select(F.col("g.hash").alias("hash"), "item")
+    return items.withColumn("k", k).select("code", F.explode(F.slice("grams", 1, F.col("k"))).alias("g")).select(F.col("g.hash").alias("hash"), "code")
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", percent: int = PERCENT) -> DataFrame:
@@ -78,15 +78,15 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", k
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
     words = texts.withColumn("words", _words(F.col("text"))).drop("text")
     hashed = words.select("id", "row", F.explode(F.transform(_starts(F.col("words")), lambda i: _hash(F.col("words"), i))).alias("hash"))
-    candidates = durable(hashed.join(small(sketches), "hash").select("id", "row", "item").distinct())
+    candidates = durable(hashed.join(small(sketches), "hash").select("id", "row", "code").distinct())
 
-    wanted = candidates.groupBy("id", "row").agg(F.collect_set("item").alias("items"))
+    wanted = candidates.groupBy("id", "row").agg(F.collect_set("code").alias("codes"))
     held = texts.join(wanted.withColumnsRenamed({"id": "wid", "row": "wrow"}), F.col("id").eqNullSafe(F.col("wid")) & (F.col("row") == F.col("wrow")))
-    held = held.select("id", "row", "items", _words(F.col("text")).alias("words"))
-    said = held.select("id", "row", "items", F.explode(F.array_distinct(F.transform(_starts(F.col("words")), lambda i: _gram(F.col("words"), i)))).alias("gram"))
-    all_grams = items.select("item", "size", F.explode("grams").alias("g")).select("item", "size", F.col("g.gram").alias("gram"))
-    met = said.join(small(all_grams), "gram").filter(F.array_contains("items", F.col("item")))
-    counted = met.groupBy("id", "row", "item", "size").agg(F.countDistinct("gram").alias("matched"))
+    held = held.select("id", "row", "codes", _words(F.col("text")).alias("words"))
+    said = held.select("id", "row", "codes", F.explode(F.array_distinct(F.transform(_starts(F.col("words")), lambda i: _gram(F.col("words"), i)))).alias("gram"))
+    all_grams = items.select("code", "item", "size", F.explode("grams").alias("g")).select("code", "item", "size", F.col("g.gram").alias("gram"))
+    met = said.join(small(all_grams), "gram").filter(F.array_contains("codes", F.col("code")))
+    counted = met.groupBy("id", "row", "code", "item", "size").agg(F.countDistinct("gram").alias("matched"))
     return counted.filter(F.col("matched") * 100 >= F.col("size") * percent).select(
         F.col("id").alias(key), "row", "item", F.col("size").cast("long").alias("item_shingles"), "matched", (F.col("matched") / F.col("size")).alias("containment")
     )
