@@ -91,6 +91,8 @@ def vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
     top = counts.select("token", "c").orderBy(F.desc("c"), "token").limit(hot).collect()
     words = {bytes(r["token"]): r["c"] for r in top}
+    end = counts.filter(F.length("token") == 0).head()  # always hot, as its class is its own
+    words[END] = end["c"] if end else 0
     heads = [w for w in words if w != END][:HEADS]
     return Vocabulary(total[0], total[1], words, {END: 1} | {w: k + 2 for k, w in enumerate(heads)})
 
@@ -217,7 +219,7 @@ def _scoring(shared: object, logp: object, mass: np.ndarray) -> Callable[[Iterat
         for batch in batches:
             for i, j, words, ids, cls, bounds in _tokens(batch, look):
                 first = bounds[:-1]
-                hot = ids >= 0
+                hot, met = ids >= 0, look.count[ids] > 0
                 token = np.where(hot, own[ids], 0.0)
                 rest = given[_history(cls, bounds) * CLASSES + cls] - mass[cls]
                 cold = np.flatnonzero(~hot)
@@ -226,7 +228,7 @@ def _scoring(shared: object, logp: object, mass: np.ndarray) -> Callable[[Iterat
                     [
                         *[batch.column(c).slice(i, j - i) for c in ("rid", "id", "held_out")],
                         pa.array(np.diff(bounds)),
-                        pa.array(np.add.reduceat(hot.astype(np.int64), first)),
+                        pa.array(np.add.reduceat(met.astype(np.int64), first)),
                         pa.array(np.add.reduceat(token, first)),
                         pa.array(np.add.reduceat(rest, first)),
                         pa.ListArray.from_arrays(pa.array(np.searchsorted(cold, bounds), pa.int32()), names),
