@@ -26,7 +26,7 @@ from quirelake.session import table
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3  # times a source's size
-BLOCK = 20_000
+BLOCK = 4_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _TINY = 1e-9
 
