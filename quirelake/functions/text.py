@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelake.shipping import ship_package
+
 #: fixed value: a token is a maximal run of letters and numbers
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -26,8 +28,7 @@ def tokens(text: Column) -> Column:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def strict_tokens(text: pd.Series) -> pd.Series:
-    """Tokens after NFKC and full case folding, for any script."""
+def _folded_tokens(text: pd.Series) -> pd.Series:
 
     def cut(value: str | None) -> list[str]:
         folded = unicodedata.normalize("NFKC", value or "").casefold()
@@ -36,6 +37,12 @@ def strict_tokens(text: pd.Series) -> pd.Series:
     return text.map(lambda value: [t for t in cut(value) if t])
 
 
+def strict_tokens(text: Column) -> Column:
+    """Tokens after NFKC and full case folding, for any script."""
+    ship_package(SparkSession.active())
+    return _folded_tokens(text)
+
+
 def ascii_words(text: Column) -> Column:
     """Lower-cased ASCII words; any other character separates."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))

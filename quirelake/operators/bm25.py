@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import tokens
+from quirelake.shipping import shipped
 
 METHOD = "bm25-v1"  # fixed value: the label of a result
 FIXED_POINT = 1e12
@@ -180,7 +181,7 @@ def _scoring(asked: _Questions, k: int, k1: float, b: float, deduplicate: bool)
 def _candidates(passages: DataFrame, asked: _Questions, k: int, k1: float, b: float, deduplicate: bool, key: str, text: str, query_type: str) -> DataFrame:
     rows = tokenised(passages, key, text).withColumn("sequence", F.md5(F.array_join("tokens", " ")))
     kind = dict(rows.dtypes)["passage_id"]
-    return rows.mapInArrow(_scoring(asked, k, k1, b, deduplicate), f"query_id {query_type}, passage_id {kind}, sequence string, score double")
+    return shipped(rows).mapInArrow(_scoring(asked, k, k1, b, deduplicate), f"query_id {query_type}, passage_id {kind}, sequence string, score double")
 
 
 def retrieve(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.operators import bm25, contracts, grounding
+from quirelake.shipping import shipped
 
 #: prompts -> answers; an exception fails its prompt only
 Generator = Callable[[str], str]
@@ -82,7 +83,7 @@ def generate(asked: DataFrame, generator: Generator) -> DataFrame:
                     rows.append({"request_id": key, "error": f"{type(problem).__name__}: {problem}"})
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    return asked.select(F.col("request_id").cast("string").alias("request_id"), "prompt").mapInArrow(run, ANSWER)
+    return shipped(asked).select(F.col("request_id").cast("string").alias("request_id"), "prompt").mapInArrow(run, ANSWER)
 
 
 def cited_chat(passages: DataFrame, questions: DataFrame, generator: Generator = quoting_generator, k: int = 3) -> DataFrame:
@@ -155,7 +156,7 @@ def research_question(sections: DataFrame, generator: Generator) -> DataFrame:
                 rows.append((key, question, used, problem))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.string())], ["request_id", "question", "used", "problem"])
 
-    said = asked.mapInArrow(run, "request_id string, question string, used array<string>, problem string")
+    said = shipped(asked).mapInArrow(run, "request_id string, question string, used array<string>, problem string")
     joined = everyone.join(said, F.col("paper_id").cast("string") == F.col("request_id"), "left")
     cited = F.filter("s", lambda x: F.array_contains("used", x["kind"]))
     none = F.array().cast("array<string>")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import SPACE, lines
+from quirelake.shipping import shipped
 
 #: fixed values: patterns of front matter, matched against trimmed lines, without regard to case unless they say so
 ABSTRACT = r"^\s*(?:(?:SECTION\s+)?(?:1|I|A)(?:[\.\:]|\s*\|\s*)?\s+)?ABSTRACT[\.\:]?\s*$"
@@ -387,7 +388,7 @@ def detect_sections(pages: DataFrame, doc: str = "doc_id", page: str = "page_num
     schema = RESULT.format(key=kind)
     filled = pages.groupBy(F.col(doc).alias("__doc")).agg(F.bool_or(_has(F.coalesce(F.col(text), F.lit("")), r"[^\s\x1c-\x1f]", False)).alias("filled"), F.array_sort(F.collect_list(F.col(page).cast("int"))).alias("pages"))
     live = pages.join(filled.filter("filled").select("__doc"), F.col(doc) == F.col("__doc"), "left_semi")
-    found = described_lines(live, doc, page, text).groupBy("doc_id").applyInPandas(_detect, schema)
+    found = shipped(described_lines(live, doc, page, text)).groupBy("doc_id").applyInPandas(_detect, schema)
     types = dict(found.dtypes)
     none = [F.array().cast(types[c]).alias(c) for c in ("sections", "candidates")]
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.shipping import shipped
+
 #: bytes of a file -> (texts of its pages, raw metadata)
 Extractor = Callable[[bytes], tuple[list[str | None], dict[str, str]]]
 
@@ -44,7 +46,7 @@ def pages_of(files: DataFrame, extractor: Extractor = extract_with_pypdf) -> Dat
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in PAGES.split(", ")])
 
-    return files.select("path", "content").mapInArrow(run, PAGES)
+    return shipped(files).select("path", "content").mapInArrow(run, PAGES)
 
 
 def read_pdfs(spark: SparkSession, path: str, extractor: Extractor = extract_with_pypdf) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quirelake.operators.conversation import MAX_TURNS, OPENERS, REFERRING
+from quirelake.shipping import shipped
 
 OUTPUT = "conv_id long, turn long, question string, history array<string>, needs_context boolean"
 STATE = "questions array<string>"
@@ -38,7 +39,7 @@ def stream_history(turns: DataFrame) -> DataFrame:
     The state of a conversation is at most MAX_TURNS questions. Turns of a
     conversation must arrive in order between batches; within one they are sorted.
     """
-    return turns.groupBy("conv_id").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return shipped(turns).groupBy("conv_id").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def reset_history(turns: DataFrame, resets: DataFrame) -> DataFrame:
