@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from quirelake.durable import durable
 from quirelake.llm.kernels import buffers, slices
 from quirelake.session import table
+from quirelake.shipping import shipped
 
 #: bounds of the labelled sample: texts looked at and characters learnt a language, characters of one text
 SAMPLE_TEXTS, SAMPLE_CHARS, TEXT_CHARS = 160, 16_384, 768
@@ -209,7 +210,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     kept = [c for c in (keep or docs.columns) if c not in names]
     read = docs.select(*dict.fromkeys([*kept, text]))
     schema = T.StructType([*[read.schema[c] for c in kept], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return read.mapInArrow(_judging(model, read.columns.index(text), [read.columns.index(c) for c in kept], schema.names), schema)
+    return shipped(read).mapInArrow(_judging(model, read.columns.index(text), [read.columns.index(c) for c in kept], schema.names), schema)
 
 
 def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:

@@ -38,6 +38,7 @@ from quirelake.durable import durable
 from quirelake.llm.kernels import Words, buffers, slices
 from quirelake.llm.language_id import held_out
 from quirelake.session import table
+from quirelake.shipping import shipped
 
 HOT = 100_000  # tokens sent to every task: a bound
 CLASSES, HEADS = 64, 38  # class 0 pads the history, 1 is the end; then the most frequent tokens; then the tails
@@ -83,7 +84,7 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token: binary, c, hash) of all tokens of ``docs``; the end token is the empty word."""
-    partial = docs.select(F.col(text).alias("text")).mapInArrow(_token_counts, "token binary, c long")
+    partial = shipped(docs).select(F.col(text).alias("text")).mapInArrow(_token_counts, "token binary, c long")
     return partial.groupBy("token").agg(F.sum("c").alias("c")).withColumn("hash", F.xxhash64("token"))
 
 
@@ -269,7 +270,7 @@ def score_texts(docs: DataFrame, learning: DataFrame, text: str = "text", key: s
     known = vocabulary(counts, hot)
     shared = spark.sparkContext.broadcast(known)
     cells = np.zeros(CLASSES**3, np.int64)
-    grams = learning.select(F.col(text).alias("text")).mapInArrow(_trigrams(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    grams = shipped(learning).select(F.col(text).alias("text")).mapInArrow(_trigrams(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     found = grams.toPandas()  # at most CLASSES^3 rows
     cells[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     logp = spark.sparkContext.broadcast(train(cells))
@@ -277,7 +278,7 @@ def score_texts(docs: DataFrame, learning: DataFrame, text: str = "text", key: s
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("id"), F.col(held).alias("held_out"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    scored = durable(rows.mapInArrow(_scoring(shared, logp, mass), f"rid long, id {kind}, held_out boolean, n_tokens long, hot long, hot_log double, rest_log double, cold array<binary>").select("*", F.transform("cold", lambda w: F.xxhash64(w)).alias("hashes")).drop("cold"))
+    scored = durable(shipped(rows).mapInArrow(_scoring(shared, logp, mass), f"rid long, id {kind}, held_out boolean, n_tokens long, hot long, hot_log double, rest_log double, cold array<binary>").select("*", F.transform("cold", lambda w: F.xxhash64(w)).alias("hashes")).drop("cold"))
     cold = scored.select("rid", F.explode("hashes").alias("hash"))
     looked = cold.join(counts.select("hash", "c"), "hash", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + 0.5)

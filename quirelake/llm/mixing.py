@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quirelake.durable import durable
 from quirelake.session import table
+from quirelake.shipping import shipped
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3  # times a source's size
@@ -150,7 +151,7 @@ def _decide(units: DataFrame, block: int) -> DataFrame:
         dealt = flying.join(sized, F.col("sid") == F.col("__sid")).withColumn("block", F.pmod(F.xxhash64("draw", "unit", F.lit(salt)), F.col("blocks")))
         # dealt out anew: the grouping alone would accept rows dealt by source, with a large source in one task
         spread = dealt.select("unit", "sid", "weight", "p", "draw", "block", "blocks").repartition("sid", "block")
-        flown = durable(spread.groupBy("sid", "block").applyInPandas(_fly, _UNIT))
+        flown = durable(shipped(spread).groupBy("sid", "block").applyInPandas(_fly, _UNIT))
         settled = flown.filter(F.col("p").isin(0.0, 1.0)).select("unit", F.col("p").cast("int").alias("take"))
         decided = settled if decided is None else decided.union(settled)
         flying = flown.filter((F.col("p") > 0) & (F.col("p") < 1)).select("unit", "sid", "weight", "p", "draw")

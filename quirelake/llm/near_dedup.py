@@ -33,6 +33,7 @@ from quirelake.durable import durable
 from quirelake.llm.components import connected_components
 from quirelake.llm.kernels import Words, buffers, mix, slices
 from quirelake.session import table
+from quirelake.shipping import shipped
 
 ROWS = 5
 MISS = 1e-6
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     bands = band_count(percent / 100)
     most = farthest(percent / 100, bands * ROWS)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
-    prints = durable(texts.mapInArrow(_fingerprints(size, bands), "id long, row long, n long, kind long, bands array<long>, sketch binary"))
+    prints = durable(shipped(texts).mapInArrow(_fingerprints(size, bands), "id long, row long, n long, kind long, bands array<long>, sketch binary"))
     some = prints.filter("n > 0")
     classes = durable(
         some.groupBy("kind").agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("text_of"), F.min("n").alias("n"), F.min(F.struct("bands", "sketch")).alias("f"))
@@ -258,7 +259,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     own = F.pmod(F.xxhash64("kind", F.lit(3)), F.col("blocks")).cast("int")
     placed = placed.select("bucket", "kind", "sketch", F.explode(_block_pairs(F.col("blocks"), own)).alias("p")).select("bucket", "p.i", "p.j", "kind", "sketch")
     placed = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "kind")
-    candidates = connected_components(placed.mapInArrow(_sketch_forest(most), "a long, b long"))
+    candidates = connected_components(shipped(placed).mapInArrow(_sketch_forest(most), "a long, b long"))
 
     parts = candidates.withColumnsRenamed({"node": "kind", "component": "part"}).join(classes.select("kind", "n", "text_of"), "kind")
     weights = parts.groupBy("part").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
@@ -266,11 +267,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         "kind", "part", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.col("text_of.id").alias("tid"), F.col("text_of.row").alias("trow")
     )
     wanted = texts.join(parts, texts["id"].eqNullSafe(parts["tid"]) & (texts["row"] == parts["trow"])).select("kind", "part", "blocks", "text")
-    sets = wanted.mapInArrow(_shingle_sets(size), "kind long, part long, blocks int, shingles binary")
+    sets = shipped(wanted).mapInArrow(_shingle_sets(size), "kind long, part long, blocks int, shingles binary")
     own = F.pmod(F.xxhash64("kind", F.lit(5)), F.col("blocks")).cast("int")
     sets = sets.select("part", "kind", "shingles", F.explode(_block_pairs(F.col("blocks"), own)).alias("p")).select("part", "p.i", "p.j", "kind", "shingles")
     sets = sets.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "kind")
-    groups = connected_components(sets.mapInArrow(_exact_forest(percent), "a long, b long"))
+    groups = connected_components(shipped(sets).mapInArrow(_exact_forest(percent), "a long, b long"))
 
     labelled = classes.select("kind", "least").join(groups.withColumnRenamed("node", "kind"), "kind")
     named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from quirelake.llm.kernels import _SPACE, Words, buffers, mix, slices
 from quirelake.session import table
+from quirelake.shipping import shipped
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -258,7 +259,7 @@ def judge_quality(docs: DataFrame, crf: Crf, text: str = "text", keep: list[str]
     kept = [c for c in (keep or docs.columns) if c not in added]
     read = docs.select(*dict.fromkeys([*kept, text]))
     schema = T.StructType([*[read.schema[c] for c in kept], *[T.StructField(c, kind) for c, kind in _ADDED]])
-    return read.mapInArrow(_judging(crf, read.columns.index(text), [read.columns.index(c) for c in kept], schema.names, min_content), schema)
+    return shipped(read).mapInArrow(_judging(crf, read.columns.index(text), [read.columns.index(c) for c in kept], schema.names, min_content), schema)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.session import table
+from quirelake.shipping import shipped
 
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed: the URL namespace of RFC 4122
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>", re.S | re.I)
@@ -106,7 +107,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for headers, block in decode_records(content.as_py() or b""):
                     yield pa.RecordBatch.from_arrays([pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())], ["headers", "block"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(decode, RECORD)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
+    return shipped(files).mapInArrow(decode, RECORD)
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -126,7 +128,7 @@ def write_warc(records: DataFrame, path: str) -> None:
                 members.append(packer.compress(encode_record(dict(headers.as_py() or []), block.as_py() or b"")) + packer.flush())
             yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
 
-    records.mapInArrow(encode, "member binary").write.parquet(path)
+    shipped(records).mapInArrow(encode, "member binary").write.parquet(path)
 
 
 def plain_text(markup: str) -> tuple[str, str]:
@@ -192,7 +194,7 @@ def derive(responses: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types.get(name, pa.string())) for c, name in enumerate(names)], names)
 
     kind = F.element_at("headers", "WARC-Type")
-    return responses.filter(F.coalesce(kind, F.lit("response")) == "response").select(F.col("key").cast("long"), "headers", F.col("block").cast("binary")).mapInArrow(run, DERIVED)
+    return shipped(responses).filter(F.coalesce(kind, F.lit("response")) == "response").select(F.col("key").cast("long"), "headers", F.col("block").cast("binary")).mapInArrow(run, DERIVED)
 
 
 def responses_of_pages(pages: DataFrame, date: str, url: str = "url", html_: str = "html", key: str = "page_id") -> DataFrame:
