@@ -31,7 +31,7 @@ from quirelake.session import table
 from quirelake.shipping import shipped
 
 #: bounds of the labelled sample: texts looked at and characters learnt a language, characters of one text
-SAMPLE_TEXTS, SAMPLE_CHARS, TEXT_CHARS = 160, 16_384, 768
+SAMPLE_TEXTS, SAMPLE_CHARS, TEXT_CHARS = 600, 32_768, 64
 #: chosen rows (a language, a key, a number each) up to which they are broadcast to fetch their texts; beyond, a shuffle join does it
 BROADCAST_ROWS = 50_000
 BLOCK = 1024
@@ -46,9 +46,11 @@ def _letters() -> np.ndarray:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """The samples: for each language, texts in the order of a hash of their key.
+    """The samples: for each language, excerpts of texts in the order of a hash of their key.
 
-    Ranking reads no text; the few chosen rows are then fetched. Null languages,
+    Short excerpts from many texts, at places that the hash chooses, keep a
+    passage that many texts share, or one in another language, from weighing
+    much. Ranking reads no text; the few chosen rows are then fetched. Null languages,
     texts and keys teach nothing, and a text that repeats teaches once.
     """
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
@@ -56,7 +58,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     wanted = durable(chosen.select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), "rank"))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    rows = docs.join(wanted, (F.col(key) == F.col("__key")) & (F.col(lang) == F.col("__lang"))).select("__lang", "rank", F.substring(text, 1, TEXT_CHARS).alias("text")).collect()
+    place = F.pmod(F.xxhash64("__key", F.lit(1)), F.greatest(F.length(text) - TEXT_CHARS, F.lit(1))).cast("int") + 1
+    rows = docs.join(wanted, (F.col(key) == F.col("__key")) & (F.col(lang) == F.col("__lang"))).select("__lang", "rank", F.substring(text, place, F.lit(TEXT_CHARS)).alias("text")).collect()
     seen: dict[str, dict[str, None]] = {}
     for row in sorted(rows, key=lambda r: (r["__lang"], r["rank"], r["text"])):
         seen.setdefault(row["__lang"], {})[row["text"]] = None
