@@ -53,8 +53,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     much. Ranking reads no text; the few chosen rows are then fetched. Null languages,
     texts and keys teach nothing, and a text that repeats teaches once.
     """
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(lang, key)
+    sizes = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language of the model
+    if not sizes:
+        return ()
+    # thin out by a second hash to about eight times the sample before ranking, so that a common language is no hot key
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[lang], min(1.0, 8.0 * SAMPLE_TEXTS / r["n"]))])
+    drawn = F.shiftrightunsigned(F.xxhash64(key, F.lit(2)), 11) / float(1 << 53) < share[F.col(lang)]
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    chosen = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(lang, key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_TEXTS)
+    chosen = labelled.filter(drawn).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_TEXTS)
     wanted = durable(chosen.select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), "rank"))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
