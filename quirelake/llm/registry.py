@@ -12,9 +12,9 @@ from quirelake.llm.licenses import op7_license_scan
 from quirelake.llm.line_dedup import op6_line_dedup
 from quirelake.llm.lm_score import op5_lm_score
 from quirelake.llm.mixing import op3_source_mix
-from quirelake.llm.near_dedup import op9_near_dedup
+from quirelake.llm.near_dedup import OP9_SQL, op9_near_dedup
 from quirelake.llm.quality_rules import op10_quality_rules
-from quirelake.llm.url_filter import op4_url_filter
+from quirelake.llm.url_filter import OP4_SQL, op4_url_filter
 from quirelake.llm.warc import op8_warc_derivatives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_near_dedup": OP9_SQL}

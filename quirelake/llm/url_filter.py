@@ -114,3 +114,44 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "ur
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's URL."""
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def _sql_node(url: str) -> str:
+    """The node of a URL as its text; null for what is no URL."""
+    host = f"translate(regexp_extract({url}, '(?s)://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+    path = f"regexp_extract({url}, '(?s)://([^/?#]*)([^?#]*)', 2)"
+    query = f"list_filter(string_split(regexp_extract({url}, '(?s)^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '{_TRACKING}'))"
+    return f"CASE WHEN {host} <> '' THEN regexp_replace({host}, '^www\\.', '') || regexp_replace({path}, '/$', '') || '?' || coalesce(array_to_string({query}, '&'), '') END"
+
+
+def _sql_rule(url: str, rules: tuple[Rule, ...] = RULES) -> str:
+    host = f"translate(regexp_extract(coalesce({url}, ''), '(?s)://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+    path = f"regexp_extract(coalesce({url}, ''), '(?s)://([^/?#]*)([^?#]*)', 2)"
+    cases = []
+    for rule in sorted(rules, key=lambda r: -len(r.text)):
+        name, slash, rest = rule.text.partition("/")
+        cases.append(f"WHEN ({host} = '{name}' OR ends_with({host}, '.{name}')) AND starts_with({path}, '{slash + rest}') THEN '{rule.text}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+_VERDICT = "CASE {} " + " ".join(f"WHEN '{r.text}' THEN '{r.verdict}'" for r in RULES) + " END"
+
+#: the same by plain SQL, components by a recursive closure
+OP4_SQL = rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 2) AS path,
+    {_sql_rule("url")} AS rule, {_sql_node("url")} AS node, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) AS folder,
+    list_concat(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+      list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1))) AS raw FROM pages),
+t AS (SELECT url, node, CASE WHEN contains(r, '://') THEN r WHEN starts_with(r, '//') THEN 'http:' || r WHEN starts_with(r, '/') THEN site || r
+    WHEN ends_with(folder, '/') THEN folder || r ELSE site || '/' || r END AS target FROM (SELECT url, node, site, folder, replace(unnest(raw), '&amp;', '&') AS r FROM p) WHERE r <> ''),
+ends AS (SELECT node AS a, {_sql_node("target")} AS b, url, target FROM t),
+linked AS (SELECT * FROM ends WHERE a <> b),
+edges AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+nodes AS (SELECT node FROM p WHERE node IS NOT NULL UNION SELECT b FROM linked),
+reach AS (SELECT node, node AS r FROM nodes UNION SELECT reach.node, e.b FROM reach JOIN edges e ON e.a = reach.r),
+said AS (SELECT node, {_VERDICT.format("rule")} AS verdict FROM p UNION SELECT b, {_VERDICT.format(_sql_rule("target"))} FROM linked),
+fate AS (SELECT reach.node, bool_or(verdict = 'allow') AS allow FROM reach JOIN said ON said.node = reach.r WHERE verdict IS NOT NULL GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce({_VERDICT.format("rule")}, CASE WHEN allow THEN 'allow' WHEN NOT allow THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN fate ON fate.node = p.node
+"""

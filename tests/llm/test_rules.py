@@ -4,6 +4,7 @@ import collections
 import gzip
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,15 @@ def test_verdicts_spread_over_aliases(spark):
     assert judged(spark, rows, redirects=moved)[9].verdict == "block"
 
 
+    duckdb = pytest.importorskip("duckdb")
+    pages = pd.DataFrame([(k, u, h) for k, (u, h) in enumerate(rows)] + [(90, None, None), (91, "no url", link("http://a.com"))], columns=["page_id", "url", "html"])
+    engine = duckdb.connect()
+    engine.register("pages", pages)
+    want = sorted(engine.sql(url_filter.OP4_SQL).fetchall())
+    again = judged(spark, rows + [(None, None), ("no url", link("http://a.com"))])
+    assert [w[1:] for w in want] == [tuple(again[k])[1:] for k in sorted(again)]
+
+
 def test_url_filter_on_an_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string, host string, verdict string")
     assert url_filter.judge_urls(pages).columns == ["page_id", "host", "path", "rule", "verdict"]
