@@ -79,7 +79,9 @@ def scores(passages: DataFrame, questions: DataFrame, k1: float = 1.5, b: float
     wanted = questions.select(F.col(question_key).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(question)))).alias("term"))
     vocabulary = wanted.select("term").distinct()
     base = tokenised(passages, key, text)
-    occurring = base.select("passage_id", F.size("tokens").alias("dl"), F.md5(F.array_join("tokens", " ")).alias("sequence"), F.explode("tokens").alias("term"))
+    # in a select of its own: beside the explode, the digest would be taken again for every token
+    described = base.select("passage_id", "tokens", F.size("tokens").alias("dl"), F.md5(F.array_join("tokens", " ")).alias("sequence"))
+    occurring = described.select("passage_id", "dl", "sequence", F.explode("tokens").alias("term"))
     tf = occurring.join(vocabulary, "term", "left_semi").groupBy("passage_id", "dl", "sequence", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = base.select(F.explode(F.array_distinct("tokens")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     statistics = corpus_statistics(passages, key, text)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quirelake.functions import text as T
 from quirelake.operators import bm25, contracts, conversation, evaluate, generate, grounding, passages, preflight, quality, sections
 from quirelake.plans import twins
-from quirelake.session import table
+from quirelake.session import spread, table
 from quirelake.sources import library
 from quirelake.streaming import history
 
@@ -25,7 +25,7 @@ KS = (1, 3, 5)
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"), "doc_id")
 
 
 def _passages(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,3 +23,13 @@ def local_session(cores: int | str = 8, memory: str = "16g", app: str = "quirela
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``folder`` (a file or a folder of files)."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out over all cores by ``key`` if they were read in no more pieces than there are cores.
+
+    One small file may hold a single row group, which a single task would work
+    through; a table in many pieces is left as it is and not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() <= cores else rows
