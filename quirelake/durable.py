@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -27,3 +28,14 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def unpartitioned(key: str) -> Column:
+    """The long column ``key`` through an expression that leaves its value alone.
+
+    An aggregate is partitioned by its key, and a join would reuse that and
+    deal the other side out to match: a hot key's rows would meet in one task
+    that nothing may split. Seen through an expression, the partitioning is not
+    recognised; both sides are plain shuffles, which adaptive execution can split.
+    """
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
