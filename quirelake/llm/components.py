@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.durable import durable
+from quirelake.durable import durable, unpartitioned
 
 
 def _minima(edges: DataFrame) -> DataFrame:
-    """The smallest neighbour of each ``u``. Pre-aggregated, so a hub sends one row a task.
-
-    The key passes through an expression, which keeps the aggregate's own
-    partitioning from being reused: both sides of the join that follows are
-    then plain shuffles, whose hot partitions adaptive execution can split.
-    """
+    """The smallest neighbour of each ``u``. Pre-aggregated, so a hub sends one row a task."""
     lows = durable(edges.groupBy("u").agg(F.min("v").alias("low")))
-    return lows.select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("hub"), "low")
+    return lows.select(unpartitioned("u").alias("hub"), "low")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.durable import durable
+from quirelake.durable import durable, unpartitioned
 from quirelake.session import table
 
 SOLID_CHARS = 96
@@ -75,10 +75,10 @@ def dedup_lines(
     """
     plain = docs.drop("removed_lines")
     light = _occurrences(docs, text, key, min_chars, solid_chars, divisor, bodies=False)
-    repeated = light.groupBy("chunk").agg(F.count(F.lit(1)).alias("copies"), F.min("at").alias("first")).filter("copies > 1").drop("copies")
+    repeated = light.groupBy("chunk").agg(F.count(F.lit(1)).alias("copies"), F.min("at").alias("first")).filter("copies > 1").select(unpartitioned("chunk").alias("chunk"), "first")
     full = _occurrences(docs, text, key, min_chars, solid_chars, divisor, bodies=True)
     candidates = durable(full.join(repeated, "chunk"))
-    stays = candidates.filter(F.col("at") == F.col("first")).select("chunk", F.col("body").alias("kept_body")).dropDuplicates(["chunk"])
+    stays = candidates.filter(F.col("at") == F.col("first")).select("chunk", F.col("body").alias("kept_body")).dropDuplicates(["chunk"]).withColumn("chunk", unpartitioned("chunk"))
     gone = candidates.filter(F.col("at") != F.col("first")).join(stays, "chunk").filter(F.col("body") == F.col("kept_body"))
     per_doc = gone.groupBy(F.col("at.id").alias("__gid"), F.col("at.row").alias("__grow")).agg(F.collect_set("at.start").alias("__gone"))
     marked = plain.withColumn("__row", F.xxhash64(F.col(text)))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.durable import durable
+from quirelake.durable import durable, unpartitioned
 from quirelake.session import table
 from quirelake.shipping import shipped
 
@@ -146,8 +146,7 @@ def _decide(units: DataFrame, block: int) -> DataFrame:
     salt = 0
     while True:
         per_source = flying.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-        # through an expression, so that a large source's rows can be split in the join
-        sized = per_source.select(F.col("sid").bitwiseXOR(F.lit(0).cast("long")).alias("__sid"), F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+        sized = per_source.select(unpartitioned("sid").alias("__sid"), F.ceil(F.col("n") / block).cast("long").alias("blocks"))
         dealt = flying.join(sized, F.col("sid") == F.col("__sid")).withColumn("block", F.pmod(F.xxhash64("draw", "unit", F.lit(salt)), F.col("blocks")))
         # dealt out anew: the grouping alone would accept rows dealt by source, with a large source in one task
         spread = dealt.select("unit", "sid", "weight", "p", "draw", "block", "blocks").repartition("sid", "block")
@@ -173,8 +172,7 @@ def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source
     kinds = durable(rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("multiplicity")))
     sizes = kinds.groupBy("source").agg(F.sum(F.col("size") * F.col("multiplicity")).alias("source_size"), F.sum("multiplicity").alias("documents"))
     targets = durable(source_targets(sizes, weights, ceiling).withColumn("sid", F.xxhash64("source")))
-    # through an expression, so that the join is one that adaptive execution may split
-    named = targets.select((F.col("sid").bitwiseXOR(F.lit(0).cast("long"))).alias("__sid"), "source_size", "target")
+    named = targets.select(unpartitioned("sid").alias("__sid"), "source_size", "target")
     rated = kinds.withColumn("sid", F.xxhash64("source")).join(named, F.col("sid") == F.col("__sid")).drop("__sid")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     base = F.when(F.col("size") > 0, F.floor(rate + 1e-12)).otherwise(0)

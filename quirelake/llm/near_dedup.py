@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.durable import durable
+from quirelake.durable import durable, unpartitioned
 from quirelake.llm.components import connected_components
 from quirelake.llm.kernels import Words, buffers, mix, slices
 from quirelake.session import table
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     )
 
     dealt = classes.select("kind", "f.sketch", F.posexplode("f.bands").alias("band", "bucket"))
-    full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumn("bucket", unpartitioned("bucket"))
     blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     placed = dealt.join(full, "bucket").withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("kind", F.lit(3)), F.col("blocks")).cast("int")
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     candidates = connected_components(shipped(placed).mapInArrow(_sketch_forest(most), "a long, b long"))
 
     parts = candidates.withColumnsRenamed({"node": "kind", "component": "part"}).join(classes.select("kind", "n", "text_of"), "kind")
-    weights = parts.groupBy("part").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    weights = parts.groupBy("part").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).withColumn("part", unpartitioned("part"))
     parts = parts.join(weights, "part").select(
         "kind", "part", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.col("text_of.id").alias("tid"), F.col("text_of.row").alias("trow")
     )
@@ -274,11 +274,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     groups = connected_components(shipped(sets).mapInArrow(_exact_forest(percent), "a long, b long"))
 
     labelled = classes.select("kind", "least").join(groups.withColumnRenamed("node", "kind"), "kind")
-    named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = labelled.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("component", unpartitioned("component"))
     linked = durable(labelled.join(named, "component").select("kind", "component_id"))
     alone = classes.select("kind", F.col("least").alias("component_id")).join(linked, "kind", "left_anti")
-    # through an expression, so that the join with the rows is one that adaptive execution may split
-    result = linked.union(alone).select(F.col("kind").bitwiseXOR(F.lit(0).cast("long")).alias("k"), "component_id")
+    result = linked.union(alone).select(unpartitioned("kind").alias("k"), "component_id")
     shingled = some.select("id", "row", "n", "kind").join(result, F.col("kind") == F.col("k")).select("id", "row", "n", "component_id")
     blank = prints.filter("n = 0").select("id", "row", "n", F.col("id").alias("component_id"))
     out = shingled.union(blank)

@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.durable import durable
+from quirelake.durable import durable, unpartitioned
 from quirelake.llm.components import connected_components
 from quirelake.session import table
 
@@ -106,7 +106,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "ur
     placed = said.join(components, "node", "left").select(F.coalesce("component", "node").alias("group"), "allow")
     groups = placed.groupBy("group").agg(F.bool_or("allow").alias("allow"))
     open_ = judged.filter("rule is null").select("node").filter("node is not null").distinct()
-    fate = open_.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("group")).join(groups, "group").select(F.col("node").bitwiseXOR(F.lit(0).cast("long")).alias("n"), F.when(F.col("allow"), "allow").otherwise("block").alias("fate"))
+    fate = open_.join(components, "node", "left").select("node", F.coalesce("component", "node").alias("group")).join(groups, "group").select(unpartitioned("node").alias("n"), F.when(F.col("allow"), "allow").otherwise("block").alias("fate"))
     out = judged.join(fate, F.col("rule").isNull() & (F.col("node") == F.col("n")), "left")
     return out.select(F.col("id").alias(key), "host", "path", F.col("rule.text").alias("rule"), F.coalesce("rule.verdict", "fate", F.lit("allow")).alias("verdict"))
 
