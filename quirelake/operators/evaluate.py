@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import canonical_text
+from quirelake.operators.ranking import running_total
 
 METRICS = ("hit_rate", "recall", "mrr")
 
@@ -86,8 +87,7 @@ def timing_summary(samples: DataFrame, value: str = "value") -> DataFrame:
     """
     counted = samples.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     total = counted.agg(F.sum("c").alias("n"))
-    order = Window.orderBy("v")
-    spread = counted.withColumn("upto", F.sum("c").over(order)).crossJoin(F.broadcast(total))
+    spread = running_total(counted, ["v"], F.col("c")).crossJoin(F.broadcast(total))
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") >= rank, F.col("v")))
@@ -124,7 +124,7 @@ def scaled_corpus(passages: DataFrame, target: int) -> DataFrame:
     count = passages.count()
     if isinstance(target, bool) or target < count or not count:
         raise ValueError("the target must be at least the number of passages, which must not be 0")
-    numbered = passages.withColumn("i", F.row_number().over(Window.orderBy("passage_id")) - 1)
+    numbered = running_total(passages, ["passage_id"]).withColumn("i", F.col("upto") - 1).drop("upto")
     extra = spark.range(count, target).select((F.col("id") % count).alias("i"), (F.col("id") + 1).alias("v"))
     top = passages.groupBy("paper_id").agg(F.max("ordinal").alias("top"))
     made = extra.join(numbered, "i").join(top, "paper_id")

@@ -6,10 +6,11 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.operators import bm25, contracts, grounding
+from quirelake.operators.ranking import running_total
 from quirelake.shipping import shipped
 
 #: prompts -> answers; an exception fails its prompt only
@@ -168,7 +169,8 @@ def research_question(sections: DataFrame, generator: Generator) -> DataFrame:
 
 def deterministic_order(cases: DataFrame, key: str, seed: int) -> DataFrame:
     """Cases numbered in a seeded order for blind review."""
-    return cases.withColumn("position", F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)))
+    drawn = cases.withColumn("__draw", F.xxhash64(F.col(key), F.lit(seed)))
+    return running_total(drawn, ["__draw", *cases.columns], name="position").drop("__draw")
 
 
 def run_ledger(schedule: DataFrame, runs: DataFrame) -> DataFrame:

@@ -123,3 +123,18 @@ def test_metrics_by_hand(spark):
 def test_timing_summary(spark):
     row = evaluate.timing_summary(spark.createDataFrame([(float(x),) for x in range(1, 21)] + [(None,)], "value double")).head()
     assert (row["count"], row.minimum, row.median, row.p95, row.maximum) == (20, 1.0, 10.5, 19.0, 20.0)
+
+
+def test_running_totals_over_a_whole_table(spark):
+    from pyspark.sql import functions as F
+
+    from quirelake.operators.ranking import running_total
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), (F.col("id") % 3).alias("w"))
+    got = {r.v: (r.upto, r.w) for r in running_total(rows, ["v"], F.col("w")).collect()}
+    total = 0
+    for v in range(1000):
+        total += got[v][1]
+        assert got[v][0] == total
+    assert running_total(rows.limit(0), ["v"]).count() == 0
+    assert sorted(r.upto for r in running_total(rows, ["v"]).collect()) == list(range(1, 1001))
