@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.durable import durable
 from quirelake.functions.text import canonical_text
 from quirelake.operators.ranking import running_total
 
@@ -60,16 +61,28 @@ def unknown_judgments(judgments: DataFrame, passages: DataFrame) -> DataFrame:
     return judgments.join(passages.select("passage_id"), "passage_id", "left_anti")
 
 
+FAN = 4096  # digests that one digest of the next level covers
+
+
 def fingerprint(rows: DataFrame, order: list[str], canonical: Column) -> DataFrame:
-    """One row (fingerprint): sha256 over the canonical rows in order.
+    """One row (fingerprint): a tree of sha256 digests over the canonical rows in a total order.
 
-    Rows are hashed first and the digests gathered, 64 characters a row, so
-    the text of a corpus never meets in one task; use ``fingerprint_of_text``
-    where the digest of the full canonical text is needed.
+    Rows are hashed, then FAN consecutive digests at a time, until one is left;
+    no task ever holds more than FAN digests. The value depends on rows and
+    order only. Use ``fingerprint_of_text`` where the digest of the full
+    canonical text is needed.
     """
     hashed = rows.select(*order, F.sha2(canonical, 256).alias("h"))
-    listed = hashed.agg(F.array_sort(F.collect_list(F.struct(*order, "h"))).alias("l"))
-    return listed.select(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ""), 256)).alias("fingerprint"))
+    level = running_total(hashed, order).select((F.col("upto") - 1).alias("i"), "h")
+    while True:
+        digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), ""), 256)
+        level = durable(level.groupBy(F.expr(f"i div {FAN}").alias("block")).agg(digest.alias("h")).withColumnRenamed("block", "i"))
+        left = level.count()
+        if left <= 1:
+            break
+    if not left:
+        level = rows.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("h"))
+    return level.select(F.concat(F.lit("sha256:"), "h").alias("fingerprint"))
 
 
 def fingerprint_of_text(rows: DataFrame, order: list[str], canonical: Column) -> DataFrame:

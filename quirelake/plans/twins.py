@@ -176,7 +176,9 @@ def all_twins() -> dict[str, str]:
         "eval_affected_queries": f"WITH {_PER_QUERY} SELECT metric, k, string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY query_id) AS queries FROM long JOIN failed USING (metric, k) WHERE value < 1 GROUP BY ALL",
         "eval_timing_summary": "SELECT count(value) AS count, round(min(value), 6) AS minimum, round(median(value), 6) AS median, round(list_sort(list(value))[CAST(ceil(count(value) * 0.95) AS INT)], 6) AS p95, round(max(value), 6) AS maximum FROM events WHERE value IS NOT NULL",
         "unknown_judgments": f"WITH {_ranked(10)} SELECT doc_id AS passage_id, quality FROM labels WHERE doc_id NOT IN (SELECT passage_id FROM ranked)",
-        "corpus_fingerprint": f"""SELECT 'sha256:' || sha256(string_agg(sha256('{{"paper_id":' || {_json('source')} || ',"passage_id":' || doc_id || ',"text":' || {_json('text')} || '}}'), '' ORDER BY doc_id)) AS fingerprint FROM documents""",
+        "corpus_fingerprint": f"""WITH h AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 4096 AS block, doc_id, sha256('{{"paper_id":' || {_json('source')} || ',"passage_id":' || doc_id || ',"text":' || {_json('text')} || '}}') AS h FROM documents),
+            b AS (SELECT block, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM h GROUP BY block)
+            SELECT 'sha256:' || CASE WHEN count(*) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY block)) END AS fingerprint FROM b""",
         "benchmark_fingerprint": f"""SELECT 'sha256:' || sha256('[' || string_agg('{{"query":' || {_json('text')} || ',"query_id":' || item_id || '}}', ',' ORDER BY item_id) || ']') AS fingerprint FROM benchmark""",
         "scaling_corpus_counts": """WITH base AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
             n AS (SELECT count(*) AS n FROM documents),

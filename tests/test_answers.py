@@ -138,3 +138,20 @@ def test_running_totals_over_a_whole_table(spark):
         assert got[v][0] == total
     assert running_total(rows.limit(0), ["v"]).count() == 0
     assert sorted(r.upto for r in running_total(rows, ["v"]).collect()) == list(range(1, 1001))
+
+
+def test_fingerprint_tree(spark, monkeypatch):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(10)], "k int, t string").repartition(5)
+    monkeypatch.setattr(evaluate, "FAN", 3)
+    level = [sha(f"t{k}") for k in range(10)]
+    while len(level) > 1:
+        level = [sha("".join(level[k : k + 3])) for k in range(0, len(level), 3)]
+    assert evaluate.fingerprint(rows, ["k"], F.col("t")).head().fingerprint == "sha256:" + level[0]
+    assert evaluate.fingerprint(rows.limit(0), ["k"], F.col("t")).head().fingerprint == "sha256:" + sha("")
