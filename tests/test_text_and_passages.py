@@ -107,3 +107,15 @@ def test_quality_thresholds(spark):
 def test_url_problems(spark):
     for url, want in (("https://a.b/c", None), ("ftp://a.b", "scheme"), ("http:///x", "host"), ("http://a b", "whitespace"), (None, "missing"), ("http://a:99999/", "port"), ("http://[::1]:80/", None), ("nope", "scheme")):
         assert one(spark, url, T.url_problem) == want, url
+
+
+def test_packing_follows_the_model_on_random_texts(spark):
+    import random
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab \n\t") * rng.choice((1, 1, 1, 7)) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for budget in (5, 16):
+        got = {r.k: [(x.start, x.end) for x in r.x] for r in rows.select("k", passages.packed_ranges(F.col("t"), budget).alias("x")).collect()}
+        for k, text in enumerate(texts):
+            assert got[k] == greedy(text, budget), (budget, text)
