@@ -131,5 +131,9 @@ def build_rules() -> list[Rule]:
 
 RULES = build_rules()
 
-#: substrings of which a text must have one before any rule is tried; unlike the rules' keywords these are rare in ordinary prose
-GATES = ["advertising", "cc", "copyright", "domain", "endorse", "general", "gnu", "gpl", "hereby", "licen", "permission", "proprietary", "redistribut", "reserved", "spdx", "unauthorized", "warrant"]
+#: substrings of which a text must have one before any rule is tried: every match of every rule, and every base phrase,
+#: contains one of them (a family with versions is also told without the word licence, hence its own stem)
+GATES = [
+    "advertising", "cc", "copyright", "domain", "endorse", "general", "gnu", "gpl", "hereby", "licen", "permission", "proprietary", "redistribut", "reserved", "spdx", "unauthorized", "warrant",
+    "academic", "affero", "apache", "artistic", "boost", "common", "creative", "database", "documentation", "eclipse", "educational", "european", "font", "mozilla", "permissive", "software",
+]

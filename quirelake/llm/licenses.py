@@ -1,8 +1,9 @@
 """Licence scan: ordered signature rules, wholly in Spark expressions.
 
 Each row is scanned by itself, so the operator never shuffles. A cheap
-substring gate decides which texts are normalised at all; within those, each
-rule's keyword gates its regular expression. Detections are intervals;
+substring gate, implied by every rule, decides which texts are normalised at
+all; within those, each distinct keyword is looked for once and gates the
+regular expressions of its rules. Detections are intervals;
 an interval inside another one of at least its priority is suppressed (equal
 intervals: the higher priority, then the smaller label stays).
 """
@@ -58,13 +59,18 @@ def _matches(norm: Column, rule: Column) -> Column:
 
 def detections(norm: Column, rules: list[Rule] | None = None) -> Column:
     """All rule matches in a normalised text."""
-    table_ = F.array(
-        *[
-            F.struct(F.lit(r.keyword).alias("keyword"), F.lit(rf"(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"))
-            for r in (rules or RULES)
-        ]
-    )
-    gated = F.filter(table_, lambda r: F.contains(norm, r["keyword"]))
+    by_keyword: dict[str, list[Rule]] = {}
+    for r in RULES if rules is None else rules:
+        by_keyword.setdefault(r.keyword, []).append(r)
+    if not by_keyword:
+        return F.array().cast(_DETECTION)
+
+    def group(keyword: str, members: list[Rule]) -> Column:
+        listed = [F.struct(F.lit(rf"(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority")) for r in members]
+        return F.struct(F.lit(keyword).alias("keyword"), F.array(*listed).alias("rules"))
+
+    table_ = F.array(*[group(k, members) for k, members in by_keyword.items()])
+    gated = F.flatten(F.transform(F.filter(table_, lambda g: F.contains(norm, g["keyword"])), lambda g: g["rules"]))
     return F.flatten(F.transform(gated, lambda r: _matches(norm, r)))
 
 
@@ -106,7 +112,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     raw = F.coalesce(F.col(text), F.lit(""))
     gate = F.lit(False)
     lowered = F.col("__lower")
-    for keyword in GATES:
+    for keyword in GATES if rules is None else [*{r.keyword for r in rules}, *(phrase.split()[0] for phrase, _ in BASE)]:
         gate = gate | F.contains(lowered, F.lit(keyword))
     words = F.transform(F.regexp_extract_all(raw, F.lit(_WORD_RAW), F.lit(0)), lambda w: F.translate(w, _UPPER, _LOWER))
     out = docs.withColumn("__lower", F.lower(raw))

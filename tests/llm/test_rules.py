@@ -69,6 +69,55 @@ def test_licence_labels(spark):
     assert len(license_rules.RULES) > 250
 
 
+BARE = {
+    "published under Creative Commons Attribution 4.0 International": "cc-by-4.0",
+    "released under Apache 2.0": "apache-2.0",
+    "distributed under the terms of the Mozilla 2.0": "mpl-2.0",
+    "Apache 2.0 or later": "apache-2.0-or-later",
+    "Artistic 2.0 or any later version": "artistic-2.0-or-later",
+    "Eclipse 2.0 only": "epl-2.0-only",
+    "European Union v1.2 only": "eupl-1.2-only",
+    "available under Common Development and Distribution 1.0": "cddl-1.0",
+    "Creative-Commons Attribution ShareAlike": "cc-by-sa",
+}
+
+
+def test_licences_named_without_the_word(spark):
+    docs = spark.createDataFrame(list(enumerate(BARE)), "doc_id long, text string")
+    got = {r.text: r for r in licenses.scan_licenses(docs).collect()}
+    assert {t: got[t].labels for t in BARE} == BARE
+    assert all(r.score > 0 for r in got.values())
+    own = license_rules.Rule("quux", "quux terms", "quux", license_rules.NOTICE)
+    assert licenses.scan_licenses(spark.createDataFrame([(1, "the Quux terms")], "doc_id long, text string"), rules=[own]).head().labels == "quux"
+
+
+def spelled(parsed):
+    """Every string a parsed pattern can match, a digit class by one digit; the rules have no repetition."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(v) if str(o) == "LITERAL" else "7" for o, v in arg]
+        elif name == "BRANCH":
+            more = [s for branch in arg[1] for s in spelled(branch)]
+        elif name == "SUBPATTERN":
+            more = spelled(arg[-1])
+        else:
+            assert name == "MAX_REPEAT" and arg[:2] == (0, 1), name
+            more = ["", *spelled(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_rule_implies_the_gate_and_its_keyword():
+    for rule in license_rules.RULES:
+        for s in spelled(re._parser.parse(rule.pattern.replace(license_rules._LEAD, "released under "))):
+            assert rule.keyword in s and any(g in s for g in license_rules.GATES), (rule, s)
+    assert all(any(g in phrase for g in license_rules.GATES) for phrase, _ in licenses.BASE)
+
+
 def test_mixing_reaches_its_targets(spark):
     rows = [(s * 1000 + k, prose("en", k, 20 + (k * 37) % 200), f"s{s}") for s in range(5) for k in range(40 + 30 * s)] + [(9999, prose("en", 1, 50), None), (9998, None, "none"), (9997, "", "s0")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
