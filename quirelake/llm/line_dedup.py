@@ -1,14 +1,16 @@
-"""Line deduplication by content-defined line chunks, wholly in Spark expressions.
-
-A text is cut at newlines. A rolling hash over the hashes of two neighbouring
-lines decides where a chunk ends, so the cuts follow the content and an
-inserted line moves none of the later ones. A line of ``solid_chars`` or more
-is always a chunk by itself: whatever stands around a long repeated line, its
-borders are found. A chunk counts as repeated if it has two lines or more (or
-one solid line) and ``min_chars`` characters, and stands anywhere else in the
-corpus, the same document included. The first occurrence in order of (doc_id,
-text hash, line) stays; every other one goes after its bytes have been compared
-with those of the occurrence that stays.
+"""Line deduplication by shortest runs of lines, wholly in Spark expressions.
+
+A text is cut at newlines. A run of consecutive lines is a passage if it has
+two lines or more (or is one line of ``solid_chars``) and ``min_chars``
+characters. A line goes exactly if some passage around it also stands at an
+earlier place that does not overlap it, in the same document or another one;
+places are ordered by (doc_id, text hash, line). So every line that goes has an
+earlier copy that stays.
+
+It is enough to look at the shortest passage that begins at each line and the
+shortest that ends there: if a passage is repeated, each of its lines lies in
+one of these within it. Such windows are matched by a hash, and go after their
+bytes have been compared with those of the first place.
 """
 
 from __future__ import annotations
@@ -21,73 +23,98 @@ from quirelake.session import table
 
 SOLID_CHARS = 96
 MIN_CHARS = 48
-DIVISOR = 2  # a light line ends a chunk with probability 1/DIVISOR
 
 
-def _cut(docs: DataFrame, text: str, solid_chars: int, divisor: int) -> DataFrame:
-    """Adds __lines and __chunks (start line, number of lines)."""
-    out = docs.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+def _lines(text: str) -> Column:
+    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+
+
+def _windows(docs: DataFrame, text: str, min_chars: int, solid_chars: int) -> DataFrame:
+    """Adds __hashes (of the lines) and __windows (start line, number of lines)."""
+    out = docs.withColumn("__lines", _lines(text))
     out = out.withColumn("__hashes", F.transform("__lines", lambda line: F.xxhash64(line)))
-    out = out.withColumn("__solid", F.transform("__lines", lambda line: F.length(line) >= solid_chars))
+    out = out.withColumn("__lengths", F.transform("__lines", lambda line: F.length(line)))
+    most = max(min_chars + 1, 2)  # every further line adds a newline at least
 
-    def ends(i: Column) -> Column:
-        rolled = F.xxhash64(F.get("__hashes", i - 1), F.get("__hashes", i))
-        last = i == F.size("__lines") - 1
-        return last | F.get("__solid", i) | F.get("__solid", i + 1) | (F.pmod(rolled, F.lit(divisor)) == 0)
+    def walk(lengths: Column) -> Column:
+        """Number of leading lines that make a passage of two lines or more; null if all of them do not."""
+        start = F.struct(F.lit(-1).alias("chars"), F.lit(0).alias("n"))
 
-    out = out.withColumn("__ends", F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), ends))
+        def enough(acc: Column) -> Column:
+            return (acc["chars"] >= min_chars) & (acc["n"] >= 2)
 
-    def chunk(end: Column, k: Column) -> Column:
-        start = F.coalesce(F.get("__ends", k - 1) + 1, F.lit(0))
-        return F.struct(start.alias("start"), (end - start + 1).alias("n"))
+        def step(acc: Column, length: Column) -> Column:
+            more = F.struct((acc["chars"] + length + 1).alias("chars"), (acc["n"] + 1).alias("n"))
+            return F.when(enough(acc), acc).otherwise(more)
 
-    return out.withColumn("__chunks", F.transform("__ends", chunk))
+        return F.aggregate(lengths, start, step, lambda acc: F.when(enough(acc), acc["n"]))
 
+    def shortest(i: Column, neighbour: Column, lengths: Column) -> Column:
+        own = F.get("__lengths", i)
+        return F.when(own >= max(solid_chars, min_chars), 1).when(own + 1 + F.get("__lengths", neighbour) >= min_chars, 2).otherwise(walk(lengths))
 
-def _body(chunk: Column) -> Column:
-    return F.array_join(F.slice("__lines", chunk["start"] + 1, chunk["n"]), "\n")
+    places = F.sequence(F.lit(0), F.size("__lines") - 1)
+    out = out.withColumn("__ahead", F.transform(places, lambda i: shortest(i, i + 1, F.slice("__lengths", i + 1, most))))
+    behind = F.transform(places, lambda i: shortest(i, i - 1, F.reverse(F.slice("__lengths", F.greatest(i + 1 - most, F.lit(0)) + 1, F.least(i + 1, F.lit(most))))))
+    begins = F.transform("__ahead", lambda n, i: F.struct(i.alias("start"), n.alias("n")))
+    ends = F.transform(behind, lambda n, i: F.struct((i - n + 1).alias("start"), n.alias("n")))
+    begins = F.filter(begins, lambda w: w["n"].isNotNull())
+    ends = F.filter(ends, lambda w: w["n"].isNotNull() & ~F.get("__ahead", w["start"]).eqNullSafe(w["n"]))
+    return out.withColumn("__windows", F.concat(begins, ends))
 
 
-def _occurrences(docs: DataFrame, text: str, key: str, min_chars: int, solid_chars: int, divisor: int, bodies: bool) -> DataFrame:
-    """One row for each chunk that may count as repeated."""
-    cut = _cut(docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).withColumn("__row", F.xxhash64("__text")), "__text", solid_chars, divisor)
-    listed = F.transform("__chunks", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), _body(c).alias("body")))
-    eligible = F.filter(listed, lambda c: (F.length(c["body"]) >= min_chars) & ((c["n"] >= 2) | (F.length(c["body"]) >= solid_chars)))
-    shaped = F.transform(eligible, lambda c: F.struct(F.xxhash64(c["body"]).alias("chunk"), c["start"].alias("start"), *([c["body"].alias("body")] if bodies else [])))
-    rows = cut.select("__id", "__row", F.explode(shaped).alias("c"))
-    return rows.select("c.chunk", F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("c.start").alias("start")).alias("at"), *(["c.body"] if bodies else []))
+def _places(docs: DataFrame, text: str, key: str, min_chars: int, solid_chars: int) -> DataFrame:
+    """One row for each window: its hash, its number of lines and where it stands."""
+    cut = _windows(docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).withColumn("__row", F.xxhash64("__text")), "__text", min_chars, solid_chars)
+    listed = F.transform("__windows", lambda w: F.struct(F.xxhash64(F.slice("__hashes", w["start"] + 1, w["n"])).alias("window"), w["start"].alias("start"), w["n"].alias("n")))
+    rows = cut.select("__id", "__row", F.explode(listed).alias("w"))
+    return rows.select("w.window", "w.n", F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("w.start").alias("start")).alias("at"))
 
 
-def dedup_lines(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, solid_chars: int = SOLID_CHARS, divisor: int = DIVISOR
-) -> DataFrame:
-    """``docs`` with repeated chunks cut from ``text``, and ``removed_lines`` (long) appended.
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, solid_chars: int = SOLID_CHARS) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text``, and ``removed_lines`` (long) appended.
 
     Null texts stay null and empty ones empty. A text that consists of
-    repeated chunks only becomes the empty string. Rows equal in key and text
-    count as one occurrence and get equal results; rows with a null key come
+    repeated passages only becomes the empty string. Rows equal in key and text
+    count as one place and get equal results; rows with a null key come
     last in the order. An empty table gives an empty table. Other columns pass
     through untouched; an input column named removed_lines is replaced.
 
-    A chunk's copies are never gathered: counts and the first occurrence come
-    from a pre-aggregated min, and copies meet the first one in a join that
-    adaptive execution may split.
+    A window's copies are never gathered: its first and last place come from
+    pre-aggregated min and max, and copies meet the first one in a join that
+    adaptive execution may split. Only windows with two places or more have
+    their text looked up, which a second time reads the documents' exchange.
     """
     plain = docs.drop("removed_lines")
-    light = _occurrences(docs, text, key, min_chars, solid_chars, divisor, bodies=False)
-    repeated = light.groupBy("chunk").agg(F.count(F.lit(1)).alias("copies"), F.min("at").alias("first")).filter("copies > 1").select(unpartitioned("chunk").alias("chunk"), "first")
-    full = _occurrences(docs, text, key, min_chars, solid_chars, divisor, bodies=True)
-    candidates = durable(full.join(repeated, "chunk"))
-    stays = candidates.filter(F.col("at") == F.col("first")).select("chunk", F.col("body").alias("kept_body")).dropDuplicates(["chunk"]).withColumn("chunk", unpartitioned("chunk"))
-    gone = candidates.filter(F.col("at") != F.col("first")).join(stays, "chunk").filter(F.col("body") == F.col("kept_body"))
-    per_doc = gone.groupBy(F.col("at.id").alias("__gid"), F.col("at.row").alias("__grow")).agg(F.collect_set("at.start").alias("__gone"))
-    marked = plain.withColumn("__row", F.xxhash64(F.col(text)))
-    joined = marked.join(per_doc, marked[key].eqNullSafe(per_doc["__gid"]) & (F.col("__row") == F.col("__grow")), "left")
+    places = _places(docs, text, key, min_chars, solid_chars)
+    repeated = places.groupBy("window").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first != last").select(unpartitioned("window").alias("window"), "first")
+    is_first = F.col("at") == F.col("first")
+    overlaps = F.col("at.id").eqNullSafe(F.col("first.id")) & (F.col("at.row") == F.col("first.row")) & (F.col("at.start") < F.col("first.start") + F.col("n"))
+    found = places.join(repeated, "window").filter(is_first | ~overlaps)
+    window = F.struct("window", F.col("at.start").alias("start"), "n")
+    wanted = found.groupBy(F.col("at.id").alias("__gid"), F.col("at.row").alias("__grow"))
+    wanted = durable(wanted.agg(F.collect_set(F.when(is_first, window)).alias("first"), F.collect_set(F.when(~is_first, window)).alias("later")))
+
+    marked = plain.withColumn("__text_hash", F.xxhash64(F.col(text)))
+
+    def meet(per_doc: DataFrame, how: str) -> DataFrame:
+        return marked.join(per_doc, marked[key].eqNullSafe(per_doc["__gid"]) & (F.col("__text_hash") == F.col("__grow")), how)
+
+    def bodies(which: str, *columns: str) -> DataFrame:
+        met = meet(wanted.filter(F.size(which) > 0).select("__gid", "__grow", F.col(which).alias("__which")), "inner").withColumn("__lines", _lines(text))
+        rows = F.transform("__which", lambda w: F.struct(w["window"].alias("window"), w["start"].alias("start"), w["n"].alias("n"), F.array_join(F.slice("__lines", w["start"] + 1, w["n"]), "\n").alias("body")))
+        return met.select("__gid", "__grow", F.explode(rows).alias("w")).select(*columns)
+
+    stays = bodies("first", "w.window", F.col("w.body").alias("kept_body")).dropDuplicates(["window"]).withColumn("window", unpartitioned("window"))
+    later = bodies("later", "__gid", "__grow", "w.window", "w.start", "w.n", "w.body")
+    gone = later.join(stays, "window").filter(F.col("body") == F.col("kept_body"))
+    per_doc = gone.groupBy("__gid", "__grow").agg(F.collect_set(F.struct("start", "n")).alias("__gone"))
+    cut = meet(per_doc, "left").withColumn("__lines", _lines(text))
     touched = F.col("__gone").isNotNull()
-    cut = _cut(joined, text, solid_chars, divisor)
-    kept = F.filter("__chunks", lambda c: ~F.array_contains("__gone", c["start"]))
-    rebuilt = F.array_join(F.transform(kept, _body), "\n")
-    lost = F.aggregate(F.filter("__chunks", lambda c: F.array_contains("__gone", c["start"])), F.lit(0), lambda acc, c: acc + c["n"])
+    numbers = F.flatten(F.transform("__gone", lambda w: F.sequence(w["start"], w["start"] + w["n"] - 1)))
+    cut = cut.withColumn("__kept", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), numbers))
+    rebuilt = F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
+    lost = F.size("__lines") - F.size("__kept")
     # computed in a generator, which a later filter on the text or the count cannot be pushed through:
     # pushed down, it would repeat the cutting of the lines for every line
     result = F.struct(F.when(touched, rebuilt).otherwise(F.col(text)).alias("__new_text"), F.when(touched, lost).otherwise(F.lit(0)).cast("long").alias("__lost"))
@@ -96,6 +123,6 @@ def dedup_lines(
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without their repeated line chunks."""
+    """All documents without their repeated passages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))

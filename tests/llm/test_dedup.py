@@ -138,6 +138,62 @@ def test_repeated_passages_are_cut_after_the_first(spark):
             assert line in got[k].text or line in PASSAGE
 
 
+def repeated_lines(texts, min_chars=48, solid_chars=96):
+    """Brute force over all pairs of equal lines: the (text, line) places of lines in a passage that stands earlier."""
+    lines = [t.split("\n") for t in texts]
+    spots = collections.defaultdict(list)
+    for d, ls in enumerate(lines):
+        for k, line in enumerate(ls):
+            spots[line].append((d, k))
+    gone = set()
+    for same in spots.values():
+        for b in range(len(same)):
+            for a in range(b):
+                (d, i), (e, j) = same[a], same[b]
+                n = 0
+                while i + n < len(lines[d]) and j + n < len(lines[e]) and lines[d][i + n] == lines[e][j + n] and (d != e or i + n < j):
+                    n += 1
+                body = "\n".join(lines[e][j : j + n])
+                if len(body) >= min_chars and (n >= 2 or len(body) >= solid_chars):
+                    gone |= {(e, j + m) for m in range(n)}
+    return gone
+
+
+def without(texts, gone):
+    return ["\n".join(line for k, line in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in enumerate(texts)]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(11)
+    pool = ["", "", "a", "b"] + [f"{k} " + "s" * rng.randint(3, 40) for k in range(8)] + [f"{k} " + "l" * rng.randint(44, 90) for k in range(10)] + [f"{k} " + "x" * 100 for k in range(3)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25))) for _ in range(80)] + ["a\n" * 120, "a\nb\n" * 60, "\n" * 130, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = repeated_lines(texts)
+    got = {r.doc_id: r for r in dedup_lines(docs).collect()}
+    assert [got[k].text for k in range(len(texts))] == without(texts, gone)
+    assert [got[k].removed_lines for k in range(len(texts))] == [sum(d == k for d, _ in gone) for k in range(len(texts))] and len(gone) > 100
+
+
+def test_passages_of_light_lines_go_whole(spark):
+    """Whatever stands around them, and a light line between two solid ones too."""
+    rng = random.Random(3)
+    line = lambda low, high: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(low, high)))
+    texts, passages = [], []
+    for n in (2, 3, 4, 6, 8, 12):
+        for _ in range(10):
+            passages.append([line(50, 90) for _ in range(n)])
+    passages.append([line(100, 120), line(10, 20), line(100, 120)])
+    for _ in (0, 1):
+        texts += ["\n".join([line(50, 90), *p, line(50, 90)]) for p in passages]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup_lines(docs).collect()}
+    half = len(passages)
+    for k, p in enumerate(passages):
+        first, second = texts[k], texts[half + k].split("\n")
+        assert (got[k].text, got[k].removed_lines) == (first, 0)
+        assert (got[half + k].text, got[half + k].removed_lines) == ("\n".join([second[0], second[-1]]), len(p))
+
+
 def test_line_dedup_takes_awkward_rows(spark):
     docs = awkward(spark)
     out = dedup_lines(docs)
