@@ -39,6 +39,7 @@ UNDETERMINED = "und"
 _PLANE = 0x3000  # code points above are told apart as letters or not, nothing more
 
 Model = tuple[tuple[str, str], ...]  # (language, sample text)
+LETTERS_ONLY: Model = (("any", "a"),)  # tells texts with a letter from those without
 
 
 def _letters() -> np.ndarray:
@@ -233,8 +234,11 @@ def learn_from_training_part(docs: DataFrame) -> Model:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows whose language cannot be told; columns and other rows stay as they are."""
-    judged = identify(docs, model, names=("__language", "__language_score"))
+    """``docs`` without null texts and texts without a letter, whose language no model can tell; columns and other rows stay as they are.
+
+    That holds for an empty model too: a table without labels loses no other row.
+    """
+    judged = identify(docs, model or LETTERS_ONLY, names=("__language", "__language_score"))
     return judged.filter(F.col("__language") != UNDETERMINED).select(*docs.columns)
 
 

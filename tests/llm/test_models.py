@@ -86,6 +86,16 @@ def test_language_id_takes_awkward_rows(spark):
     assert {r.lang_pred for r in language_id.identify(docs, ()).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("column", ["lang", "doc_id"])
+def test_without_labels_or_keys_no_document_with_a_letter_goes(spark, column):
+    docs = awkward(spark, [prose("en", 800), "漢字", "12 34"])
+    docs = docs.withColumn(column, F.lit(None).cast(docs.schema[column].dataType))
+    model = language_id.learn_from_training_part(docs)
+    assert not model
+    want = sorted(r.text for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+    assert sorted(r.text for r in language_id.keep_identified(docs, model).collect()) == want and len(want) > 8
+
+
 def test_held_out_accuracy_on_driver_tables(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     out = language_id.op1_language_id(spark, data).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
