@@ -243,6 +243,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     then true). Repeated rows share a component and are both kept. An empty
     table gives an empty table; other columns of the input are not read.
     """
+    return _near_groups(docs, text, key, size, percent).drop("group")
+
+
+def _near_groups(docs: DataFrame, text: str, key: str, size: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with a number of the component, group, that does not depend on keys; null for texts without a shingle."""
     bands = band_count(percent / 100)
     most = farthest(percent / 100, bands * ROWS)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
@@ -275,13 +280,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     labelled = classes.select("kind", "least").join(groups.withColumnRenamed("node", "kind"), "kind")
     named = labelled.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("component", unpartitioned("component"))
-    linked = durable(labelled.join(named, "component").select("kind", "component_id"))
-    alone = classes.select("kind", F.col("least").alias("component_id")).join(linked, "kind", "left_anti")
-    result = linked.union(alone).select(unpartitioned("kind").alias("k"), "component_id")
-    shingled = some.select("id", "row", "n", "kind").join(result, F.col("kind") == F.col("k")).select("id", "row", "n", "component_id")
-    blank = prints.filter("n = 0").select("id", "row", "n", F.col("id").alias("component_id"))
+    linked = durable(labelled.join(named, "component").select("kind", "component_id", F.col("component").alias("group")))
+    alone = classes.select("kind", F.col("least").alias("component_id"), F.col("kind").alias("group")).join(linked, "kind", "left_anti")
+    result = linked.union(alone).select(unpartitioned("kind").alias("k"), "component_id", "group")
+    shingled = some.select("id", "row", "n", "kind").join(result, F.col("kind") == F.col("k")).select("id", "row", "n", "component_id", "group")
+    blank = prints.filter("n = 0").select("id", "row", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group"))
     out = shingled.union(blank)
-    return out.select(F.col("id").alias(key), "row", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(key), "row", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "group")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,11 +297,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest key.
 
-    Of rows equal in key and text one stays. Rows without a word are linked
+    A null key comes last, and among rows with the same key the smallest text
+    hash decides, so one row stays whatever the keys are. Of rows equal in key
+    and text one stays. Rows without a word are linked
     with nothing and stay. Columns are those of ``docs``.
     """
-    kept = near_duplicates(docs, text, key, size, percent).filter("kept")
-    chosen = durable(kept.groupBy(F.col(key).alias("__kid"), F.col("row").alias("__krow")).agg(F.count(F.lit(1)).alias("__times")))
+    rows = _near_groups(docs, text, key, size, percent).select(F.col(key).alias("id"), "row", "group")
+    texts = rows.groupBy("id", "row", "group").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "times")).alias("c")
+    # a text without a word is a group by itself
+    alone = F.when(F.col("group").isNull(), F.struct("id", "row"))
+    chosen = durable(texts.groupBy("group", alone.alias("alone")).agg(first).select(F.col("c.id").alias("__kid"), F.col("c.row").alias("__krow"), F.col("c.times").alias("__times")))
     marked = docs.withColumn("__row", F.xxhash64(F.col(text)))
     joined = marked.join(chosen, marked[key].eqNullSafe(chosen["__kid"]) & (F.col("__row") == F.col("__krow")))
     if chosen.filter("__times > 1").head(1):

@@ -91,6 +91,17 @@ def test_keep_one(spark):
     assert near_dedup.keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_whatever_the_keys(spark):
+    """Null keys, one key for a whole group, and a group with a key in another one: one document of each group stays."""
+    groups = [[prose("en", k, 200) + f" tail{j}" for j in range(3)] for k in range(3)]
+    rows = [(None, t) for t in groups[0]] + [(7, t) for t in groups[1] + groups[2]] + [(None, groups[2][0]), (3, groups[2][1]), (None, ""), (None, " "), (7, ""), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.keep_one(docs).collect()
+    assert [sum(r.text in g for r in got) for g in groups] == [1, 1, 1]
+    assert [r.doc_id for r in got if r.text in groups[2]] == [3]
+    assert sorted((r.doc_id or 0, r.text) for r in got if not r.text.strip()) == [(0, ""), (0, " "), (7, "")]
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     samples = 120
