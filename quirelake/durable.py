@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where neither that
-    setting nor a folder set on the context exists (tests, a laptop) is a
-    temporary one made.
+    A cluster names it in ``spark.checkpoint.dir``. Where neither that setting
+    nor a folder set on the context exists, a session on one machine (tests, a
+    laptop) gets a temporary one; a cluster has none that its machines share,
+    so there it is an error.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelake-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quirelake-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 
@@ -30,6 +35,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(df: DataFrame) -> None:
+    """Deletes what ``durable`` stored for ``df``, which nothing may read any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    stored = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if stored.isDefined():
+        path = jvm.org.apache.hadoop.fs.Path(stored.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unpartitioned(key: str) -> Column:
     """The long column ``key`` through an expression that leaves its value alone.
 
