@@ -7,12 +7,12 @@
    is missed with a probability of ``MISS`` at most.
 3. All MinHash samples of a class are folded into a parity bitmap, the odd
    sketch. Within a bucket, the population count of two sketches' XOR estimates
-   the similarity; a bucket hands on a spanning forest of the pairs whose
-   estimate is within five standard errors of the threshold, never all pairs.
-4. Components of those forests are candidate groups. The shingle sets of their
+   the similarity; a bucket hands on stars that span the pairs whose estimate
+   is within five standard errors of the threshold, never all pairs.
+4. Components of those stars are candidate groups. The shingle sets of their
    classes are gathered once, in blocks of bounded size, and every pair is
-   counted exactly through an inverted index; a block hands on a spanning
-   forest of the links that hold.
+   settled exactly through an inverted index; a block hands on stars that span
+   the links that hold.
 5. Components of those links are the groups.
 
 Buckets and groups of any size are dealt out as pairs of blocks, so no task
@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.durable import durable, unpartitioned
@@ -38,7 +38,7 @@ from quirelake.shipping import shipped
 ROWS = 5
 MISS = 1e-6
 SKETCH_BITS = 512
-BLOCK_MEMBERS = 2048
+BLOCK_MEMBERS = 512
 BLOCK_SHINGLES = 1 << 20
 
 _rng = np.random.default_rng(977)  # fixed: sketches must agree between runs and executors
@@ -100,22 +100,25 @@ def _fingerprints(size: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-class _Forest:
+class _Stars:
+    """Classes of members 0 .. n-1, each named after its smallest."""
+
     def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
+        self.root = np.arange(n)
+
+    def strangers(self, x: int) -> np.ndarray:
+        """The members after x that are not yet in its class."""
+        return np.flatnonzero(self.root[x + 1 :] != self.root[x]) + x + 1
 
-    def find(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def join(self, x: int, ys: np.ndarray) -> None:
+        """Unites the classes of x and of all ``ys``."""
+        met = np.unique(np.append(self.root[ys], self.root[x]))
+        self.root[np.isin(self.root, met)] = met[0]
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.parent[max(x, y)] = min(x, y)
-        return x != y
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(member, root) of all but the roots."""
+        members = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return members, self.root[members]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -152,7 +155,7 @@ def _links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs]), pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _sketch_forest(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sketch_stars(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at in _grouped(batches, ["bucket", "i", "j"]):
             kind = rows.column("kind").to_numpy()
@@ -164,42 +167,58 @@ def _sketch_forest(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             pairs = [(kind[two[near]], kind[two[near] + 1])]
             for g in np.flatnonzero(size > 2):
                 a, m = int(at[g]), int(size[g])
-                own, forest = bitmap[a : a + m], _Forest(m)
+                own, stars = bitmap[a : a + m], _Stars(m)
                 for x in range(m - 1):
-                    for y in (np.flatnonzero(np.bitwise_count(own[x + 1 :] ^ own[x]).sum(axis=1) <= most) + x + 1).tolist():
-                        if forest.join(x, y):
-                            pairs.append((kind[a + x : a + x + 1], kind[a + y : a + y + 1]))
+                    others = stars.strangers(x)
+                    if len(others):
+                        alike = others[np.bitwise_count(own[others] ^ own[x]).sum(axis=1) <= most]
+                        if len(alike):
+                            stars.join(x, alike)
+                members, roots = stars.links()
+                pairs.append((kind[a + members], kind[a + roots]))
             yield from _links(pairs)
 
     return run
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 |intersection| >= percent |union|, by an inverted index."""
+def exact_stars(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) of the classes that the pairs with 100 |intersection| >= percent |union| make of ``sets``.
+
+    An inverted index counts the shingles that a set shares with the others;
+    only pairs that no earlier link has united are looked at, so a dense group
+    costs little more than its size.
+    """
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
+    stars = _Stars(m)
     if m == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if (100 + percent) * both >= percent * int(size.sum()) else []
+        if (100 + percent) * both >= percent * int(size.sum()):
+            stars.join(0, np.array([1]))
+        return stars.links()
     owner = np.repeat(np.arange(m), size)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(ids, kind="stable")
     posting, count = owner[order], np.bincount(ids)
     begin = np.cumsum(count) - count
     first = np.cumsum(size) - size
-    forest, out = _Forest(m), []
     for x in range(m - 1):
+        others = stars.strangers(x)
+        # a set much smaller or larger than x cannot reach the share
+        others = others[(100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x]))]
+        if not len(others):
+            continue
         mine = ids[first[x] : first[x] + size[x]]
         lens = count[mine]
         take = np.repeat(begin[mine] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-        both = np.bincount(posting[take], minlength=m)[x + 1 :]
-        for y in (np.flatnonzero((100 + percent) * both >= percent * (size[x] + size[x + 1 :])) + x + 1).tolist():
-            if forest.join(x, y):
-                out.append((x, y))
-    return out
+        both = np.bincount(posting[take], minlength=m)[others]
+        alike = others[(100 + percent) * both >= percent * (size[x] + size[others])]
+        if len(alike):
+            stars.join(x, alike)
+    return stars.links()
 
 
-def _exact_forest(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _exact_stars(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at in _grouped(batches, ["part", "i", "j"]):
             kind = rows.column("kind").to_numpy()
@@ -207,9 +226,9 @@ def _exact_forest(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             pairs = []
             for g in range(len(at) - 1):
                 a, b = int(at[g]), int(at[g + 1])
-                sets = [data[offsets[r] : offsets[r + 1]].copy().view(np.uint64) for r in range(a, b)]
-                if len(sets) > 1:
-                    pairs += [(kind[a + x : a + x + 1], kind[a + y : a + y + 1]) for x, y in exact_links(sets, percent)]
+                if b - a > 1:
+                    members, roots = exact_stars([data[offsets[r] : offsets[r + 1]].copy().view(np.uint64) for r in range(a, b)], percent)
+                    pairs.append((kind[a + members], kind[a + roots]))
             yield from _links(pairs)
 
     return run
@@ -243,19 +262,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     then true). Repeated rows share a component and are both kept. An empty
     table gives an empty table; other columns of the input are not read.
     """
-    return _near_groups(docs, text, key, size, percent).drop("group")
+    prints, _, classes = _near_groups(docs, text, key, size, percent)
+    named = classes.groupBy("group").agg(F.min("least").alias("component_id")).select(unpartitioned("group").alias("g"), "component_id")
+    result = classes.join(named, F.col("group") == F.col("g")).select(unpartitioned("kind").alias("k"), "component_id")
+    shingled = prints.filter("n > 0").select("id", "row", "n", "kind").join(result, F.col("kind") == F.col("k")).select("id", "row", "n", "component_id")
+    out = shingled.union(prints.filter("n = 0").select("id", "row", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(key), "row", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _near_groups(docs: DataFrame, text: str, key: str, size: int, percent: int) -> DataFrame:
-    """``near_duplicates`` with a number of the component, group, that does not depend on keys; null for texts without a shingle."""
+def _near_groups(docs: DataFrame, text: str, key: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``near_duplicates`` finds: the prints of all texts, the text of each class, and the group of each class.
+
+    prints: (id, row, n, kind, ...), a row for each of ``docs``; kind, the
+    class, is null for texts without a shingle. texts: (kind, first: struct
+    none, id, row), first being the smallest key, a null one last. classes:
+    (kind, least, group); group does not depend on keys.
+    """
     bands = band_count(percent / 100)
     most = farthest(percent / 100, bands * ROWS)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
     prints = durable(shipped(texts).mapInArrow(_fingerprints(size, bands), "id long, row long, n long, kind long, bands array<long>, sketch binary"))
-    some = prints.filter("n > 0")
-    classes = durable(
-        some.groupBy("kind").agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("text_of"), F.min("n").alias("n"), F.min(F.struct("bands", "sketch")).alias("f"))
-    )
+    named = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    classes = durable(prints.filter("n > 0").groupBy("kind").agg(F.min(named).alias("first"), F.min("n").alias("n"), F.min(F.struct("bands", "sketch")).alias("f")))
 
     dealt = classes.select("kind", "f.sketch", F.posexplode("f.bands").alias("band", "bucket"))
     full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumn("bucket", unpartitioned("bucket"))
@@ -264,29 +292,21 @@ def _near_groups(docs: DataFrame, text: str, key: str, size: int, percent: int)
     own = F.pmod(F.xxhash64("kind", F.lit(3)), F.col("blocks")).cast("int")
     placed = placed.select("bucket", "kind", "sketch", F.explode(_block_pairs(F.col("blocks"), own)).alias("p")).select("bucket", "p.i", "p.j", "kind", "sketch")
     placed = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "kind")
-    candidates = connected_components(shipped(placed).mapInArrow(_sketch_forest(most), "a long, b long"))
+    candidates = connected_components(shipped(placed).mapInArrow(_sketch_stars(most), "a long, b long"))
 
-    parts = candidates.withColumnsRenamed({"node": "kind", "component": "part"}).join(classes.select("kind", "n", "text_of"), "kind")
+    parts = candidates.withColumnsRenamed({"node": "kind", "component": "part"}).join(classes.select("kind", "n", "first"), "kind")
     weights = parts.groupBy("part").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).withColumn("part", unpartitioned("part"))
     parts = parts.join(weights, "part").select(
-        "kind", "part", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.col("text_of.id").alias("tid"), F.col("text_of.row").alias("trow")
+        "kind", "part", F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.col("first.id").alias("tid"), F.col("first.row").alias("trow")
     )
     wanted = texts.join(parts, texts["id"].eqNullSafe(parts["tid"]) & (texts["row"] == parts["trow"])).select("kind", "part", "blocks", "text")
     sets = shipped(wanted).mapInArrow(_shingle_sets(size), "kind long, part long, blocks int, shingles binary")
     own = F.pmod(F.xxhash64("kind", F.lit(5)), F.col("blocks")).cast("int")
     sets = sets.select("part", "kind", "shingles", F.explode(_block_pairs(F.col("blocks"), own)).alias("p")).select("part", "p.i", "p.j", "kind", "shingles")
     sets = sets.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "kind")
-    groups = connected_components(shipped(sets).mapInArrow(_exact_forest(percent), "a long, b long"))
-
-    labelled = classes.select("kind", "least").join(groups.withColumnRenamed("node", "kind"), "kind")
-    named = labelled.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("component", unpartitioned("component"))
-    linked = durable(labelled.join(named, "component").select("kind", "component_id", F.col("component").alias("group")))
-    alone = classes.select("kind", F.col("least").alias("component_id"), F.col("kind").alias("group")).join(linked, "kind", "left_anti")
-    result = linked.union(alone).select(unpartitioned("kind").alias("k"), "component_id", "group")
-    shingled = some.select("id", "row", "n", "kind").join(result, F.col("kind") == F.col("k")).select("id", "row", "n", "component_id", "group")
-    blank = prints.filter("n = 0").select("id", "row", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group"))
-    out = shingled.union(blank)
-    return out.select(F.col("id").alias(key), "row", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "group")
+    groups = connected_components(shipped(sets).mapInArrow(_exact_stars(percent), "a long, b long"))
+    grouped = classes.select("kind", F.col("first.id").alias("least")).join(groups.withColumnRenamed("node", "kind"), "kind", "left")
+    return prints, classes.select("kind", "first"), grouped.select("kind", "least", F.coalesce("component", "kind").alias("group"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,17 +322,18 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     and text one stays. Rows without a word are linked
     with nothing and stay. Columns are those of ``docs``.
     """
-    rows = _near_groups(docs, text, key, size, percent).select(F.col(key).alias("id"), "row", "group")
-    texts = rows.groupBy("id", "row", "group").agg(F.count(F.lit(1)).alias("times"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "times")).alias("c")
-    # a text without a word is a group by itself
-    alone = F.when(F.col("group").isNull(), F.struct("id", "row"))
-    chosen = durable(texts.groupBy("group", alone.alias("alone")).agg(first).select(F.col("c.id").alias("__kid"), F.col("c.row").alias("__krow"), F.col("c.times").alias("__times")))
+    prints, texts, classes = _near_groups(docs, text, key, size, percent)
+    firsts = texts.join(classes.select(unpartitioned("kind").alias("k"), "group"), F.col("kind") == F.col("k")).groupBy("group").agg(F.min("first").alias("first"))
+    blank = prints.filter("n = 0").select("id", "row").distinct()
+    chosen = durable(firsts.select(F.col("first.id").alias("__kid"), F.col("first.row").alias("__krow")).union(blank))
     marked = docs.withColumn("__row", F.xxhash64(F.col(text)))
     joined = marked.join(chosen, marked[key].eqNullSafe(chosen["__kid"]) & (F.col("__row") == F.col("__krow")))
-    if chosen.filter("__times > 1").head(1):
-        number = F.row_number().over(Window.partitionBy("__kid", "__krow").orderBy(F.lit(1)))
-        joined = joined.withColumn("__nth", number).filter("__nth = 1")
+    again = prints.groupBy("id", "row").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    if again.join(chosen, F.col("id").eqNullSafe(F.col("__kid")) & (F.col("row") == F.col("__krow"))).head(1):
+        # of equal rows the one with the smallest hash of the other columns, found in each task first
+        ordered = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        one = joined.groupBy("__kid", "__krow").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*ordered)).alias("__one"))
+        joined = one.select("__one.*")
     return joined.select(*docs.columns)
 
 
