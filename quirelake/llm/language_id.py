@@ -30,8 +30,8 @@ from quirelake.llm.kernels import buffers, slices
 from quirelake.session import table
 from quirelake.shipping import shipped
 
-#: bounds of the labelled sample: texts looked at and characters learnt a language, characters of one text
-SAMPLE_TEXTS, SAMPLE_CHARS, TEXT_CHARS = 600, 32_768, 64
+#: bounds of the labelled sample: languages (the most frequent labels), texts looked at and characters learnt a language, characters of one text
+LANGUAGES, SAMPLE_TEXTS, SAMPLE_CHARS, TEXT_CHARS = 512, 600, 32_768, 64
 #: chosen rows (a language, a key, a number each) up to which they are broadcast to fetch their texts; beyond, a shuffle join does it
 BROADCAST_ROWS = 50_000
 BLOCK = 1024
@@ -46,36 +46,38 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(_PLANE)])
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", languages: int = LANGUAGES, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, excerpt: int = TEXT_CHARS) -> Model:
     """The samples: for each language, excerpts of texts in the order of a hash of their key.
 
     Short excerpts from many texts, at places that the hash chooses, keep a
     passage that many texts share, or one in another language, from weighing
-    much. Ranking reads no text; the few chosen rows are then fetched. Null languages,
-    texts and keys teach nothing, and a text that repeats teaches once.
+    much. Ranking reads no text; the few chosen rows are then fetched. Null
+    languages, texts and keys teach nothing; a key teaches once however many
+    rows have it (the excerpt that sorts first), and so does an excerpt. What
+    reaches the driver is bounded by ``languages``, ``texts`` and ``excerpt``.
     """
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(lang, key)
-    sizes = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language of the model
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key"))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not sizes:
         return ()
     # thin out by a second hash to about eight times the sample before ranking, so that a common language is no hot key
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[lang], min(1.0, 8.0 * SAMPLE_TEXTS / r["n"]))])
-    drawn = F.shiftrightunsigned(F.xxhash64(key, F.lit(2)), 11) / float(1 << 53) < share[F.col(lang)]
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    chosen = labelled.filter(drawn).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_TEXTS)
-    wanted = durable(chosen.select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), "rank"))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 8.0 * texts / max(r["n"], 1)))])
+    drawn = F.shiftrightunsigned(F.xxhash64("key", F.lit(2)), 11) / float(1 << 53) < share[F.col("lang")]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    chosen = labelled.filter(drawn).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= texts)
+    wanted = durable(chosen.select(F.col("lang").alias("__lang"), F.col("key").alias("__key"), "rank"))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    place = F.pmod(F.xxhash64("__key", F.lit(1)), F.greatest(F.length(text) - TEXT_CHARS, F.lit(1))).cast("int") + 1
-    rows = docs.join(wanted, (F.col(key) == F.col("__key")) & (F.col(lang) == F.col("__lang"))).select("__lang", "rank", F.substring(text, place, F.lit(TEXT_CHARS)).alias("text")).collect()
+    place = F.pmod(F.xxhash64("__key", F.lit(1)), F.greatest(F.length(text) - excerpt, F.lit(1))).cast("int") + 1
+    found = docs.join(wanted, (F.col(key) == F.col("__key")) & (F.col(lang) == F.col("__lang"))).groupBy("__lang", "rank").agg(F.min(F.substring(text, place, F.lit(excerpt))).alias("text"))
     seen: dict[str, dict[str, None]] = {}
-    for row in sorted(rows, key=lambda r: (r["__lang"], r["rank"], r["text"])):
+    for row in sorted(found.collect(), key=lambda r: (r["__lang"], r["rank"])):
         seen.setdefault(row["__lang"], {})[row["text"]] = None
     model = []
-    for language, texts in sorted(seen.items()):
-        words = " ".join("".join(c if c.isalpha() else " " for c in "\n".join(texts).lower()).split())
+    for language, excerpts in sorted(seen.items()):
+        words = " ".join("".join(c if c.isalpha() else " " for c in "\n".join(excerpts).lower()).split())
         if words:
-            model.append((language, words[:SAMPLE_CHARS]))
+            model.append((language, words[:chars]))
     return tuple(model)
 
 
@@ -148,9 +150,10 @@ class Parser:
         lengths = np.array([len(t) for t in lowered], np.int64)
         points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = self.code[np.minimum(points, _PLANE - 1)]
-        for at in np.flatnonzero(points >= _PLANE):
-            point = int(points[at])
-            codes[at] = self.far.get(point, int(chr(point).isalpha()))
+        far = np.flatnonzero(points >= _PLANE)
+        if len(far):
+            distinct, which = np.unique(points[far], return_inverse=True)
+            codes[far] = np.array([self.far.get(point, int(chr(point).isalpha())) for point in distinct.tolist()], np.uint16)[which]
         row = np.repeat(np.arange(len(texts)), lengths)
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0) | (row[1:] != row[:-1])
