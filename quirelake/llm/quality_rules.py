@@ -210,13 +210,18 @@ def train(texts: list[tuple[str, int]], steps: int = 150, rate: float = 0.3, dec
     return Crf(tuple(theta[:width].tolist()), float(np.clip(theta[width], 0, 3)), float(theta[width + 1]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality") -> Crf:
-    """A CRF from a bounded sample of labelled texts, chosen by a hash of their key."""
-    order = Window.partitionBy(quality).orderBy(F.xxhash64(key), key)
-    chosen = labels.filter(F.col(quality).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(quality).alias("__quality"), F.row_number().over(order).alias("__rank"))
-    chosen = chosen.filter(F.col("__rank") <= SAMPLE_TEXTS)  # two labels: 2 * SAMPLE_TEXTS rows at most, so the broadcast is bounded
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).select(F.substring(text, 1, TEXT_CHARS).alias("t"), "__quality", "__rank").collect()
-    return train([(r["t"], r["__quality"]) for r in sorted(rows, key=lambda r: (r["__quality"], r["__rank"], r["t"] or "")) if r["t"]])
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", texts: int = SAMPLE_TEXTS, chars: int = TEXT_CHARS) -> Crf:
+    """A CRF from a bounded sample of labelled texts, chosen by a hash of their key.
+
+    A key counts once for each of its labels, however many rows have it: the
+    start of its text that sorts first is learnt from. At most ``texts`` starts
+    of ``chars`` characters for either label reach the driver.
+    """
+    order = Window.partitionBy("__quality").orderBy(F.xxhash64("__key"), "__key")
+    known = labels.filter(F.col(quality).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(quality).cast("int").alias("__quality")).distinct()
+    chosen = known.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= texts)  # two labels: 2 * texts rows at most, so the broadcast is bounded
+    starts = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).groupBy("__quality", "__rank").agg(F.min(F.substring(text, 1, chars)).alias("t"))
+    return train([(r["t"], r["__quality"]) for r in sorted(starts.collect(), key=lambda r: (r["__quality"], r["__rank"])) if r["t"]])
 
 
 def _judging(crf: Crf, text: int, keep: list[int], names: list[str], min_content: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
