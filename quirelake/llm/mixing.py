@@ -28,6 +28,7 @@ from quirelake.shipping import shipped
 WEIGHTS = (5, 2, 1)
 CEILING = 3  # times a source's size
 BLOCK = 4_000
+REPEATS = 1_000  # equal rows spelled out at a time
 _WORD = r"[^\x20\x09-\x0D]+"
 _TINY = 1e-9
 
@@ -193,8 +194,19 @@ def apply_mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     return joined.select(*plain.columns, "copies", "taken")
 
 
+def repeated(kinds: DataFrame, times: str = "multiplicity", piece: int = REPEATS) -> DataFrame:
+    """``kinds`` with every row as often as its column ``times`` says.
+
+    Counts are cut into pieces, which are dealt out before they are spelled
+    out, so that one row with a great count keeps no task busy.
+    """
+    pieces = kinds.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / piece))))
+    sized = pieces.withColumn("__left", F.least(F.lit(piece).cast("long"), F.col(times) - F.col("__piece") * piece).cast("int"))
+    dealt = sized.repartition(*[F.col(c) for c in kinds.columns], F.col("__piece"))
+    return dealt.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__left")))).select(*kinds.columns)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and how many of their words the mix takes."""
     mix = mix_sources(table(spark, sf_dir, "documents"))
-    each = mix.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("multiplicity").cast("int"))))
-    return each.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return repeated(mix).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
