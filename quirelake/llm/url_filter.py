@@ -3,9 +3,8 @@
 A rule fits its host and all subdomains if the URL's path starts with the
 rule's path; the longest fitting rule decides. A URL that no rule fits shares
 the fate of its aliases: canonical links and meta-refresh redirects found in the
-pages are edges between URLs (URLs that differ only in scheme, ``www.``,
-fragment, tracking parameters or a final slash are one node from the start),
-and within a connected component an explicit allow beats any block; a block
+pages are edges between URLs (a URL without its fragment and with its host
+lower-cased is a node; nothing else makes two URLs one), and within a connected component an explicit allow beats any block; a block
 beats the default, which is to allow. Link targets that are no pages take part
 with the rules that fit them.
 """
@@ -23,7 +22,7 @@ from quirelake.session import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)://([^/?#]*)([^?#]*)"
-_TRACKING = r"(?i)^(utm_[a-z]+|gclid|fbclid|ref|source)$"
+_PARTS = r"(?s)^(.*?)://([^/?#]*)([^#]*)"
 
 
 class Rule(NamedTuple):
@@ -52,10 +51,9 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 def node(url: Column) -> Column:
     """The number of a URL's node; null for what is no URL."""
-    host, path = host_and_path(url)
-    query = F.filter(F.split(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.regexp_like(F.substring_index(p, "=", 1), F.lit(_TRACKING)))
-    bare = F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"/$", ""), F.lit("?"), F.array_join(query, "&"))
-    return F.when(host != "", F.xxhash64(bare))
+    host, _ = host_and_path(url)
+    scheme, rest = F.regexp_extract(url, _PARTS, 1), F.regexp_extract(url, _PARTS, 3)
+    return F.when(host != "", F.xxhash64(F.concat(F.translate(scheme, _UPPER, _LOWER), F.lit("://"), host, rest)))
 
 
 def link_targets(url: Column, html: Column) -> Column:
@@ -118,10 +116,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_node(url: str) -> str:
     """The node of a URL as its text; null for what is no URL."""
-    host = f"translate(regexp_extract({url}, '(?s)://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}')"
-    path = f"regexp_extract({url}, '(?s)://([^/?#]*)([^?#]*)', 2)"
-    query = f"list_filter(string_split(regexp_extract({url}, '(?s)^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '{_TRACKING}'))"
-    return f"CASE WHEN {host} <> '' THEN regexp_replace({host}, '^www\\.', '') || regexp_replace({path}, '/$', '') || '?' || coalesce(array_to_string({query}, '&'), '') END"
+    host = f"translate(regexp_extract({url}, '{_SPLIT}', 1), '{_UPPER}', '{_LOWER}')"
+    return f"CASE WHEN {host} <> '' THEN translate(regexp_extract({url}, '{_PARTS}', 1), '{_UPPER}', '{_LOWER}') || '://' || {host} || regexp_extract({url}, '{_PARTS}', 3) END"
 
 
 def _sql_rule(url: str, rules: tuple[Rule, ...] = RULES) -> str:
