@@ -25,13 +25,16 @@ from quirelake.session import table
 from quirelake.shipping import shipped
 
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed: the URL namespace of RFC 4122
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>", re.S | re.I)
+_OPEN = re.compile(r"<!--|<(script|style|noscript|template|head)\b", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "head")} | {"": re.compile("-->")}
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _BREAK = re.compile(r"<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|blockquote|pre|dl|dt|dd|form|main|aside)\b|br\b|hr\b)[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
+PIECE, HEAD, MEMBER = 1 << 20, 1 << 20, 8 << 20  # bytes: read at a time, of a record's header at most, packed into one member
+
 RECORD = "headers map<string,string>, block binary"
 DERIVED = (
     "key long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
@@ -68,37 +71,101 @@ def _fields(head: bytes) -> dict[str, str]:
     return out
 
 
-def decode_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of a file, plain or with a gzip member each. Ends at the first damaged record."""
-    if data[:2] == b"\x1f\x8b":
-        plain = []
-        while data:
-            member = zlib.decompressobj(31)
-            plain.append(member.decompress(data))
-            if not member.eof:
-                break
-            data = member.unused_data.lstrip(b"\0")
-        data = b"".join(plain)
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a file piece by piece: as it is, or of its gzip members; a damaged member ends, and the next one goes on."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[k : k + PIECE] for k in range(0, len(data), PIECE))
+        return
     at = 0
-    while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            return
-        headers = _fields(data[data.index(b"\r\n", at) + 2 : end])
-        size = next((int(v) for k, v in headers.items() if k.lower() == "content-length" and v.isdigit()), -1)
-        if size < 0 or end + 4 + size > len(data):
-            return
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+    while 0 <= at < len(data):
+        member, start = zlib.decompressobj(31), at
+        try:
+            while not member.eof and at < len(data):
+                piece = member.decompress(data[at : at + PIECE])
+                at += PIECE
+                if piece:
+                    yield piece
+            at = min(at, len(data)) - len(member.unused_data)
+            if not member.eof:
+                yield b"\0\0\0\0"
+        except zlib.error:
+            yield b"\0\0\0\0"  # no record begins like this: what the member began is told apart from what follows
+            at = start + 2
+        at = data.find(b"\x1f\x8b\x08", at)
+
+
+def decode_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a file, plain or with gzip members, which are never held all at once.
+
+    What is no record, as after a damaged one, is passed over up to the next
+    line that begins with WARC/, and reported once as a record of the type
+    ``damaged`` with the bytes passed over as its length and an empty block.
+    """
+    pieces, held, lost = _inflated(data), bytearray(), 0
+
+    def have(n: int) -> bool:
+        while len(held) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    def damage() -> tuple[dict[str, str], bytes]:
+        return {"WARC-Type": "damaged", "Content-Length": str(lost)}, b""
+
+    def skip(n: int) -> None:
+        """Passes over n bytes at least, and on to what may be a record."""
+        nonlocal lost
+        while True:
+            found = held.find(b"WARC/", n)
+            if found >= 0:
+                lost += found
+                del held[:found]
+                return
+            cut = max(n, len(held) - 4)
+            lost += min(cut, len(held))
+            del held[:cut]
+            n = 0
+            piece = next(pieces, None)
+            if piece is None:
+                lost += len(held.strip(b"\r\n"))
+                held.clear()
+                return
+            held.extend(piece)
+
+    while have(1):
+        while have(2) and held[:2] == b"\r\n":
+            del held[:2]
+        if not held:
+            break
+        if not have(5) or held[:5] != b"WARC/":
+            skip(0)
+            continue
+        end = held.find(b"\r\n\r\n")
+        while end < 0 and len(held) < HEAD and have(len(held) + 1):
+            end = held.find(b"\r\n\r\n")
+        headers = _fields(bytes(held[held.find(b"\r\n") + 2 : end])) if end >= 0 else {}
+        size = next((int(v) for k, v in headers.items() if k.lower() == "content-length" and v.isascii() and v.isdigit()), -1)
+        # a record ends with two line ends; if none follow, its length or content is damaged
+        if size < 0 or not have(end + 4 + size) or (have(end + 4 + size + 4) and held[end + 4 + size : end + 8 + size] != b"\r\n\r\n"):
+            skip(5)
+            continue
+        if lost:
+            yield damage()
+            lost = 0
+        yield headers, bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size]
+    if lost:
+        yield damage()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block) of all records in the files under ``path``.
+    """(headers, block) of all records in the files under ``path``; see ``decode_records`` for damaged ones.
 
     A file is the unit of reading, as gzip members cannot be found from the
-    middle; crawls write files of about 1 GB at most.
+    middle; crawls write files of about 1 GB at most. It is held as it lies on
+    disk, and unpacked record by record.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,30 +178,63 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return shipped(files).mapInArrow(decode, RECORD)
 
 
+def _member(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """(headers, block) as gzip-compressed WARC members, one value a row, in text-free binary Parquet-independent files.
+    """Writes (headers, block) as ``.warc.gz`` files, a gzip member for each record (for each 8 MB of a larger one).
 
-    Each partition becomes one stream of members; the members are written as
-    rows of a Parquet column ``member``, which concatenated in order give the
-    file. This keeps writing inside Spark's committer, so a lost executor leaves
-    no half-written file.
+    The files come from Spark's own text writer, whose committer leaves no
+    half-written file when an executor is lost: a member of less than 16 MB
+    ends with a zero byte (the high byte of its size), which serves as the line
+    separator. The committed files are then renamed.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = []
             for headers, block in zip(batch.column("headers"), batch.column("block"), strict=True):
-                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                members.append(packer.compress(encode_record(dict(headers.as_py() or []), block.as_py() or b"")) + packer.flush())
-            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
-
-    shipped(records).mapInArrow(encode, "member binary").write.parquet(path)
+                record = encode_record(dict(headers.as_py() or []), block.as_py() or b"")
+                members += [_member(record[k : k + MEMBER])[:-1] for k in range(0, len(record), MEMBER)]
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["value"])
+
+    packed = shipped(records).select("headers", "block").mapInArrow(encode, "value binary").select(F.col("value").cast("string"))
+    packed.write.option("lineSep", "\0").option("compression", "none").text(path)
+    jvm = records.sparkSession.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(records.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            files.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name[:-4] + ".warc.gz"))
+
+
+def without_hidden(markup: str) -> str:
+    """``markup`` with comments, scripts, styles and the like replaced by a space.
+
+    An element that is not closed stays. Each kind's end is looked for in vain
+    at most once, so the time is proportional to the length.
+    """
+    kept, at, start = [], 0, 0
+    endless: set[str] = set()
+    while found := _OPEN.search(markup, at):
+        name = (found[1] or "").lower()
+        close = None if name in endless else _CLOSE[name].search(markup, found.end())
+        if close is None:
+            endless.add(name)
+            at = found.end()
+        else:
+            kept += [markup[start : found.start()], " "]
+            start = at = close.end()
+    return "".join([*kept, markup[start:]])
 
 
 def plain_text(markup: str) -> tuple[str, str]:
     """A page's title and its visible text, a line for each block with text."""
     title = _TITLE.search(markup)
-    body = _BREAK.sub("\n", _HIDDEN.sub(" ", markup))
+    body = _BREAK.sub("\n", without_hidden(markup))
     body = html.unescape(_TAG.sub("", body))
     lines = (_BLANK.sub(" ", line).strip() for line in body.split("\n"))
     return _BLANK.sub(" ", html.unescape(title[1])).strip() if title else "", "\n".join(line for line in lines if line)
