@@ -4,27 +4,30 @@ Tokens are lower-cased words and one end token a text. The vocabulary, with the
 count c of every token in the training part, covers the whole corpus. A token's
 probability is p(class | classes of the two tokens before) times p(token | class).
 
-* Classes: the most frequent tokens have one each; all others share ``TAILS``
-  classes by a hash of their last two bytes, so that any token's class is known
-  where the token stands, without looking it up.
-* p(class | history) is a log-bilinear neural model: a history's two class
-  vectors, each through its own matrix, predict a vector whose products with
-  the class vectors give the scores. It is trained in numpy by
-  noise-contrastive estimation on the class trigrams of all training texts,
-  with the noise (the class unigram) taken in expectation. One batched matrix
-  product over all histories and classes then gives normalised log
-  probabilities, so scoring looks up a table.
+* Classes: the ``HEADS`` most frequent tokens are classes of their own; all
+  others share ``TAILS`` classes by a hash of their last three bytes (word
+  endings), so that any token's class is known where the token stands.
+* p(class | history) is a log-bilinear neural model: each position of the
+  history has its own class vectors, whose products with the output vectors
+  give the scores. It is trained in numpy by noise-contrastive estimation on
+  the class pairs at distance one and two of all training texts, with the noise
+  (the class unigram) taken in expectation. The scores of both positions add
+  up, those of the farther one weighted by ``FAR`` as their evidence overlaps.
+* As the scores add up, the normaliser of every history is one entry of the
+  product of two matrices (exponentiated far and near scores): one batched
+  product gives all of them, and scoring looks up three tables.
 * p(token | class) = (c + 0.5) / (sum over the class's tokens of (c + 0.5), and
   0.5 for an unknown one).
 
 Counts of all tokens are never gathered. The at most ``HOT`` most frequent ones
 travel to the tasks; the others are looked up by a join, in which none of them
-can be a hot key.
+can be a hot key. At most 2 * CLASSES^2 pair counts reach the driver.
 """
 
 from __future__ import annotations
 
-import functools
+import math
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -41,9 +44,12 @@ from quirelake.session import table
 from quirelake.shipping import shipped
 
 HOT = 100_000  # tokens sent to every task: a bound
-CLASSES, HEADS = 64, 38  # class 0 pads the history, 1 is the end; then the most frequent tokens; then the tails
+CLASSES, HEADS = 1024, 400  # class 0 pads the history, 1 is the end; then the most frequent tokens; then the tails
 TAILS = CLASSES - 2 - HEADS
+FAR = 0.6
 FLUSH = 400_000  # distinct tokens a task holds before it hands counts on
+PAIRS = 1_000_000  # tokens whose pairs are counted at a time
+BINS = 64  # of counts, for each doubling
 END = b""  # no word is empty
 
 
@@ -56,10 +62,7 @@ class Vocabulary(NamedTuple):
 
 def _tail(word: bytes) -> int:
     """The class of a token that has none of its own."""
-    if not word:
-        return 1
-    end = word[-2:]
-    return 2 + HEADS + (end[0] * 31 + end[-1] * 7 + (len(word) > 8) * 3) % TAILS
+    return 2 + HEADS + zlib.crc32(word[-3:]) % TAILS if word else 1
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +92,18 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, hot: int = HOT) -> Vocabulary:
+    """The totals, and the most frequent tokens: as many whole bins of like counts as have ``hot`` tokens at most."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
-    top = counts.select("token", "c").orderBy(F.desc("c"), "token").limit(hot).collect()
-    words = {bytes(r["token"]): r["c"] for r in top}
+    level = F.floor(F.log2(F.col("c").cast("double")) * BINS)
+    bins = sorted(counts.groupBy(level.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["bin"])  # at most 64 * BINS rows
+    least, held = None, 0
+    for row in bins:
+        held += row["n"]
+        if held > hot:
+            break
+        least = row["bin"]
+    top = counts.filter(level >= least).select("token", "c").collect() if least is not None else []
+    words = {bytes(r["token"]): r["c"] for r in sorted(top, key=lambda r: (-r["c"], bytes(r["token"])))}
     end = counts.filter(F.length("token") == 0).head()  # always hot, as its class is its own
     words[END] = end["c"] if end else 0
     heads = [w for w in words if w != END][:HEADS]
@@ -134,8 +146,8 @@ def _tokens(batch: pa.RecordBatch, look: _Lookup) -> Iterator[tuple[int, int, li
         yield i, j, words, ids, cls, np.array(bounds)
 
 
-def _history(cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The number of each token's history: class two before * CLASSES + class before."""
+def _history(cls: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the tokens one and two before each token of its text; 0 where there is none."""
     one, two = np.zeros_like(cls), np.zeros_like(cls)
     one[1:], two[2:] = cls[:-1], cls[:-2]
     first = bounds[:-1]
@@ -143,66 +155,90 @@ def _history(cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     two[first] = 0
     second = first + 1
     two[second[second < bounds[1:]]] = 0
-    return two * CLASSES + one
+    return one, two
 
 
-def _trigrams(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pairs(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of (class before, class) and, from CLASSES^2 on, of (class two before, class)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _lookup(shared)
-        total = np.zeros(CLASSES**3, np.int64)
+        total = np.zeros(2 * CLASSES**2, np.int64)
+        held: list[np.ndarray] = []
+
+        def count() -> None:
+            if held:
+                cells = np.concatenate(held)
+                total[:] += np.bincount(cells, minlength=len(total))
+                held.clear()
+
         for batch in batches:
             for _, _, _, _, cls, bounds in _tokens(batch, look):
-                total += np.bincount(_history(cls, bounds) * CLASSES + cls, minlength=CLASSES**3)
+                one, two = _history(cls, bounds)
+                held += [one * CLASSES + cls, CLASSES**2 + two * CLASSES + cls]
+                if sum(map(len, held)) > 2 * PAIRS:
+                    count()
+        count()
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
 
     return run
 
 
-def train(trigrams: np.ndarray, size: int = 24, noise: int = 16, steps: int = 200, rate: float = 0.05, seed: int = 11) -> np.ndarray:
-    """Normalised log10 p(class | history), (CLASSES^2, CLASSES), from trigram counts.
+class Position(NamedTuple):
+    """What one position of the history contributes: the score of a class is input[history] . output[class], plus bias[class]."""
+
+    input: np.ndarray
+    output: np.ndarray
+    bias: np.ndarray
+
+
+def train(pairs: np.ndarray, size: int = 48, noise: int = 16, prior: float = 60, steps: int = 120, rate: float = 0.06, seed: int = 11) -> Position:
+    """The vectors of one position from the (history, class) counts.
 
     Noise-contrastive estimation with ``noise`` samples a token: the score less
     the log of the noise's share decides by a logistic loss between data and
-    noise. Adam over all histories at once; the result depends on nothing but
-    the counts and the parameters.
+    noise. Every history gets ``prior`` tokens of the class unigram besides its
+    own, so that rare ones stay near it. Adam over all histories at once; the
+    result depends on nothing but the counts and the parameters.
     """
-    counts = trigrams.reshape(CLASSES**2, CLASSES).astype(np.float64)
-    classes = counts.sum(axis=0)
-    unigram = (classes + 0.5) / (classes + 0.5).sum()
-    total = max(counts.sum(), 1.0)
-    data, share = counts / total, counts.sum(axis=1, keepdims=True) / total
-    rng = np.random.default_rng(seed)
-    p = {"input": rng.normal(0, 0.3, (CLASSES, size)), "far": np.eye(size) * 0.3, "near": np.eye(size) * 0.7, "output": rng.normal(0, 0.3, (CLASSES, size)), "bias": np.log(unigram)}
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    two, one = np.divmod(np.arange(CLASSES**2), CLASSES)
+    counts = pairs.reshape(CLASSES, CLASSES).astype(np.float32)
+    classes = counts.sum(axis=0, dtype=np.float64)
+    unigram = ((classes + 0.5) / (classes + 0.5).sum()).astype(np.float32)
+    counts += np.float32(prior) * unigram
+    data = counts / np.float32(counts.sum(dtype=np.float64))
+    fake = data.sum(axis=1, keepdims=True) * (noise * unigram)
     offset = np.log(noise * unigram)
-
-    def scores() -> tuple[np.ndarray, np.ndarray]:
-        predicted = ((p["input"] @ p["far"])[:, None, :] + (p["input"] @ p["near"])[None, :, :]).reshape(CLASSES**2, size)
-        return predicted, predicted @ p["output"].T + p["bias"]
-
+    rng = np.random.default_rng(seed)
+    p = [rng.normal(0, 0.3, (CLASSES, size)).astype(np.float32), rng.normal(0, 0.3, (CLASSES, size)).astype(np.float32), np.log(unigram)]
+    moments = [(np.zeros_like(v), np.zeros_like(v)) for v in p]
     for step in range(1, steps + 1):
-        predicted, score = scores()
-        model = 1 / (1 + np.exp(-np.clip(score - offset, -40, 40)))  # that a token comes from the data
-        grad = share * noise * unigram * model - data * (1 - model)
-        back = grad @ p["output"]
-        far, near = back.reshape(CLASSES, CLASSES, size).sum(axis=1), back.reshape(CLASSES, CLASSES, size).sum(axis=0)
-        grads = {
-            "output": grad.T @ predicted,
-            "bias": grad.sum(axis=0),
-            "far": p["input"].T @ far,
-            "near": p["input"].T @ near,
-            "input": far @ p["far"].T + near @ p["near"].T,
-        }
-        for k, g in grads.items():
-            m, v = moment[k]
+        score = p[0] @ p[1].T
+        score += p[2] - offset
+        model = 1 / (1 + np.exp(-np.clip(score, -30, 30)))  # that a token comes from the data
+        grad = (fake + data) * model - data
+        for k, g in enumerate((grad @ p[1], grad.T @ p[0], grad.sum(axis=0))):
+            m, v = moments[k]
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p[k] -= rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
-    _, score = scores()
-    score -= score.max(axis=1, keepdims=True)
-    return (score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / np.log(10)
+            p[k] -= np.float32(rate * (1 - step / (steps + 1)) / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-10))
+    return Position(*p)
+
+
+class Tables(NamedTuple):
+    """Natural-log scores: near[one before, class], far[two before, class], and norm[two before, one before] of a history."""
+
+    near: np.ndarray
+    far: np.ndarray
+    norm: np.ndarray
+
+
+def tables(near: Position, far: Position) -> Tables:
+    a = near.input @ near.output.T + near.bias
+    b = np.float32(FAR) * (far.input @ far.output.T)
+    a -= a.max(axis=1, keepdims=True)
+    b -= b.max(axis=1, keepdims=True)
+    return Tables(a, b, np.log(np.exp(b) @ np.exp(a).T + np.float32(1e-30)))
 
 
 def _lookup(shared: object) -> _Lookup:
@@ -211,18 +247,24 @@ def _lookup(shared: object) -> _Lookup:
     return _made[0][1]
 
 
-def _scoring(shared: object, logp: object, mass: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_tables: list[tuple[object, Tables]] = []
+
+
+def _scoring(shared: object, model: object, mass: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per text: n_tokens, known and log10 sums over hot tokens, the class part, and the other tokens' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _lookup(shared)
-        own, given = np.log10(look.count + 0.5), logp.value.ravel()
+        if not _tables or _tables[0][0] is not model.value:
+            _tables[:] = [(model.value, tables(*model.value))]
+        own, given = np.log10(look.count + 0.5), _tables[0][1]
         for batch in batches:
             for i, j, words, ids, cls, bounds in _tokens(batch, look):
                 first = bounds[:-1]
                 hot, met = ids >= 0, look.count[ids] > 0
                 token = np.where(hot, own[ids], 0.0)
-                rest = given[_history(cls, bounds) * CLASSES + cls] - mass[cls]
+                one, two = _history(cls, bounds)
+                rest = (given.near[one, cls].astype(np.float64) + given.far[two, cls] - given.norm[two, one]) / math.log(10) - mass[cls]
                 cold = np.flatnonzero(~hot)
                 names = pa.array([words[k] for k in cold.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -244,12 +286,9 @@ def class_masses(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """log10 of the sum of c + 0.5 over each class's tokens, an unknown one included."""
     total = np.full(CLASSES, 0.5)
     heads = list(vocabulary.heads)
-    tail_of = F.lit(2 + HEADS) + F.pmod(
-        F.conv(F.hex(F.substring("token", -2, 1)), 16, 10).cast("int") * 31 + F.conv(F.hex(F.substring("token", -1, 1)), 16, 10).cast("int") * 7 + F.when(F.length("token") > 8, 3).otherwise(0), F.lit(TAILS)
-    )
+    tail_of = F.when(F.length("token") == 0, 1).otherwise(F.pmod(F.crc32(F.substring("token", -3, 3)), F.lit(TAILS)).cast("int") + 2 + HEADS)
     rest = counts.filter(~F.col("token").isin([bytearray(w) for w in heads]) if heads else F.lit(True))
-    single = F.when(F.length("token") == 1, F.concat("token", "token")).otherwise(F.col("token"))
-    for row in rest.withColumn("token", single).groupBy(tail_of.alias("cls")).agg(F.sum(F.col("c") + 0.5).alias("mass")).collect():
+    for row in rest.groupBy(tail_of.alias("cls")).agg(F.sum(F.col("c") + 0.5).alias("mass")).collect():
         total[row["cls"]] += row["mass"]
     for word, cls in vocabulary.heads.items():
         total[cls] += vocabulary.hot.get(word, 0) + 0.5
@@ -269,16 +308,17 @@ def score_texts(docs: DataFrame, learning: DataFrame, text: str = "text", key: s
     counts = durable(count_tokens(learning, text))
     known = vocabulary(counts, hot)
     shared = spark.sparkContext.broadcast(known)
-    cells = np.zeros(CLASSES**3, np.int64)
-    grams = shipped(learning).select(F.col(text).alias("text")).mapInArrow(_trigrams(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = grams.toPandas()  # at most CLASSES^3 rows
-    cells[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    logp = spark.sparkContext.broadcast(train(cells))
+    cells = np.zeros(2 * CLASSES**2, np.int64)
+    pairs = shipped(learning).select(F.col(text).alias("text")).mapInArrow(_pairs(shared), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = pairs.toArrow()  # at most 2 * CLASSES^2 rows
+    cells[found["cell"].to_numpy()] = found["n"].to_numpy()
+    near, far = np.split(cells, 2)
+    model = spark.sparkContext.broadcast((train(near), train(far)))
     mass = class_masses(counts, known)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("id"), F.col(held).alias("held_out"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    scored = durable(shipped(rows).mapInArrow(_scoring(shared, logp, mass), f"rid long, id {kind}, held_out boolean, n_tokens long, hot long, hot_log double, rest_log double, cold array<binary>").select("*", F.transform("cold", lambda w: F.xxhash64(w)).alias("hashes")).drop("cold"))
+    scored = durable(shipped(rows).mapInArrow(_scoring(shared, model, mass), f"rid long, id {kind}, held_out boolean, n_tokens long, hot long, hot_log double, rest_log double, cold array<binary>").select("*", F.transform("cold", lambda w: F.xxhash64(w)).alias("hashes")).drop("cold"))
     cold = scored.select("rid", F.explode("hashes").alias("hash"))
     looked = cold.join(counts.select("hash", "c"), "hash", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
