@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,34 @@ def test_keep_one_whatever_the_keys(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got if not r.text.strip()) == [(0, ""), (0, " "), (7, "")]
 
 
+def test_keep_one_of_a_repeated_row_takes_any_column(spark):
+    rows = [(k // 3, prose("en", k // 3, 40), {"a": k}, [k]) for k in range(9)] + [(None, "x", None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>, more array<int>")
+    kept = near_dedup.keep_one(docs).collect()
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept) == [-1, 0, 1, 2] and all(tuple(r) in [tuple(x) for x in rows] for r in kept)
+
+
+def test_exact_stars_equal_brute_force():
+    """Groups dense and sparse, and members that only others connect."""
+    rng = np.random.default_rng(8)
+    for spread in (2, 6, 20, 60):
+        pool = rng.permutation(400).astype(np.uint64)
+        sets = [np.unique(np.concatenate([pool[a : a + 100], pool[300:]])) for a in np.cumsum(rng.integers(0, spread, 12)) % 150] + [pool[:5], pool[:200]]
+        sets = [np.sort(s) for s in sets]
+        root = list(range(len(sets)))
+        for x in range(len(sets)):
+            for y in range(x):
+                both = len(np.intersect1d(sets[x], sets[y]))
+                if 100 * both >= 85 * (len(sets[x]) + len(sets[y]) - both):
+                    a, b = sorted((root[x], root[y]))
+                    root = [a if r == b else r for r in root]
+        members, roots = near_dedup.exact_stars(sets, 85)
+        got = list(range(len(sets)))
+        for m, r in zip(members.tolist(), roots.tolist(), strict=True):
+            got[m] = r
+        assert got == root
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     samples = 120
@@ -224,21 +253,38 @@ def test_a_filter_on_the_result_does_not_repeat_the_work(spark):
 
 
 def test_containment_equals_brute_force(spark):
-    items = [prose("en", k, 12 + 5 * k) for k in range(8)] + ["too short", None, ""]
-    texts = [prose("de", 1) + " " + items[3] + " " + prose("de", 2), items[5].upper(), " ".join(items[6].split()[:30]) + " gap " + " ".join(items[6].split()[31:]), " ".join(items[7].split()[:20]), prose("fr", 3), None, ""]
+    items = [prose("en", k, 12 + 5 * k) for k in range(8)] + ["Answer, to", "quick", "the capital of France", None, "", "..."]
+    texts = [prose("de", 1) + " " + items[3] + " " + prose("de", 2), items[5].upper(), " ".join(items[6].split()[:30]) + " gap " + " ".join(items[6].split()[31:]), " ".join(items[7].split()[:20]), prose("fr", 3), "Is it THE capital of france?", "the capital of-Norway, quick answer to", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
 
-    def grams(text):
-        import re
+    def words(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
 
-        words = re.findall(r"[^\W_]+", (text or "").lower())
-        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    def grams(text, n):
+        ws = words(text)
+        return {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
 
-    want = {(d, i) for d, t in enumerate(texts) for i, q in enumerate(items) if (g := grams(q)) and 100 * len(g & grams(t)) >= 80 * len(g)}
+    want = set()
+    for i, q in enumerate(items):
+        if n := min(5, len(words(q))):
+            want |= {(d, i) for d, t in enumerate(texts) if 100 * len(grams(q, n) & grams(t, n)) >= 80 * len(grams(q, n))}
     got = {(r.doc_id, r.item) for r in contained_items(docs, bench).collect()}
-    assert got == want and {(0, 3), (1, 5), (2, 6)} <= got
-    assert {r.doc_id for r in decontaminate(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+    assert got == want and {(0, 3), (1, 5), (2, 6), (5, 10), (6, 8)} <= got and (6, 10) not in got
+    # items under twelve letters are reported but drop nothing
+    assert {r.doc_id for r in decontaminate(docs, bench).collect()} == set(range(len(texts))) - {d for d, i in want if i not in (8, 9)}
+    assert {r.doc_id for r in decontaminate(docs, bench, short_chars=0).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_a_document_of_many_items(spark, monkeypatch):
+    """Its candidates are dealt out over rows; a shingle that all items share makes no difference."""
+    from quirelake.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "ITEMS_A_ROW", 7)
+    items = [f"one common opening of all items and then {prose('en', k, 9)}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(items)), (1, " ".join(items)), (2, items[3]), (3, "one common opening of all items and then no more")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item) for r in contained_items(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect())
+    assert got == [(1, k) for k in range(60)] + [(2, 3)]
 
 
 def test_decontamination_takes_awkward_rows(spark):
@@ -255,5 +301,5 @@ def test_a_large_index_is_joined(spark, data, monkeypatch):
     from quirelake.llm import decontaminate as module
 
     small = {tuple(r) for r in op2_decontamination(spark, data).collect()}
-    monkeypatch.setattr(module, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
     assert {tuple(r) for r in op2_decontamination(spark, data).collect()} == small

@@ -103,6 +103,25 @@ def test_held_out_accuracy_on_driver_tables(spark, data):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
 
 
+def test_repeated_rows_teach_once(spark):
+    """What reaches the driver is bounded by the sample, not by the number of rows."""
+    rows = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"), F.lit("en").alias("lang"))
+    other = spark.createDataFrame([(k, prose("de", k), "de") for k in range(20)], rows.schema)
+    docs = rows.union(other)
+    model = dict(language_id.learn(docs))
+    assert model["en"] == "the same text again" and len(model["de"]) > 500
+    assert [lang for lang, _ in language_id.learn(docs, languages=1)] == ["de"]  # the label of the most keys
+    labels = spark.range(1_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(1).alias("quality")).union(spark.createDataFrame([(k, 0) for k in range(5)], "doc_id long, quality int"))
+    assert quality_rules.learn(docs, labels) == quality_rules.learn(docs.distinct(), labels.distinct())
+
+
+def test_far_letters_are_told_by_the_sample(spark):
+    parser = language_id.Parser((("ja", "漢字かな交じり文"), ("ko", "한국어 문장")))
+    codes, lengths, letters = parser.encode(["漢字 한국", "龘、😀", "한"])
+    assert lengths.tolist() == [5, 2, 1] and letters.tolist() == [4, 1, 1] and codes[5] == 1
+    assert parser.judge(["漢字かな", "한국어 문장"])[0] == ["ja", "ko"]
+
+
 def base_scores(texts, learning):
     count = collections.Counter()
     for t in learning:
@@ -140,10 +159,11 @@ def test_lm_beats_its_base_and_empty_tables(spark, data):
 
 def test_lm_probabilities_are_normalised(spark):
     rng = np.random.default_rng(2)
-    cells = rng.poisson(0.02, lm_score.CLASSES**3)
-    logp = lm_score.train(cells, steps=20)
-    assert np.allclose((10**logp).sum(axis=1), 1)
-    docs = spark.createDataFrame([(k, prose("en", k)) for k in range(40)], "doc_id long, text string")
+    k = lm_score.CLASSES
+    model = lm_score.tables(*[lm_score.train(rng.poisson(0.02, k * k), steps=5) for _ in range(2)])
+    for two, one in ((0, 0), (3, 700), (k - 1, 5)):
+        assert np.isclose(np.exp(model.near[one].astype(float) + model.far[two] - model.norm[two, one]).sum(), 1, atol=1e-4)
+    docs = spark.createDataFrame([(k, prose("en", k)) for k in range(40)] + [(41, "x é ab")], "doc_id long, text string")
     counts = lm_score.count_tokens(docs)
     known = lm_score.vocabulary(counts, 10)
     mass = 10 ** lm_score.class_masses(counts, known)
@@ -155,11 +175,49 @@ def test_lm_probabilities_are_normalised(spark):
 
 
 def test_lm_training_prefers_what_it_saw():
-    cells = np.zeros(lm_score.CLASSES**3)
-    cells.reshape((lm_score.CLASSES,) * 3)[3, 4, 5] = 500
-    cells.reshape((lm_score.CLASSES,) * 3)[4, 3, 6] = 500
-    logp = lm_score.train(cells)
-    assert logp[3 * lm_score.CLASSES + 4].argmax() == 5 and logp[4 * lm_score.CLASSES + 3].argmax() == 6
+    k = lm_score.CLASSES
+    near, far = np.zeros((k, k)), np.zeros((k, k))
+    near[4, 5] = near[3, 6] = far[3, 5] = far[4, 6] = 500
+    model = lm_score.tables(lm_score.train(near), lm_score.train(far))
+    for two, one, best in ((3, 4, 5), (4, 3, 6)):
+        assert (model.near[one] + model.far[two]).argmax() == best
+
+
+def test_lm_score_is_the_sum_of_its_tokens(spark):
+    """Every token by hand: classes, pair counts, normalisation over all classes, share within the class."""
+    texts = [prose(lang, k, 40) for k in range(12) for lang in ("en", "de")] + ["", None, "One", "  é x\ny "]
+    docs = spark.createDataFrame([(k, t, k % 5 == 0) for k, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    got = {r.doc_id: r for r in lm_score.score_texts(docs, docs.filter("not held_out")).collect()}
+    tokens = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    count = collections.Counter(w for k, ws in enumerate(tokens) if k % 5 for w in ws)
+    heads = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])) if w][: lm_score.HEADS]
+    number = {b"": 1} | {w: k + 2 for k, w in enumerate(heads)}
+    cls = lambda w: number[w] if w in number else 2 + lm_score.HEADS + zlib.crc32(w[-3:]) % lm_score.TAILS
+    k = lm_score.CLASSES
+    near, far, mass = np.zeros((k, k), np.int64), np.zeros((k, k), np.int64), np.full(k, 0.5)
+    for w, c in count.items():
+        mass[cls(w)] += c + 0.5
+    for n, ws in enumerate(tokens):
+        if n % 5:
+            at = [0, 0, *map(cls, ws)]
+            for a, b, c in zip(at, at[1:], at[2:]):
+                near[b, c] += 1
+                far[a, c] += 1
+    (ni, no, nb), (fi, fo, _) = lm_score.train(near), lm_score.train(far)
+    for n, ws in enumerate(tokens):
+        total, at = 0.0, [0, 0, *map(cls, ws)]
+        for a, b, c, w in zip(at, at[1:], at[2:], ws):
+            scores = (no @ ni[b] + nb + lm_score.FAR * (fo @ fi[a])).astype(float)
+            total += (scores[c] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()) / math.log(10) + math.log10((count[w] + 0.5) / mass[c])
+        assert got[n].score == pytest.approx(total, abs=1e-3 * len(ws))
+
+
+def test_hot_tokens_are_whole_bins_of_counts(spark):
+    docs = spark.createDataFrame([(1, " ".join(["a"] * 9 + ["b"] * 5 + ["c"] * 5 + ["d"] * 2 + [f"w{k}" for k in range(50)]))], "doc_id long, text string")
+    counts = lm_score.count_tokens(docs)
+    hot = lambda n: set(lm_score.vocabulary(counts, n).hot)
+    assert hot(0) == {b""} and hot(1) == hot(2) == {b"", b"a"} and hot(3) == {b"", b"a", b"b", b"c"} and hot(10) == {b"", b"a", b"b", b"c", b"d"} and len(hot(100)) == 55
+
 
 
 def counters_by_hand(text):
