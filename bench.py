@@ -34,7 +34,7 @@ HEADLINE = [
     "corpus_fingerprint",
     "library_upsert",
 ]
-REPEATS = 1
+REPEATS = 3
 
 
 def main() -> None:

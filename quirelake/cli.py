@@ -57,11 +57,11 @@ def _chat(spark, library: Library, question: str, k: int) -> int:
 
 def _evaluate(spark, folder: str) -> int:
     _, passages, problems = corpora.read_corpora(spark, f"{folder}/corpora")
-    queries, judgments, thresholds = corpora.read_retrieval_benchmarks(spark, f"{folder}/benchmarks")
+    queries, judgments, thresholds, unusable = corpora.read_retrieval_benchmarks(spark, f"{folder}/benchmarks")
     found = retrieve(passages, queries, 5)
     measured = evaluate.metrics(evaluate.query_metrics(found, judgments))
     failures = evaluate.threshold_failures(measured, thresholds)
-    print(report.json_report(metrics=measured.collect(), failures=failures.collect(), problems=problems.collect(), digest=evaluate.result_digest(found).head()))
+    print(report.json_report(metrics=measured.collect(), failures=failures.collect(), problems=problems.union(unusable).collect(), digest=evaluate.result_digest(found).head()))
     return 1 if failures.head(1) else 0
 
 

@@ -43,8 +43,19 @@ def strict_tokens(text: Column) -> Column:
     return _folded_tokens(text)
 
 
+@F.pandas_udf(T.StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda value: unicodedata.normalize("NFKC", value or "").casefold())
+
+
+def folded(text: Column) -> Column:
+    """NFKC and full case folding; null is empty."""
+    ship_package(SparkSession.active())
+    return _folded(text)
+
+
 def ascii_words(text: Column) -> Column:
-    """Lower-cased ASCII words; any other character separates."""
+    """Lower-cased ASCII words; any other character separates. ``ascii_words(folded(text))`` also folds compatibility forms."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
@@ -125,6 +136,24 @@ def ratio(part: Column, whole: Column) -> Column:
 #: fixed values: identifiers
 PAPER_ID = r"\A[a-z0-9]+(?:[._-][a-z0-9]+)*\z"
 PASSAGE_ID = r"\A[a-z0-9]+(?:[.:_-][a-z0-9]+)*\z"
+NAME_ID = r"\A[a-z0-9]+(?:[._-][a-z0-9]+)*\z"
+
+
+def is_id(value: Column, pattern: str) -> Column:
+    """Whether a string has the form of an identifier; null has not."""
+    return F.coalesce(F.regexp_like(value, F.lit(pattern)), F.lit(False))
+
+
+#: fixed values: how a runtime marks a line as an error, and how much of it is shown
+ERROR_LINE = r"\bE\s+\w+:\s*"
+ERROR_CHARS = 200
+
+
+def error_line(output: Column) -> Column:
+    """The message of the last line marked as an error; empty if there is none. Unmarked lines, which may quote documents, are never shown."""
+    lines_ = F.transform(F.split(F.coalesce(output, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda line: F.trim(line))
+    marked = F.filter(F.transform(lines_, lambda line: F.trim(F.regexp_extract(line, r"^.*?" + ERROR_LINE + "(.*)$", 1))), lambda m: m != "")
+    return F.left(F.coalesce(F.try_element_at(marked, F.lit(-1)), F.lit("")), F.lit(ERROR_CHARS))
 
 
 def url_problem(url: Column) -> Column:

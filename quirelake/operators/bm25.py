@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quirelake.functions.text import tokens
 from quirelake.shipping import shipped
@@ -49,8 +50,11 @@ def term_weight(tf: Column, length_ratio: Column, k1: float, b: float) -> Column
     return tf / (tf + k1 * norm) * (k1 + 1)
 
 
-def tokenised(passages: DataFrame, key: str, text: str) -> DataFrame:
-    return passages.select(F.col(key).alias("passage_id"), tokens(F.col(text)).alias("tokens"))
+Tokenizer = Callable[[Column], Column]
+
+
+def tokenised(passages: DataFrame, key: str, text: str, tokenizer: Tokenizer = tokens) -> DataFrame:
+    return passages.select(F.col(key).alias("passage_id"), tokenizer(F.col(text)).alias("tokens"))
 
 
 def term_frequencies(passages: DataFrame, key: str = "passage_id", text: str = "text") -> DataFrame:
@@ -63,28 +67,28 @@ def document_frequencies(passages: DataFrame, key: str = "passage_id", text: str
     return tokenised(passages, key, text).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def corpus_statistics(passages: DataFrame, key: str = "passage_id", text: str = "text") -> DataFrame:
+def corpus_statistics(passages: DataFrame, key: str = "passage_id", text: str = "text", tokenizer: Tokenizer = tokens) -> DataFrame:
     """One row (n, total_tokens, avgdl)."""
-    sized = tokenised(passages, key, text).select(F.size("tokens").alias("dl"))
+    sized = tokenised(passages, key, text, tokenizer).select(F.size("tokens").alias("dl"))
     return sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens")).withColumn("avgdl", F.coalesce(F.try_divide(F.col("total_tokens").cast("double"), F.col("n").cast("double")), F.lit(0.0)))
 
 
-def scores(passages: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75, key: str = "passage_id", text: str = "text", question_key: str = "query_id", question: str = "query") -> DataFrame:
+def scores(passages: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75, key: str = "passage_id", text: str = "text", question_key: str = "query_id", question: str = "query", tokenizer: Tokenizer = tokens) -> DataFrame:
     """(query_id, passage_id, score, sequence) of every passage that shares a term with a question.
 
     Terms that no question has are dropped before anything is counted. The
     sequence is a digest of the passage's tokens.
     """
     check_parameters(k1, b, 1)
-    wanted = questions.select(F.col(question_key).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(question)))).alias("term"))
+    wanted = questions.select(F.col(question_key).alias("query_id"), F.explode(F.array_distinct(tokenizer(F.col(question)))).alias("term"))
     vocabulary = wanted.select("term").distinct()
-    base = tokenised(passages, key, text)
+    base = tokenised(passages, key, text, tokenizer)
     # in a select of its own: beside the explode, the digest would be taken again for every token
     described = base.select("passage_id", "tokens", F.size("tokens").alias("dl"), F.md5(F.array_join("tokens", " ")).alias("sequence"))
     occurring = described.select("passage_id", "dl", "sequence", F.explode("tokens").alias("term"))
     tf = occurring.join(vocabulary, "term", "left_semi").groupBy("passage_id", "dl", "sequence", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = base.select(F.explode(F.array_distinct("tokens")).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    statistics = corpus_statistics(passages, key, text)
+    statistics = corpus_statistics(passages, key, text, tokenizer)
     idf = df.crossJoin(F.broadcast(statistics)).filter("avgdl > 0").select("term", "avgdl", inverse_document_frequency(F.col("n"), F.col("df")).alias("idf"))
     part = F.col("idf") * term_weight(F.col("tf").cast("double"), F.col("dl") / F.col("avgdl"), k1, b)
     weights = tf.join(idf, "term").select("passage_id", "sequence", "term", F.round(part * FIXED_POINT).cast("long").alias("part"))
@@ -100,23 +104,24 @@ class _Questions(NamedTuple):
     idf: list[float]
     terms: list[list[int]]  # of each question: numbers in the vocabulary
     avgdl: float
+    kind: pa.DataType  # of the ids
 
 
-def _known_questions(passages: DataFrame, questions: DataFrame, key: str, text: str, question_key: str, question: str) -> _Questions | None:
+def _known_questions(passages: DataFrame, questions: DataFrame, key: str, text: str, question_key: str, question: str, tokenizer: Tokenizer) -> _Questions | None:
     """The batch with its document frequencies, or None if it is too large to travel."""
-    wanted = questions.select(F.col(question_key).alias("query_id"), F.array_distinct(tokens(F.col(question))).alias("terms")).filter(F.size("terms") > 0)
+    wanted = questions.select(F.col(question_key).alias("query_id"), F.array_distinct(tokenizer(F.col(question))).alias("terms")).filter(F.size("terms") > 0)
     size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).head()
     if size["n"] * max(size["terms"], 1) > DENSE_CELLS:
         return None
     terms = wanted.select(F.explode("terms").alias("term")).distinct()
     # the number of terms is bounded by the check above
-    occurring = tokenised(passages, key, text).select(F.size("tokens").alias("dl"), F.array_distinct("tokens").alias("tokens"))
+    occurring = tokenised(passages, key, text, tokenizer).select(F.size("tokens").alias("dl"), F.array_distinct("tokens").alias("tokens"))
     counted = occurring.select(F.explode("tokens").alias("term")).join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    statistics = corpus_statistics(passages, key, text)
+    statistics = corpus_statistics(passages, key, text, tokenizer)
     idf = counted.crossJoin(F.broadcast(statistics)).select("term", "avgdl", inverse_document_frequency(F.col("n"), F.col("df")).alias("idf")).orderBy("term").collect()
     number = {r["term"]: k for k, r in enumerate(idf)}
     asked = wanted.collect()
-    return _Questions([r["query_id"] for r in asked], list(number), [r["idf"] for r in idf], [[number[t] for t in r["terms"] if t in number] for r in asked], idf[0]["avgdl"] if idf else 0.0)
+    return _Questions([r["query_id"] for r in asked], list(number), [r["idf"] for r in idf], [[number[t] for t in r["terms"] if t in number] for r in asked], idf[0]["avgdl"] if idf else 0.0, to_arrow_type(wanted.schema["query_id"].dataType))
 
 
 def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, sequence: np.ndarray, k: int, deduplicate: bool) -> np.ndarray:
@@ -175,13 +180,13 @@ def _scoring(asked: _Questions, k: int, k1: float, b: float, deduplicate: bool)
         if held:
             prune()
             query, score, ids, sequence = held[0]
-            yield pa.RecordBatch.from_arrays([pa.array([asked.ids[q] for q in query.tolist()]), pa.array(ids, kind), pa.array(sequence, pa.string()), pa.array(score / 1e9)], ["query_id", "passage_id", "sequence", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([asked.ids[q] for q in query.tolist()], asked.kind), pa.array(ids, kind), pa.array(sequence, pa.string()), pa.array(score / 1e9)], ["query_id", "passage_id", "sequence", "score"])
 
     return run
 
 
-def _candidates(passages: DataFrame, asked: _Questions, k: int, k1: float, b: float, deduplicate: bool, key: str, text: str, query_type: str) -> DataFrame:
-    rows = tokenised(passages, key, text).withColumn("sequence", F.md5(F.array_join("tokens", " ")))
+def _candidates(passages: DataFrame, asked: _Questions, k: int, k1: float, b: float, deduplicate: bool, key: str, text: str, query_type: str, tokenizer: Tokenizer) -> DataFrame:
+    rows = tokenised(passages, key, text, tokenizer).withColumn("sequence", F.md5(F.array_join("tokens", " ")))
     kind = dict(rows.dtypes)["passage_id"]
     return shipped(rows).mapInArrow(_scoring(asked, k, k1, b, deduplicate), f"query_id {query_type}, passage_id {kind}, sequence string, score double")
 
@@ -197,20 +202,23 @@ def retrieve(
     question_key: str = "query_id",
     question: str = "query",
     deduplicate: bool = True,
+    tokenizer: Tokenizer = tokens,
 ) -> DataFrame:
     """(query_id, passage_id, score, rank, retrieval_method): the best k passages of each question.
 
     A batch of questions of checked size travels to the passages: every task
     scores its own by matrix products and hands on k rows a question at most,
     so nothing of the size of passages times questions is ever shuffled. A
-    larger batch is joined by term. Both ways give the same scores.
+    larger batch is joined by term. Both ways give the same scores. With
+    ``tokenizer=strict_tokens`` composed, decomposed and compatibility forms of
+    a character match each other.
     """
     check_parameters(k1, b, k)
-    asked = _known_questions(passages, questions, key, text, question_key, question)
+    asked = _known_questions(passages, questions, key, text, question_key, question, tokenizer)
     if asked is None:
-        scored = scores(passages, questions, k1, b, key, text, question_key, question)
+        scored = scores(passages, questions, k1, b, key, text, question_key, question, tokenizer)
     else:
-        scored = _candidates(passages, asked, k, k1, b, deduplicate, key, text, dict(questions.dtypes)[question_key])
+        scored = _candidates(passages, asked, k, k1, b, deduplicate, key, text, dict(questions.dtypes)[question_key], tokenizer)
     best = (F.desc("score"), F.asc("passage_id"))
     if deduplicate:
         scored = scored.withColumn("copy", F.row_number().over(Window.partitionBy("query_id", "sequence").orderBy(*best))).filter("copy = 1")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import ascii_words
+from quirelake.shipping import shipped
 
 MAX_TURNS = 2
 
@@ -15,9 +19,9 @@ REFERRING = ["it", "its", "they", "them", "their", "these", "those", "that", "th
 OPENERS = [("what", "about"), ("how", "about"), ("and", "what"), ("what", "else"), ("any", "others"), ("anything", "else")]
 
 
-def refers_back(question: Column) -> Column:
-    """Whether the wording of a question leans on an earlier turn."""
-    words = ascii_words(question)
+def refers_back(question: Column, fold: Callable[[Column], Column] | None = None) -> Column:
+    """Whether the wording of a question leans on an earlier turn; ``fold=folded`` also reads compatibility forms."""
+    words = ascii_words(fold(question) if fold else question)
     opening = F.slice(words, 1, 2)
     elliptical = F.lit(False)
     for pair in OPENERS:
@@ -52,7 +56,40 @@ def history_before(turns: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
     return known.select(*turns.columns, "history")
 
 
-def needs_context(turns: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
+def needs_context(turns: DataFrame, max_turns: int = MAX_TURNS, fold: Callable[[Column], Column] | None = None) -> DataFrame:
     """History and a flag: the question refers back and there is something to refer to."""
     known = history_before(turns, max_turns)
-    return known.withColumn("needs_context", (F.size("history") > 0) & refers_back(F.col("question")))
+    return known.withColumn("needs_context", (F.size("history") > 0) & F.coalesce(refers_back(F.col("question"), fold), F.lit(False)))
+
+
+#: (question, earlier questions) -> a question that stands by itself; anything else, or an exception, leaves the question as it is
+Resolver = Callable[[str, list[str]], str]
+
+
+def joining_resolver(question: str, earlier: list[str]) -> str:
+    """A deterministic stand-in for a model: the last earlier question before the follow-up."""
+    return f"{earlier[-1].strip()} {question.strip()}"
+
+
+def resolved(question: str | None, earlier: list[str], resolver: Resolver) -> str:
+    """The rewritten question, or the literal one where the resolver fails, says nothing or says the same."""
+    literal = (question or "").strip()
+    try:
+        said = resolver(literal, earlier)
+    except Exception:  # a rewrite that fails must not cost the turn
+        return literal
+    return said.strip() if isinstance(said, str) and said.strip() else literal
+
+
+def resolve_follow_ups(turns: DataFrame, resolver: Resolver = joining_resolver) -> DataFrame:
+    """``turns`` (with history and needs_context) and resolved_question: that of a turn in need of context is rewritten from the questions of its history."""
+    read = turns.select("*", F.transform("history", lambda h: h["question"]).alias("__earlier"))
+    at, names = {name: k for k, name in enumerate(read.columns)}, turns.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(at[c]).to_pylist() for c in ("question", "needs_context", "__earlier")]
+            said = [resolved(q, earlier, resolver) if needed else (q or "").strip() for q, needed, earlier in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(at[c]) for c in names], pa.array(said, pa.string())], [*names, "resolved_question"])
+
+    return shipped(read).mapInArrow(run, turns.withColumn("resolved_question", F.lit("")).schema)

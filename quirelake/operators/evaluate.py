@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,21 @@ def query_metrics(retrieved: DataFrame, judgments: DataFrame, ks: tuple[int, ...
     if list(ks) != sorted(set(ks)) or any(k < 1 for k in ks):
         raise ValueError("k must be strictly increasing from 1")
     wanted = judgments.select("query_id", "passage_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
-    hits = relevant_ranks(retrieved, judgments).filter("relevant").select("query_id", "rank")
+    return _per_k(wanted, relevant_ranks(retrieved, judgments).filter("relevant").select("query_id", "rank"), ks)
+
+
+def shared_metrics(retrieved: DataFrame, questions: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """``query_metrics`` where all questions (query_id) share the relevant passages (passage_id): no judgment is spelled out for each question."""
+    if list(ks) != sorted(set(ks)) or any(k < 1 for k in ks):
+        raise ValueError("k must be strictly increasing from 1")
+    passages = relevant.select("passage_id").distinct()
+    number = passages.count()
+    wanted = questions.select("query_id").distinct().withColumn("n_relevant", F.lit(number)).filter("n_relevant > 0")
+    return _per_k(wanted, retrieved.join(passages, "passage_id", "left_semi").select("query_id", "rank"), ks)
+
+
+def _per_k(wanted: DataFrame, hits: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Metrics of wanted (query_id, n_relevant) from the ranks of the relevant hits."""
     per_k = []
     for k in ks:
         per_k += [F.count(F.when(F.col("rank") <= k, 1)).alias(f"found_{k}"), F.min(F.when(F.col("rank") <= k, F.col("rank"))).alias(f"first_{k}")]
@@ -127,6 +144,36 @@ def result_digest(retrieved: DataFrame) -> DataFrame:
     return listed.select(F.concat(F.lit("sha256:"), F.sha2(whole, 256)).alias("digest"))
 
 
+def resource_measurement(prepare: Callable[[], Callable[[object], DataFrame]], questions: list, initialisations: int = 5, warm_up: int = 1, passes: int = 30, clock: Callable[[], float] = time.perf_counter) -> dict:
+    """Seconds of initialising a retriever and of asking it, question by question.
+
+    ``prepare`` makes a retriever: a function from a question to its results,
+    which are computed to the last row and thrown away. Warm-up passes are not
+    counted; a pass whose results differ from the first one's is an error.
+    """
+    for name, value, least in (("initialisations", initialisations, 1), ("warm_up", warm_up, 0), ("passes", passes, 1)):
+        if isinstance(value, bool) or not isinstance(value, int) or value < least:
+            raise ValueError(f"{name} must be a whole number of at least {least}")
+    if not questions:
+        raise ValueError("there is no question")
+    starts, asked, retriever, first = [], [], None, None
+    for _ in range(initialisations):
+        began = clock()
+        retriever = prepare()
+        starts.append(clock() - began)
+    for turn in range(warm_up + passes):
+        seen = []
+        for question in questions:
+            began = clock()
+            seen.append(retriever(question).collect())  # at most k rows
+            if turn >= warm_up:
+                asked.append(clock() - began)
+        first = seen if first is None else first
+        if seen != first:
+            raise ValueError("a repeated pass gave other results")
+    return {"initialisation_seconds": starts, "query_seconds": asked, "questions": len(questions), "passes": passes}
+
+
 def scaled_corpus(passages: DataFrame, target: int) -> DataFrame:
     """``passages`` (passage_id, paper_id, text, ordinal) and numbered variants up to ``target`` rows.
 

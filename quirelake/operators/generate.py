@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from quirelake.operators import bm25, contracts, grounding
+from quirelake.durable import durable
+from quirelake.operators import bm25, contracts, conversation, grounding
 from quirelake.operators.ranking import running_total
 from quirelake.shipping import shipped
 
@@ -97,9 +99,10 @@ def cited_chat(passages: DataFrame, questions: DataFrame, generator: Generator =
     asked = questions.select(F.col("request_id").cast("string").alias("request_id"), "question")
     found = bm25.retrieve(passages, asked, k, question_key="request_id", question="question").withColumnRenamed("query_id", "request_id")
     held = passages.select("passage_id", "paper_id", "text")
-    evidence = found.join(held, "passage_id").select("request_id", "rank", F.col("paper_id").cast("string").alias("paper_id"), F.col("passage_id").cast("string").alias("passage_id"), "text")
+    # read by prompts, contracts and grounding: ranked once
+    evidence = durable(found.join(held, "passage_id").select("request_id", "rank", F.col("paper_id").cast("string").alias("paper_id"), F.col("passage_id").cast("string").alias("passage_id"), "text"))
     matches = evidence.groupBy("request_id").agg(F.count(F.lit(1)).alias("matches"))
-    answers = generate(prompts(evidence, asked.join(matches, "request_id", "left_semi")), generator)
+    answers = durable(generate(prompts(evidence, asked.join(matches, "request_id", "left_semi")), generator))
     citations = answers.filter("error is null").select("request_id", F.posexplode("citations").alias("position", "c")).select("request_id", "position", "c.*")
     claims = answers.filter("error is null").select("request_id", F.posexplode("claims").alias("claim_index", "c")).select("request_id", "claim_index", "c.*")
     broken = contracts.response_violations(answers.filter("error is null"), citations, claims, evidence).groupBy("request_id").agg(F.array_sort(F.collect_set("problem")).alias("violations"))
@@ -167,6 +170,47 @@ def research_question(sections: DataFrame, generator: Generator) -> DataFrame:
     return joined.select("paper_id", "question", kind.alias("kind"), F.coalesce("used", none).alias("sections_used"), evidence.alias("evidence"), warnings.alias("warnings"))
 
 
+def generation_method(runtime_id: str, model_id: str, model_sha256: str, prompt_version: str, settings: dict) -> str:
+    """A name for exactly this way to generate, free of paths: equal settings give equal names."""
+    known = {**settings, "model_sha256": model_sha256, "prompt_version": prompt_version}
+    digest = hashlib.sha256(json.dumps(known, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    return f"{runtime_id}:{model_id}@sha256-{model_sha256}:prompt-{prompt_version}:config-sha256-{digest}"
+
+
+class ChatSession:
+    """Questions one after another over one snapshot of a library.
+
+    Passages are stored once, when the session opens. Only answered turns enter
+    the history, of which the last ``max_turns`` stay; citations are those of
+    the latest turn, and only if it was answered.
+    """
+
+    def __init__(self, passages: DataFrame, generator: Generator = quoting_generator, resolver: conversation.Resolver | None = None, k: int = 3, max_turns: int = conversation.MAX_TURNS) -> None:
+        self.passages = durable(passages.select("paper_id", "passage_id", "text"))
+        self.generator, self.resolver, self.k, self.max_turns = generator, resolver, k, max_turns
+        self.history: list[Row] = []
+        self.citations: list[str] = []
+
+    def reset(self) -> None:
+        self.history, self.citations = [], []
+
+    def ask(self, question: str) -> Row:
+        """The outcome of one question, with resolved_question: what was asked in its place, or null."""
+        spark = self.passages.sparkSession
+        literal, rewritten = question.strip(), None
+        if self.resolver and self.history:
+            leans = spark.range(1).select(conversation.refers_back(F.lit(literal)).alias("leans")).head()["leans"]
+            said = conversation.resolved(literal, [turn["resolved_question"] or turn["question"] for turn in self.history], self.resolver) if leans else literal
+            rewritten = said if said != literal else None
+        asked = spark.createDataFrame([("q", rewritten or literal)], "request_id string, question string")
+        row = cited_chat(self.passages, asked, self.generator, self.k).withColumn("question", F.lit(literal)).withColumn("resolved_question", F.lit(rewritten).cast("string")).head()
+        answered = row["outcome"] == "answered"
+        self.citations = list(row["citation_ids"] or []) if answered else []
+        if answered:
+            self.history = [*self.history, row][-self.max_turns :]
+        return row
+
+
 def deterministic_order(cases: DataFrame, key: str, seed: int) -> DataFrame:
     """Cases numbered in a seeded order for blind review."""
     drawn = cases.withColumn("__draw", F.xxhash64(F.col(key), F.lit(seed)))

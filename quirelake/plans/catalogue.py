@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirelake.durable import durable
 from quirelake.functions import text as T
-from quirelake.operators import bm25, contracts, conversation, evaluate, generate, grounding, passages, preflight, quality, sections
+from quirelake.operators import benchmarks, bm25, contracts, conversation, evaluate, generate, grounding, passages, preflight, quality, records, sections
 from quirelake.plans import twins
 from quirelake.session import spread, table
 from quirelake.sources import library
@@ -40,9 +41,9 @@ def _retrieved(spark: SparkSession, folder: str, k: int = 10, **options: float)
     return bm25.retrieve(_passages(spark, folder), _questions(spark, folder), k, **options)
 
 
-def _judgments(spark: SparkSession, folder: str) -> DataFrame:
-    good = table(spark, folder, "labels").filter("quality = 1").select(F.col("doc_id").alias("passage_id"))
-    return _questions(spark, folder).select("query_id").crossJoin(good)
+def _good(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages that are relevant to every question."""
+    return table(spark, folder, "labels").filter("quality = 1").select(F.col("doc_id").alias("passage_id")).distinct()
 
 
 # retrieval
@@ -88,8 +89,63 @@ def bm25_idf(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("term", F.round(bm25.inverse_document_frequency(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
+def bm25_strict_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranked by tokens after NFKC and full case folding."""
+    return bm25.retrieve(_passages(spark, folder), _questions(spark, folder), 10, tokenizer=T.strict_tokens)
+
+
 def retrieval_contract_violations(spark: SparkSession, folder: str) -> DataFrame:
-    return contracts.retrieval_violations(_retrieved(spark, folder), 10)
+    """Of damaged results: by question, a rank missing, a better score at the end, a passage twice, another method, or ten ranks where eight are allowed."""
+    kind = F.pmod("query_id", F.lit(5))
+    damaged = _retrieved(spark, folder).withColumns(
+        {
+            "rank": F.when((kind == 0) & (F.col("rank") >= 3), F.col("rank") + 1).otherwise(F.col("rank")),
+            "score": F.when((kind == 1) & (F.col("rank") == 5), F.col("score") + 1000).otherwise(F.col("score")),
+            "retrieval_method": F.when((kind == 2) & (F.col("rank") == 1), "other").otherwise(F.col("retrieval_method")),
+        }
+    )
+    twice = damaged.filter((kind == 3) & (F.col("rank") == 1)).withColumn("rank", F.lit(11))
+    return contracts.retrieval_violations(damaged.unionByName(twice), 10)
+
+
+def snapshot_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Retrieved passages against a corpus without Spanish ones, with German texts changed and French papers renamed."""
+    held = _documents(spark, folder).select(F.col("doc_id").alias("passage_id"), F.col("source").alias("paper_id"), "text", "lang")
+    found = _retrieved(spark, folder).join(held.drop("lang"), "passage_id")
+    corpus = held.filter("lang <> 'es'").withColumns({"text": F.when(F.col("lang") == "de", F.concat("text", F.lit("."))).otherwise(F.col("text")), "paper_id": F.when(F.col("lang") == "fr", "other").otherwise(F.col("paper_id"))})
+    return benchmarks.snapshot_violations(found, corpus)
+
+
+def benchmark_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every question as a retrieval benchmark of its own, damaged by the remainder of its id."""
+    kind = F.pmod("item_id", F.lit(6))
+    query = F.struct(F.concat(F.lit("q-"), F.col("item_id").cast("string")).alias("query_id"), F.lit("topic").alias("question_type"), F.when(kind == 4, F.lit(" ")).otherwise(F.col("text")).alias("query"), F.when(kind == 5, F.array(F.lit("p"), F.lit("p"))).otherwise(F.array(F.lit("p"))).alias("relevant_passage_ids"), F.lit("r").alias("rationale"))
+    threshold = F.struct(F.lit("recall").alias("metric"), F.when(kind == 1, 7).otherwise(5).alias("k"), F.lit(0.5).alias("minimum"))
+    rows = table(spark, folder, "benchmark").select(
+        F.lit(1).alias("schema_version"),
+        F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("benchmark_id"),
+        F.lit("c").alias("corpus_id"),
+        F.concat(F.lit("sha256:"), F.when(kind == 0, F.upper(F.sha2("text", 256))).otherwise(F.sha2("text", 256))).alias("corpus_fingerprint"),
+        F.lit("l").alias("license"),
+        F.lit("s").alias("source"),
+        F.when(kind == 2, F.array(F.lit(5), F.lit(3))).otherwise(F.array(F.lit(3), F.lit(5))).alias("k_values"),
+        F.when(kind == 2, F.array(threshold, threshold)).otherwise(F.array(threshold)).alias("thresholds"),
+        F.when(kind == 3, F.array(query, query)).otherwise(F.array(query)).alias("queries"),
+    )
+    return benchmarks.retrieval_benchmark_violations(rows)
+
+
+def generation_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of evidence as the answer of a case of its own."""
+    e = _evidence(spark, folder)
+    case = F.concat(F.col("request_id").cast("string"), F.lit("-"), F.col("citation_id"))
+    cited = F.struct("citation_id", F.col("paper_id").cast("string").alias("paper_id"), F.col("passage_id").cast("string").alias("passage_id"))
+    claim = F.struct("text", F.array("citation_id").alias("citation_ids"))
+    answers = e.select(
+        case.alias("case_id"), F.col("text").alias("answer_text"), F.array(cited).alias("citations"), F.lit("stand-in").alias("generation_method"), F.lit(False).alias("abstained"),
+        F.lit(None).cast("string").alias("abstention_reason"), F.array(F.lit("descriptive")).alias("finding_kinds"), F.array(claim).alias("claims"),
+    )
+    return benchmarks.mechanical_results(answers).select("case_id", "response_digest", F.array_join("citation_ids", ",").alias("citation_ids"), "abstained", F.array_join("finding_kinds", ",").alias("finding_kinds"))
 
 
 def result_digest(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,7 +162,7 @@ def citations_by_paper(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _per_query(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.query_metrics(_retrieved(spark, folder, max(KS)), _judgments(spark, folder), KS)
+    return evaluate.shared_metrics(_retrieved(spark, folder, max(KS)), _questions(spark, folder), _good(spark, folder), KS)
 
 
 def _thresholds(spark: SparkSession) -> DataFrame:
@@ -182,6 +238,14 @@ def quality_warnings(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "warning", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
+def measure_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored document measures against the pages: src1 with a character more, src2 with the first page gone."""
+    measured = durable(_measured(spark, folder))
+    stored = quality.document_quality(measured)
+    off = stored.withColumn("characters", F.col("characters") + F.when(F.col("doc_id") == "src1", 1).otherwise(0))
+    return records.measure_violations(measured.filter("doc_id <> 'src2' or page_number > 1"), off).filter("problem in ('characters', 'pages', 'page_numbers')")
+
+
 # passages
 
 
@@ -206,8 +270,84 @@ def passage_fragments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def passage_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages whose fragments miss the second line of their document."""
     cut = passages.split_passages(_documents(spark, folder))
-    return passages.fragment_violations(passages.page_fragments(cut, _line_pages(spark, folder)), cut)
+    torn = passages.page_fragments(cut, _line_pages(spark, folder)).filter("page_number <> 1")
+    return passages.fragment_violations(torn, cut)
+
+
+def _stored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, passages and fragments of all documents, damaged by source: src0 a fragment's text, src1 an ordinal, src2 a page, src3 the digest, src4 the source."""
+    docs = _documents(spark, folder)
+    cut = passages.split_passages(docs).join(docs.select(F.col("doc_id").alias("paper_id"), "source"), "paper_id")
+    first = F.col("ordinal") == 0
+    held = cut.select(
+        "paper_id", "passage_id", F.when(first & (F.col("source") == "src1"), 90_000).otherwise(F.col("ordinal")).alias("ordinal"), "kind", F.lit("Document").alias("heading"),
+        F.lit(1).alias("page_start"), F.when(first & (F.col("source") == "src2"), 2).otherwise(1).alias("page_end"), "text",
+    )
+    parts = cut.select("passage_id", F.lit(1).alias("page"), "start", "end", F.lit(0).alias("passage_start"), F.length("text").alias("passage_end"), F.when(first & (F.col("source") == "src0"), F.concat(F.lit("x"), "text")).otherwise(F.col("text")).alias("text"))
+    known = docs.select(
+        F.col("doc_id").alias("paper_id"), F.sha2("text", 256).alias("checksum"), F.lit("local-pdf").alias("source_name"), F.when(F.col("source") == "src4", "?").otherwise(F.sha2("text", 256)).alias("source_identifier"),
+        F.lit(passages.settings_fingerprint()).alias("fingerprint"), F.col("text").alias("markdown"), F.when(F.col("source") == "src3", "?").otherwise(F.sha2("text", 256)).alias("markdown_sha256"), F.col("lang").alias("lang"),
+    )
+    return known, held, parts
+
+
+def record_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return records.record_violations(*_stored(spark, folder), passages.BUDGET)
+
+
+def valid_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records that a strict reader returns, by language."""
+    known, held, parts = _stored(spark, folder)
+    return records.valid_records(known, durable(records.record_violations(known, held, parts, passages.BUDGET))).groupBy("lang").agg(F.count(F.lit(1)).alias("papers"))
+
+
+def assembled_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with their nested passages and fragments, measured."""
+    known, held, parts = _stored(spark, folder)
+    whole = records.assembled(known, held, parts, passages.settings_fingerprint())
+    return whole.select("paper_id", F.size("passages").alias("passages"), F.aggregate("passages", F.lit(0), lambda n, x: n + F.size(x["fragments"])).alias("fragments"), F.aggregate("passages", F.lit(0), lambda n, x: n + F.length(x["text"])).alias("characters"), F.get("passages", F.lit(0))["passage_id"].alias("first_passage"))
+
+
+def completion_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels as warnings; papers from src1 on claim one passage more than there is."""
+    docs = _documents(spark, folder)
+    cut = passages.split_passages(docs)
+    counted = docs.select(F.col("doc_id").alias("paper_id"), "source").join(cut.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n")), "paper_id", "left")
+    claims = counted.select("paper_id", (F.coalesce("n", F.lit(0)) + F.when(F.col("source") == "src1", 1).otherwise(0)).alias("passage_count"), F.lit(1).alias("warning_count"))
+    return records.completion_violations(claims, cut, table(spark, folder, "labels").select(F.col("doc_id").alias("paper_id")))
+
+
+def evidence_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first ten characters of every line as evidence: moved behind the line's end for src0, in upper case for src1."""
+    cut = _documents(spark, folder).select(F.col("doc_id").alias("paper_id"), "source", F.explode(T.lines(F.col("text"))).alias("l"))
+    spans = cut.select("paper_id", F.lit("body").alias("kind"), F.col("l.no").alias("page"), F.col("l.start").alias("start"), F.col("l.end").alias("end"), F.col("l.text").alias("text"))
+    shift = F.when(F.col("source") == "src0", F.length("l.text")).otherwise(0)
+    quoted = F.substring("l.text", 1, 10)
+    evidence = cut.select("paper_id", F.lit("body").alias("kind"), F.col("l.no").alias("page"), (F.col("l.start") + shift).alias("start"), (F.col("l.start") + shift + F.length(quoted)).alias("end"), F.when(F.col("source") == "src1", F.upper(quoted)).otherwise(quoted).alias("text"))
+    return records.evidence_violations(evidence, spans)
+
+
+def resolved_citations(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence looked up again in the library: e2 with another text, e3 with an unknown passage or, for even questions, an unknown paper."""
+    e = _evidence(spark, folder)
+    even = F.pmod("request_id", F.lit(2)) == 0
+    cited = e.select(
+        "request_id", "citation_id", F.when((F.col("rank") == 3) & even, -1).otherwise(F.col("paper_id")).alias("paper_id"), F.when((F.col("rank") == 3) & ~even, -1).otherwise(F.col("passage_id")).alias("passage_id"),
+        F.when(F.col("rank") == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"),
+    )
+    docs = _documents(spark, folder)
+    found = records.resolved_citations(cited, docs.select(F.col("doc_id").alias("paper_id"), F.col("source").alias("title")), docs.select(F.col("doc_id").alias("passage_id"), F.col("doc_id").alias("paper_id"), "text"))
+    return found.select("request_id", "citation_id", "title", "problem")
+
+
+def claim_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct sources of all evidence of a question, in the order e3, e1, e2."""
+    e = _evidence(spark, folder)
+    claims = e.select("request_id").distinct().select("request_id", F.lit(0).alias("claim_index"), F.array(*map(F.lit, ("e3", "e1", "e2"))).alias("citation_ids"))
+    titled = e.join(_documents(spark, folder).select(F.col("doc_id").alias("paper_id"), F.col("source").alias("title")), "paper_id")
+    return records.titles_of_claims(claims, titled).select("request_id", "claim_index", F.array_join("titles", ",").alias("titles"))
 
 
 # preflight and library
@@ -310,6 +450,25 @@ def library_latest(spark: SparkSession, folder: str) -> DataFrame:
     return library.latest(rows, "checksum")
 
 
+def library_save(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers and labels saved in a new library, French ones saved again with other rows, German ones deleted; what is left, by language."""
+    import uuid
+
+    from quirelake.durable import ensure_checkpoint_dir
+
+    store = library.Library(spark, f"{ensure_checkpoint_dir(spark)}/library-{uuid.uuid4().hex}")
+    store.initialise()
+    papers = _documents(spark, folder).select(F.col("doc_id").alias("paper_id"), F.upper(F.sha2(F.col("doc_id").cast("string"), 256)).alias("checksum"), F.lit("path").alias("source_path"), "lang", F.lit(1).cast("long").alias("created_at"))
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("paper_id"), "quality")
+    store.save_papers(papers, {"labels": labels})
+    french = papers.filter("lang = 'fr'")
+    store.save_papers(french.withColumn("created_at", F.lit(9).cast("long")), {"labels": french.select("paper_id", F.lit(7).cast(labels.schema["quality"].dataType).alias("quality"))}, keep=["created_at"])
+    store.delete_papers(french.sparkSession.createDataFrame([], french.schema).union(papers.filter("lang = 'de'")))
+    left = store.table("papers")
+    counts = left.join(store.table("labels").groupBy("paper_id").agg(F.sum("quality").alias("q"), F.count(F.lit(1)).alias("n")), "paper_id", "left")
+    return counts.groupBy("lang").agg(F.count(F.lit(1)).alias("papers"), F.max("created_at").alias("newest"), F.coalesce(F.sum("n"), F.lit(0)).alias("labels"), F.coalesce(F.sum("q"), F.lit(0)).alias("quality"))
+
+
 def library_differences(spark: SparkSession, folder: str) -> DataFrame:
     papers = _papers(spark, folder).select("paper_id", "lang")
     return library.differences(papers.filter("lang <> 'es'"), papers.filter("lang <> 'de'")).groupBy("side", "lang").agg(F.count(F.lit(1)).alias("rows"))
@@ -327,7 +486,8 @@ def fk_violations(spark: SparkSession, folder: str) -> DataFrame:
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
     """The best three passages of every question as evidence e1 to e3, each a paper of its own."""
     found = _retrieved(spark, folder, 3).join(_documents(spark, folder).select(F.col("doc_id").alias("passage_id"), "text"), "passage_id")
-    return found.select(F.col("query_id").alias("request_id"), F.concat(F.lit("e"), F.col("rank").cast("string")).alias("citation_id"), "rank", F.col("passage_id").alias("paper_id"), "passage_id", "text")
+    # read more than once by every query of it: ranked once
+    return durable(found.select(F.col("query_id").alias("request_id"), F.concat(F.lit("e"), F.col("rank").cast("string")).alias("citation_id"), "rank", F.col("passage_id").alias("paper_id"), "passage_id", "text"))
 
 
 def _claims(evidence: DataFrame) -> DataFrame:
@@ -335,20 +495,20 @@ def _claims(evidence: DataFrame) -> DataFrame:
     return evidence.select("request_id", (F.col("rank") - 1).alias("claim_index"), F.substring_index("text", ".", 1).alias("text"), F.array(F.lit("e1")).alias("citation_ids"))
 
 
-def _leaks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _leaks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     evidence = _evidence(spark, folder)
     claims = _claims(evidence)
     questions = _questions(spark, folder).select(F.col("query_id").alias("request_id"), F.col("query").alias("question"))
-    return claims, grounding.leaked_terms(claims, evidence, questions)
+    return evidence, claims, grounding.leaked_terms(claims, evidence, questions)
 
 
 def grounding_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    _, leaks = _leaks(spark, folder)
+    _, _, leaks = _leaks(spark, folder)
     return leaks.select("request_id", "claim_index", "term", "position", F.array_join(F.transform("papers", lambda p: p.cast("string")), ",").alias("papers"))
 
 
 def grounding_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    claims, leaks = _leaks(spark, folder)
+    _, claims, leaks = _leaks(spark, folder)
     out = grounding.verdicts(claims, leaks)
     return out.select("request_id", "claim_index", "grounded", F.array_join("leaked_terms", ",").alias("leaked_terms"), F.array_join(F.transform("leaked_from_papers", lambda p: p.cast("string")), ",").alias("leaked_from_papers"), "method")
 
@@ -362,8 +522,8 @@ def claim_anti(spark: SparkSession, folder: str) -> DataFrame:
 
 def citation_semi(spark: SparkSession, folder: str) -> DataFrame:
     """Citations that grounded claims use."""
-    claims, leaks = _leaks(spark, folder)
-    _, kept = grounding.surviving(claims, _evidence(spark, folder).select("request_id", "citation_id", "paper_id"), grounding.verdicts(claims, leaks))
+    evidence, claims, leaks = _leaks(spark, folder)
+    _, kept = grounding.surviving(claims, evidence.select("request_id", "citation_id", "paper_id"), grounding.verdicts(claims, leaks))
     return kept.select("request_id", "citation_id", "paper_id")
 
 
@@ -386,6 +546,23 @@ def follow_up_flag(spark: SparkSession, folder: str) -> DataFrame:
     return conversation.needs_context(_turns(spark, folder)).select("conv_id", "turn", "needs_context")
 
 
+def follow_up_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """The flag with compatibility forms folded."""
+    return conversation.needs_context(_turns(spark, folder), fold=T.folded).select("conv_id", "turn", "needs_context")
+
+
+def follow_up_rewrite(spark: SparkSession, folder: str) -> DataFrame:
+    """Follow-up questions with the last answered question put before them."""
+    return conversation.resolve_follow_ups(conversation.needs_context(_turns(spark, folder))).select("conv_id", "turn", F.md5("resolved_question").alias("resolved_md5"))
+
+
+def runtime_error_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as the output of a runtime: those of users end in a line marked as an error."""
+    turns = table(spark, folder, "conversations")
+    output = F.concat(F.lit("I load: fine\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.when(F.col("role") == "user", F.concat(F.lit("\n  E  main:  "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("  \r\n\n"))).otherwise(""))
+    return turns.select("conv_id", "turn", F.md5(T.error_line(output)).alias("message_md5"))
+
+
 def history_window(spark: SparkSession, folder: str) -> DataFrame:
     known = conversation.history_before(_turns(spark, folder))
     return known.select("conv_id", "turn", F.array_join(F.transform("history", lambda h: h["turn"].cast("string")), ",").alias("history"))
@@ -427,7 +604,9 @@ def column_width(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _source_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), "text")
+    """The documents of a source as its pages; two of three begin with a title and a number."""
+    head = F.when(F.pmod("doc_id", F.lit(3)) > 0, F.concat(F.lit("Working Papers of "), "source", F.lit(" "), F.col("doc_id").cast("string"), F.lit("\n\n"))).otherwise("")
+    return _documents(spark, folder).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), F.concat(head, "text").alias("text"))
 
 
 def running_headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -475,15 +654,16 @@ def page_range_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES: list[Query] = [
-    bm25_topk, bm25_no_dedup, bm25_k1_small, bm25_b_zero, bm25_single_query_limit, bm25_term_freq, bm25_doc_freq, bm25_corpus_stats, bm25_idf,
-    retrieval_contract_violations, result_digest, citations_by_paper,
+    bm25_topk, bm25_no_dedup, bm25_k1_small, bm25_b_zero, bm25_single_query_limit, bm25_strict_tokens, bm25_term_freq, bm25_doc_freq, bm25_corpus_stats, bm25_idf,
+    retrieval_contract_violations, snapshot_violations, benchmark_violations, generation_digests, result_digest, citations_by_paper,
     eval_metrics_at_k, eval_threshold_failures, eval_affected_queries, eval_timing_summary, unknown_judgments, corpus_fingerprint, benchmark_fingerprint, scaling_corpus_counts,
-    page_quality, doc_quality, quality_status, quality_warnings,
+    page_quality, doc_quality, quality_status, quality_warnings, measure_violations,
     passage_split, passage_stats, passage_fragments, passage_violations,
+    record_violations, valid_records, assembled_records, completion_violations, evidence_violations, resolved_citations, claim_titles,
     preflight_duplicates, preflight_counts, stored_semi_join, first_paths, checksum_conflicts, manifest_mismatches, reuse_decision, batch_summary, exit_code,
-    library_eligibility, library_upsert, library_upsert_if_changed, library_cascade_delete, library_latest, library_differences,
+    library_eligibility, library_upsert, library_upsert_if_changed, library_cascade_delete, library_latest, library_save, library_differences,
     fk_violations, grounding_leaks, grounding_verdicts, claim_anti, citation_semi, cited_chat,
-    follow_up_flag, history_window, stream_history,
+    follow_up_flag, follow_up_strict, follow_up_rewrite, runtime_error_line, history_window, stream_history,
     line_table, neighbor_lines, column_width, running_headers, heading_candidates, section_detect,
     url_check, page_title_fallback, sanitized_text, page_range_text,
 ]

@@ -107,6 +107,14 @@ RECURSIVE pieces AS (
     FROM pieces WHERE length(rest) > 0)),
 cut AS (SELECT doc_id AS paper_id, no AS ordinal, start, start + size AS "end", substr(text, start + 1, size) AS text FROM pieces JOIN documents USING (doc_id) WHERE no >= 0)"""
 
+#: a record for each document, broken by its source
+_STORED = _CUT + f""",
+cuts AS (SELECT paper_id, max(ordinal) AS top, count(*) AS n FROM cut GROUP BY 1),
+broken AS (SELECT paper_id, problem FROM (
+  SELECT doc_id AS paper_id, unnest(CASE WHEN n IS NULL THEN ['no_passages', 'blank_markdown'] ELSE [CASE source WHEN 'src0' THEN 'fragment_text' WHEN 'src2' THEN 'wrong_last_page' WHEN 'src1' THEN 'ordinal_gap' END,
+    CASE source WHEN 'src1' THEN 'wrong_id' END, CASE WHEN source = 'src1' AND n > 1 THEN 'source_overlap' END] END || [CASE source WHEN 'src3' THEN 'wrong_digest' WHEN 'src4' THEN 'wrong_source' END]) AS problem FROM documents LEFT JOIN cuts ON paper_id = doc_id)
+  WHERE problem IS NOT NULL)"""
+
 _FILES = "files AS (SELECT printf('/library/%08d.txt', doc_id) AS path, length(text) AS size, sha256(text) AS sha256, source FROM documents)"
 _CHECKED = f"""{_FILES},
 firsts AS (SELECT sha256, min(path) AS first FROM files GROUP BY 1),
@@ -140,6 +148,10 @@ turns AS (SELECT conv_id, turn, text AS question, CASE WHEN next_role = 'assista
 history AS (SELECT t.conv_id, t.turn, any_value(t.question) AS question, list(p.turn ORDER BY p.turn) FILTER (p.turn IS NOT NULL) AS earlier
   FROM turns t LEFT JOIN turns p ON p.conv_id = t.conv_id AND p.turn < t.turn AND p.answer IS NOT NULL GROUP BY t.conv_id, t.turn)"""
 
+_FLAGGED = f"""
+flagged AS (SELECT *, coalesce(earlier IS NOT NULL AND (list_has_any(ws, {_list(REFERRING)}) OR array_to_string(ws[1:2], ' ') IN ({', '.join(f"'{a} {b}'" for a, b in OPENERS)})), false) AS needs_context
+  FROM (SELECT *, regexp_extract_all(lower(question), '[a-z0-9]+') AS ws FROM history))"""
+
 _TRIM = rf"regexp_replace(raw, '^[{_SPACES}]+|[{_SPACES}]+$', '', 'g')"
 _LINES = rf"""
 split_lines AS (SELECT doc_id, page, unnest(ls) AS raw, unnest(range(0, len(ls))) AS no, len(ls) AS n FROM (SELECT doc_id, page, string_split(text, chr(10)) AS ls FROM paged)),
@@ -165,8 +177,19 @@ def all_twins() -> dict[str, str]:
         "bm25_doc_freq": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY term",
         "bm25_corpus_stats": f"SELECT count(*) AS n, CAST(sum(dl) AS BIGINT) AS total_tokens, round(sum(dl)::DOUBLE / count(*), 6) AS avgdl FROM ({stats})",
         "bm25_idf": f"SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY term), (SELECT count(*) AS n FROM documents)",
-        "retrieval_contract_violations": f"""WITH {_ranked(10)}, o AS (SELECT *, row_number() OVER w AS nth, lag(score) OVER w AS ls, lag(passage_id) OVER w AS lp FROM ranked WINDOW w AS (PARTITION BY query_id ORDER BY rank))
-            SELECT query_id, 'rank_gap' AS problem FROM o WHERE rank <> nth UNION SELECT query_id, 'score_order' FROM o WHERE score > ls UNION SELECT query_id, 'tie_order' FROM o WHERE score = ls AND passage_id < lp""",
+        "bm25_strict_tokens": _topk(),
+        "retrieval_contract_violations": f"""WITH {_ranked(10)}, d AS (SELECT query_id, passage_id, CASE WHEN query_id % 5 = 0 AND rank >= 3 THEN rank + 1 ELSE rank END AS rank, CASE WHEN query_id % 5 = 1 AND rank = 5 THEN score + 1000 ELSE score END AS score,
+              CASE WHEN query_id % 5 = 2 AND rank = 1 THEN 'other' ELSE 'bm25-v1' END AS method FROM ranked),
+            e AS (SELECT * FROM d UNION ALL SELECT query_id, passage_id, 11, score, method FROM d WHERE query_id % 5 = 3 AND rank = 1),
+            o AS (SELECT *, row_number() OVER w AS nth, lag(score) OVER w AS ls, lag(passage_id) OVER w AS lp FROM e WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+            SELECT query_id, 'rank_gap' AS problem FROM o WHERE rank <> nth UNION SELECT query_id, 'beyond_k' FROM o WHERE rank > 10 UNION SELECT query_id, 'score_order' FROM o WHERE score > ls UNION SELECT query_id, 'tie_order' FROM o WHERE score = ls AND passage_id < lp
+            UNION SELECT query_id, 'duplicate_passage' FROM e GROUP BY query_id, passage_id HAVING count(*) > 1 UNION SELECT query_id, 'mixed_methods' FROM e GROUP BY query_id HAVING count(DISTINCT method) > 1""",
+        "snapshot_violations": f"""WITH {_ranked(10)} SELECT query_id, passage_id, CASE lang WHEN 'es' THEN 'unknown_passage' WHEN 'fr' THEN 'other_paper' ELSE 'other_text' END AS problem
+            FROM ranked JOIN documents ON doc_id = passage_id WHERE lang IN ('es', 'fr', 'de')""",
+        "benchmark_violations": """WITH b AS (SELECT 'b-' || item_id AS benchmark_id, item_id % 6 AS kind FROM benchmark)
+            SELECT benchmark_id, unnest(CASE kind WHEN 0 THEN ['corpus_fingerprint'] WHEN 1 THEN ['threshold_k'] WHEN 2 THEN ['k_not_increasing', 'repeated_threshold'] WHEN 3 THEN ['repeated_query'] WHEN 4 THEN ['blank_query'] ELSE ['repeated_judgment'] END) AS problem FROM b""",
+        "generation_digests": f"""WITH {_EVIDENCE} SELECT request_id || '-' || citation_id AS case_id, citation_id AS citation_ids, false AS abstained, 'descriptive' AS finding_kinds, 'sha256:' || sha256('{{"abstained":false,"abstention_reason":null,"answer_text":' || {_json('text')}
+            || ',"citations":[{{"citation_id":"' || citation_id || '","paper_id":"' || paper_id || '","passage_id":"' || paper_id || '"}}],"claims":[{{"citation_ids":["' || citation_id || '"],"text":' || {_json('text')} || '}}],"finding_kinds":["descriptive"],"generation_method":"stand-in"}}') AS response_digest FROM evidence""",
         "result_digest": f"""WITH {_ranked(10)}, q AS (SELECT query_id, '{{"query_id":"' || query_id || '","results":[' || string_agg('{{"passage_id":"' || passage_id || '","rank":' || rank || ',"retrieval_method":"bm25-v1"}}', ',' ORDER BY rank) || ']}}' AS t FROM ranked GROUP BY query_id)
             SELECT 'sha256:' || sha256('{{"queries":[' || string_agg(t, ',' ORDER BY query_id) || '],"schema_version":1}}') AS digest FROM q""",
         "citations_by_paper": f"""WITH {_ranked(5)}, g AS (SELECT query_id AS request_id, source AS paper_id, min(rank) AS best_rank, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) AS ranks FROM ranked JOIN documents ON doc_id = passage_id GROUP BY ALL)
@@ -194,6 +217,8 @@ def all_twins() -> dict[str, str]:
               WHEN 'replacement_characters' THEN replacements > 0 WHEN 'repeated_characters' THEN repeated > 0 WHEN 'severe_page_imbalance' THEN non_whitespace = max_page
               WHEN 'empty_pages' THEN is_empty WHEN 'all_pages_empty' THEN is_empty WHEN 'high_empty_page_ratio' THEN is_empty ELSE false END), '') AS pages
             FROM w JOIN flagged f ON f.doc_id = w.doc_id GROUP BY w.doc_id, warning""",
+        "measure_violations": """WITH n AS (SELECT source AS doc_id, count(*) AS n, sum(length(text)) FILTER (nth = 1) AS first FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents) GROUP BY 1)
+            SELECT doc_id, 'characters' AS problem FROM n WHERE doc_id = 'src1' OR (doc_id = 'src2' AND (n = 1 OR first > 0)) UNION ALL SELECT doc_id, 'pages' FROM n WHERE doc_id = 'src2' UNION ALL SELECT doc_id, 'page_numbers' FROM n WHERE doc_id = 'src2' AND n > 1""",
         "passage_split": f"""WITH {_CUT} SELECT paper_id, 'passage-' || sha256('{{"ordinal_position":' || ordinal || ',"paper_id":"' || paper_id || '","section_kind":"document","settings_fingerprint":"{settings_fingerprint()}","text":' || {_json('text')} || '}}') AS passage_id,
             ordinal, start, "end", md5(text) AS text_md5 FROM cut""",
         "passage_stats": f"WITH {_CUT} SELECT paper_id, count(*) AS passages, CAST(sum(length(text)) AS BIGINT) AS characters, max(length(text)) AS longest FROM cut GROUP BY 1",
@@ -201,7 +226,24 @@ def all_twins() -> dict[str, str]:
             p AS (SELECT doc_id, no, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(raw) + CASE WHEN no < n - 1 THEN 1 ELSE 0 END AS size FROM l WHERE NOT (no = n - 1 AND raw = ''))
             SELECT paper_id, no AS page_number, CAST(greatest(start, a) - a AS BIGINT) AS page_start, CAST(least("end", a + size) - a AS BIGINT) AS page_end, CAST(greatest(start, a) - start AS BIGINT) AS passage_start, CAST(least("end", a + size) - start AS BIGINT) AS passage_end
             FROM cut JOIN p ON doc_id = paper_id AND start < a + size AND a < "end" """,
-        "passage_violations": "SELECT CAST(doc_id AS VARCHAR) AS passage_id FROM documents WHERE false",
+        "passage_violations": f"""WITH {_CUT}, p AS (SELECT doc_id, strpos(text, chr(10)) AS second FROM documents)
+            SELECT 'passage-' || sha256('{{"ordinal_position":' || ordinal || ',"paper_id":"' || paper_id || '","section_kind":"document","settings_fingerprint":"{settings_fingerprint()}","text":' || {_json('cut.text')} || '}}') AS passage_id
+            FROM cut JOIN p ON doc_id = paper_id JOIN documents d ON d.doc_id = paper_id
+            WHERE second > 0 AND start < second + coalesce(nullif(strpos(substr(d.text, second + 1), chr(10)), 0), length(d.text)) AND "end" > second""",
+        "record_violations": f"""WITH {_STORED} SELECT * FROM broken""",
+        "valid_records": f"""WITH {_STORED} SELECT lang, count(*) AS papers FROM documents WHERE doc_id NOT IN (SELECT paper_id FROM broken) GROUP BY lang""",
+        "assembled_records": f"""WITH {_CUT}, n AS (SELECT paper_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS size FROM cut GROUP BY 1),
+            f AS (SELECT paper_id, CASE WHEN source = 'src1' AND ordinal = 0 THEN 90000 ELSE ordinal END AS place, 'passage-' || sha256('{{"ordinal_position":' || ordinal || ',"paper_id":"' || paper_id || '","section_kind":"document","settings_fingerprint":"{settings_fingerprint()}","text":' || {_json('cut.text')} || '}}') AS id FROM cut JOIN documents ON doc_id = paper_id)
+            SELECT doc_id AS paper_id, coalesce(n, 0) AS passages, coalesce(n, 0) AS fragments, coalesce(size, 0) AS characters, (SELECT min_by(id, place) FROM f WHERE f.paper_id = doc_id) AS first_passage FROM documents LEFT JOIN n ON n.paper_id = doc_id""",
+        "completion_violations": """SELECT doc_id AS paper_id, 'passage_count' AS problem FROM documents WHERE source = 'src1'
+            UNION ALL SELECT d.doc_id, 'warning_count' FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id WHERE coalesce(n, 0) <> 1""",
+        "evidence_violations": """WITH l AS (SELECT doc_id, source, no, raw || CASE WHEN no < n - 1 THEN chr(10) ELSE '' END AS raw, a FROM (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM (
+              SELECT doc_id, source, unnest(ls) AS raw, unnest(range(0, len(ls))) AS no, len(ls) AS n FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents))) WHERE NOT (no = n - 1 AND raw = ''))
+            SELECT doc_id AS paper_id, CASE source WHEN 'src0' THEN 'outside' ELSE 'wrong_text' END AS problem, no AS page, CAST(a + CASE source WHEN 'src0' THEN length(raw) ELSE 0 END AS BIGINT) AS start FROM l WHERE source = 'src0' OR (source = 'src1' AND upper(left(raw, 10)) <> left(raw, 10))""",
+        "resolved_citations": f"""WITH {_EVIDENCE} SELECT request_id, citation_id, CASE WHEN rank = 3 AND request_id % 2 = 0 THEN NULL ELSE source END AS title,
+            CASE WHEN rank = 2 THEN 'changed' WHEN rank = 3 AND request_id % 2 = 0 THEN 'unknown_paper' WHEN rank = 3 THEN 'unknown_passage' END AS problem FROM evidence JOIN documents ON doc_id = paper_id""",
+        "claim_titles": f"""WITH {_EVIDENCE}, t AS (SELECT request_id, source, min(CASE rank WHEN 3 THEN 0 ELSE rank END) AS place FROM evidence JOIN documents ON doc_id = paper_id GROUP BY ALL)
+            SELECT request_id, 0 AS claim_index, string_agg(source, ',' ORDER BY place) AS titles FROM t GROUP BY 1""",
         "preflight_duplicates": f"WITH {_CHECKED} SELECT * FROM checked",
         "preflight_counts": f"WITH {_CHECKED} SELECT count(*) AS total, count(*) FILTER (NOT is_stored AND NOT is_batch_duplicate) AS new, count(*) FILTER (is_stored) AS stored, count(*) FILTER (is_batch_duplicate) AS duplicates FROM checked",
         "stored_semi_join": f"WITH {_FILES} SELECT path, size FROM files WHERE sha256 IN (SELECT sha256 FROM files WHERE source = 'src1')",
@@ -217,6 +259,9 @@ def all_twins() -> dict[str, str]:
         "library_upsert_if_changed": "SELECT doc_id AS paper_id, lang, CASE WHEN lang = 'de' THEN n_chars + 1 ELSE n_chars END AS size, CAST(CASE WHEN lang = 'de' THEN 9 ELSE 1 END AS BIGINT) AS updated_at FROM documents",
         "library_cascade_delete": "SELECT 'papers' AS table_name, count(*) AS rows FROM documents WHERE lang <> 'fr' UNION ALL SELECT 'labels', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')",
         "library_latest": "SELECT checksum, updated_at, analysis_id FROM (SELECT source AS checksum, n_chars AS updated_at, doc_id AS analysis_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS nth FROM documents) WHERE nth = 1",
+        "library_save": """WITH l AS (SELECT doc_id, count(*) AS n, sum(quality) AS q FROM labels GROUP BY 1)
+            SELECT lang, count(*) AS papers, 1::BIGINT AS newest, CAST(CASE lang WHEN 'fr' THEN count(*) ELSE coalesce(sum(n), 0) END AS BIGINT) AS labels, CAST(CASE lang WHEN 'fr' THEN count(*) * 7 ELSE coalesce(sum(q), 0) END AS BIGINT) AS quality
+            FROM documents LEFT JOIN l USING (doc_id) WHERE lang <> 'de' GROUP BY lang""",
         "library_differences": "SELECT CASE lang WHEN 'de' THEN 'left' ELSE 'right' END AS side, lang, count(*) AS rows FROM documents WHERE lang IN ('de', 'es') GROUP BY ALL",
         "fk_violations": "SELECT 'unknown_paper' AS problem, CAST(doc_id AS VARCHAR) AS subject FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'de')",
         "grounding_leaks": f"WITH {_EVIDENCE} SELECT request_id, claim_index, term, position, array_to_string(papers, ',') AS papers FROM leaks",
@@ -225,6 +270,10 @@ def all_twins() -> dict[str, str]:
         "citation_semi": f"WITH {_EVIDENCE} SELECT DISTINCT request_id, citation_id, paper_id FROM evidence WHERE citation_id = 'e1' AND request_id IN (SELECT request_id FROM grounded WHERE grounded)",
         "follow_up_flag": f"""WITH {_TURNS}, w AS (SELECT *, regexp_extract_all(lower(question), '[a-z0-9]+') AS ws FROM history)
             SELECT conv_id, turn, earlier IS NOT NULL AND (list_has_any(ws, {_list(REFERRING)}) OR array_to_string(ws[1:2], ' ') IN ({', '.join(f"'{a} {b}'" for a, b in OPENERS)})) AS needs_context FROM w""",
+        "follow_up_strict": f"""WITH {_TURNS}, {_FLAGGED} SELECT conv_id, turn, needs_context FROM flagged""",
+        "follow_up_rewrite": rf"""WITH {_TURNS}, {_FLAGGED} SELECT f.conv_id, f.turn, md5(CASE WHEN needs_context THEN regexp_replace(t.question, '^[{_SPACES}]+|[{_SPACES}]+$', '', 'g') || ' ' ELSE '' END || regexp_replace(f.question, '^[{_SPACES}]+|[{_SPACES}]+$', '', 'g')) AS resolved_md5
+            FROM flagged f LEFT JOIN turns t ON t.conv_id = f.conv_id AND t.turn = f.earlier[-1]""",
+        "runtime_error_line": r"""SELECT conv_id, turn, md5(CASE WHEN role = 'user' THEN left(trim(replace(text, chr(10), ' ')), 200) ELSE '' END) AS message_md5 FROM conversations""",
         "history_window": f"WITH {_TURNS} SELECT conv_id, turn, coalesce(array_to_string(earlier[-2:], ','), '') AS history FROM history",
         "stream_history": f"""WITH {_TURNS}, w AS (SELECT *, regexp_extract_all(lower(question), '[a-z0-9]+') AS ws FROM history)
             SELECT conv_id, turn, CAST(least(coalesce(len(earlier), 0), 2) AS INT) AS held, earlier IS NOT NULL AND (list_has_any(ws, {_list(REFERRING)}) OR array_to_string(ws[1:2], ' ') IN ({', '.join(f"'{a} {b}'" for a, b in OPENERS)})) AS needs_context FROM w""",
@@ -233,7 +282,7 @@ def all_twins() -> dict[str, str]:
         "column_width": f"""WITH {_ONE_PAGE}, c AS (SELECT a.doc_id, a.idx, list_sort(list(length(b.trimmed)) FILTER (b.trimmed <> '' AND b.idx <> a.idx)) AS near_lengths
               FROM lines a JOIN lines b ON b.doc_id = a.doc_id AND b.idx BETWEEN a.idx - 8 AND a.idx + 8 GROUP BY ALL)
             SELECT doc_id, idx, CASE WHEN len(near_lengths) >= 4 THEN near_lengths[len(near_lengths) * 3 // 4 + 1] END AS width FROM c""",
-        "running_headers": rf"""WITH paged AS (SELECT source AS doc_id, doc_id AS page, text FROM documents), {_LINES},
+        "running_headers": rf"""WITH paged AS (SELECT source AS doc_id, doc_id AS page, CASE WHEN doc_id % 3 > 0 THEN 'Working Papers of ' || source || ' ' || doc_id || chr(10) || chr(10) ELSE '' END || text AS text FROM documents), {_LINES},
             total AS (SELECT source AS doc_id, count(*) AS n FROM documents GROUP BY 1),
             short AS (SELECT doc_id, page, trimmed, regexp_replace(regexp_replace(trimmed, '^[0-9]+\s*|\s*[0-9]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS bare FROM near WHERE trimmed <> '' AND length(trimmed) < 100 AND (prev_blank OR next_blank OR first_on_page OR last_on_page)),
             both_forms AS (SELECT doc_id, page, unnest([trimmed, bare]) AS header FROM short WHERE bare <> '')

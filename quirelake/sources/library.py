@@ -27,6 +27,38 @@ class SchemaVersionError(RuntimeError):
     """The library is older or newer than this code, or not initialised."""
 
 
+class ChecksumConflictError(RuntimeError):
+    """A file's checksum belongs to another paper."""
+
+
+class MigrationError(RuntimeError):
+    """The library holds rows that a newer schema cannot take over."""
+
+
+class ReadBackError(RuntimeError):
+    """What was read back is not what was written."""
+
+
+def _lower_checksums(library: Library) -> dict[str, DataFrame]:
+    """Version 2: checksums in lower case, one paper each. Papers without a source are not given one."""
+    if "papers" not in library.manifest()["tables"]:
+        return {}
+    papers = library.table("papers")
+    if "checksum" not in papers.columns:
+        return {}
+    if "source_path" not in papers.columns or papers.filter("source_path is null").head(1):
+        if papers.head(1):
+            raise MigrationError("papers without a source path; the library must be built anew")
+    lowered = papers.withColumn("checksum", F.lower("checksum"))
+    if lowered.groupBy("checksum").count().filter("count > 1").head(1):
+        raise MigrationError("checksums that differ in letter case only; the library must be built anew")
+    return {"papers": lowered}
+
+
+#: what each schema version changes
+MIGRATIONS = [lambda _: {}, _lower_checksums]
+
+
 class Library:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -73,7 +105,7 @@ class Library:
         A migration takes the library and returns the tables that it changes.
         Opened read-only, a library must be at the current schema version.
         """
-        steps = migrations if migrations is not None else [lambda _: {}] * SCHEMA_VERSION
+        steps = migrations if migrations is not None else MIGRATIONS
         at = self.manifest()["schema_version"] if self.versions() else 0
         if at > len(steps):
             raise SchemaVersionError(f"schema version {at} is newer than {len(steps)}")
@@ -107,6 +139,56 @@ class Library:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.root}/{folder}")
 
+    def paper(self, paper_id: str) -> DataFrame:
+        return self.table("papers").filter(F.col("paper_id") == paper_id)
+
+    def paper_by_checksum(self, checksum: str) -> DataFrame:
+        """The paper of a file digest, whatever its letter case."""
+        return self.table("papers").filter(F.lower("checksum") == checksum.lower())
+
+    def passages(self, paper_id: str) -> DataFrame:
+        return self.table("passages").filter(F.col("paper_id") == paper_id).orderBy("ordinal")
+
+    def paper_ids(self) -> DataFrame:
+        return self.table("papers").select("paper_id").orderBy("paper_id")
+
+    def analyses(self, checksum: str | None = None) -> DataFrame:
+        """Stored analyses, newest first; of one file's checksum if given."""
+        held = self.table("analyses")
+        chosen = held if checksum is None else held.filter(F.lower("checksum") == checksum.lower())
+        return chosen.orderBy(F.desc("updated_at"), F.desc("analysis_id"))
+
+    # writing papers
+
+    def save_papers(self, papers: DataFrame, children: dict[str, DataFrame], keep: list[str] | None = None, key: str = "paper_id") -> int:
+        """Puts papers with all their child rows in place of older ones of the same ids, as one version.
+
+        Fails, without writing, if a checksum belongs to another paper, stored
+        or new. Columns in ``keep`` retain the stored value. What was written is
+        read back and compared.
+        """
+        base = self.manifest()["version"]
+        held = self.table("papers", papers.schema)
+        owners = papers.select(key, F.lower("checksum").alias("checksum")).union(held.select(key, F.lower("checksum").alias("checksum")))
+        taken = owners.groupBy("checksum").agg(F.count_distinct(key).alias("owners"), F.min(key).alias("owner")).filter("owners > 1").orderBy("checksum").head(1)
+        if taken:
+            raise ChecksumConflictError(f"checksum {taken[0]['checksum']} belongs to {taken[0]['owner']}")
+        changes = {"papers": upsert(held, papers.withColumn("checksum", F.lower("checksum")), [key], keep)}
+        for name, rows in children.items():
+            changes[name] = self.table(name, rows.schema).join(papers.select(key), key, "left_anti").unionByName(rows)
+        version = self.commit(changes, base=base)
+        for name, rows in children.items():
+            back = self.table(name, version=version).join(papers.select(key), key, "left_semi").select(*rows.columns)
+            if differences(back, rows).head(1):
+                raise ReadBackError(f"{name} of version {version} differs from what was saved")
+        return version
+
+    def delete_papers(self, gone: DataFrame, key: str = "paper_id") -> int:
+        """Deletes papers and their rows in all tables that have the key, as one version."""
+        base = self.manifest()
+        tables = {name: self.table(name) for name in base["tables"]}
+        return self.commit(cascade_delete({n: t for n, t in tables.items() if key in t.columns}, gone, key), base=base["version"])
+
     def status(self) -> dict:
         """What an inspection shows: missing, outdated, incompatible or ready, and row counts of a ready one."""
         if not self.versions():
