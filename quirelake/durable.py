@@ -53,3 +53,8 @@ def unpartitioned(key: str) -> Column:
     recognised; both sides are plain shuffles, which adaptive execution can split.
     """
     return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
+
+
+def unpartitioned_text(key: str) -> Column:
+    """The same for a string column."""
+    return F.concat(F.col(key), F.lit(""))

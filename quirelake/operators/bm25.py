@@ -113,12 +113,16 @@ def _known_questions(passages: DataFrame, questions: DataFrame, key: str, text:
     size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).head()
     if size["n"] * max(size["terms"], 1) > DENSE_CELLS:
         return None
-    terms = wanted.select(F.explode("terms").alias("term")).distinct()
-    # the number of terms is bounded by the check above
+    # the number of terms is bounded by the check above; the empty term, which every passage has once, stands for the totals
+    terms = wanted.select(F.explode("terms").alias("term")).distinct().union(passages.sparkSession.createDataFrame([("",)], "term string"))
     occurring = tokenised(passages, key, text, tokenizer).select(F.size("tokens").alias("dl"), F.array_distinct("tokens").alias("tokens"))
-    counted = occurring.select(F.explode("tokens").alias("term")).join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    statistics = corpus_statistics(passages, key, text, tokenizer)
-    idf = counted.crossJoin(F.broadcast(statistics)).select("term", "avgdl", inverse_document_frequency(F.col("n"), F.col("df")).alias("idf")).orderBy("term").collect()
+    every = F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term")
+    counted = occurring.select("dl", every).join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("tokens")).collect()
+    totals = next((r for r in counted if r["term"] == ""), None)
+    average = totals["tokens"] / totals["df"] if totals else 0.0
+    found = sorted((r["term"], r["df"]) for r in counted if r["term"] != "")
+    rated = passages.sparkSession.createDataFrame(found, "term string, df long")
+    idf = rated.select("term", F.lit(average).alias("avgdl"), inverse_document_frequency(F.lit(totals["df"] if totals else 0), F.col("df")).alias("idf")).collect()
     number = {r["term"]: k for k, r in enumerate(idf)}
     asked = wanted.collect()
     return _Questions([r["query_id"] for r in asked], list(number), [r["idf"] for r in idf], [[number[t] for t in r["terms"] if t in number] for r in asked], idf[0]["avgdl"] if idf else 0.0, to_arrow_type(wanted.schema["query_id"].dataType))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.durable import durable
 from quirelake.functions.text import canonical_text
-from quirelake.operators.ranking import running_total
+from quirelake.operators.ranking import numbered, running_total
 
 METRICS = ("hit_rate", "recall", "mrr")
 
@@ -184,15 +184,14 @@ def scaled_corpus(passages: DataFrame, target: int) -> DataFrame:
     count = passages.count()
     if isinstance(target, bool) or target < count or not count:
         raise ValueError("the target must be at least the number of passages, which must not be 0")
-    numbered = running_total(passages, ["passage_id"]).withColumn("i", F.col("upto") - 1).drop("upto")
+    placed = running_total(passages, ["passage_id"]).withColumn("i", F.col("upto") - 1).drop("upto")
     extra = spark.range(count, target).select((F.col("id") % count).alias("i"), (F.col("id") + 1).alias("v"))
     top = passages.groupBy("paper_id").agg(F.max("ordinal").alias("top"))
-    made = extra.join(numbered, "i").join(top, "paper_id")
-    nth = F.row_number().over(Window.partitionBy("paper_id").orderBy("v"))
-    made = made.select(
+    made = extra.join(placed, "i").join(top, "paper_id")
+    made = numbered(made.withColumn("paper_id", F.col("paper_id").cast("string")), "paper_id", ["v"]).select(
         F.concat(F.format_string("scale-%08d-", "v"), F.col("passage_id").cast("string")).alias("passage_id"),
         "paper_id",
         F.concat("text", F.lit("\n\nSynthetic resource-scaling variant "), F.col("v").cast("string"), F.lit(".")).alias("text"),
-        (F.col("top") + nth).cast("long").alias("ordinal"),
+        (F.col("top") + F.col("nth")).cast("long").alias("ordinal"),
     )
     return passages.select(F.col("passage_id").cast("string").alias("passage_id"), "paper_id", "text", F.col("ordinal").cast("long").alias("ordinal")).unionByName(made)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.durable import unpartitioned_text
+from quirelake.operators.ranking import numbered
 
 def preflight(files: DataFrame, stored: DataFrame, path: str = "path", checksum: str = "sha256", size: str = "size") -> DataFrame:
     """(path, size, sha256, is_stored, is_batch_duplicate, duplicate_of), the first path of equal digests being the original.
 
     ``stored`` (checksum) is matched without regard to case.
     """
-    known = stored.select(F.lower("checksum").alias("known")).distinct().withColumn("is_stored", F.lit(True))
-    # the smallest path of a digest by a pre-aggregated min: copies are never gathered
-    first = files.groupBy(F.col(checksum).alias("digest")).agg(F.min(path).alias("first"))
+    known = stored.select(F.lower("checksum").alias("known")).distinct().select(unpartitioned_text("known").alias("known"), F.lit(True).alias("is_stored"))
+    # the smallest path of a digest by a pre-aggregated min: copies are never gathered, and the join with it may be split
+    first = files.groupBy(F.col(checksum).alias("digest")).agg(F.min(path).alias("first")).select(unpartitioned_text("digest").alias("digest"), "first")
     joined = files.join(first, F.col(checksum) == F.col("digest")).join(known, F.lower(F.col(checksum)) == F.col("known"), "left")
     copy = F.col(path) != F.col("first")
     return joined.select(
@@ -86,5 +88,5 @@ def exit_code(results: DataFrame) -> DataFrame:
 
 
 def first_paths(files: DataFrame, path: str = "path", checksum: str = "sha256") -> DataFrame:
-    """Files numbered within equal digests by path."""
-    return files.withColumn("nth", F.row_number().over(Window.partitionBy(checksum).orderBy(path)))
+    """Files numbered within equal digests by path, which is unique."""
+    return numbered(files, checksum, [path])

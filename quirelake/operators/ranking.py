@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.durable import durable
+from quirelake.durable import durable, unpartitioned_text
 
 
 def running_total(rows: DataFrame, order: list[str], weight: Column | None = None, name: str = "upto") -> DataFrame:
@@ -24,3 +24,15 @@ def running_total(rows: DataFrame, order: list[str], weight: Column | None = Non
     shift = rows.sparkSession.createDataFrame(table or [(0, 0)], "__part int, __before long")
     own = F.sum(amount).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return spread.join(F.broadcast(shift), "__part").withColumn(name, own + F.col("__before")).drop("__part", "__before")
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str = "nth") -> DataFrame:
+    """``rows`` numbered from 1 within equal values of the string column ``group``, in ``order``, which is total within a group.
+
+    The number is the row's place in the whole order less the group's: no task
+    needs a group's rows together.
+    """
+    placed = running_total(rows, [group, *order], name="__place")
+    before = placed.groupBy(group).agg((F.min("__place") - 1).alias("__before")).select(unpartitioned_text(group).alias("__group"), "__before")
+    joined = placed.join(before, F.col(group).eqNullSafe(F.col("__group")))
+    return joined.select(*rows.columns, (F.col("__place") - F.col("__before")).cast("int").alias(name))

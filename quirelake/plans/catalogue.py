@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.durable import durable
 from quirelake.functions import text as T
 from quirelake.operators import benchmarks, bm25, contracts, conversation, evaluate, generate, grounding, passages, preflight, quality, records, sections
+from quirelake.operators.ranking import numbered
 from quirelake.plans import twins
 from quirelake.session import spread, table
 from quirelake.sources import library
@@ -68,8 +69,7 @@ def bm25_b_zero(spark: SparkSession, folder: str) -> DataFrame:
 def bm25_single_query_limit(spark: SparkSession, folder: str) -> DataFrame:
     """The best five passages for one question, as an ordered limit."""
     one = spark.createDataFrame([(0, "the road of this and that")], "query_id long, query string")
-    scored = bm25.scores(_passages(spark, folder), one)
-    return scored.orderBy(F.desc("score"), "passage_id").limit(5).select("query_id", "passage_id", "score")
+    return bm25.retrieve(_passages(spark, folder), one, 5, deduplicate=False).orderBy("rank").limit(5).select("query_id", "passage_id", "score")
 
 
 def bm25_term_freq(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,7 +205,9 @@ def benchmark_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scaling_corpus_counts(spark: SparkSession, folder: str) -> DataFrame:
-    base = _documents(spark, folder).select(F.col("doc_id").alias("passage_id"), F.col("source").alias("paper_id"), "text", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("ordinal"))
+    texts = _documents(spark, folder).select(F.col("doc_id").alias("passage_id"), F.col("source").alias("paper_id"), "text")
+    ordinals = numbered(texts.select("paper_id", "passage_id"), "paper_id", ["passage_id"]).select("passage_id", (F.col("nth") - 1).alias("ordinal"))
+    base = texts.join(ordinals, "passage_id")
     scaled = evaluate.scaled_corpus(base, base.count() * 5 // 2)
     return scaled.groupBy("paper_id").agg(F.count(F.lit(1)).alias("passages"), F.max("ordinal").alias("last_ordinal"), F.count_distinct("ordinal").alias("ordinals"), F.sum(F.length("text")).alias("characters"))
 
@@ -214,8 +216,8 @@ def scaling_corpus_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, folder: str) -> DataFrame:
-    numbered = _documents(spark, folder).select("source", "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_number"))
-    return quality.page_quality(numbered, doc="source")
+    measured = quality.page_quality(_documents(spark, folder), doc="source", page="doc_id")
+    return numbered(measured, "doc_id", ["page_number"]).withColumn("page_number", F.col("nth")).drop("nth")
 
 
 def page_quality(spark: SparkSession, folder: str) -> DataFrame:
