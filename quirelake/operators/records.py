@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.operators.passages import passage_id, settings_fingerprint
+from quirelake.operators.passages import convert_sections, passage_id, settings_fingerprint
+from quirelake.sources.library import differences
 
 #: fixed values: the order of section kinds
 SECTION_ORDER = ("abstract", "introduction")
@@ -190,6 +191,12 @@ def section_violations(detected: DataFrame, order: list[str]) -> DataFrame:
     return _named(detected, tests, "doc_id")
 
 
+def reconversion_differences(stored: DataFrame, detected: DataFrame, budget: int) -> DataFrame:
+    """Rows (side, paper_id, passage_id, kind, ordinal, text) that only the stored passages or only a conversion run anew have: none if the record stands for its source."""
+    columns = ["paper_id", "passage_id", "kind", "ordinal", "text"]
+    return differences(stored.select(*columns), convert_sections(detected, budget).select(*columns))
+
+
 def completion_violations(records: DataFrame, passages: DataFrame, warnings: DataFrame) -> DataFrame:
     """(paper_id, problem): records (paper_id, passage_count, warning_count) whose counts differ from the stored rows."""
     counts = records

@@ -183,6 +183,19 @@ class Library:
                 raise ReadBackError(f"{name} of version {version} differs from what was saved")
         return version
 
+    def save_analyses(self, analyses: DataFrame, key: str = "analysis_id", stamp: str = "updated_at") -> int:
+        """Puts analyses in place of older ones; those that change nothing keep their stamp."""
+        base = self.manifest()["version"]
+        return self.commit({"analyses": upsert_if_changed(self.table("analyses", analyses.schema), analyses, [key], stamp)}, base=base)
+
+    def analysis(self, analysis_id: str) -> DataFrame:
+        return self.table("analyses").filter(F.col("analysis_id") == analysis_id)
+
+    def delete_analyses(self, gone: DataFrame) -> int:
+        """Deletes the analyses whose analysis_id is in ``gone``."""
+        base = self.manifest()["version"]
+        return self.commit({"analyses": self.table("analyses").join(gone.select("analysis_id"), "analysis_id", "left_anti")}, base=base)
+
     def delete_papers(self, gone: DataFrame, key: str = "paper_id") -> int:
         """Deletes papers and their rows in all tables that have the key, as one version."""
         base = self.manifest()

@@ -15,23 +15,41 @@ from quirelake.shipping import shipped
 Extractor = Callable[[bytes], tuple[list[str | None], dict[str, str]]]
 
 METADATA = ("title", "author", "subject", "keywords", "creator", "producer", "creation_date", "modification_date")
-PAGES = "path string, page_number int, page_count int, text string, metadata map<string,string>, error string"
+PAGES = "path string, page_number int, page_count int, text string, metadata map<string,string>, error string, error_kind string"
+
+
+class EncryptedError(ValueError):
+    """The empty password does not open the file."""
+
+
+class MalformedError(ValueError):
+    """The file is no readable PDF."""
+
+
+def _kind(problem: Exception) -> str:
+    return "encrypted" if isinstance(problem, EncryptedError) else "malformed" if isinstance(problem, MalformedError) else "parser"
 
 
 def extract_with_pypdf(content: bytes) -> tuple[list[str | None], dict[str, str]]:
     """Page texts by the ``pypdf`` package; an encrypted file is tried with the empty password only."""
     import pypdf
 
-    reader = pypdf.PdfReader(io.BytesIO(content))
-    if reader.is_encrypted and not reader.decrypt(""):
-        raise ValueError("encrypted")
-    raw = reader.metadata or {}
+    #: fixed values: the keys of a document's information dictionary
     keys = ("/Title", "/Author", "/Subject", "/Keywords", "/Creator", "/Producer", "/CreationDate", "/ModDate")
-    return [page.extract_text() for page in reader.pages], {name: str(raw[key]) for name, key in zip(METADATA, keys, strict=True) if raw.get(key)}
+    try:
+        reader = pypdf.PdfReader(io.BytesIO(content), strict=True)
+        if reader.is_encrypted and not reader.decrypt(""):
+            raise EncryptedError("a password is needed")
+        raw = reader.metadata or {}
+        return [page.extract_text() for page in reader.pages], {name: str(raw[key]) for name, key in zip(METADATA, keys, strict=True) if raw.get(key) is not None}
+    except (pypdf.errors.FileNotDecryptedError, pypdf.errors.WrongPasswordError) as problem:
+        raise EncryptedError(str(problem)) from problem
+    except pypdf.errors.PdfReadError as problem:
+        raise MalformedError(str(problem)) from problem
 
 
 def pages_of(files: DataFrame, extractor: Extractor = extract_with_pypdf) -> DataFrame:
-    """The pages of files (path, content). A file that fails gives one row with its error and no page."""
+    """The pages of files (path, content). A file that fails gives one row with its error, the error's kind (encrypted, malformed, parser) and no page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,10 +58,10 @@ def pages_of(files: DataFrame, extractor: Extractor = extract_with_pypdf) -> Dat
                 try:
                     texts, metadata = extractor(content.as_py() or b"")
                     clean = [(t or "").replace("\r\n", "\n").replace("\r", "\n") for t in texts]
-                    rows = [(path.as_py(), n, len(clean), t, list(metadata.items()), None) for n, t in enumerate(clean, 1)] or [(path.as_py(), None, 0, None, list(metadata.items()), None)]
+                    rows = [(path.as_py(), n, len(clean), t, list(metadata.items()), None, None) for n, t in enumerate(clean, 1)] or [(path.as_py(), None, 0, None, list(metadata.items()), None, None)]
                 except Exception as problem:  # one file never ends the batch
-                    rows = [(path.as_py(), None, None, None, None, f"{type(problem).__name__}: {problem}")]
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
+                    rows = [(path.as_py(), None, None, None, None, f"{type(problem).__name__}: {problem}", _kind(problem))]
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in PAGES.split(", ")])
 
     return shipped(files).select("path", "content").mapInArrow(run, PAGES)

@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
+import stat
+import tarfile
+import zipfile
 
 import pytest
 
 from quirelake.functions import text as T
 from quirelake.operators import benchmarks, bm25, conversation, evaluate, generate, passages, records, sections
-from quirelake.sources import corpora
+from quirelake.sources import archives, corpora, pdf
 from quirelake.sources.library import ChecksumConflictError, Library, MigrationError
 
 F = pytest.importorskip("pyspark.sql.functions")
@@ -253,3 +257,67 @@ def test_old_libraries_are_taken_over_or_refused(spark, tmp_path):
         with pytest.raises(MigrationError):
             store.initialise()
         assert store.manifest()["schema_version"] == 1
+
+
+def test_analyses_are_stored_and_found(spark, tmp_path):
+    store = Library(spark, f"file://{tmp_path}/library")
+    store.initialise()
+    rows = lambda *r: spark.createDataFrame(r, "analysis_id string, checksum string, status string, updated_at int")
+    store.save_analyses(rows(("a", "C1", "completed", 1), ("b", "c1", "halted", 1), ("c", "d", "failed", 1)))
+    store.save_analyses(rows(("a", "C1", "completed", 9), ("b", "c1", "completed", 9)))
+    assert [(r.analysis_id, r.updated_at) for r in store.analyses("c1").collect()] == [("b", 9), ("a", 1)]
+    store.delete_analyses(rows(("b", "", "", 0)))
+    assert [r.analysis_id for r in store.analyses().collect()] == ["c", "a"] and store.analysis("a").count() == 1
+
+
+def test_conversions_are_run_anew(spark):
+    spans = [{"page": 1, "start": 0, "end": 12}]
+    found = spark.createDataFrame([("p", [{"kind": "abstract", "text": "Some words. ", "spans": spans}])], "doc_id string, sections array<struct<kind:string,text:string,spans:array<struct<page:int,start:int,end:int>>>>")
+    stored = passages.convert_sections(found, 100)
+    assert records.reconversion_differences(stored, found, 100).count() == 0
+    assert {r.side for r in records.reconversion_differences(stored.withColumn("text", F.upper("text")), found, 100).collect()} == {"left", "right"}
+
+
+def packed(kind, entries):
+    out = io.BytesIO()
+    if kind == "zip":
+        with zipfile.ZipFile(out, "w") as archive:
+            for name, content in entries:
+                info = zipfile.ZipInfo(name)
+                if content is None:
+                    info.external_attr = (stat.S_IFLNK | 0o777) << 16
+                archive.writestr(info, content or b"")
+    else:
+        with tarfile.open(fileobj=out, mode="w:gz") as archive:
+            for name, content in entries:
+                info = tarfile.TarInfo(name)
+                if isinstance(content, bytes):
+                    info.size = len(content)
+                    archive.addfile(info, io.BytesIO(content))
+                else:
+                    info.type, info.linkname = (tarfile.FIFOTYPE, "") if content is None else (tarfile.DIRTYPE, "") if content == "/" else (tarfile.SYMTYPE, content)
+                    archive.addfile(info)
+    return out.getvalue()
+
+
+def test_archives_are_read_only_if_safe(spark):
+    cases = {
+        "good.zip": packed("zip", [("a/b.txt", b"x"), ("c", b"yy")]), "up.zip": packed("zip", [("a", b"x"), ("../b", b"y")]), "root.zip": packed("zip", [("/b", b"y")]), "drive.zip": packed("zip", [("C:b", b"y")]),
+        "case.zip": packed("zip", [("a/B", b"x"), ("A\\b", b"y")]), "dot.zip": packed("zip", [("a.", b"y")]), "con.zip": packed("zip", [("x/Con.txt", b"y")]), "link.zip": packed("zip", [("a", None)]), "below.zip": packed("zip", [("a", b"x"), ("a/b", b"y")]),
+        "good.tgz": packed("tar", [("./", "/"), ("d", "/"), ("d/a", b"x"), ("d/l", "a"), ("l2", "d/l")]), "loop.tgz": packed("tar", [("a", "b"), ("b", "a")]), "out.tgz": packed("tar", [("a", "../x")]), "pipe.tgz": packed("tar", [("a", None)]), "bad.tgz": b"\x1f\x8bno", "none": None,
+    }
+    found: dict[str, list] = {}
+    for r in archives.members_of(spark.createDataFrame(list(cases.items()), "path string, content binary")).collect():
+        found.setdefault(r.archive, []).append((r.member, bytes(r.content), r.size) if r.problem is None else r.problem.split(":")[0])
+    assert found == {
+        "good.zip": [("a/b.txt", b"x", 1), ("c", b"yy", 2)], "up.zip": ["traversal"], "root.zip": ["absolute"], "drive.zip": ["absolute"], "case.zip": ["duplicate"], "dot.zip": ["name"], "con.zip": ["name"], "link.zip": ["link"], "below.zip": ["below a file"],
+        "good.tgz": [("d/a", b"x", 1), ("d/l", b"x", 1), ("l2", b"x", 1)], "loop.tgz": ["link loop"], "out.tgz": ["link to nothing inside"], "pipe.tgz": ["special"], "bad.tgz": ["damaged"], "none": ["damaged"],
+    }
+
+
+def test_pdf_errors_are_typed(spark):
+    def extractor(content):
+        raise {b"e": pdf.EncryptedError, b"m": pdf.MalformedError}.get(content, KeyError)("why")
+
+    rows = pdf.pages_of(spark.createDataFrame([("a", b"e"), ("b", b"m"), ("c", b"x")], "path string, content binary"), extractor).collect()
+    assert [(r.path, r.error_kind, r.page_number) for r in rows] == [("a", "encrypted", None), ("b", "malformed", None), ("c", "parser", None)]
