@@ -103,6 +103,22 @@ def test_held_out_accuracy_on_driver_tables(spark, data):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
 
 
+def test_quality_verdicts_on_held_out_labels(spark):
+    """Learnt from half of the labels, judged on the other half."""
+    from pathlib import Path
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no driver tables")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string")) % 2 == 1
+    crf = quality_rules.learn(docs, labels.filter(~out))
+    judged = quality_rules.judge_quality(docs, crf, keep=["doc_id"]).join(labels.filter(out), "doc_id").filter("not base_failed").collect()
+    good, bad = ([r for r in judged if r.quality == q] for q in (1, 0))
+    assert len(good) > 100 and sum(r.kept for r in good) / len(good) > 0.97
+    assert len(bad) > 10 and sum(not r.kept for r in bad) / len(bad) > 0.5
+
+
 def test_repeated_rows_teach_once(spark):
     """What reaches the driver is bounded by the sample, not by the number of rows."""
     rows = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"), F.lit("en").alias("lang"))

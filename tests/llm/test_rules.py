@@ -26,9 +26,8 @@ def scan_by_hand(text):
         places += hits
         labels |= {label} if hits else set()
     norm, found = f" {' '.join(words)} ", []
-    if any(g in low for g in license_rules.GATES):
-        for rule in license_rules.RULES:
-            found += [(m.start(), m.end(), rule.priority, rule.label) for m in re.finditer(rf"(?<= )(?:{rule.pattern})(?= )", norm)]
+    for rule in license_rules.RULES:  # all of them, behind no gate or keyword
+        found += [(m.start(), m.end(), rule.priority, rule.label) for m in re.finditer(rf"(?<= )(?:{rule.pattern})(?= )", norm)]
     stays = {
         d[3]
         for k, d in enumerate(found)
@@ -55,7 +54,7 @@ LICENCES = [
 
 
 def test_licence_scan_equals_the_definition(spark):
-    docs = awkward(spark, LICENCES + [" ".join(LICENCES) * 3])
+    docs = awkward(spark, LICENCES + [*BARE] + [" ".join([*LICENCES, *BARE]) * 3])
     out = licenses.scan_licenses(docs)
     rows = out.collect()
     assert len(rows) == docs.count() and "labels" in out.columns
