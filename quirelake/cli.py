@@ -1,14 +1,15 @@
-"""Command line: status, analyze, chat, evaluate. Exit codes: 0 done, 1 nothing to answer or halted, 2 bad input, 3 unexpected."""
+"""Command line: status, analyze, chat, shell, evaluate. Exit codes: 0 done, 1 nothing to answer or halted, 2 bad input, 3 unexpected."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import functions as F
 
 from quirelake import config
-from quirelake.operators import analysis, evaluate, generate, preflight, report
+from quirelake.operators import analysis, conversation, evaluate, generate, preflight, report
 from quirelake.operators.bm25 import retrieve
 from quirelake.session import local_session
 from quirelake.sources import corpora, pdf
@@ -25,6 +26,8 @@ def _parser() -> argparse.ArgumentParser:
     chat = commands.add_parser("chat")
     chat.add_argument("question")
     chat.add_argument("--top-k", type=int, default=None)
+    shell_ = commands.add_parser("shell")
+    shell_.add_argument("--top-k", type=int, default=None)
     commands.add_parser("evaluate").add_argument("folder", help="folder with corpora/ and benchmarks/ of JSON files")
     return parser
 
@@ -55,6 +58,33 @@ def _chat(spark, library: Library, question: str, k: int) -> int:
     return row["exit_code"]
 
 
+def shell(session: generate.ChatSession, lines: Iterable[str], say: Callable[[str], object] = print) -> int:
+    """Asks every line; ``/show`` lists what the last answer cites, ``/reset`` forgets earlier turns, ``/quit`` ends. A question that fails ends nothing."""
+    for line in lines:
+        said = line.strip()
+        if said == "/quit":
+            break
+        if said == "/reset":
+            session.reset()
+            say("forgotten")
+        elif said == "/show":
+            say(", ".join(session.citations) or "nothing to show")
+        elif said.startswith("/"):
+            say("known: /show, /reset, /quit")
+        elif said:
+            try:
+                row = session.ask(said)
+                say((f"(asked: {row['resolved_question']})\n" if row["resolved_question"] else "") + report.chat_text(row, []))
+            except Exception as problem:
+                say(f"failed: {problem}")
+    return 0
+
+
+def _shell(spark, library: Library, k: int) -> int:
+    passages = library.table("passages", "paper_id string, passage_id string, text string").select("paper_id", "passage_id", "text")
+    return shell(generate.ChatSession(passages, resolver=conversation.joining_resolver, k=k), sys.stdin)
+
+
 def _evaluate(spark, folder: str) -> int:
     _, passages, problems = corpora.read_corpora(spark, f"{folder}/corpora")
     queries, judgments, thresholds, unusable = corpora.read_retrieval_benchmarks(spark, f"{folder}/benchmarks")
@@ -79,6 +109,9 @@ def main(arguments: list[str] | None = None) -> int:
         if options.command == "chat":
             library.initialise(read_only=True)
             return _chat(spark, library, options.question, settings["top_k"])
+        if options.command == "shell":
+            library.initialise(read_only=True)
+            return _shell(spark, library, settings["top_k"])
         return _evaluate(spark, options.folder)
     except (ValueError, SchemaVersionError, FileNotFoundError) as problem:
         print(problem, file=sys.stderr)

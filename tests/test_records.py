@@ -9,6 +9,7 @@ import zipfile
 
 import pytest
 
+from quirelake import cli
 from quirelake.functions import text as T
 from quirelake.operators import benchmarks, bm25, conversation, evaluate, generate, passages, records, sections
 from quirelake.sources import archives, corpora, pdf
@@ -207,6 +208,28 @@ def test_a_session_keeps_answered_turns_only(spark):
     assert session.ask("what about those").outcome == "no_matches" and not session.history
 
 
+def test_shell_commands():
+    class Session:
+        def __init__(self):
+            self.citations, self.asked = [], []
+
+        def reset(self):
+            self.citations = []
+
+        def ask(self, question):
+            self.asked.append(question)
+            if question == "boom":
+                raise ValueError("no model")
+            self.citations = ["e1"]
+            return {"outcome": "answered", "answer_text": "Yes.", "exit_code": 0, "resolved_question": "roads it" if question == "it" else None}
+
+    said, session = [], Session()
+    assert cli.shell(session, ["/show", " ", "roads", "/show", "it", "boom", "/what", "/reset", "/show", "/quit", "never"], said.append) == 0
+    assert session.asked == ["roads", "it", "boom"]
+    assert [said[k] for k in (0, 2, 4, 5, 6, 7)] == ["nothing to show", "e1", "failed: no model", "known: /show, /reset, /quit", "forgotten", "nothing to show"]
+    assert "Yes." in said[1] and said[3].startswith("(asked: roads it)")
+
+
 def test_measurement_takes_its_clock(spark):
     ticks = iter(range(1000))
     held = {"x": spark.createDataFrame([(1,)], "a int")}
