@@ -1,16 +1,21 @@
-"""Line deduplication by shortest runs of lines, wholly in Spark expressions.
-
-A text is cut at newlines. A run of consecutive lines is a passage if it has
-two lines or more (or is one line of ``solid_chars``) and ``min_chars``
-characters. A line goes exactly if some passage around it also stands at an
-earlier place that does not overlap it, in the same document or another one;
-places are ordered by (doc_id, text hash, line). So every line that goes has an
-earlier copy that stays.
-
-It is enough to look at the shortest passage that begins at each line and the
-shortest that ends there: if a passage is repeated, each of its lines lies in
-one of these within it. Such windows are matched by a hash, and go after their
-bytes have been compared with those of the first place.
+"""Line deduplication by content-defined chunks of lines, wholly in Spark expressions.
+
+A text is cut at newlines, and chunks of consecutive lines are matched over the
+whole corpus by a hash over their line hashes. Where a chunk begins and ends
+depends on the lines in it alone, so what is inserted before it does not shift
+it. Every line opens a chunk, which ends as soon as it is a passage, and closes
+one, which begins as late as it can: chunks overlap. Boundaries that a rolling
+hash chooses more sparsely (one line in two or four) were measured to leave most
+short passages in, as a passage need not hold a whole chunk; see the README.
+
+A run of consecutive lines is a passage if it has two lines or more (or is one
+line of ``solid_chars``) and ``min_chars`` characters. A line goes exactly if
+some passage around it also stands at an earlier place that does not overlap it,
+in the same document or another one; places are ordered by (doc_id, text hash,
+line). So every line that goes has an earlier copy that stays. It is enough to
+look at the chunks: if a passage is repeated, each of its lines lies in a chunk
+within it. Chunks go after their bytes have been compared with those of the
+first place.
 """
 
 from __future__ import annotations
@@ -126,3 +131,21 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without their repeated passages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: the same by plain SQL, chunks compared as text
+OP6_SQL = rf"""
+WITH l AS (SELECT *, length(line) AS len, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+p AS (SELECT a.doc_id, a.no AS s, b.no AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.no - a.no BETWEEN 1 AND {MIN_CHARS} AND b.off + b.len - a.off >= {MIN_CHARS}),
+w AS (SELECT doc_id, no AS s, no AS e FROM l WHERE len >= {max(SOLID_CHARS, MIN_CHARS)}
+  UNION SELECT doc_id, s, min(e) FROM p SEMI JOIN (SELECT doc_id, no AS s FROM l WHERE len < {max(SOLID_CHARS, MIN_CHARS)}) USING (doc_id, s) GROUP BY doc_id, s
+  UNION SELECT doc_id, max(s), e FROM p SEMI JOIN (SELECT doc_id, no AS e FROM l WHERE len < {max(SOLID_CHARS, MIN_CHARS)}) USING (doc_id, e) GROUP BY doc_id, e),
+t AS (SELECT w.*, substr(text, CAST(a.off AS BIGINT) + 1, CAST(b.off + b.len - a.off AS BIGINT)) AS body FROM w JOIN documents USING (doc_id) JOIN l a ON a.doc_id = w.doc_id AND a.no = s JOIN l b ON b.doc_id = w.doc_id AND b.no = e),
+f AS (SELECT body, doc_id AS fd, s AS fs FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS nth FROM t) WHERE nth = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS no FROM t JOIN f USING (body) WHERE doc_id <> fd OR s > fs + e - s),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text FROM l ANTI JOIN gone USING (doc_id, no) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n > 0 THEN coalesce(kept.text, '') ELSE d.text END AS text, coalesce(n, 0) AS removed_lines, length(CASE WHEN n > 0 THEN coalesce(kept.text, '') ELSE d.text END) AS n_chars
+FROM documents d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quirelake.llm.decontaminate import OP2_SQL, op2_decontamination
 from quirelake.llm.language_id import op1_language_id
 from quirelake.llm.licenses import op7_license_scan
-from quirelake.llm.line_dedup import op6_line_dedup
+from quirelake.llm.line_dedup import OP6_SQL, op6_line_dedup
 from quirelake.llm.lm_score import op5_lm_score
 from quirelake.llm.mixing import op3_source_mix
 from quirelake.llm.near_dedup import OP9_SQL, op9_near_dedup
@@ -36,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_near_dedup": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_url_filter": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_near_dedup": OP9_SQL}

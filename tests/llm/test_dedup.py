@@ -203,13 +203,15 @@ def without(texts, gone):
     return ["\n".join(line for k, line in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in enumerate(texts)]
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize(("least", "solid"), [(48, 96), (10, 30), (0, 1)])
+def test_line_dedup_equals_brute_force(spark, least, solid):
+    """Exact whatever counts as a passage; from 0 and 1 on, every repeated line does."""
     rng = random.Random(11)
     pool = ["", "", "a", "b"] + [f"{k} " + "s" * rng.randint(3, 40) for k in range(8)] + [f"{k} " + "l" * rng.randint(44, 90) for k in range(10)] + [f"{k} " + "x" * 100 for k in range(3)]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25))) for _ in range(80)] + ["a\n" * 120, "a\nb\n" * 60, "\n" * 130, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    gone = repeated_lines(texts)
-    got = {r.doc_id: r for r in dedup_lines(docs).collect()}
+    gone = repeated_lines(texts, least, solid)
+    got = {r.doc_id: r for r in dedup_lines(docs, min_chars=least, solid_chars=solid).collect()}
     assert [got[k].text for k in range(len(texts))] == without(texts, gone)
     assert [got[k].removed_lines for k in range(len(texts))] == [sum(d == k for d, _ in gone) for k in range(len(texts))] and len(gone) > 100
 
@@ -234,6 +236,17 @@ def test_passages_of_light_lines_go_whole(spark):
         assert (got[half + k].text, got[half + k].removed_lines) == ("\n".join([second[0], second[-1]]), len(p))
 
 
+def test_line_dedup_equals_its_sql(spark, data):
+    duckdb = pytest.importorskip("duckdb")
+    from quirelake.llm.line_dedup import OP6_SQL, op6_line_dedup
+
+    engine = duckdb.connect()
+    engine.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = engine.sql(f"SELECT doc_id, text, removed_lines, n_chars FROM ({OP6_SQL})").fetchall()
+    got = [tuple(r) for r in op6_line_dedup(spark, data).select("doc_id", "text", "removed_lines", "n_chars").collect()]
+    assert sorted(got) == sorted(want) and sum(r[2] for r in want) > 20
+
+
 def test_line_dedup_takes_awkward_rows(spark):
     docs = awkward(spark)
     out = dedup_lines(docs)
