@@ -9,12 +9,13 @@ sample of labelled texts, whose lines take the label of their text.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,11 +218,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     start of its text that sorts first is learnt from. At most ``texts`` starts
     of ``chars`` characters for either label reach the driver.
     """
-    order = Window.partitionBy("__quality").orderBy(F.xxhash64("__key"), "__key")
+    drawn = F.xxhash64("__key")
     known = labels.filter(F.col(quality).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(quality).cast("int").alias("__quality")).distinct()
-    chosen = known.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= texts)  # two labels: 2 * texts rows at most, so the broadcast is bounded
-    starts = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).groupBy("__quality", "__rank").agg(F.min(F.substring(text, 1, chars)).alias("t"))
-    return train([(r["t"], r["__quality"]) for r in sorted(starts.collect(), key=lambda r: (r["__quality"], r["__rank"])) if r["t"]])
+    # a sorted limit for either label: each task hands on ``texts`` rows at most; 2 * texts rows in all, so the broadcast is bounded
+    chosen = functools.reduce(DataFrame.union, [known.filter(F.col("__quality") == label).withColumn("__draw", drawn).orderBy("__draw", "__key").limit(texts) for label in (0, 1)])
+    starts = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).groupBy("__quality", "__draw", "__key").agg(F.min(F.substring(text, 1, chars)).alias("t"))
+    return train([(r["t"], r["__quality"]) for r in sorted(starts.collect(), key=lambda r: (r["__quality"], r["__draw"], r["__key"])) if r["t"]])
 
 
 def _judging(crf: Crf, text: int, keep: list[int], names: list[str], min_content: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
