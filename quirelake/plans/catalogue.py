@@ -215,9 +215,14 @@ def scaling_corpus_counts(spark: SparkSession, folder: str) -> DataFrame:
 # quality
 
 
+def _counted(spark: SparkSession, folder: str) -> DataFrame:
+    """The counters of all documents as pages of their source, known by their ids."""
+    return quality.page_quality(_documents(spark, folder), doc="source", page="doc_id")
+
+
 def _measured(spark: SparkSession, folder: str) -> DataFrame:
-    measured = quality.page_quality(_documents(spark, folder), doc="source", page="doc_id")
-    return numbered(measured, "doc_id", ["page_number"]).withColumn("page_number", F.col("nth")).drop("nth")
+    """The same with page numbers."""
+    return numbered(_counted(spark, folder), "doc_id", ["page_number"]).withColumn("page_number", F.col("nth")).drop("nth")
 
 
 def page_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,12 +230,12 @@ def page_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_quality(spark: SparkSession, folder: str) -> DataFrame:
-    out = quality.document_quality(_measured(spark, folder))
+    out = quality.document_quality(_counted(spark, folder))
     return out.select(*[F.round(c, 9).alias(c) if c.endswith("_ratio") else F.col(c) for c in out.columns])
 
 
 def quality_status(spark: SparkSession, folder: str) -> DataFrame:
-    out = quality.quality_status(quality.document_quality(_measured(spark, folder)))
+    out = quality.quality_status(quality.document_quality(_counted(spark, folder)))
     return out.select("doc_id", F.array_join("warnings", ",").alias("warnings"), "status")
 
 
