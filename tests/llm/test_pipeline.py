@@ -60,5 +60,5 @@ def test_every_stage_takes_an_empty_table(spark, folder, name):
 
 def test_registry():
     names = list(registry.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert registry.oracle_sql().keys() <= registry.queries().keys()
