@@ -142,12 +142,12 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row_digest([F.col("doc_id"), F.coalesce("text", F.lit(""))]).alias("mark"))
     links = durable(successors(marked.select("mark", "doc_id", F.length("text").cast("long").alias("n_chars"))))
     links = links.withColumn("swapped", F.expr("n_chars div 4").cast("int"))
+    # the texts are dealt out by mark once, for the sketches of next documents and for the documents themselves
     bodies = marked.groupBy("mark").agg(F.first("text").alias("body"))
-    sketches = durable(fingerprint_documents(marked.select("mark", "text")).groupBy("mark").agg(F.first("sketch").alias("sketch")))
     needed = links.select(F.col("mark").alias("for_mark"), "next_mark", "doc_id", "n_chars", "swapped", "times")
-    heads = bodies.join(needed, F.col("mark") == F.col("next_mark")).select("for_mark", "doc_id", "n_chars", "swapped", "times", F.substring("body", F.lit(1), F.col("swapped")).alias("head"), F.col("mark").alias("next_mark"))
-    heads = heads.join(sketches.select(F.col("mark").alias("sketched"), F.col("sketch").alias("next_sketch")), F.col("next_mark") == F.col("sketched")).drop("sketched", "next_mark")
-    met = bodies.join(heads, F.col("mark") == F.col("for_mark")).join(sketches.select(F.col("mark").alias("own"), "sketch"), F.col("mark") == F.col("own"))
+    following = bodies.join(needed, F.col("mark") == F.col("next_mark"))
+    heads = fingerprint_documents(following, "body").select("for_mark", "doc_id", "n_chars", "swapped", "times", F.substring("body", F.lit(1), F.col("swapped")).alias("head"), F.col("sketch").alias("next_sketch"))
+    met = fingerprint_documents(bodies.join(heads, F.col("mark") == F.col("for_mark")), "body")
     edited = met.select("doc_id", "n_chars", "times", "sketch", "next_sketch", F.concat(F.substring("body", F.lit(1), F.col("n_chars").cast("int") - F.col("swapped")), "head").alias("edited"))
     compared = with_sketch(edited, F.col("edited"), "edited_sketch")
     own, other, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
