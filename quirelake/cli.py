@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import functions as F
 
 from quirelake import config
+from quirelake.durable import durable
 from quirelake.operators import analysis, conversation, evaluate, generate, preflight, report
 from quirelake.operators.bm25 import retrieve
 from quirelake.session import local_session
 from quirelake.sources import corpora, pdf
-from quirelake.sources.library import Library, SchemaVersionError, upsert
+from quirelake.sources.library import Library, SchemaVersionError
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,17 +33,11 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
-def _analyze(spark, library: Library, target: str) -> int:
+def _analyze(spark, library: Library, target: str, generator: generate.Generator) -> int:
     library.initialise()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(target)
     files = files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
-    papers = library.table("papers", "paper_id string, checksum string, title string, source_path string")
-    held = library.table("passages", "paper_id string, passage_id string, kind string, ordinal int, start int, end int, text string, fragments array<struct<page:int,start:int,end:int,passage_start:int,passage_end:int>>")
-    done = analysis.analyze(files, papers.select("checksum"), pdf.extract_with_pypdf, generate.quoting_generator)
-    new_papers, new_passages = analysis.library_rows(done)
-    gone = held.join(new_papers.select("paper_id"), "paper_id", "left_anti")
-    library.commit({"papers": upsert(papers, new_papers, ["paper_id"]), "passages": gone.unionByName(new_passages), "analyses": done})
-    results = done.select(F.col("checksum").alias("sha256"), F.when(F.col("status") == "duplicate", "duplicate").when(F.col("is_stored"), "reuse").otherwise("new").alias("action"), "status", "path", "error")
+    results = durable(analysis.analyze_into(library, files, pdf.extract_with_pypdf, generator))
     print(report.batch_text(preflight.batch_summary(results).head(), results.orderBy("path").limit(report.LIMIT).collect()))
     return preflight.exit_code(results).head()["exit_code"]
 
@@ -105,7 +100,7 @@ def main(arguments: list[str] | None = None) -> int:
             print(report.status_text(library.status()))
             return 0
         if options.command == "analyze":
-            return _analyze(spark, library, options.target)
+            return _analyze(spark, library, options.target, generate.quoting_generator)
         if options.command == "chat":
             library.initialise(read_only=True)
             return _chat(spark, library, options.question, settings["top_k"])

@@ -195,6 +195,14 @@ def _candidates(passages: DataFrame, asked: _Questions, k: int, k1: float, b: fl
     return shipped(rows).mapInArrow(_scoring(asked, k, k1, b, deduplicate), f"query_id {query_type}, passage_id {kind}, sequence string, score double")
 
 
+def ranked(scored: DataFrame, k: int, deduplicate: bool = True) -> DataFrame:
+    """The best k rows of each query_id, with their rank; of one sequence the best only."""
+    best = (F.desc("score"), F.asc("passage_id"))
+    if deduplicate:
+        scored = scored.withColumn("copy", F.row_number().over(Window.partitionBy("query_id", "sequence").orderBy(*best))).filter("copy = 1")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("rank") <= k)
+
+
 def retrieve(
     passages: DataFrame,
     questions: DataFrame,
@@ -223,8 +231,4 @@ def retrieve(
         scored = scores(passages, questions, k1, b, key, text, question_key, question, tokenizer)
     else:
         scored = _candidates(passages, asked, k, k1, b, deduplicate, key, text, dict(questions.dtypes)[question_key], tokenizer)
-    best = (F.desc("score"), F.asc("passage_id"))
-    if deduplicate:
-        scored = scored.withColumn("copy", F.row_number().over(Window.partitionBy("query_id", "sequence").orderBy(*best))).filter("copy = 1")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "passage_id", "score", "rank", F.lit(METHOD).alias("retrieval_method"))
+    return ranked(scored, k, deduplicate).select("query_id", "passage_id", "score", "rank", F.lit(METHOD).alias("retrieval_method"))

@@ -169,6 +169,7 @@ def all_twins() -> dict[str, str]:
     stats = f"SELECT len({_tokens('text')}) AS dl FROM documents"
     return {
         "bm25_topk": _topk(),
+        "bm25_indexed": _topk(),
         "bm25_no_dedup": _topk(dedup=False),
         "bm25_k1_small": _topk(k1=0.6),
         "bm25_b_zero": _topk(b=0.0),
@@ -251,6 +252,11 @@ def all_twins() -> dict[str, str]:
         "checksum_conflicts": f"WITH {_FILES} SELECT sha256 AS checksum, count(*) AS copies FROM files GROUP BY 1 HAVING count(*) > 1",
         "manifest_mismatches": f"WITH {_FILES} SELECT path, CASE source WHEN 'src4' THEN 'missing' WHEN 'src2' THEN 'size' ELSE 'checksum' END AS problem FROM files WHERE source IN ('src2', 'src3', 'src4')",
         "reuse_decision": f"WITH {_FILES} SELECT source AS fingerprint, CASE WHEN source IN ('src0', 'src1') THEN 'reuse' WHEN source = 'src2' THEN 'backfill' ELSE 'new' END AS action, count(*) AS files FROM files GROUP BY ALL",
+        "analysis_reuse": """WITH f AS (SELECT doc_id, lang, sha256(text) AS sha, length(text) - length(replace(text, chr(12), '')) + 1 AS pages FROM documents),
+b AS (SELECT 1 AS batch, * FROM f WHERE lang <> 'en' UNION ALL SELECT 2, * FROM f UNION ALL SELECT 3, * FROM f),
+a AS (SELECT batch, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY batch, sha) THEN 'duplicate' WHEN batch > min(batch) OVER (PARTITION BY sha) THEN 'reuse' ELSE 'new' END AS action FROM b),
+h AS (SELECT x.batch, count(*) AS analyses, sum(pages) AS pages FROM (VALUES (1), (2), (3)) AS x(batch) JOIN (SELECT sha, min(batch) AS batch, any_value(pages) AS pages FROM b GROUP BY sha) y ON y.batch <= x.batch GROUP BY 1)
+SELECT batch, action, count(*) AS files, any_value(analyses) AS analyses, CAST(any_value(pages) AS BIGINT) AS pages FROM a JOIN h USING (batch) GROUP BY batch, action""",
         "batch_summary": f"""WITH {_CHECKED} SELECT count(*) AS discovered, count(DISTINCT sha256) AS unique_files, count(*) FILTER (action = 'new') AS new, count(*) FILTER (action = 'reuse') AS reused, count(*) FILTER (action = 'duplicate') AS duplicates,
             count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'halted') AS halted, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'unexpected') AS unexpected FROM results""",
         "exit_code": f"WITH {_CHECKED} SELECT max(CASE status WHEN 'unexpected' THEN 3 WHEN 'failed' THEN 2 WHEN 'halted' THEN 1 ELSE 0 END) AS exit_code FROM results",
