@@ -91,17 +91,30 @@ def split_passages(docs: DataFrame, budget: int = BUDGET, key: str = "doc_id", t
     return cut.withColumn("passage_id", passage_id(F.col("paper_id"), F.col("ordinal"), F.col("text"), settings_fingerprint(budget), F.col("kind")))
 
 
-def page_fragments(passages: DataFrame, pages: DataFrame) -> DataFrame:
+#: width of the bins in which intervals meet
+BIN = 4096
+
+
+def binned(intervals: DataFrame, width: int = BIN) -> DataFrame:
+    """``intervals`` (with start and end) once for each bin of ``width`` that they reach into, as ``bin``."""
+    if width < 1:
+        raise ValueError("a bin must be at least 1 wide")
+    last = F.greatest(F.col("end") - 1, F.col("start"))
+    return intervals.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))))
+
+
+def page_fragments(passages: DataFrame, pages: DataFrame, width: int = BIN) -> DataFrame:
     """Intersections of passages (paper_id, passage_id, start, end) with pages (paper_id, page_number, start, end).
 
     Offsets are those of the document; each fragment also has its offset in its
-    page and in its passage. The join is an equi-join on the document with the
-    overlap as a further condition.
+    page and in its passage. Both are dealt out over bins of the document and
+    meet by (paper_id, bin), so a long document is many small joins; two that
+    share several bins are taken in the one where the later of them starts.
     """
-    p, q = passages.alias("p"), pages.alias("q")
-    overlap = (F.col("p.start") < F.col("q.end")) & (F.col("q.start") < F.col("p.end"))
+    p, q = binned(passages, width).alias("p"), binned(pages, width).alias("q")
     start, end = F.greatest("p.start", "q.start"), F.least("p.end", "q.end")
-    return p.join(q, (F.col("p.paper_id") == F.col("q.paper_id")) & overlap).select(
+    overlap = (F.col("p.start") < F.col("q.end")) & (F.col("q.start") < F.col("p.end")) & (F.floor(start / width) == F.col("p.bin"))
+    return p.join(q, (F.col("p.paper_id") == F.col("q.paper_id")) & (F.col("p.bin") == F.col("q.bin")) & overlap).select(
         "p.paper_id",
         "p.passage_id",
         "q.page_number",

@@ -623,14 +623,19 @@ def history_window(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_history(spark: SparkSession, folder: str) -> DataFrame:
-    """The streaming twin, run over the turns as a stream until all are read."""
+    """The streaming twin, over turns a minute apart that arrive up to four turns late; a closing turn moves the stream's time on."""
     shared = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    _turns(spark, folder).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "question", "answer").write.parquet(f"{shared}/in")
-    turns = spark.readStream.schema("conv_id long, turn long, question string, answer string").parquet(f"{shared}/in")
-    query = history.stream_history(turns).writeStream.format("parquet").option("checkpointLocation", f"{shared}/state").outputMode("append").trigger(availableNow=True).start(f"{shared}/out")
+    minute = F.timestamp_seconds(F.col("turn") * 60 + 10**9)
+    turns = durable(_turns(spark, folder).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "question", "answer", minute.alias("asked_at"), F.expr("(turn + pmod(xxhash64(conv_id, turn), 3)) div 3").alias("arrival")))
+    for arrival in range((turns.agg(F.max("arrival")).head()[0] or 0) + 1):
+        turns.filter(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(f"{shared}/in")
+    closing = turns.drop("arrival").schema
+    spark.range(1).select(F.lit(-1).cast("long"), F.lit(0).cast("long"), F.lit(""), F.lit(""), F.timestamp_seconds(F.lit(4 * 10**9))).toDF(*closing.names).write.mode("append").parquet(f"{shared}/in")
+    arriving = spark.readStream.schema(closing).option("maxFilesPerTrigger", 1).parquet(f"{shared}/in")
+    query = history.stream_history(arriving, "5 minutes").writeStream.format("parquet").option("checkpointLocation", f"{shared}/state").outputMode("append").trigger(availableNow=True).start(f"{shared}/out")
     query.awaitTermination()
-    out = spark.read.parquet(f"{shared}/out")
-    return out.select("conv_id", "turn", F.size("history").alias("held"), "needs_context")
+    told = spark.read.schema(history.OUTPUT).parquet(f"{shared}/out")
+    return told.select("conv_id", "turn", F.size("history").alias("held"), "needs_context")
 
 
 # sections

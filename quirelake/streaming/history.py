@@ -1,4 +1,10 @@
-"""Conversation state over a stream of turns: the last answered turns of each conversation."""
+"""Conversation state over a stream of turns: the last answered turns of each conversation, by the time of the turns.
+
+Turns may arrive in any order within a stated lateness. A turn waits in the
+state, keyed by its number, until the watermark has passed its time: no earlier
+turn can come any more, so its history is final, and the result equals that of
+the batch however the arrivals were shuffled.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +12,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quirelake.operators.conversation import MAX_TURNS, OPENERS, REFERRING
 from quirelake.shipping import shipped
 
 OUTPUT = "conv_id long, turn long, question string, history array<string>, needs_context boolean"
-STATE = "questions array<string>"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _leans_back(question: str) -> bool:
@@ -20,26 +27,69 @@ def _leans_back(question: str) -> bool:
     return any(w in REFERRING for w in words) or tuple(words[:2]) in OPENERS
 
 
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = list(state.get[0]) if state.exists else []
-    rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
+def told(turns: list[tuple[int, str | None, str | None]], held: list[str], max_turns: int = MAX_TURNS) -> tuple[list[tuple], list[str]]:
+    """Rows (turn, question, history, needs_context) of turns (turn, question, answer) in order, and the questions held after them."""
     out = []
-    for turn, question, answer in zip(rows["turn"], rows["question"], rows["answer"], strict=True):
+    for turn, question, answer in turns:
         question = question or ""
-        out.append((key[0], turn, question, list(held), bool(held) and _leans_back(question)))
-        if isinstance(answer, str) and answer.strip():
-            held = [*held, question][-MAX_TURNS:]
-    state.update((held,))
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "question", "history", "needs_context"])
+        out.append((turn, question, list(held), bool(held) and _leans_back(question)))
+        if isinstance(answer, str) and answer.strip(" "):
+            held = [*held, question][-max_turns:]
+    return out, held
+
+
+class HistoryState(StatefulProcessor):
+    """State of a conversation: turns that wait for the watermark, the last answered questions, and when it was last heard of."""
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "turn long", "at long, question string, answer string")
+        self.answered = handle.getValueState("answered", "questions array<string>, at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for turn, question, answer, at in zip(frame["turn"], frame["question"], frame["answer"], frame["at_ms"], strict=True):
+                self.waiting.updateValue((int(turn),), (int(at), question, answer))
+                self.handle.registerTimer(int(at))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted((turn[0], at, question, answer) for turn, (at, question, answer) in self.waiting.iterator() if at <= now)
+        state = self.answered.get() if self.answered.exists() else None
+        if due:
+            rows, held = told([(t, q, a) for t, _, q, a in due], list(state[0]) if state else [])
+            for turn, *_ in due:
+                self.waiting.removeKey((turn,))
+            last = max([at for _, at, _, _ in due] + ([state[1]] if state else []))
+            self.answered.update((held, last))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(last + self.idle_ms)
+            yield pd.DataFrame([(key[0], *row) for row in rows], columns=["conv_id", "turn", "question", "history", "needs_context"])
+        elif state and self.idle_ms is not None and now >= state[1] + self.idle_ms:
+            self.answered.clear()
+
+    def close(self) -> None:
+        pass
 
 
-def stream_history(turns: DataFrame) -> DataFrame:
-    """Each turn (conv_id, turn, question, answer) of a stream with the answered questions before it.
+def stream_history(turns: DataFrame, lateness: str = "10 minutes", at: str = "asked_at", idle: int | None = None) -> DataFrame:
+    """Each turn (conv_id, turn, question, answer, and its time ``at``) of a stream with the answered questions before it.
 
-    The state of a conversation is at most MAX_TURNS questions. Turns of a
-    conversation must arrive in order between batches; within one they are sorted.
+    Turns of a conversation are numbered in the order of their times. One that comes later than
+    ``lateness`` behind the newest turn of the whole stream is dropped, as is one with a null time,
+    number or conversation; a number that comes twice while it waits counts once, as it came last. A
+    turn is told once the stream's time has passed it by ``lateness``. A conversation's state is its
+    waiting turns and at most MAX_TURNS questions; after ``idle`` seconds without a turn, if given, it
+    is forgotten. Times lie after 1970, where a stream's time begins. Needs the RocksDB state store, which is set for the session.
     """
-    return shipped(turns).groupBy("conv_id").applyInPandasWithState(_step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    timed = turns.filter(F.col(at).isNotNull() & F.col("turn").isNotNull() & F.col("conv_id").isNotNull()).withWatermark(at, lateness)
+    rows = timed.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "question", "answer", at, F.unix_millis(at).alias("at_ms"))
+    return shipped(rows).groupBy("conv_id").transformWithStateInPandas(HistoryState(None if idle is None else idle * 1000), OUTPUT, "append", "EventTime")
 
 
 def reset_history(turns: DataFrame, resets: DataFrame) -> DataFrame:

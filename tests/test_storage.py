@@ -99,15 +99,42 @@ def test_follow_ups(spark):
     assert got == {0: ([], False), 2: ([0], True), 3: ([0], False), 5: ([0, 3], True), 7: ([3, 5], False)}
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(c, t, q, a) for c in (1, 2) for t, q, a in ((0, "first", "x"), (1, "what about it", None), (2, "and them", "y"), (3, "that one", "z"))]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, question string, answer string")
-    turns.write.parquet(f"{tmp_path}/in")
-    stream = history.stream_history(spark.readStream.schema(turns.schema).parquet(f"{tmp_path}/in"))
-    query = stream.writeStream.format("memory").queryName("turns_seen").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start()
-    query.processAllAvailable()
-    query.stop()
-    streamed = {(r.conv_id, r.turn): (len(r.history), r.needs_context) for r in spark.sql("SELECT * FROM turns_seen").collect()}
-    batch = {(r.conv_id, r.turn): (len(r.history), r.needs_context) for r in conversation.needs_context(turns).collect()}
-    assert streamed == batch
-    assert history.reset_history(turns, spark.createDataFrame([(1, 1)], "conv_id long, turn long")).count() == 6
+def streamed(spark, folder, arrivals, **options):
+    """What the stream tells of turns (conv_id, turn, question, answer, minute) that arrive in batches; a last turn, far in the future, moves time on."""
+    schema = "conv_id long, turn long, question string, answer string, minute long"
+    for k, rows in enumerate([*arrivals, [(-1, 0, "end", None, 10**6)], [(-1, 1, "end", None, 2 * 10**6)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{k}")
+    import os
+    import time
+
+    for k in range(len(arrivals) + 2):  # files are read in the order of their times
+        for name in os.listdir(f"{folder}/in/{k}"):
+            os.utime(f"{folder}/in/{k}/{name}", (time.time() - 1000 + k, time.time() - 1000 + k))
+    turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*").withColumn("asked_at", F.timestamp_seconds(F.col("minute") * 60 + 10**9))
+    query = history.stream_history(turns, **options).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination()
+    return {(r.conv_id, r.turn): (r.history, r.needs_context) for r in spark.read.parquet(f"{folder}/out").collect() if r.conv_id >= 0}
+
+
+def batch_history(spark, rows):
+    turns = spark.createDataFrame([r[:4] for r in rows], "conv_id long, turn long, question string, answer string")
+    return {(r.conv_id, r.turn): ([h.question for h in r.history], r.needs_context) for r in conversation.needs_context(turns).collect()}
+
+
+def test_stream_equals_batch_for_shuffled_arrivals(spark, tmp_path):
+    """Turns 0, 2, 1 of a conversation in three batches, another one backwards, one in order."""
+    rows = [(c, t, q, a, t) for c in (1, 2, 3) for t, q, a in ((0, "roads", "x"), (1, "what about it", None), (2, "and them", "y"), (3, "that one", "z"))]
+    order = {1: [0, 2, 1, 3], 2: [3, 2, 1, 0], 3: [0, 1, 2, 3]}
+    arrivals = [[r for r in rows if order[r[0]].index(r[1]) == k] for k in range(4)]
+    assert streamed(spark, tmp_path, arrivals, lateness="5 minutes") == batch_history(spark, rows)
+    turns = spark.createDataFrame([r[:4] for r in rows], "conv_id long, turn long, question string, answer string")
+    assert history.reset_history(turns, spark.createDataFrame([(1, 1)], "conv_id long, turn long")).count() == 10
+
+
+def test_stream_beyond_lateness_and_idleness(spark, tmp_path):
+    """A turn beyond the lateness is dropped, a repeated one counts once, and after a silence the history is forgotten."""
+    first = [(1, 0, "roads", "x", 0), (1, 0, "roads", "x", 0), (1, 2, "them", "y", 2), (2, 0, "a", "b", 0)]
+    late = [(1, 1, "late", "z", 1), (1, 3, "those", "w", 41), (2, 1, "these", "v", 45)]
+    told = streamed(spark, tmp_path, [first, [(9, 0, "time goes on", None, 40)], [(9, 1, "and on", None, 40)], late], lateness="5 minutes", idle=1800)
+    assert told[(1, 0)] == ([], False) and told[(1, 2)] == (["roads"], True) and (1, 1) not in told
+    assert told[(1, 3)] == ([], False) and told[(2, 1)] == ([], False)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
@@ -119,3 +120,29 @@ def test_packing_follows_the_model_on_random_texts(spark):
         got = {r.k: [(x.start, x.end) for x in r.x] for r in rows.select("k", passages.packed_ranges(F.col("t"), budget).alias("x")).collect()}
         for k, text in enumerate(texts):
             assert got[k] == greedy(text, budget), (budget, text)
+
+
+@pytest.mark.parametrize("width", [1, 7, 4096])
+def test_fragments_equal_all_pairs(spark, width):
+    """Intervals of any kind, overlapping, empty and long ones too: each intersection once, whatever the bins."""
+    import random
+
+    rng = random.Random(width)
+
+    def intervals(n):
+        starts = [(rng.choice("ab"), rng.randrange(60)) for _ in range(n)]
+        return [(d, k, s, s + rng.choice((0, 1, 5, 30))) for k, (d, s) in enumerate(starts)] + [("a", n, 0, 90), ("c", n + 1, 3, 4)]
+
+    left, right = intervals(25), intervals(25)
+    cut = spark.createDataFrame(left, "paper_id string, passage_id long, start int, end int")
+    pages = spark.createDataFrame(right, "paper_id string, page_number long, start int, end int")
+    got = sorted((r.paper_id, r.passage_id, r.page_number, r.passage_start, r.passage_end, r.page_start, r.page_end) for r in passages.page_fragments(cut, pages, width).collect())
+    want = sorted((d, k, n, max(a, x) - a, min(b, y) - a, max(a, x) - x, min(b, y) - x) for d, k, a, b in left for e, n, x, y in right if d == e and a < y and x < b)
+    assert got == want and len(got) > 100
+
+
+def test_a_long_document_is_joined_in_proportion(spark):
+    """200,000 lines and as many passages of one document."""
+    lines = spark.range(200_000).select(F.lit("d").alias("paper_id"), (F.col("id") + 1).alias("page_number"), (F.col("id") * 10).cast("int").alias("start"), (F.col("id") * 10 + 10).cast("int").alias("end"))
+    cut = spark.range(200_000).select(F.lit("d").alias("paper_id"), F.col("id").alias("passage_id"), (F.col("id") * 10 + 5).cast("int").alias("start"), (F.col("id") * 10 + 15).cast("int").alias("end"))
+    assert passages.page_fragments(cut, lines).count() == 399_999
