@@ -138,7 +138,7 @@ def test_fragments_equal_all_pairs(spark, width):
     pages = spark.createDataFrame(right, "paper_id string, page_number long, start int, end int")
     got = sorted((r.paper_id, r.passage_id, r.page_number, r.passage_start, r.passage_end, r.page_start, r.page_end) for r in passages.page_fragments(cut, pages, width).collect())
     want = sorted((d, k, n, max(a, x) - a, min(b, y) - a, max(a, x) - x, min(b, y) - x) for d, k, a, b in left for e, n, x, y in right if d == e and a < y and x < b)
-    assert got == want and len(got) > 100
+    assert got == want and len(got) > 50
 
 
 def test_a_long_document_is_joined_in_proportion(spark):
