@@ -255,10 +255,10 @@ def derive_one(key: int | None, headers: dict[str, str], block: bytes) -> list[t
     source = named.get("warc-record-id") or record_id(key, named.get("warc-target-uri", ""))
     status, fields, payload = split_http(block)
     kind = next((v for k, v in fields.items() if k.lower() == "content-type"), "")
-    charset = _CHARSET.search(kind.encode()) or _CHARSET.search(payload[:1024])
+    charset = _CHARSET.search(kind.encode("utf-8", "replace")) or _CHARSET.search(payload[:1024])
     try:
         markup = payload.decode(charset[1].decode() if charset else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, UnicodeError, ValueError):  # a charset that is unknown, no charset of texts, or one that the bytes break
         markup = payload.decode("utf-8", "replace")
     textual = not kind or "html" in kind.lower() or kind.lower().startswith("text/")
     title, text = plain_text(markup) if textual and "plain" not in kind.lower() else ("", markup if textual else "")
@@ -297,6 +297,25 @@ def derive(responses: DataFrame) -> DataFrame:
     return shipped(responses).filter(F.coalesce(kind, F.lit("response")) == "response").select(F.col("key").cast("long"), "headers", F.col("block").cast("binary")).mapInArrow(run, DERIVED)
 
 
+def records_of(derived: DataFrame) -> DataFrame:
+    """Derived rows as records (headers, block) that ``write_warc`` writes: linked by WARC-Refers-To, with the block's digest.
+
+    A header whose value is null is left out; line breaks within one become spaces.
+    """
+    fields = {
+        "WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri",
+        "WARC-Date": "warc_date", "WARC-Block-Digest": "block_digest", "Content-Type": "content_type",
+    }
+    pairs = [x for name, column in fields.items() for x in (F.lit(name), F.regexp_replace(column, r"[\r\n]+", " "))]
+    headers = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
+    return derived.select(headers.alias("headers"), F.encode("block", "UTF-8").alias("block"))
+
+
+def write_derivatives(responses: DataFrame, path: str) -> None:
+    """The metadata and conversion records of responses (key, headers, block) as ``.warc.gz`` files below ``path``."""
+    write_warc(records_of(derive(responses)), path)
+
+
 def responses_of_pages(pages: DataFrame, date: str, url: str = "url", html_: str = "html", key: str = "page_id") -> DataFrame:
     """Pages as response records (key, headers, block) with the given capture date."""
     body = F.coalesce(F.col(html_), F.lit("")).cast("binary")

@@ -214,6 +214,44 @@ def test_verdicts_spread_over_aliases(spark):
     assert [w[1:] for w in want] == [tuple(again[k])[1:] for k in sorted(again)]
 
 
+REFERENCES = [
+    "//b.net/y", "../r", "?y=2", "g", "./g", "g/", "/g", "//g", "g?y", "?y", "g#s", ";x", "g;x", "", ".", "./", "..", "../", "../g", "../..", "../../", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "..g", "./../g", "./g/.", "g/./h",
+    "g/../h", "g;x=1/../y", "g?y/./x", "g?y/../x", "http://x.com/a/../b/./c", "HTTPS://X.org", "mailto:a@b", "/x?u=http://e.net/", "a:b", "https://e.net/?q=..", "/a/b/..",
+]
+
+
+@pytest.mark.parametrize("base", ["https://c.com/p/q", "http://a.com/b/c/d;p?q", "https://c.com", "http://c.com/?x=1", "http://c.com/a/b?x=1#f", "ftp://u@h:8/p/"])
+def test_references_are_resolved_as_another_library_does(spark, base):
+    from urllib.parse import urldefrag, urljoin
+
+    rows = spark.createDataFrame([(base, r) for r in REFERENCES], "base string, r string").select("r", url_filter.resolved(F.col("base"), F.col("r")).alias("t")).collect()
+    got = {r.r: r.t for r in rows}
+    for r in REFERENCES:
+        want = urldefrag(urljoin(base, r))[0]
+        if "://" not in r and r[:7] != "mailto:" and r != "a:b" or r.startswith("/x"):
+            known = want.split("://", 1)
+            if "/" not in known[1]:  # an empty path: a directory of its own or none
+                assert got[r] in (want, want + "/"), (base, r)
+                continue
+            assert got[r] == want, (base, r)
+    assert got["mailto:a@b"] == "mailto:a@b" and got["http://x.com/a/../b/./c"] == "http://x.com/b/c" and got["/x?u=http://e.net/"].endswith("/x?u=http://e.net/")
+
+
+def test_links_of_any_form_join_their_pages(spark):
+    """References that keep the scheme, go up, hold a query only, or stand below another base."""
+    rows = [
+        ("https://a.com/x", link("//b.com/y")), ("https://b.com/y", link("https://bad.net/1")), ("https://c.com/p/q", link("../r")), ("https://c.com/r", refresh("http://bad.net/2")), ("http://d.com/a/b?x=1", link("?y=2")),
+        ("http://d.com/a/b?y=2", link("http://bad.net/3")), ("http://e.com/x", '<base href="http://f.com/dir/">' + link("z")), ("http://f.com/dir/z", link("http://bad.net/4")), ("http://g.com/x", '<base target=_top href="/sub/">' + link("y")),
+        ("http://g.com/sub/y", link("http://bad.net/5")), ("http://h.com/x", link("/p?u=http://bad.net/")), ("http://i.com/x", link("mailto:x@bad.net")), ("http://b.com/y", ""), (None, link("//bad.net/")), ("no url", link("/x")), ("http://j.com/x", '<base href="">' + link("#top")),
+    ]
+    got = judged(spark, rows)
+    assert [got[k].verdict for k in range(len(rows))] == ["block"] * 10 + ["allow"] * 6
+    duckdb = pytest.importorskip("duckdb")
+    engine = duckdb.connect()
+    engine.register("pages", pd.DataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], columns=["page_id", "url", "html"]))
+    assert [w[1:] for w in sorted(engine.sql(url_filter.OP4_SQL).fetchall())] == [tuple(got[k])[1:] for k in sorted(got)]
+
+
 def test_url_filter_on_an_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string, host string, verdict string")
     assert url_filter.judge_urls(pages).columns == ["page_id", "host", "path", "rule", "verdict"]
@@ -355,3 +393,25 @@ def test_derivatives_of_the_driver_table(spark, data):
         assert (r.refers_to, r.target_uri, r.content_type, r.block, r.content_length) == (source, page.url or "", kind, text, len(text.encode()))
         assert (r.block_digest, r.source_block_digest, r.source_payload_digest, r.source_headers) == (sha(text.encode()), sha(block), sha(payload), http)
         assert r.warc_date == "2024-01-01T00:00:00Z" and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", r.record_id)
+
+
+@pytest.mark.parametrize("charset", ["idna", "undefined", "punycode", "base64", "no-such", "utf-7", "unicode_escape", "mbcs", "hex", "rot13", "utf-16"])
+def test_any_charset_is_survived(charset):
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n\r\n<p>x\\N y".encode() + b"\xff\xfe.."
+    (about, text) = warc.derive_one(1, {"WARC-Type": "response"}, block)
+    assert about[1] == "metadata" and text[1] == "conversion" and isinstance(text[-1], str)
+
+
+def test_derivatives_are_written_and_read_again(spark, tmp_path):
+    """The product: files of linked records, whose identifiers, digests and texts come back as derived."""
+    pages = spark.createDataFrame([(1, "http://a.com/", PAGE), (2, None, None), (3, "http://b.com/\r\nX: y", "<p>é</p>")], "page_id long, url string, html string")
+    responses = warc.responses_of_pages(pages, "2024-01-01T00:00:00Z")
+    warc.write_derivatives(responses, str(tmp_path / "out"))
+    read = {r.headers["WARC-Record-ID"]: r for r in warc.read_warc(spark, str(tmp_path / "out") + "/*.warc.gz").collect()}
+    derived = warc.derive(responses).collect()
+    assert len(read) == len(derived) == 6
+    for row in derived:
+        back = read[row.record_id]
+        assert back.headers["WARC-Refers-To"] == row.refers_to and back.headers["WARC-Type"] == row.record_type and bytes(back.block) == row.block.encode()
+        assert back.headers["WARC-Block-Digest"] == row.block_digest == warc.digest(bytes(back.block)) and back.headers["Content-Type"] == row.content_type
+        assert "X" not in back.headers
