@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.llm.columns import shielded
 from quirelake.llm.license_rules import GATES, RULES, Rule
 from quirelake.session import table
 
@@ -99,6 +100,7 @@ def surviving(found: Column) -> Column:
     return F.aggregate(ordered, zero, step, lambda acc: F.struct(acc["labels"].alias("labels"), acc["covered"].alias("covered")))
 
 
+@shielded
 def scan_licenses(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """``docs`` with the columns of the scan appended.
 

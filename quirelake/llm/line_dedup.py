@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.durable import durable, unpartitioned
+from quirelake.llm.columns import shielded
 from quirelake.session import table
 
 SOLID_CHARS = 96
@@ -76,6 +77,7 @@ def _places(docs: DataFrame, text: str, key: str, min_chars: int, solid_chars: i
     return rows.select("w.window", "w.n", F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("w.start").alias("start")).alias("at"))
 
 
+@shielded
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, solid_chars: int = SOLID_CHARS) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and ``removed_lines`` (long) appended.
 

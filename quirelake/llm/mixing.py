@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.durable import durable, unpartitioned
+from quirelake.llm.columns import shielded
 from quirelake.session import table
 from quirelake.shipping import shipped
 
@@ -185,6 +186,7 @@ def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source
     return joined.select(F.col("id").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "multiplicity")
 
 
+@shielded
 def apply_mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``copies`` (int) and ``taken`` (long: copies times words) appended."""
     mix = mix_sources(docs, text, key, source).select(F.col(key).alias("__id"), F.col(source).alias("__source"), F.col("size").alias("__size"), "copies", "taken").filter("copies > 0")

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.durable import durable, unpartitioned
+from quirelake.llm.columns import shielded
 from quirelake.llm.components import connected_components
 from quirelake.llm.kernels import Words, buffers, mix, slices
 from quirelake.session import table
@@ -314,6 +315,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85).drop("row")
 
 
+@shielded
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest key.
 

@@ -93,6 +93,40 @@ def test_licences_named_without_the_word(spark):
     assert licenses.scan_licenses(spark.createDataFrame([(1, "the Quux terms")], "doc_id long, text string"), rules=[own]).head().labels == "quux"
 
 
+#: labelled by hand
+EVERYDAY = {
+    "License: Apache-2.0": "apache-2.0",
+    "BSD-3-Clause": "bsd-3-clause",
+    "released under the Unlicense": "unlicense",
+    "Licensed under the EUPL v1.2": "eupl-1.2",
+    "This is MIT-licensed.": "mit",
+    "Creative Commons Zero": "cc0",
+    "Do What The Fuck You Want To Public License": "wtfpl",
+    "Python Software Foundation License Version 2": "psf-2.0",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0-or-later",
+    "SPDX-License-Identifier: GPL-2.0": "gpl-2.0",
+    "SPDX-License-Identifier: LGPL-2.1-only": "lgpl-2.1-only",
+    "SPDX-License-Identifier: BSD-2-Clause": "bsd-2-clause",
+    "SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
+    "under the 2-clause BSD license": "bsd-2-clause",
+    "the three clause BSD licence": "bsd-3-clause",
+    "Apache v2.0": "apache-2.0",
+    "license MPL-2.0": "mpl-2.0",
+    "an MIT/X11 License": "mit",
+    "Server Side Public License, version 1": "sspl-1.0",
+    "https://creativecommons.org/publicdomain/zero/1.0/": "cc0",
+    "dual MIT or Apache": "mit",
+    "They admit that the committee bought a licence for the dog in clause four.": "",
+    "The unlicensed driver sat in the eclipse of the python house.": "",
+    "an elastic band, a ruby ring and a zero": "",
+}
+
+
+def test_everyday_forms(spark):
+    docs = spark.createDataFrame(list(enumerate(EVERYDAY)), "doc_id long, text string")
+    assert {r.text: r.labels for r in licenses.scan_licenses(docs).collect()} == EVERYDAY
+
+
 def spelled(parsed):
     """Every string a parsed pattern can match, a digit class by one digit; the rules have no repetition."""
     out = [""]

@@ -271,3 +271,21 @@ def test_manifest_by_its_general_interface(spark):
     one, _ = merkle.manifest(docs.filter("doc_id = 1"), ["text"])
     row = one.head()
     assert row.leaf == row.subroot == row.root and row.proof == []
+
+
+def test_operators_leave_clashing_columns_alone(spark):
+    """Columns named like the operators' own pass through with their values."""
+    from quirelake.llm import licenses, line_dedup, mixing, near_dedup
+
+    names = ["__row", "__kid", "__krow", "__one", "__lines", "__text_hash", "__gid", "__grow", "__gone", "__kept", "__words", "__norm", "__lower", "__method", "__id", "__size", "__source", "__at0", "callers_0"]
+    passage = "\n".join(prose("en", k, 12).replace("\n", " ") for k in range(4))
+    rows = [(k, t, f"s{k % 2}") for k, t in enumerate([prose("en", 50, 60), prose("en", 50, 60) + " tail", f"{passage}\n{prose('de', 1)}", f"{prose('fr', 2)}\n{passage}", "MIT license", None])]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clashing = plain.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for operator in (near_dedup.keep_one, line_dedup.dedup_lines, mixing.apply_mix, licenses.scan_licenses):
+        got, want = operator(clashing), operator(plain)
+        assert got.columns[: len(clashing.columns)] == clashing.columns and got.columns[len(clashing.columns) :] == want.columns[len(plain.columns) :]
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
+        assert sorted(map(str, got.drop(*names).collect())) == sorted(map(str, want.collect()))
+    renamed = plain.withColumnsRenamed({"text": "__text", "doc_id": "__row"})
+    assert near_dedup.keep_one(renamed, text="__text", key="__row").columns == ["__row", "__text", "source"]
