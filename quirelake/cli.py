@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirelake import config
 from quirelake.durable import durable
+from quirelake.functions.text import page_range
 from quirelake.operators import analysis, conversation, evaluate, generate, preflight, report
 from quirelake.operators.bm25 import retrieve
 from quirelake.session import local_session
@@ -42,19 +43,27 @@ def _analyze(spark, library: Library, target: str, generator: generate.Generator
     return preflight.exit_code(results).head()["exit_code"]
 
 
-def _chat(spark, library: Library, question: str, k: int) -> int:
-    passages = library.table("passages", "paper_id string, passage_id string, text string").select("paper_id", "passage_id", "text")
+_HELD = "paper_id string, passage_id string, text string, fragments array<struct<page:int,start:int,end:int,passage_start:int,passage_end:int>>"
+
+
+def _chat(spark, library: Library, question: str, k: int, generator: generate.Generator) -> int:
+    held = library.table("passages", _HELD)
+    passages = held.select("paper_id", "passage_id", "text")
     asked = spark.createDataFrame([("q", question)], "request_id string, question string")
-    row = generate.cited_chat(passages, asked, k=k).head()
-    titles = library.table("papers", "paper_id string, title string")
-    found = retrieve(passages, asked, k, question_key="request_id", question="question").join(passages, "passage_id").join(titles, "paper_id")
-    cited = found.groupBy("paper_id", "title").agg(F.array_sort(F.collect_list("rank")).alias("ranks"), F.lit("N/A").alias("pages")).orderBy(F.col("ranks")[0])
-    print(report.chat_text(row, cited.collect() if row["outcome"] == "answered" else []))
+    evidence = durable(generate.evidence_for(passages, asked, k))
+    row = generate.cited_chat(passages, asked, generator, k, evidence).head()
+    titles = library.table("papers", "paper_id string, title string").select("paper_id", "title")
+    named = F.concat(F.lit("e"), F.col("rank").cast("string"))
+    pages = held.select("passage_id", F.transform("fragments", lambda f: f["page"]).alias("pages"))
+    cited = evidence.filter(named.isin(list(row["citation_ids"] or []))).join(pages, "passage_id").join(titles, "paper_id")
+    seen = F.flatten(F.collect_list("pages"))
+    papers = cited.groupBy("paper_id", "title").agg(F.array_sort(F.collect_list("rank")).alias("ranks"), page_range(F.array_min(seen), F.array_max(seen)).alias("pages")).orderBy(F.col("ranks")[0])
+    print(report.chat_text(row, papers.collect() if row["outcome"] == "answered" else []))
     return row["exit_code"]
 
 
 def shell(session: generate.ChatSession, lines: Iterable[str], say: Callable[[str], object] = print) -> int:
-    """Asks every line; ``/show`` lists what the last answer cites, ``/reset`` forgets earlier turns, ``/quit`` ends. A question that fails ends nothing."""
+    """Asks every line; ``/show`` lists what the last answer cites, ``/show e1`` one piece of it in full, ``/reset`` forgets earlier turns, ``/quit`` ends. A question that fails ends nothing."""
     for line in lines:
         said = line.strip()
         if said == "/quit":
@@ -64,8 +73,11 @@ def shell(session: generate.ChatSession, lines: Iterable[str], say: Callable[[st
             say("forgotten")
         elif said == "/show":
             say(", ".join(session.citations) or "nothing to show")
+        elif said.startswith("/show "):
+            piece = session.show(said.removeprefix("/show ").strip())
+            say(report.wrapped(report.clean(f"{piece['paper_id']}  rank {piece['rank']}  score {piece['score']:.12g}\n\n{piece['text']}")) if piece else "not cited")
         elif said.startswith("/"):
-            say("known: /show, /reset, /quit")
+            say("known: /show, /show ID, /reset, /quit")
         elif said:
             try:
                 row = session.ask(said)
@@ -103,7 +115,7 @@ def main(arguments: list[str] | None = None) -> int:
             return _analyze(spark, library, options.target, generate.quoting_generator)
         if options.command == "chat":
             library.initialise(read_only=True)
-            return _chat(spark, library, options.question, settings["top_k"])
+            return _chat(spark, library, options.question, settings["top_k"], generate.quoting_generator)
         if options.command == "shell":
             library.initialise(read_only=True)
             return _shell(spark, library, settings["top_k"])

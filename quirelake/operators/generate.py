@@ -89,18 +89,25 @@ def generate(asked: DataFrame, generator: Generator) -> DataFrame:
     return shipped(asked).select(F.col("request_id").cast("string").alias("request_id"), "prompt").mapInArrow(run, ANSWER)
 
 
-def cited_chat(passages: DataFrame, questions: DataFrame, generator: Generator = quoting_generator, k: int = 3) -> DataFrame:
+def evidence_for(passages: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+    """(request_id, rank, score, paper_id, passage_id, text): the best k passages of every question."""
+    asked = questions.select(F.col("request_id").cast("string").alias("request_id"), "question")
+    found = bm25.retrieve(passages, asked, k, question_key="request_id", question="question").withColumnRenamed("query_id", "request_id")
+    held = passages.select("passage_id", "paper_id", "text")
+    return found.join(held, "passage_id").select("request_id", "rank", "score", F.col("paper_id").cast("string").alias("paper_id"), F.col("passage_id").cast("string").alias("passage_id"), "text")
+
+
+def cited_chat(passages: DataFrame, questions: DataFrame, generator: Generator = quoting_generator, k: int = 3, evidence: DataFrame | None = None) -> DataFrame:
     """One row a question: outcome, exit code and the answer made of grounded claims.
 
-    passages (paper_id, passage_id, text); questions (request_id, question).
+    passages (paper_id, passage_id, text); questions (request_id, question);
+    evidence, if it has been found already, as by ``evidence_for``.
     The ladder: empty library, no matches, error or broken contract, abstained,
     withheld (no claim grounded), answered.
     """
     asked = questions.select(F.col("request_id").cast("string").alias("request_id"), "question")
-    found = bm25.retrieve(passages, asked, k, question_key="request_id", question="question").withColumnRenamed("query_id", "request_id")
-    held = passages.select("passage_id", "paper_id", "text")
     # read by prompts, contracts and grounding: ranked once
-    evidence = durable(found.join(held, "passage_id").select("request_id", "rank", F.col("paper_id").cast("string").alias("paper_id"), F.col("passage_id").cast("string").alias("passage_id"), "text"))
+    evidence = (durable(evidence_for(passages, questions, k)) if evidence is None else evidence).drop("score")
     matches = evidence.groupBy("request_id").agg(F.count(F.lit(1)).alias("matches"))
     answers = durable(generate(prompts(evidence, asked.join(matches, "request_id", "left_semi")), generator))
     citations = answers.filter("error is null").select("request_id", F.posexplode("citations").alias("position", "c")).select("request_id", "position", "c.*")
@@ -187,12 +194,17 @@ class ChatSession:
 
     def __init__(self, passages: DataFrame, generator: Generator = quoting_generator, resolver: conversation.Resolver | None = None, k: int = 3, max_turns: int = conversation.MAX_TURNS) -> None:
         self.passages = durable(passages.select("paper_id", "passage_id", "text"))
+        self.shown: dict[str, Row] = {}
         self.generator, self.resolver, self.k, self.max_turns = generator, resolver, k, max_turns
         self.history: list[Row] = []
         self.citations: list[str] = []
 
     def reset(self) -> None:
-        self.history, self.citations = [], []
+        self.history, self.citations, self.shown = [], [], {}
+
+    def show(self, citation_id: str) -> Row | None:
+        """The piece of evidence that the latest answer cites under this id (like e1): rank, score, paper, passage and text."""
+        return self.shown.get(citation_id)
 
     def ask(self, question: str) -> Row:
         """The outcome of one question, with resolved_question: what was asked in its place, or null."""
@@ -203,9 +215,12 @@ class ChatSession:
             said = conversation.resolved(literal, [turn["resolved_question"] or turn["question"] for turn in self.history], self.resolver) if leans else literal
             rewritten = said if said != literal else None
         asked = spark.createDataFrame([("q", rewritten or literal)], "request_id string, question string")
-        row = cited_chat(self.passages, asked, self.generator, self.k).withColumn("question", F.lit(literal)).withColumn("resolved_question", F.lit(rewritten).cast("string")).head()
+        evidence = durable(evidence_for(self.passages, asked, self.k))
+        row = cited_chat(self.passages, asked, self.generator, self.k, evidence).withColumn("question", F.lit(literal)).withColumn("resolved_question", F.lit(rewritten).cast("string")).head()
         answered = row["outcome"] == "answered"
         self.citations = list(row["citation_ids"] or []) if answered else []
+        named = {f"e{e['rank']}": e for e in evidence.collect()} if self.citations else {}  # k rows
+        self.shown = {c: named[c] for c in self.citations}
         if answered:
             self.history = [*self.history, row][-self.max_turns :]
         return row

@@ -30,7 +30,8 @@ COVER_SHEET = r"(?:This\s+content\s+downloaded\s+from|JSTOR\s+is\s+a\s+not-for-p
 KEYWORDS = r"^\s*\(?\s*(?:JEL\s+Classification|JEL\s+codes?|JEL\b|Keywords?|Key\s+words?)\s*[\:\.]?\s*"
 INLINE_JEL = r"\(\s*JEL\b[^)]*\)\s*$"
 ARTICLE_HISTORY = r"^\s*(?:ARTICLE\s+INFO|ARTICLE\s+HISTORY|Received\s+\d|Accepted\s+\d|Available\s+online|doi\.org|\bDOI\:)\b"
-AFFILIATION_START = r"^(?:[*ager\d]\s*)?(?:Department\s+of|Faculty\s+of|School\s+of|University\s+of|Email\:|Corresponding\s+author|Financial\s+support)"
+#: the class before the affiliation means asterisk, dagger or digit, and reads as asterisk, digit or one of the letters a, g, e, r
+AFFILIATION_START = r"^(?:[\*\dagger\d]\s*)?(?:Department\s+of|Faculty\s+of|School\s+of|University\s+of|Email\:|Corresponding\s+author|Financial\s+support)"
 FUNDING = r"^\s*Financial\s+support\b"
 AFFILIATION = r"@|\bemail\b|\bdepartment\s+of\b|\buniversity\s+of\b|\bschool\s+of\b"
 FOOTNOTE = r"^\s*[*†‡§¶]\s*\S"

@@ -200,7 +200,7 @@ def eval_threshold_failures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eval_affected_queries(spark: SparkSession, folder: str) -> DataFrame:
-    per_query = _per_query(spark, folder)
+    per_query = durable(_per_query(spark, folder))  # read twice: ranked once
     affected = evaluate.affected_queries(per_query, evaluate.threshold_failures(evaluate.metrics(per_query), _thresholds(spark)))
     return affected.select("metric", "k", F.array_join(F.transform("queries", lambda q: q.cast("string")), ",").alias("queries"))
 

@@ -77,7 +77,7 @@ def _corpus_problem() -> Column:
         .when(F.size(passages) == 0, "no_passages")
         .when(F.exists(paper_ids, lambda x: ~T.is_id(x, T.PAPER_ID)), "paper_id")
         .when(F.exists(passage_ids, lambda x: ~T.is_id(x, T.PASSAGE_ID)), "passage_id")
-        .when(F.exists(passages, lambda p: F.trim(F.coalesce(p["text"], F.lit(""))) == ""), "blank_text")
+        .when(F.exists(passages, lambda p: ~F.regexp_like(F.coalesce(p["text"], F.lit("")), F.lit(rf"(?U)(?!{T.SPACE})[\s\S]"))), "blank_text")
         .when(F.exists(passages, lambda p: ~F.coalesce(p["ordinal_position"] >= 0, F.lit(False))), "ordinal_position")
         .when(~distinct(paper_ids), "duplicate_paper")
         .when(~distinct(passage_ids), "duplicate_passage")

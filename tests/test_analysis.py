@@ -92,7 +92,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main([*base, "analyze", str(tmp_path / "papers")]) == 0
     assert "discovered 1" in capsys.readouterr().out
     assert cli.main([*base, "chat", "do prices rise"]) == 0
-    assert "Prices" in capsys.readouterr().out
+    assert "[1] Prices (pages 1; passages 1" in capsys.readouterr().out
     assert cli.main([*base, "chat", "zebra"]) == 1
 
 

@@ -178,3 +178,25 @@ def test_keys_with_nulls_and_other_types(spark, store):
     assert store.table("plain").count() == 3 and store.files("plain")[0]["low"] is None
     store.commit({"plain": rows.select("text").limit(0)})
     assert store.table("plain").count() == 0 and store.table("plain").columns == ["text"]
+
+
+def test_changes_read_only_the_files_that_differ(spark, store):
+    base = store.manifest()["version"]
+    store.save_papers(spark.createDataFrame([paper(123, "new"), paper(700)], PAPER), {})
+    found = store.changes("papers", base)
+    assert sorted((r.paper_id, r.title, r.side) for r in found.collect()) == [("p0123", "new", "right"), ("p0123", "t", "left"), ("p0700", "t", "right")]
+    read = set(found.inputFiles())
+    assert 0 < len(read) < len(store.files("papers"))
+    assert store.changes("passages", base).count() == 0 and store.changes("papers", base, base).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 16, 1024])
+def test_differences_equal_those_of_all_rows(spark, buckets):
+    rows = [(k % 40, f"t{k % 7}", None if k % 5 else float(k)) for k in range(300)]
+    left = spark.createDataFrame(rows, "a long, b string, c double")
+    right = spark.createDataFrame(rows[3:150] + rows[140:] + [(1, None, None), (None, None, None), (None, None, None)], "a long, b string, c double")
+    plain = left.exceptAll(right).withColumn("side", F.lit("left")).union(right.exceptAll(left).withColumn("side", F.lit("right")))
+    assert sorted(map(str, lib.differences(left, right.select("c", "b", "a"), buckets).collect())) == sorted(map(str, plain.collect()))
+    again = lib.differences(left, left.orderBy("b"), buckets)
+    assert again.count() == 0 and again.columns == plain.columns
+    assert lib.differences(left.limit(0), right, buckets).count() == right.count()

@@ -200,7 +200,12 @@ def test_a_session_keeps_answered_turns_only(spark):
     session = generate.ChatSession(held, resolver=conversation.joining_resolver, k=1)
     first = session.ask("Do roads lower costs?")
     assert (first.outcome, first.resolved_question, session.citations) == ("answered", None, ["e1"])
-    assert session.ask("zebra").outcome == "no_matches" and session.citations == [] and len(session.history) == 1
+    piece = session.show("e1")
+    assert (piece.paper_id, piece.passage_id, piece["rank"], piece.text) == ("A", "a1", 1, "Roads lower costs. More.") and session.show("e2") is None
+    said = []
+    cli.shell(session, ["/show e1", "/show e9"], said.append)
+    assert said[0].startswith("A  rank 1  score ") and said[0].endswith("Roads lower costs. More.") and said[1] == "not cited"
+    assert session.ask("zebra").outcome == "no_matches" and session.citations == [] and session.show("e1") is None and len(session.history) == 1
     second = session.ask("what about those")
     assert (second.outcome, second.question, second.resolved_question) == ("answered", "what about those", "Do roads lower costs? what about those")
     assert len(session.history) == 2
@@ -226,7 +231,7 @@ def test_shell_commands():
     said, session = [], Session()
     assert cli.shell(session, ["/show", " ", "roads", "/show", "it", "boom", "/what", "/reset", "/show", "/quit", "never"], said.append) == 0
     assert session.asked == ["roads", "it", "boom"]
-    assert [said[k] for k in (0, 2, 4, 5, 6, 7)] == ["nothing to show", "e1", "failed: no model", "known: /show, /reset, /quit", "forgotten", "nothing to show"]
+    assert [said[k] for k in (0, 2, 4, 5, 6, 7)] == ["nothing to show", "e1", "failed: no model", "known: /show, /show ID, /reset, /quit", "forgotten", "nothing to show"]
     assert "Yes." in said[1] and said[3].startswith("(asked: roads it)")
 
 
