@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import ascii_words
+from quirelake.operators.ranking import parted, with_next
 from quirelake.shipping import shipped
 
 MAX_TURNS = 2
@@ -30,30 +31,56 @@ def refers_back(question: Column, fold: Callable[[Column], Column] | None = None
 
 
 def answered_turns(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turn, question, answer): user turns, with the assistant turn that follows at once, else null."""
-    order = Window.partitionBy(conversation).orderBy(turn)
-    following = turns.withColumn("next_role", F.lead(role).over(order)).withColumn("next_text", F.lead(text).over(order))
-    asked = following.filter(F.col(role) == "user")
-    return asked.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.col(text).alias("question"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer"))
+    """(conv_id, turn, question, answer): user turns, with the assistant turn that follows at once, else null.
+
+    Turns lie in ranges of conversation and turn, so a conversation of any length is no task of its own.
+    """
+    named = turns.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    following = with_next(parted(named, ["conv_id", "turn"]), ["conv_id", "turn"], {"next_conv": "conv_id", "next_role": "role", "next_text": "text"})
+    answered = F.col("next_conv").eqNullSafe(F.col("conv_id")) & (F.col("next_role") == "assistant")
+    return following.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), F.when(answered, F.col("next_text")).alias("answer"))
+
+
+def _last_of(rows: DataFrame, entries: str, group: list[str], order: str, most: int, before: str, after: str) -> DataFrame:
+    """``rows`` with the last ``most`` of the arrays ``entries`` (null: none) of earlier rows of the group, and of those with the row's own.
+
+    Each pass lets a row with entries see one more such row before it; nothing unbounded is collected.
+    """
+    earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.array().cast(rows.schema[entries].dataType)
+    known = rows.withColumn(after, F.col(entries))
+
+    def joined() -> Column:
+        both = F.concat(before, F.coalesce(entries, none))
+        return F.slice(both, F.greatest(F.size(both) - most + 1, F.lit(1)), most)
+
+    for _ in range(most - 1):
+        known = known.withColumn(before, F.coalesce(F.last(after, ignorenulls=True).over(earlier), none)).withColumn(after, F.when(F.col(entries).isNotNull(), joined()))
+    known = known.withColumn(before, F.coalesce(F.last(after, ignorenulls=True).over(earlier), none))
+    return known.withColumn(after, joined())
 
 
 def history_before(turns: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
     """``turns`` (conv_id, turn, question, answer) with the last answered turns before each, oldest first.
 
-    Turns without an answer never enter the history.
+    Turns without an answer never enter the history. Turns lie in ranges of
+    conversation and turn. What a range leaves of a conversation that goes on in
+    the next one, ``max_turns`` entries, is handed over by a second, small pass
+    over the ranges.
     """
     if isinstance(max_turns, bool) or max_turns < 1:
         raise ValueError("max_turns must be at least 1")
-    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     entry = F.when(F.trim(F.coalesce("answer", F.lit(""))) != "", F.array(F.struct("turn", "question", "answer")))
-    none = F.array().cast("array<struct<turn:bigint,question:string,answer:string>>")
-    known = turns.withColumn("turn", F.col("turn").cast("long")).withColumn("entry", entry).withColumn("held", F.col("entry"))
-    for _ in range(max_turns - 1):  # each pass lets an answered turn see one more before it; nothing unbounded is collected
-        before = F.coalesce(F.last("held", ignorenulls=True).over(earlier), none)
-        joined = F.concat("before", "entry")
-        known = known.withColumn("before", before).withColumn("held", F.when(F.col("entry").isNotNull(), F.slice(joined, F.greatest(F.size(joined) - max_turns + 1, F.lit(1)), max_turns)))
-    known = known.withColumn("history", F.coalesce(F.last("held", ignorenulls=True).over(earlier), none))
-    return known.select(*turns.columns, "history")
+    parts = parted(turns.withColumn("turn", F.col("turn").cast("long")), ["conv_id", "turn"]).withColumn("__entry", entry)
+    local = _last_of(parts, "__entry", ["__part", "conv_id"], "turn", max_turns, "__before", "__after")
+    left = local.groupBy("__part", "conv_id").agg(F.max_by("__after", "turn").alias("__left"))
+    # conversations that lie in several ranges: two a range at most
+    spread = left.groupBy("conv_id").agg(F.count(F.lit(1)).alias("__parts")).filter("__parts > 1").select(F.col("conv_id").alias("__conv"))
+    going = left.join(spread, F.col("conv_id").eqNullSafe(F.col("__conv"))).select("__part", "conv_id", F.when(F.size("__left") > 0, F.col("__left")).alias("__left"))
+    carried = _last_of(going, "__left", ["conv_id"], "__part", max_turns, "__carried", "__onward").select(F.col("__part").alias("__at"), F.col("conv_id").alias("__conv"), "__carried")
+    met = local.join(carried, (F.col("__part") == F.col("__at")) & F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+    whole = F.concat(F.coalesce("__carried", F.array().cast(carried.schema["__carried"].dataType)), "__before")
+    return met.select(*turns.columns, F.slice(whole, F.greatest(F.size(whole) - max_turns + 1, F.lit(1)), max_turns).alias("history"))
 
 
 def needs_context(turns: DataFrame, max_turns: int = MAX_TURNS, fold: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -36,3 +36,26 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str = "nth") -
     before = placed.groupBy(group).agg((F.min("__place") - 1).alias("__before")).select(unpartitioned_text(group).alias("__group"), "__before")
     joined = placed.join(before, F.col(group).eqNullSafe(F.col("__group")))
     return joined.select(*rows.columns, (F.col("__place") - F.col("__before")).cast("int").alias(name))
+
+
+def parted(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` stored in range partitions of ``order``, numbered by ``__part``: a group of any size is cut into pieces that follow each other."""
+    return durable(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+
+
+def with_next(parts: DataFrame, order: list[str], columns: dict[str, str]) -> DataFrame:
+    """``parted`` rows with columns of the row that follows in ``order``, which is total; null for the last row.
+
+    ``columns`` maps names to columns. The first row of a partition is handed to
+    the partition before it, a row for each partition.
+    """
+    following = Window.partitionBy("__part").orderBy(*order)
+    packed = F.struct(*[F.col(c).alias(name) for name, c in columns.items()])
+    local = parts.withColumn("__next", F.lead(packed).over(following)).withColumn("__last", F.lead(F.lit(1)).over(following).isNull())
+    heads = parts.groupBy("__part").agg(F.min_by(packed, F.struct(*order)).alias("__head"))
+    numbers = sorted(r["__part"] for r in heads.select("__part").collect())
+    before = parts.sparkSession.createDataFrame([(b, a) for a, b in zip(numbers, numbers[1:], strict=False)] or [(-1, -1)], "__part int, __before int")
+    handed = heads.join(before, "__part").select(F.col("__before").alias("__part"), "__head", F.lit(True).alias("__last"))
+    joined = local.join(handed, ["__part", "__last"], "left")
+    found = F.when(F.col("__last"), F.col("__head")).otherwise(F.col("__next"))
+    return joined.select(*parts.columns, *[found[name].alias(name) for name in columns])

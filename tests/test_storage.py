@@ -138,3 +138,32 @@ def test_stream_beyond_lateness_and_idleness(spark, tmp_path):
     told = streamed(spark, tmp_path, [first, [(9, 0, "time goes on", None, 40)], [(9, 1, "and on", None, 40)], late], lateness="5 minutes", idle=1800)
     assert told[(1, 0)] == ([], False) and told[(1, 2)] == (["roads"], True) and (1, 1) not in told
     assert told[(1, 3)] == ([], False) and told[(2, 1)] == ([], False)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_a_hot_conversation_lies_in_many_ranges(spark, most):
+    """One conversation has most of the turns, few of them answered: its history crosses the ranges, some without an entry."""
+    import random
+
+    rng = random.Random(most)
+    turns, rows = [], []
+    for conv, n in ((1, 6), (2, 400), (3, 5), (None, 4)):
+        for k in range(n):
+            turns.append((conv, k, "user" if rng.random() < 0.7 else "assistant", f"{conv}-{k}" if rng.random() < 0.9 else " "))
+    frame = spark.createDataFrame(rng.sample(turns, len(turns)), "conv_id long, turn long, role string, text string")
+    for conv in (1, 2, 3, None):
+        held, mine = [], [t for t in turns if t[0] == conv]
+        for k, (_, turn, role, text) in enumerate(mine):
+            if role == "user":
+                answer = mine[k + 1][3] if k + 1 < len(mine) and mine[k + 1][2] == "assistant" else None
+                rows.append((conv, turn, text, answer, tuple(h[0] for h in held[-most:])))
+                held += [(turn, text)] if answer and answer.strip() else []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = conversation.history_before(conversation.answered_turns(frame), most).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted([(r.conv_id, r.turn, r.question, r.answer, tuple(h.turn for h in r.history)) for r in got], key=key) == sorted(rows, key=key)
