@@ -110,7 +110,7 @@ def analyze(files: DataFrame, stored: DataFrame, extractor: pdf.Extractor, gener
 
 
 _PAGES = "page_number int, text string, error string"
-_RATED = f"error string, quality string, quality_warnings array<string>, {sections.FOUND}, section_warnings {sections.WARNINGS}"
+_RATED = f"error string, quality string, quality_warnings array<string>, {sections.FOUND}, section_warnings {sections.WARNING_ROWS}"
 _RECORD = f"analysis_id string, updated_at timestamp, status string, completed_stages array<string>, failed_stages array<string>, skipped_stages array<string>, {_RATED}, question string, question_kind string, question_warnings array<string>"
 PAPERS = "paper_id string, checksum string, title string, source_path string, conversion string"
 

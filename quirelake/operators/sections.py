@@ -60,8 +60,8 @@ WARNINGS = [
 _SPAN = "struct<page:int,start:int,end:int>"
 _EVIDENCE = "struct<page:int,start:int,end:int,type:string,description:string>"
 FOUND = f"sections array<struct<kind:string,method:string,heading:string,start_page:int,end_page:int,spans:array<{_SPAN}>,text:string,evidence:array<{_EVIDENCE}>>>"
-WARNINGS = "array<struct<code:string,pages:array<int>>>"
-RESULT = f"doc_id {{key}}, {FOUND}, candidates array<struct<kind:string,heading:string,page:int,start:int,end:int>>, warnings {WARNINGS}"
+WARNING_ROWS = "array<struct<code:string,pages:array<int>>>"
+RESULT = f"doc_id {{key}}, {FOUND}, candidates array<struct<kind:string,heading:string,page:int,start:int,end:int>>, warnings {WARNING_ROWS}"
 
 
 def _has(text: Column, pattern: str, fold: bool = True) -> Column:
