@@ -8,18 +8,17 @@ the batch however the arrivals were shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quirelake.operators.conversation import MAX_TURNS, OPENERS, REFERRING
 from quirelake.shipping import shipped
 
 OUTPUT = "conv_id long, turn long, question string, history array<string>, needs_context boolean"
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _leans_back(question: str) -> bool:
@@ -38,42 +37,40 @@ def told(turns: list[tuple[int, str | None, str | None]], held: list[str], max_t
     return out, held
 
 
-class HistoryState(StatefulProcessor):
-    """State of a conversation: turns that wait for the watermark, the last answered questions, and when it was last heard of."""
-
-    def __init__(self, idle_ms: int | None) -> None:
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "turn long", "at long, question string, answer string")
-        self.answered = handle.getValueState("answered", "questions array<string>, at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for turn, question, answer, at in zip(frame["turn"], frame["question"], frame["answer"], frame["at_ms"], strict=True):
-                self.waiting.updateValue((int(turn),), (int(at), question, answer))
-                self.handle.registerTimer(int(at))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((turn[0], at, question, answer) for turn, (at, question, answer) in self.waiting.iterator() if at <= now)
-        state = self.answered.get() if self.answered.exists() else None
-        if due:
-            rows, held = told([(t, q, a) for t, _, q, a in due], list(state[0]) if state else [])
-            for turn, *_ in due:
-                self.waiting.removeKey((turn,))
-            last = max([at for _, at, _, _ in due] + ([state[1]] if state else []))
-            self.answered.update((held, last))
-            if self.idle_ms is not None:
-                self.handle.registerTimer(last + self.idle_ms)
-            yield pd.DataFrame([(key[0], *row) for row in rows], columns=["conv_id", "turn", "question", "history", "needs_context"])
-        elif state and self.idle_ms is not None and now >= state[1] + self.idle_ms:
-            self.answered.clear()
-
-    def close(self) -> None:
-        pass
+STATE = "turns array<long>, times array<long>, questions array<string>, answers array<string>, held array<string>, last long"
+
+
+def _telling(idle_ms: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Takes up a conversation's turns and tells those that the watermark has passed.
+
+    The state comes and goes once a batch: turns that wait for the watermark, the last answered
+    questions, and the time of the last turn that was told.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turns, times, questions, answers, held, last = state.get if state.exists else ([], [], [], [], [], None)
+        waiting = {t: (at, q, a) for t, at, q, a in zip(turns, times, questions, answers, strict=True)}
+        for frame in frames:
+            waiting |= {t: row for t, *row in zip(*[frame[c].tolist() for c in ("turn", "at_ms", "question", "answer")], strict=True)}
+        now, out, held = state.getCurrentWatermarkMs(), [], list(held)
+        for turn in sorted(t for t, (at, _, _) in waiting.items() if at <= now):
+            at, question, answer = waiting.pop(turn)
+            if idle_ms is not None and last is not None and at > last + idle_ms:
+                held = []
+            rows, held = told([(turn, question, answer)], held)
+            out += rows
+            last = at if last is None else max(last, at)
+        if not waiting and (not held or (idle_ms is not None and now > last + idle_ms)):
+            state.remove()
+        else:
+            state.update(([*waiting], *[[row[k] for row in waiting.values()] for k in range(3)], held, last))
+            if waiting:
+                state.setTimeoutTimestamp(max(min(at for at, _, _ in waiting.values()) - 1, now))  # it is over once the watermark is beyond it
+            elif idle_ms is not None:
+                state.setTimeoutTimestamp(last + idle_ms)
+        yield pd.DataFrame([(key[0], *row) for row in out], columns=["conv_id", "turn", "question", "history", "needs_context"])
+
+    return run
 
 
 def stream_history(turns: DataFrame, lateness: str = "10 minutes", at: str = "asked_at", idle: int | None = None) -> DataFrame:
@@ -84,12 +81,12 @@ def stream_history(turns: DataFrame, lateness: str = "10 minutes", at: str = "as
     number or conversation; a number that comes twice while it waits counts once, as it came last. A
     turn is told once the stream's time has passed it by ``lateness``. A conversation's state is its
     waiting turns and at most MAX_TURNS questions; after ``idle`` seconds without a turn, if given, it
-    is forgotten. Times lie after 1970, where a stream's time begins. Needs the RocksDB state store, which is set for the session.
+    is forgotten. Times lie after 1970, where a stream's time begins.
+    Any state store will do; RocksDB keeps its state outside the heap.
     """
-    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     timed = turns.filter(F.col(at).isNotNull() & F.col("turn").isNotNull() & F.col("conv_id").isNotNull()).withWatermark(at, lateness)
     rows = timed.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "question", "answer", at, F.unix_millis(at).alias("at_ms"))
-    return shipped(rows).groupBy("conv_id").transformWithStateInPandas(HistoryState(None if idle is None else idle * 1000), OUTPUT, "append", "EventTime")
+    return shipped(rows).groupBy("conv_id").applyInPandasWithState(_telling(None if idle is None else idle * 1000), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def reset_history(turns: DataFrame, resets: DataFrame) -> DataFrame:
