@@ -128,7 +128,7 @@ def _known_questions(passages: DataFrame, questions: DataFrame, key: str, text:
     return _Questions([r["query_id"] for r in asked], list(number), [r["idf"] for r in idf], [[number[t] for t in r["terms"] if t in number] for r in asked], idf[0]["avgdl"] if idf else 0.0, to_arrow_type(wanted.schema["query_id"].dataType))
 
 
-def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, sequence: np.ndarray, k: int, deduplicate: bool) -> np.ndarray:
+def best_entries(query: np.ndarray, score: np.ndarray, ids: np.ndarray, sequence: np.ndarray, k: int, deduplicate: bool) -> np.ndarray:
     """Indices of each question's best k entries, of one token sequence the best only."""
     _, place = np.unique(ids, return_inverse=True)
     order = np.lexsort((place, -score, query))
@@ -154,7 +154,7 @@ def _scoring(asked: _Questions, k: int, k1: float, b: float, deduplicate: bool)
 
         def prune() -> None:
             parts = [np.concatenate(c) for c in zip(*held, strict=True)]
-            keep = _best(*parts, k, deduplicate)
+            keep = best_entries(*parts, k, deduplicate)
             held[:] = [tuple(c[keep] for c in parts)]
 
         for batch in batches:
@@ -177,7 +177,7 @@ def _scoring(asked: _Questions, k: int, k1: float, b: float, deduplicate: bool)
                 summed = ((dense @ wanted).astype(np.int64) + 500) // 1000
                 row, query = np.nonzero(summed)
                 score, row = summed[row, query], row + at
-                keep = _best(query, score, ids[row], sequence[row], k, deduplicate)
+                keep = best_entries(query, score, ids[row], sequence[row], k, deduplicate)
                 held.append((query[keep], score[keep], ids[row[keep]], sequence[row[keep]]))
                 if len(held) > 16:
                     prune()
