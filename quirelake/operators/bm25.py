@@ -57,9 +57,27 @@ def tokenised(passages: DataFrame, key: str, text: str, tokenizer: Tokenizer = t
     return passages.select(F.col(key).alias("passage_id"), tokenizer(F.col(text)).alias("tokens"))
 
 
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a list of tokens, by runs of the sorted list: nothing is held beyond the row."""
+
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of a value that is computed once, whatever it is used for."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def counted(held: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda i, at: F.struct(F.get(held, i).alias("term"), (F.coalesce(F.get(starts, at + 1), F.size(held)) - i).cast("long").alias("tf")))
+
+    def runs(held: Column) -> Column:
+        places = F.when(F.size(held) > 0, F.sequence(F.lit(0), F.size(held) - 1)).otherwise(F.array().cast("array<int>"))
+        return bound(F.filter(places, lambda i: (i == 0) | (F.get(held, i) != F.get(held, i - 1))), lambda starts: counted(held, starts))
+
+    return bound(F.array_sort(tokens), runs)
+
+
 def term_frequencies(passages: DataFrame, key: str = "passage_id", text: str = "text") -> DataFrame:
-    """(passage_id, term, tf)."""
-    return tokenised(passages, key, text).select("passage_id", F.explode("tokens").alias("term")).groupBy("passage_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(passage_id, term, tf), counted within the row of a passage; rows of one id count together."""
+    whole = tokenised(passages, key, text).groupBy("passage_id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    return whole.select("passage_id", F.inline(term_counts(F.col("tokens"))))
 
 
 def document_frequencies(passages: DataFrame, key: str = "passage_id", text: str = "text") -> DataFrame:
