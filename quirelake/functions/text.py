@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +28,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), F.lit(TOKEN), F.lit(0))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _folded_tokens(text: pd.Series) -> pd.Series:
+#: texts whose tokens are Python objects at once
+CUT_AT_ONCE = 256
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _folded_tokens(text: pa.Array) -> pa.Array:
 
     def cut(value: str | None) -> list[str]:
         folded = unicodedata.normalize("NFKC", value or "").casefold()
-        return "".join(c if c.isalnum() else " " for c in folded).split(" ") if folded else []
+        return "".join(c if c.isalnum() else " " for c in folded).split()
 
-    return text.map(lambda value: [t for t in cut(value) if t])
+    parts = [pa.array([cut(v) for v in text.slice(at, CUT_AT_ONCE).to_pylist()], pa.list_(pa.string())) for at in range(0, max(len(text), 1), CUT_AT_ONCE)]
+    return pa.concat_arrays(parts)
 
 
 def strict_tokens(text: Column) -> Column:

@@ -27,6 +27,7 @@ FIXED_POINT = 1e12
 #: questions times their terms up to which a batch travels to the tasks (8 bytes each at most)
 DENSE_CELLS = 8_000_000
 BLOCK = 256  # passages scored at once
+SLICE = 1024  # passages whose tokens a task looks up at once
 
 
 def check_parameters(k1: float, b: float, k: int) -> None:
@@ -175,7 +176,7 @@ def _scoring(asked: _Questions, k: int, k1: float, b: float, deduplicate: bool)
             keep = best_entries(*parts, k, deduplicate)
             held[:] = [tuple(c[keep] for c in parts)]
 
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             kind = batch.schema.field("passage_id").type
             ids, sequence = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("passage_id", "sequence"))
             column = batch.column("tokens")
