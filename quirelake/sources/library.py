@@ -456,6 +456,8 @@ class Library:
     def save_analyses(self, analyses: DataFrame, key: str = "analysis_id", stamp: str = "updated_at") -> int:
         """Puts analyses in place of older ones; those that change nothing keep their stamp."""
         base = self.manifest()["version"]
+        if "checksum" in analyses.columns:
+            analyses = analyses.withColumn("checksum", F.lower("checksum"))  # as it is stored
         ids = analyses.select(key).distinct()
         old = self.matching("analyses", ids, key, analyses.schema)
         return self.apply(put={"analyses": (ids, upsert_if_changed(old, analyses, [key], stamp))}, base=base)
