@@ -2,18 +2,20 @@
 
 Spark computes a table of lines with everything that can be said of a line and
 its neighbours: offsets, blankness, page edges, running headers, pattern flags,
-column width. One grouped function a document then only chooses boundaries
-and collects runs of lines.
+column width. Python then only chooses boundaries and collects runs of lines,
+a document after the other as they come in batches of lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.durable import durable
 from quirelake.functions.text import SPACE, lines
 from quirelake.shipping import shipped
 
@@ -57,6 +59,9 @@ WARNINGS = [
     "missing_next_section_boundary",
 ]
 
+#: lines that are Python objects at once, besides those of a document
+ROWS_AT_ONCE = 1024
+
 _SPAN = "struct<page:int,start:int,end:int>"
 _EVIDENCE = "struct<page:int,start:int,end:int,type:string,description:string>"
 FOUND = f"sections array<struct<kind:string,method:string,heading:string,start_page:int,end_page:int,spans:array<{_SPAN}>,text:string,evidence:array<{_EVIDENCE}>>>"
@@ -64,6 +69,10 @@ WARNING_ROWS = "array<struct<code:string,pages:array<int>>>"
 RESULT = f"doc_id {{key}}, {FOUND}, candidates array<struct<kind:string,heading:string,page:int,start:int,end:int>>, warnings {WARNING_ROWS}"
 
 
+#: a character that is no white space
+NO_SPACE = SPACE.replace("[", "[^", 1)
+
+
 def _has(text: Column, pattern: str, fold: bool = True) -> Column:
     return F.regexp_like(text, F.lit(("(?iuU)" if fold else "(?U)") + pattern))
 
@@ -76,19 +85,30 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, rf"(?U){SPACE}+"), lambda w: w != "")
 
 
+def _words_from(text: Column, least: int) -> Column:
+    """Whether a text has ``least`` words or more, two at least, without taking them out."""
+    return _has(text, rf"^{SPACE}*+(?:{NO_SPACE}++{SPACE}++){{{least - 1}}}{NO_SPACE}", False)
+
+
+def _then(test: Column, *more: Column) -> Column:
+    """All of the tests, each evaluated only where those before it hold; in an ``&`` what occurs twice in a row's flags is evaluated for every row."""
+    return F.when(test, _then(*more)).otherwise(F.lit(False)) if more else test
+
+
 def body_sentence(text: Column) -> Column:
     """A capitalised, ended line of four words or more without an affiliation."""
-    return (F.size(_words(text)) >= 4) & _has(text, r"^\p{Lu}", False) & _has(text, SENTENCE_END) & ~_has(text, AFFILIATION)
+    return _then(_has(text, r"^\p{Lu}", False), _words_from(text, 4), _has(text, SENTENCE_END), ~_has(text, AFFILIATION))
 
 
 def continues_block(text: Column) -> Column:
     """A line that goes on with an excluded block: no capital, short, or an affiliation."""
-    return (text != "") & (~_has(text, r"^\p{Lu}", False) | (F.size(_words(text)) < 6) | _has(text, AFFILIATION))
+    return (text != "") & (~_has(text, r"^\p{Lu}", False) | ~_words_from(text, 6) | _has(text, AFFILIATION))
 
 
 def heading_title(text: Column, first: bool) -> Column:
     """Whether a numbered line has the shape of a top-level heading; ``first``: it may be the first section."""
-    title = trimmed(F.regexp_extract(text, "(?iuU)" + (FIRST_TITLE if first else NEXT_TITLE), 1))
+    pattern = FIRST_TITLE if first else NEXT_TITLE
+    title = trimmed(F.regexp_extract(text, "(?iuU)" + pattern, 1))
     dotted = F.endswith(title, F.lit("."))
     bare = F.when(dotted, trimmed(F.regexp_replace(title, r"\.$", ""))).otherwise(title)
     words = _words(bare)
@@ -97,6 +117,7 @@ def heading_title(text: Column, first: bool) -> Column:
     all_caps = _has(bare, r"\p{Lu}", False) & ~_has(bare, r"\p{Ll}", False)
     prose = (_has(bare, DEMONSTRATIVE) & F.arrays_overlap(plain, verbs)) | (~all_caps & F.arrays_overlap(F.slice(plain, 2, 1000), verbs))
     tests = [
+        _has(text, pattern),
         title != "",
         F.length(title) <= 60,
         ~dotted | (F.size(words) <= 3),
@@ -109,14 +130,14 @@ def heading_title(text: Column, first: bool) -> Column:
     ]
     if first:
         tests.append(F.lower(title) != "introduction")
-    return reduce(lambda a, b: a & b, tests)
+    return _then(*tests)
 
 
-def line_table(pages: DataFrame, doc: str = "doc_id", page: str = "page_number", text: str = "text") -> DataFrame:
-    """(doc_id, page, no, idx, start, end, end_nl, raw, trimmed) for each line; offsets within the page."""
-    rows = pages.select(F.col(doc).alias("doc_id"), F.col(page).cast("int").alias("page"), F.explode(lines(F.col(text))).alias("l"))
+def line_table(pages: DataFrame, doc: str = "doc_id", page: str = "page_number", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, page, no, idx, start, end, end_nl, raw, trimmed) for each line; offsets within the page. ``keep``: further columns of the page."""
+    rows = pages.select(F.col(doc).alias("doc_id"), F.col(page).cast("int").alias("page"), F.explode(lines(F.col(text))).alias("l"), *(keep or []))
     raw = F.regexp_replace(F.col("l.text"), r"\r?\n\z", "")
-    rows = rows.select("doc_id", "page", F.col("l.no").alias("no"), F.col("l.start").alias("start"), (F.col("l.start") + F.length(raw)).alias("end"), F.col("l.end").alias("end_nl"), F.col("l.text").alias("raw"), trimmed(F.col("l.text")).alias("trimmed"))
+    rows = rows.select("doc_id", "page", F.col("l.no").alias("no"), F.col("l.start").alias("start"), (F.col("l.start") + F.length(raw)).alias("end"), F.col("l.end").alias("end_nl"), F.col("l.text").alias("raw"), trimmed(F.col("l.text")).alias("trimmed"), *(keep or []))
     return rows.withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "no")) - 1).cast("int"))
 
 
@@ -152,78 +173,108 @@ def running_headers(table: DataFrame, pages: DataFrame, doc: str = "doc_id") ->
     return counted.join(total, "doc_id").filter((F.col("n") >= 2) & (F.col("n") > F.col("page_count") * 0.3)).select("doc_id", "header")
 
 
+def _around(table: DataFrame) -> DataFrame:
+    """Adds __around: the lengths of the filled lines within eight lines, the line itself left out."""
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    length = F.when(F.col("trimmed") != "", F.length("trimmed"))
+    return table.withColumn("__above", F.collect_list(length).over(order.rowsBetween(-8, -1))).withColumn("__below", F.collect_list(length).over(order.rowsBetween(1, 8)))
+
+
+def _width() -> Column:
+    around = F.sort_array(F.concat("__above", "__below"))
+    return F.when(F.size("__above") + F.size("__below") >= 4, F.get(around, F.floor((F.size("__above") + F.size("__below")) * 3 / 4).cast("int")))
+
+
 def column_width(table: DataFrame) -> DataFrame:
     """Adds width: the 75th-percentile length of the filled lines within eight lines, the line itself left out; null under four."""
-    near = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(-8, 8)
-    lengths = F.collect_list(F.when(F.col("trimmed") != "", F.struct("idx", F.length("trimmed").alias("n")))).over(near)
-    held = table.withColumn("__near", lengths)
-    others = F.array_sort(F.transform(F.filter("__near", lambda x: x["idx"] != F.col("idx")), lambda x: x["n"]))
-    held = held.withColumn("__near", others)
-    return held.withColumn("width", F.when(F.size("__near") >= 4, F.get("__near", F.floor(F.size("__near") * 3 / 4).cast("int")))).drop("__near")
+    return _around(table).withColumn("width", _width()).drop("__above", "__below")
 
 
-def paragraph_breaks(table: DataFrame) -> DataFrame:
-    """Adds breaks: the line interrupts wrapped text as a heading would."""
+def _neighbourhood(table: DataFrame) -> DataFrame:
+    """Adds to ``_around`` __prev, the filled line before, and __next, the text of the filled line behind."""
     order = Window.partitionBy("doc_id").orderBy("idx")
     filled = F.when(F.col("trimmed") != "", F.struct("trimmed", "page"))
-    wide = column_width(table)
-    wide = wide.withColumn("__prev", F.last(filled, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    wide = wide.withColumn("__next", F.first(filled, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    ok = (
-        (F.col("__prev.page") == F.col("page"))
-        & _has(F.col("__prev.trimmed"), SENTENCE_END)
-        & ~F.coalesce(_has(F.col("__next.trimmed"), r"^\p{Ll}", False), F.lit(False))
-        & (F.col("width") > 0)
-        & (F.length("trimmed") <= F.col("width") * 0.7)
+    held = _around(table).withColumn("__prev", F.last(filled, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    # a frame that ends with the document would be read anew for every line
+    return held.withColumn("__next", F.expr("lead(nullif(trimmed, '')) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY idx)"))
+
+
+def _breaks() -> Column:
+    """Of a line of ``_neighbourhood``: it interrupts wrapped text as a heading would."""
+    width = _width()
+    ok = _then(
+        F.coalesce(F.col("__prev.page") == F.col("page"), F.lit(False)),
+        _has(F.col("__prev.trimmed"), SENTENCE_END),
+        ~F.coalesce(_has(F.col("__next"), r"^\p{Ll}", False), F.lit(False)),
+        F.length("trimmed") <= F.when(width > 0, width * 0.7),
     )
-    return wide.withColumn("breaks", F.coalesce(ok, F.lit(False))).drop("__prev", "__next")
-
-
-def described_lines(pages: DataFrame, doc: str = "doc_id", page: str = "page_number", text: str = "text") -> DataFrame:
-    """The line table with every flag that the choice of boundaries needs."""
-    table = neighbours(line_table(pages, doc, page, text))
-    headers = running_headers(table, pages, doc)
-    t = F.col("trimmed")
-    described = paragraph_breaks(table).withColumn("bare", without_frame_digits(t))
-    for column, flag in (("trimmed", "running"), ("bare", "running_bare")):
-        known = headers.select(F.col("doc_id").alias("__doc"), F.col("header").alias("__header"), F.lit(True).alias(flag))
-        described = described.join(known, (F.col("doc_id") == F.col("__doc")) & (F.col(column) == F.col("__header")), "left").drop("__doc", "__header").withColumn(flag, F.coalesce(flag, F.lit(False)))
-    verb = _has(F.concat(F.lit(" "), F.lower(t), F.lit(" ")), " (?:" + "|".join(VERBS) + ") ", False)
-    sentence = body_sentence(t)
+    return F.coalesce(ok, F.lit(False))
+
+
+def paragraph_breaks(table: DataFrame) -> DataFrame:
+    """Adds width, and breaks: the line interrupts wrapped text as a heading would."""
+    return _neighbourhood(table).withColumn("width", _width()).withColumn("breaks", _breaks()).drop("__above", "__below", "__prev", "__next")
+
+
+def headers_of(pages: DataFrame, doc: str = "doc_id", page: str = "page_number", text: str = "text") -> DataFrame:
+    """(doc_id, headers): the running headers of each document that has any."""
+    found = running_headers(neighbours(line_table(pages, doc, page, text)), pages, doc)
+    return found.groupBy("doc_id").agg(F.collect_set("header").alias("headers"))
+
+
+def described_lines(pages: DataFrame, doc: str = "doc_id", page: str = "page_number", text: str = "text", several: DataFrame | None = None) -> DataFrame:
+    """The line table with every flag that the choice of boundaries needs; a document's lines are in one partition.
+
+    ``several`` (doc_id): documents of more than one page, which alone can have
+    running headers; if it is not given, headers are looked for in all.
+    boundary is told of lines that look like a heading.
+    """
+    rows = pages.select(F.col(doc).alias("doc_id"), F.col(page).alias("page"), F.col(text).alias("text"))
+    paged = rows if several is None else rows.join(several.select("doc_id"), "doc_id", "left_semi")
+    rows = rows.join(headers_of(paged, page="page"), "doc_id", "left").repartition("doc_id")
+    return _flagged(_neighbourhood(neighbours(line_table(rows, page="page", keep=["headers"]))))
+
+
+def _flagged(table: DataFrame) -> DataFrame:
+    t, raw = F.col("trimmed"), F.col("raw")
+    running, running_bare = (F.coalesce(F.array_contains("headers", x), F.lit(False)) for x in (t, without_frame_digits(t)))
     lower = F.lower(t)
-    short = (t != "") & (F.length(t) <= 80) & ~_has(F.col("raw"), DOT_LEADERS)
+    verb = _has(F.concat(F.lit(" "), lower, F.lit(" ")), " (?:" + "|".join(VERBS) + ") ", False)
+    sentence = body_sentence(t)
+    short = (t != "") & (F.length(t) <= 80) & ~_has(raw, DOT_LEADERS)
     edge = F.col("first_on_page") | F.col("last_on_page")
-    furniture = edge & (F.col("page") > 1) & (F.col("running") | F.col("running_bare") | _has(t, r"^\d+$", False))
+    late = edge & (F.col("page") > 1)
+    cover = _has(raw, COVER_SHEET)
     starts = (
-        ((_has(t, KEYWORDS) | _has(t, ARTICLE_HISTORY)) & ~(verb | sentence))
-        | (_has(t, AFFILIATION_START) & ~(_has(t, FUNDING) & sentence))
-        | (_has(t, FOOTNOTE, False) & _has(t, CONTACT))
+        _then(_has(t, KEYWORDS) | _has(t, ARTICLE_HISTORY), ~(verb | sentence))
+        | _then(_has(t, AFFILIATION_START), ~_then(_has(t, FUNDING), sentence))
+        | _then(_has(t, FOOTNOTE, False), _has(t, CONTACT))
     )
-    score = F.when(F.col("running") & edge & (F.col("page") > 1), 0).when(F.col("prev_blank") | F.col("next_blank") | edge, 3).otherwise(2)
+    score = F.when(_then(late, running), 0).when(F.col("prev_blank") | F.col("next_blank") | edge, 3).otherwise(2)
     flags = {
-        "abstract_score": F.when(short & _has(t, ABSTRACT), score),
-        "introduction_score": F.when(short & _has(t, INTRODUCTION), score),
-        "next_heading": short & ~F.col("running") & heading_title(t, False),
-        "first_heading": short & ~F.col("running") & heading_title(t, True),
-        "boundary": F.col("prev_blank") | F.col("next_blank") | edge | F.col("breaks"),
+        "abstract_score": F.when(_then(short, _has(t, ABSTRACT)), score),
+        "introduction_score": F.when(_then(short, _has(t, INTRODUCTION)), score),
+        "next_heading": _then(short, heading_title(t, False), ~running),
+        "first_heading": _then(short, heading_title(t, True), ~running),
         "keywords": _has(t, KEYWORDS),
         "inline_jel": _has(t, INLINE_JEL),
         "thanks": _has(t, ACKNOWLEDGMENTS),
-        "cover": _has(F.col("raw"), COVER_SHEET),
-        "furniture": furniture | (_has(F.col("raw"), COVER_SHEET) & (F.col("page") == 1)),
+        "cover": _then(F.col("idx") == 0, cover),
+        "furniture": _then(late, running | running_bare | _has(t, r"^\d+$", False)) | _then(F.col("page") == 1, cover),
         "block_starts": starts,
-        "thanks_block": _has(t, ACKNOWLEDGMENTS) & ~(F.contains(lower, F.lit("in this paper")) | F.contains(lower, F.lit("we show"))),
+        "thanks_block": _then(_has(t, ACKNOWLEDGMENTS), ~(F.contains(lower, F.lit("in this paper")) | F.contains(lower, F.lit("we show")))),
         "block_goes_on": continues_block(t),
         "open_end": _has(t, "[,;-]$", False),
     }
-    return described.withColumns(flags).select("doc_id", "page", "idx", "start", "end", "end_nl", "raw", "trimmed", *flags)
+    headed = _then(F.col("next_heading") | F.col("first_heading"), F.col("prev_blank") | F.col("next_blank") | edge | _breaks())
+    return table.withColumns(flags).withColumn("boundary", headed).select("doc_id", "page", "idx", "start", "end", "end_nl", "raw", "trimmed", *flags, "boundary")
 
 
 class _Document:
     """Choosing boundaries in one document's described lines."""
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        self.rows = rows.sort_values("idx").to_dict("records")
+    def __init__(self, rows: list[dict]) -> None:
+        self.rows = rows
         self.warnings: dict[str, set[int]] = {}
         self.sections: list[dict] = []
 
@@ -240,7 +291,7 @@ class _Document:
 
     def candidates(self, kind: str) -> list[tuple[int, int]]:
         column = f"{kind}_score"
-        return [(k, int(r[column])) for k, r in enumerate(self.rows) if not pd.isna(r[column])]
+        return [(k, r[column]) for k, r in enumerate(self.rows) if r[column] is not None]
 
     def choose(self, kind: str, found: list[tuple[int, int]]) -> int | None:
         best = max((s for _, s in found), default=0)
@@ -366,16 +417,47 @@ class _Document:
         if "introduction" not in kinds and not {"ambiguous_introduction_candidates", "empty_introduction_body"} & self.warnings.keys():
             self.warn("missing_introduction")
 
-    def result(self, key: object) -> pd.DataFrame:
+    def result(self) -> dict:
         named = [{"kind": kind, "heading": self.rows[k]["trimmed"], "page": self.rows[k]["page"], "start": self.rows[k]["start"], "end": self.rows[k]["end"]} for kind, k in self.found]
         said = [{"code": code, "pages": sorted(self.warnings[code])} for code in WARNINGS if code in self.warnings]
-        return pd.DataFrame({"doc_id": [key], "sections": [self.sections], "candidates": [named], "warnings": [said]})
-
-
-def _detect(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    document = _Document(rows)
-    document.detect()
-    return document.result(key[0])
+        return {"doc_id": self.rows[0]["doc_id"], "sections": self.sections, "candidates": named, "warnings": said}
+
+
+def _arrow_schema(key: pa.DataType) -> pa.Schema:
+    """RESULT as an Arrow schema."""
+    place = [("page", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
+    evidence = pa.struct([*place, ("type", pa.string()), ("description", pa.string())])
+    section = pa.struct([("kind", pa.string()), ("method", pa.string()), ("heading", pa.string()), ("start_page", pa.int32()), ("end_page", pa.int32()), ("spans", pa.list_(pa.struct(place))), ("text", pa.string()), ("evidence", pa.list_(evidence))])
+    candidate = pa.struct([("kind", pa.string()), ("heading", pa.string()), *place])
+    warning = pa.struct([("code", pa.string()), ("pages", pa.list_(pa.int32()))])
+    return pa.schema([("doc_id", key), ("sections", pa.list_(section)), ("candidates", pa.list_(candidate)), ("warnings", pa.list_(warning))])
+
+
+def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of RESULT from described lines in the order of documents and lines; a document may go on in the next batch, and a blank one gives none."""
+    rows: list[dict] = []
+    shape, out = None, []
+
+    def close() -> None:
+        if any(r["trimmed"] for r in rows):
+            document = _Document(rows)
+            document.detect()
+            out.append(document.result())
+
+    for batch in batches:
+        shape = shape or _arrow_schema(batch.schema.field("doc_id").type)
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            for row in batch.slice(at, ROWS_AT_ONCE).to_pylist():
+                if rows and rows[0]["doc_id"] != row["doc_id"]:
+                    close()
+                    rows = []
+                rows.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, shape)
+                out.clear()
+    close()
+    if out:
+        yield pa.RecordBatch.from_pylist(out, shape)
 
 
 def detect_sections(pages: DataFrame, doc: str = "doc_id", page: str = "page_number", text: str = "text", documents: DataFrame | None = None) -> DataFrame:
@@ -386,9 +468,10 @@ def detect_sections(pages: DataFrame, doc: str = "doc_id", page: str = "page_num
     """
     kind = dict(pages.dtypes)[doc]
     schema = RESULT.format(key=kind)
-    filled = pages.groupBy(F.col(doc).alias("__doc")).agg(F.bool_or(_has(F.coalesce(F.col(text), F.lit("")), r"[^\s\x1c-\x1f]", False)).alias("filled"), F.array_sort(F.collect_list(F.col(page).cast("int"))).alias("pages"))
-    live = pages.join(filled.filter("filled").select("__doc"), F.col(doc) == F.col("__doc"), "left_semi")
-    found = shipped(described_lines(live, doc, page, text)).groupBy("doc_id").applyInPandas(_detect, schema)
+    filled = durable(pages.groupBy(F.col(doc).alias("__doc")).agg(F.bool_or(_has(F.coalesce(F.col(text), F.lit("")), NO_SPACE, False)).alias("filled"), F.array_sort(F.collect_list(F.col(page).cast("int"))).alias("pages")))
+    several = filled.filter("filled and size(pages) > 1").select(F.col("__doc").alias("doc_id"))
+    # blank documents have lines, too, and are left out where theirs are read
+    found = shipped(described_lines(pages, doc, page, text, several)).sortWithinPartitions("doc_id", "idx").mapInArrow(_detect, schema)
     types = dict(found.dtypes)
     none = [F.array().cast(types[c]).alias(c) for c in ("sections", "candidates")]
 

@@ -110,3 +110,20 @@ def test_conversion_fragments_point_at_the_page(spark):
         assert len(r.text) <= 12
         assert "".join(pages[f.page - 1][f.start : f.end] for f in r.fragments) == r.text
         assert [f.passage_start for f in r.fragments][0] == 0 and r.fragments[-1].passage_end == len(r.text)
+
+
+def test_documents_are_read_on_end_in_batches_of_lines(spark):
+    """No Python call and no new reading of the lines behind for each document: both outgrew the input; batches may end within a document."""
+    texts = [(k, n, t) for k in range(20) for n, t in ((1, "A Title\n\nAbstract\nShort summary.\n\nIntroduction\n" + BODY), (2, f"Journal of Towns\n\nRest {k}.\n\n2. Data\nMore.\n"), (3, "Journal of Towns\n\nEnd.\n"))]
+    pages = spark.createDataFrame([*texts, (20, 1, " \n\n")], "doc_id long, page_number int, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = sections.detect_sections(pages)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = {r.doc_id: r for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "1, unboundedfollowing" not in plan.lower()
+    assert len(rows) == 21 and [w.code for w in rows[20].warnings] == ["all_pages_empty", "missing_abstract", "missing_introduction"]
+    for k in range(20):
+        assert {s.kind: s.text for s in rows[k].sections} == {"abstract": "Short summary.\n\n", "introduction": f"{BODY}\nRest {k}.\n\n"}
