@@ -73,8 +73,8 @@ def settings_fingerprint(budget: int = BUDGET) -> str:
     return hashlib.sha256(json.dumps({"budget": budget, "method": "greedy-paragraphs"}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def split_passages(docs: DataFrame, budget: int = BUDGET, key: str = "doc_id", text: str = "text", kind: Column | None = None) -> DataFrame:
-    """(paper_id, passage_id, kind, ordinal, start, end, text) for every passage of every text.
+def split_passages(docs: DataFrame, budget: int = BUDGET, key: str = "doc_id", text: str = "text", kind: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(paper_id, passage_id, kind, ordinal, start, end, text) for every passage of every text, and the columns of ``docs`` in ``keep``.
 
     With ``kind`` a paper may have several texts, its sections; passages never
     cross them and ordinals run over all of them, abstract first.
@@ -82,12 +82,12 @@ def split_passages(docs: DataFrame, budget: int = BUDGET, key: str = "doc_id", t
     if isinstance(budget, bool) or budget < 2:
         raise ValueError("the budget must be at least 2 characters")
     named = F.lit("document") if kind is None else kind
-    rows = docs.select(F.col(key).alias("paper_id"), named.alias("kind"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
-    cut = rows.select("paper_id", "kind", "whole", F.posexplode(packed_ranges(F.col("whole"), budget)).alias("ordinal", "r"))
+    rows = docs.select(F.col(key).alias("paper_id"), named.alias("kind"), F.coalesce(F.col(text), F.lit("")).alias("whole"), *(keep or []))
+    cut = rows.select("paper_id", "kind", "whole", *(keep or []), F.posexplode(packed_ranges(F.col("whole"), budget)).alias("ordinal", "r"))
     if kind is not None:
         order = Window.partitionBy("paper_id").orderBy(F.when(F.col("kind") == "abstract", 0).otherwise(1), "kind", "ordinal")
         cut = cut.withColumn("ordinal", F.row_number().over(order) - 1)
-    cut = cut.select("paper_id", "kind", "ordinal", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.substring(F.col("whole"), F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("text"))
+    cut = cut.select("paper_id", "kind", "ordinal", *(keep or []), F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.substring(F.col("whole"), F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("text"))
     return cut.withColumn("passage_id", passage_id(F.col("paper_id"), F.col("ordinal"), F.col("text"), settings_fingerprint(budget), F.col("kind")))
 
 

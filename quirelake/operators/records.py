@@ -31,6 +31,11 @@ def markdown_digest(markdown: Column) -> Column:
     return F.sha2(markdown.cast("binary"), 256)
 
 
+def _text_digest(text: Column) -> Column:
+    """32 bytes that stand for a text where texts are compared."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def section_rank(kind: Column) -> Column:
     """The place of a section kind; kinds out of the order come last."""
     out = F.lit(len(SECTION_ORDER))
@@ -46,7 +51,8 @@ def record_violations(records: DataFrame, passages: DataFrame, fragments: DataFr
     markdown, markdown_sha256); passages (paper_id, passage_id, ordinal, kind,
     heading, page_start, page_end, text); fragments (passage_id, page, start,
     end, passage_start, passage_end, text), offsets of the page and of the
-    passage, half open.
+    passage, half open. What is asked of a text is asked where it is read: of all
+    texts only the passages' are shuffled, once, and meet digests of their fragments.
     """
     order = Window.partitionBy("passage_id").orderBy("passage_start", "passage_end")
     placed = fragments.withColumns({"reach": F.lag("passage_end", 1, 0).over(order), "before_page": F.lag("page").over(order), "before_end": F.lag("end").over(order)})
@@ -58,10 +64,16 @@ def record_violations(records: DataFrame, passages: DataFrame, fragments: DataFr
         F.min(F.struct("passage_start", "page", "start")).alias("first"),
         F.max(F.struct("passage_end", "page", "end")).alias("last"),
     )
-    inside = fragments.select("passage_id", "passage_start", "passage_end", F.col("text").alias("held")).join(passages.select("passage_id", "text"), "passage_id")
-    torn = inside.filter(~F.col("held").eqNullSafe(F.substring("text", F.col("passage_start") + 1, F.col("passage_end") - F.col("passage_start")))).select("passage_id").distinct().withColumn("torn", F.lit(True))
+    inside = fragments.select("passage_id", "passage_start", "passage_end", _text_digest(F.col("text")).alias("held")).join(passages.select("passage_id", "text"), "passage_id")
+    part = F.substring("text", F.col("passage_start") + 1, F.col("passage_end") - F.col("passage_start"))
+    torn = inside.filter(~F.col("held").eqNullSafe(_text_digest(part))).select("passage_id").distinct().withColumn("torn", F.lit(True))
 
-    own = passages.join(spans, "passage_id", "left").join(torn, "passage_id", "left").join(records.select("paper_id", "fingerprint"), "paper_id", "left")
+    expected = passage_id(F.col("paper_id"), F.col("ordinal"), F.col("text"), settings_fingerprint(budget), F.col("kind"))
+    plain = passages.select(
+        "paper_id", "passage_id", "ordinal", "kind", "page_start", "page_end", F.length("text").alias("length"),
+        (~F.col("heading").eqNullSafe(F.initcap("kind"))).alias("wrong_heading"), (~F.col("passage_id").eqNullSafe(expected)).alias("wrong_id"),
+    )
+    own = plain.join(spans, "passage_id", "left").join(torn, "passage_id", "left").join(records.select("paper_id"), "paper_id", "left")
     in_paper = Window.partitionBy("paper_id").orderBy("ordinal", "passage_id")
     own = own.withColumns(
         {
@@ -70,19 +82,18 @@ def record_violations(records: DataFrame, passages: DataFrame, fragments: DataFr
             "last_place": F.lag(F.struct(F.col("last.page").alias("page"), F.col("last.end").alias("at"))).over(in_paper),
         }
     )
-    expected = passage_id(F.col("paper_id"), F.col("ordinal"), F.col("text"), settings_fingerprint(budget), F.col("kind"))
     tests = {
         "ordinal_gap": F.col("ordinal") != F.col("nth"),
-        "too_long": F.length("text") > budget,
-        "wrong_heading": ~F.col("heading").eqNullSafe(F.initcap("kind")),
+        "too_long": F.col("length") > budget,
+        "wrong_heading": F.col("wrong_heading"),
         "no_fragments": F.col("covered").isNull(),
-        "fragment_gap": F.col("gap") | (F.col("covered") != F.length("text")),
+        "fragment_gap": F.col("gap") | (F.col("covered") != F.col("length")),
         "fragment_length": F.col("uneven"),
         "fragment_order": F.col("unordered"),
         "fragment_text": F.col("torn"),
         "wrong_first_page": ~F.col("page_start").eqNullSafe(F.col("first.page")),
         "wrong_last_page": ~F.col("page_end").eqNullSafe(F.col("last.page")),
-        "wrong_id": ~F.col("passage_id").eqNullSafe(expected),
+        "wrong_id": F.col("wrong_id"),
         "section_order": section_rank(F.col("kind")) < F.col("last_rank"),
         "source_overlap": F.struct(F.col("first.page").alias("page"), F.col("first.start").alias("at")) < F.col("last_place"),
     }
@@ -94,8 +105,7 @@ def record_violations(records: DataFrame, passages: DataFrame, fragments: DataFr
         "blank_markdown": F.trim(F.coalesce("markdown", F.lit(""))) == "",
         "wrong_source": (F.col("source_name") != "local-pdf") | ~F.col("source_identifier").eqNullSafe(F.col("checksum")),
     }
-    counted = passages.groupBy("paper_id").agg(F.count(F.lit(1)).alias("passages"))
-    empty = records.join(counted, "paper_id", "left_anti").select("paper_id", F.lit("no_passages").alias("problem"))
+    empty = records.join(passages.select("paper_id").distinct(), "paper_id", "left_anti").select("paper_id", F.lit("no_passages").alias("problem"))
     return out.union(repeated).union(_named(records, whole, "paper_id")).union(empty).distinct()
 
 

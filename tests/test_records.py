@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import re
 import stat
 import tarfile
 import zipfile
@@ -67,6 +68,22 @@ def test_every_damage_is_named(spark, table, column, where, value, problems):
     assert [r.paper_id for r in good.collect()] == ["B"]  # one damaged record hides no other
 
 
+def test_texts_are_shuffled_once(spark):
+    """Of all texts only the passages' go through an exchange, to meet their fragments; the fragments' and records' stay where they are read."""
+    held = [rows.checkpoint() for rows in conversion(spark)]
+    plan = records.record_violations(*held, 100)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    below = re.findall(r"Exchange hashpartitioning\(.*\n[ +:-]*(?:\* ?(?:\(\d+\) )?)?Project \[(.*)\]", plan)
+    below = [[c.split(" AS ")[-1].split("#")[0] for c in re.split(r", (?![^(]*\))", p)] for p in below]
+    assert below and sum("text" in columns for columns in below) == 1 and not any("markdown" in columns for columns in below)
+
+
+def test_passages_that_share_an_id_and_repeated_records(spark):
+    known, held, parts = conversion(spark)
+    copied = held.filter("paper_id = 'A' and ordinal = 0").withColumn("text", F.upper("text"))
+    found = {(r.paper_id, r.problem) for r in records.record_violations(known, held.union(copied), parts, 100).collect()}
+    assert found == {("A", p) for p in ("duplicate_passage", "wrong_id", "fragment_text", "ordinal_gap", "source_overlap")}
+
+
 def test_only_damaged_records_are_an_error(spark):
     known, held, parts = conversion(spark)
     broken = records.record_violations(known, held.limit(0), parts, 100)
