@@ -28,7 +28,7 @@ DOT_LEADERS = r"\.{4,}"
 CITATION = r"(?-i)\b[A-Z][a-zA-Z]+(?:\s+et\s+al\.)?\s*\(\d{4}\)|\(\s*[A-Z][a-zA-Z]+(?:\s+et\s+al\.)?,\s*\d{4}\s*\)|\[\d+\]"
 CROSS_REFERENCE = r"\b(?:Section|Table|Figure|Fig|Equation|Eq|Appendix|Column|Row)\s+\d+"
 DEMONSTRATIVE = r"^(?:This|The|These|Those|That|Here|There|Each|Every|All|Some|Many|Most|Several|We|It|A|An|In|Under|For)\b"
-COVER_SHEET = r"(?:This\s+content\s+downloaded\s+from|JSTOR\s+is\s+a\s+not-for-profit|Downloaded\s+from\s+http|NBER\s+Working\s+Paper\s+Series)"
+COVER_SHEET = r"(?=[TJDN])(?:This\s+content\s+downloaded\s+from|JSTOR\s+is\s+a\s+not-for-profit|Downloaded\s+from\s+http|NBER\s+Working\s+Paper\s+Series)"
 KEYWORDS = r"^\s*\(?\s*(?:JEL\s+Classification|JEL\s+codes?|JEL\b|Keywords?|Key\s+words?)\s*[\:\.]?\s*"
 INLINE_JEL = r"\(\s*JEL\b[^)]*\)\s*$"
 ARTICLE_HISTORY = r"^\s*(?:ARTICLE\s+INFO|ARTICLE\s+HISTORY|Received\s+\d|Accepted\s+\d|Available\s+online|doi\.org|\bDOI\:)\b"
@@ -227,7 +227,8 @@ def described_lines(pages: DataFrame, doc: str = "doc_id", page: str = "page_num
 
     ``several`` (doc_id): documents of more than one page, which alone can have
     running headers; if it is not given, headers are looked for in all.
-    boundary is told of lines that look like a heading.
+    boundary is told of lines that look like a heading, block_goes_on of lines
+    behind one that begins a block.
     """
     rows = pages.select(F.col(doc).alias("doc_id"), F.col(page).alias("page"), F.col(text).alias("text"))
     paged = rows if several is None else rows.join(several.select("doc_id"), "doc_id", "left_semi")
@@ -263,11 +264,14 @@ def _flagged(table: DataFrame) -> DataFrame:
         "furniture": _then(late, running | running_bare | _has(t, r"^\d+$", False)) | _then(F.col("page") == 1, cover),
         "block_starts": starts,
         "thanks_block": _then(_has(t, ACKNOWLEDGMENTS), ~(F.contains(lower, F.lit("in this paper")) | F.contains(lower, F.lit("we show")))),
-        "block_goes_on": continues_block(t),
         "open_end": _has(t, "[,;-]$", False),
     }
     headed = _then(F.col("next_heading") | F.col("first_heading"), F.col("prev_blank") | F.col("next_blank") | edge | _breaks())
-    return table.withColumns(flags).withColumn("boundary", headed).select("doc_id", "page", "idx", "start", "end", "end_nl", "raw", "trimmed", *flags, "boundary")
+    # a line goes on with a block only if one has begun before it
+    before = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    out = table.withColumns(flags).withColumn("boundary", headed).withColumn("__begun", F.coalesce(F.bool_or(F.col("block_starts") | F.col("thanks_block")).over(before), F.lit(False)))
+    out = out.withColumn("block_goes_on", _then(F.col("__begun"), continues_block(t)))
+    return out.select("doc_id", "page", "idx", "start", "end", "end_nl", "raw", "trimmed", *flags, "boundary", "block_goes_on")
 
 
 class _Document:

@@ -18,6 +18,10 @@ METADATA = ("title", "author", "subject", "keywords", "creator", "producer", "cr
 PAGES = "path string, page_number int, page_count int, text string, metadata map<string,string>, error string, error_kind string"
 
 
+#: characters and rows of pages that are handed on at once
+CHARACTERS_AT_ONCE, PAGES_AT_ONCE = 2**22, 1024
+
+
 class EncryptedError(ValueError):
     """The empty password does not open the file."""
 
@@ -51,7 +55,13 @@ def extract_with_pypdf(content: bytes) -> tuple[list[str | None], dict[str, str]
 def pages_of(files: DataFrame, extractor: Extractor = extract_with_pypdf) -> DataFrame:
     """The pages of files (path, content). A file that fails gives one row with its error, the error's kind (encrypted, malformed, parser) and no page."""
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in PAGES.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 rows: list[tuple] = []
@@ -61,8 +71,13 @@ def pages_of(files: DataFrame, extractor: Extractor = extract_with_pypdf) -> Dat
                     rows = [(path.as_py(), n, len(clean), t, list(metadata.items()), None, None) for n, t in enumerate(clean, 1)] or [(path.as_py(), None, 0, None, list(metadata.items()), None, None)]
                 except Exception as problem:  # one file never ends the batch
                     rows = [(path.as_py(), None, None, None, None, f"{type(problem).__name__}: {problem}", _kind(problem))]
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in PAGES.split(", ")])
+                held += rows
+                size += sum(len(r[3] or "") for r in rows)
+                if size >= CHARACTERS_AT_ONCE or len(held) >= PAGES_AT_ONCE:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
     return shipped(files).select("path", "content").mapInArrow(run, PAGES)
 

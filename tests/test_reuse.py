@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quirelake import cli
 from quirelake.operators import analysis, passages
+from quirelake.sources import pdf
 from quirelake.sources.library import Library
 
 from .test_analysis import GOOD
@@ -135,3 +138,22 @@ def test_command_line_keeps_both_folders(spark, tmp_path, monkeypatch, capsys):
         assert said in capsys.readouterr().out and calls.taken()[0] == extractions
     store = Library(spark, f"file://{tmp_path}/library")
     assert store.table("analyses").count() == store.table("papers").count() == 2
+
+
+def test_pages_of_many_files_share_a_batch(spark):
+    """A batch a file made the transfer outgrow the texts; a large file still closes its batch."""
+    files = SimpleNamespace(sparkSession=spark, select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+
+    def extract(content):
+        if content == b"broken":
+            raise ValueError("no pages")
+        return content.decode().split("\f"), {"title": "t"}
+
+    contents = [b"a\fb", b"broken", b"x" * pdf.CHARACTERS_AT_ONCE, *[b"c"] * 3000]
+    given = pa.RecordBatch.from_pydict({"path": [str(n) for n in range(len(contents))], "content": contents})
+    batches = list(pdf.pages_of(files, extract)(iter([given.slice(0, 2000), given.slice(2000)])))
+    assert [b.num_rows for b in batches] == [4, pdf.PAGES_AT_ONCE, pdf.PAGES_AT_ONCE, 3000 - 2 * pdf.PAGES_AT_ONCE]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["path"], r["page_number"], r["page_count"], r["text"], r["error_kind"]) for r in rows[:3]] == [("0", 1, 2, "a", None), ("0", 2, 2, "b", None), ("1", None, None, None, "parser")]
+    assert [r["path"] for r in rows[3:]] == [str(n) for n in range(2, len(contents))]
+    assert list(pdf.pages_of(files, extract)(iter([]))) == []
