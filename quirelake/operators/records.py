@@ -44,7 +44,7 @@ def section_rank(kind: Column) -> Column:
     return out
 
 
-def record_violations(records: DataFrame, passages: DataFrame, fragments: DataFrame, budget: int) -> DataFrame:
+def record_violations(records: DataFrame, passages: DataFrame, fragments: DataFrame, budget: int, pieces: int | None = None) -> DataFrame:
     """(paper_id, problem) of stored conversions, each problem once a paper.
 
     records (paper_id, checksum, source_name, source_identifier, fingerprint,
@@ -53,9 +53,12 @@ def record_violations(records: DataFrame, passages: DataFrame, fragments: DataFr
     end, passage_start, passage_end, text), offsets of the page and of the
     passage, half open. What is asked of a text is asked where it is read: of all
     texts only the passages' are shuffled, once, and meet digests of their fragments.
+    They meet in as many ``pieces`` as are asked for, else in Spark's number of
+    shuffle partitions, which does not grow with the texts.
     """
+    dealt = lambda rows: rows if pieces is None else rows.repartition(pieces, "passage_id")
     order = Window.partitionBy("passage_id").orderBy("passage_start", "passage_end")
-    placed = fragments.withColumns({"reach": F.lag("passage_end", 1, 0).over(order), "before_page": F.lag("page").over(order), "before_end": F.lag("end").over(order)})
+    placed = dealt(fragments.select("passage_id", "page", "start", "end", "passage_start", "passage_end")).withColumns({"reach": F.lag("passage_end", 1, 0).over(order), "before_page": F.lag("page").over(order), "before_end": F.lag("end").over(order)})
     spans = placed.groupBy("passage_id").agg(
         F.bool_or(F.col("passage_start") != F.col("reach")).alias("gap"),
         F.bool_or((F.col("end") - F.col("start")) != (F.col("passage_end") - F.col("passage_start"))).alias("uneven"),
@@ -64,7 +67,8 @@ def record_violations(records: DataFrame, passages: DataFrame, fragments: DataFr
         F.min(F.struct("passage_start", "page", "start")).alias("first"),
         F.max(F.struct("passage_end", "page", "end")).alias("last"),
     )
-    inside = fragments.select("passage_id", "passage_start", "passage_end", _text_digest(F.col("text")).alias("held")).join(passages.select("passage_id", "text"), "passage_id")
+    digests = fragments.select("passage_id", "passage_start", "passage_end", _text_digest(F.col("text")).alias("held"))
+    inside = dealt(digests).join(dealt(passages.select("passage_id", "text")), "passage_id")
     part = F.substring("text", F.col("passage_start") + 1, F.col("passage_end") - F.col("passage_start"))
     torn = inside.filter(~F.col("held").eqNullSafe(_text_digest(part))).select("passage_id").distinct().withColumn("torn", F.lit(True))
 
@@ -73,7 +77,7 @@ def record_violations(records: DataFrame, passages: DataFrame, fragments: DataFr
         "paper_id", "passage_id", "ordinal", "kind", "page_start", "page_end", F.length("text").alias("length"),
         (~F.col("heading").eqNullSafe(F.initcap("kind"))).alias("wrong_heading"), (~F.col("passage_id").eqNullSafe(expected)).alias("wrong_id"),
     )
-    own = plain.join(spans, "passage_id", "left").join(torn, "passage_id", "left").join(records.select("paper_id"), "paper_id", "left")
+    own = dealt(plain).join(spans, "passage_id", "left").join(torn, "passage_id", "left").join(records.select("paper_id"), "paper_id", "left")
     in_paper = Window.partitionBy("paper_id").orderBy("ordinal", "passage_id")
     own = own.withColumns(
         {
@@ -217,9 +221,9 @@ def completion_violations(records: DataFrame, passages: DataFrame, warnings: Dat
 
 
 def valid_records(records: DataFrame, violations: DataFrame) -> DataFrame:
-    """The records without a violation; an error if there are records and all have one."""
+    """The records without a violation; an error if there are records and all have one. That is asked of their ids alone."""
     good = records.join(violations.select("paper_id"), "paper_id", "left_anti")
-    if not good.head(1) and records.head(1):
+    if good.isEmpty() and not records.isEmpty():
         raise NoValidRecordError("no stored record is valid")
     return good
 

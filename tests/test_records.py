@@ -10,9 +10,10 @@ import zipfile
 
 import pytest
 
-from quirelake import cli
+from quirelake import cli, session
 from quirelake.functions import text as T
 from quirelake.operators import benchmarks, bm25, conversation, evaluate, generate, passages, records, sections
+from quirelake.plans import catalogue
 from quirelake.sources import archives, corpora, pdf
 from quirelake.sources.library import ChecksumConflictError, Library, MigrationError
 
@@ -77,6 +78,38 @@ def test_texts_are_shuffled_once(spark):
     assert below and sum("text" in columns for columns in below) == 1 and not any("markdown" in columns for columns in below)
 
 
+def test_texts_meet_in_the_pieces_asked_for(spark):
+    """Passages and fragments are dealt out by their id to that many pieces, not to Spark's number of shuffle partitions, with the same findings."""
+    known, held, parts = [rows.checkpoint() for rows in conversion(spark)]
+    torn = parts.withColumns({"text": F.when(F.col("page") == 3, F.upper("text")).otherwise(F.col("text")), "end": F.when(F.col("page") == 2, F.col("end") + 1).otherwise(F.col("end"))})
+    found = records.record_violations(known, held, torn, 100, pieces=7)
+    dealt = re.findall(r"Exchange hashpartitioning\(passage_id#\d+, (\d+)\)", found._jdf.queryExecution().toString().split("== Physical Plan ==")[1])
+    assert dealt and set(dealt) == {"7"}
+    assert set(found.collect()) == set(records.record_violations(known, held, torn, 100).collect()) == {("A", "fragment_text"), ("A", "fragment_length")}
+
+
+def test_pieces_grow_with_the_table(spark, data, tmp_path, monkeypatch):
+    """A table of one file is dealt out to more pieces the larger it is, and the passages of its records meet in as many."""
+    spark.range(20_000).coalesce(1).write.parquet(f"{tmp_path}/ids.parquet")
+    rows = session.table(spark, str(tmp_path), "ids")
+    assert session.spread(rows, "id").rdd.getNumPartitions() == session.pieces(rows) == 4
+    wanted, seen, real = session.pieces(session.table(spark, data, "documents")), [], records.record_violations
+    monkeypatch.setattr(records, "record_violations", lambda *a: seen.append(a[-1]) or real(*a))
+    before = set(catalogue.valid_records(spark, data).collect())
+    monkeypatch.setattr(session, "PIECE", 9_000)
+    assert session.spread(rows, "id").rdd.getNumPartitions() == session.pieces(rows) >= 8
+    assert set(catalogue.valid_records(spark, data).collect()) == before
+    assert seen == [wanted, session.pieces(session.table(spark, data, "documents"))] and seen[1] > seen[0]
+
+
+def test_a_reader_asks_for_ids_alone(spark):
+    """Whether there are valid records is told without their texts."""
+    known, held, parts = conversion(spark)
+    broken = records.record_violations(known, held, parts.withColumn("text", F.upper("text")), 100).filter("paper_id = 'A'")
+    unread = known.withColumn("markdown", F.raise_error(F.lit("a text was read")).cast("string"))
+    assert [r.paper_id for r in records.valid_records(unread, broken).select("paper_id").collect()] == ["B"]
+
+
 def test_passages_that_share_an_id_and_repeated_records(spark):
     known, held, parts = conversion(spark)
     copied = held.filter("paper_id = 'A' and ordinal = 0").withColumn("text", F.upper("text"))
