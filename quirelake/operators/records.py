@@ -228,15 +228,18 @@ def valid_records(records: DataFrame, violations: DataFrame) -> DataFrame:
     return good
 
 
-def assembled(records: DataFrame, passages: DataFrame, fragments: DataFrame, fingerprint: str | None = None) -> DataFrame:
+def assembled(records: DataFrame, passages: DataFrame, fragments: DataFrame, fingerprint: str | None = None, pieces: int | None = None) -> DataFrame:
     """Records with their passages in order, each with its fragments in order, as nested columns.
 
     With a ``fingerprint``, only records made with those settings. Both
     children come by one join each; a record without passages has an empty list.
+    Texts meet in as many ``pieces`` as are asked for, else in Spark's number of
+    shuffle partitions.
     """
+    dealt = lambda rows, key: rows if pieces is None else rows.repartition(pieces, key)
     kept = records if fingerprint is None else records.filter(F.col("fingerprint") == fingerprint)
-    parts = fragments.groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("passage_start", "passage_end", "page", "start", "end", "text"))).alias("fragments"))
-    nested = passages.join(parts, "passage_id", "left").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "passage_id", "kind", "page_start", "page_end", "text", "fragments"))).alias("passages"))
+    parts = dealt(fragments, "passage_id").groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("passage_start", "passage_end", "page", "start", "end", "text"))).alias("fragments"))
+    nested = dealt(dealt(passages, "passage_id").join(parts, "passage_id", "left"), "paper_id").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "passage_id", "kind", "page_start", "page_end", "text", "fragments"))).alias("passages"))
     out = kept.join(nested, "paper_id", "left")
     return out.withColumn("passages", F.coalesce("passages", F.array().cast(dict(out.dtypes)["passages"])))
 

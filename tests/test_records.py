@@ -134,6 +134,14 @@ def test_records_are_assembled_in_order(spark):
     assert [r.paper_id for r in records.by_checksum(known, "CA").collect()] == ["A"]
 
 
+def test_records_are_assembled_in_the_pieces_asked_for(spark):
+    known, held, parts = [rows.checkpoint() for rows in conversion(spark)]
+    whole = records.assembled(known, held, parts, PRINT, 7)
+    dealt = re.findall(r"Exchange hashpartitioning\((?:passage|paper)_id#\d+, (\d+)\)", whole._jdf.queryExecution().toString().split("== Physical Plan ==")[1])
+    assert len(dealt) >= 3 and set(dealt) == {"7"}
+    assert sorted(whole.collect()) == sorted(records.assembled(known, held, parts, PRINT).collect())
+
+
 def detected(spark, rows):
     """(kinds with page, start, end), candidates (kind, page), warnings (code, pages)."""
     made = [(k, [{"kind": kind, "spans": [{"page": p, "start": a, "end": b}]} for kind, p, a, b in s], [{"kind": kind, "page": p, "start": n} for n, (kind, p) in enumerate(c)], [{"code": code, "pages": list(pages)} for code, pages in w]) for k, (s, c, w) in enumerate(rows)]
