@@ -133,7 +133,9 @@ def analyze_into(library: Library, files: DataFrame, extractor: pdf.Extractor, g
     fingerprint, conversion = keys["question"], analysis_fingerprint({"budget": budget})
     papers = library.table("papers", PAPERS)
     checked = durable(preflight(files.select("path", "size", "sha256"), papers.select("checksum")))
-    first = durable(checked.filter("not is_batch_duplicate and size > 0").select(F.lower("sha256").alias("checksum"), "path", "size", "is_batch_duplicate"))
+    # one row a checksum, also where a path is given more than once
+    originals = checked.filter("not is_batch_duplicate and size > 0").groupBy(F.lower("sha256").alias("checksum"))
+    first = durable(originals.agg(F.min("path").alias("path"), F.min("size").alias("size")).withColumn("is_batch_duplicate", F.lit(False)))
 
     def known(name: str, wanted: DataFrame, stage: str, schema: str) -> DataFrame:
         found = library.matching(name, wanted.select("checksum"), "checksum", f"checksum string, stage string, {schema}")
@@ -161,7 +163,9 @@ def analyze_into(library: Library, files: DataFrame, extractor: pdf.Extractor, g
         unrated = durable(fresh.join(old_rated, "checksum", "left_anti"))
         old_pages = known("pages", unrated, keys["extraction"], _PAGES)
         unread = unrated.join(old_pages.select("checksum").distinct(), "checksum", "left_anti").select("path", "checksum")
-        new_pages = durable(extracted(files.join(unread, "path").select("checksum", "content"), extractor))
+        # by checksum, too: files of one path are not taken for one another
+        wanted = files.select("path", F.lower("sha256").alias("checksum"), "content").join(unread, ["path", "checksum"]).dropDuplicates(["path", "checksum"])
+        new_pages = durable(extracted(wanted.select("checksum", "content"), extractor))
         new_rated = durable(assessed(old_pages.unionByName(new_pages)))
         rated = old_rated.unionByName(new_rated)
         made = _with_outcome(fresh.join(rated, "checksum", "left").join(asked(rated, generator), "checksum", "left"))

@@ -6,10 +6,12 @@ import json
 from types import SimpleNamespace
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quirelake import cli
 from quirelake.operators import analysis, passages
+from quirelake.plans import catalogue
 from quirelake.sources import pdf
 from quirelake.sources.library import Library
 
@@ -157,3 +159,17 @@ def test_pages_of_many_files_share_a_batch(spark):
     assert [(r["path"], r["page_number"], r["page_count"], r["text"], r["error_kind"]) for r in rows[:3]] == [("0", 1, 2, "a", None), ("0", 2, 2, "b", None), ("1", None, None, None, "parser")]
     assert [r["path"] for r in rows[3:]] == [str(n) for n in range(2, len(contents))]
     assert list(pdf.pages_of(files, extract)(iter([]))) == []
+
+
+def test_analysis_reuse_equals_its_sql_for_any_ids_and_texts(spark, tmp_path):
+    """Ids of ten digits had paths in common, and with them contents; empty texts were no analyses, null ones no files."""
+    duckdb = pytest.importorskip("duckdb")
+    large = [(10**10 + k, f"large {k}\fsecond page", "de" if k % 2 else "en") for k in range(6)]
+    odd = [(-5, "same", "en"), (-40, "same", "fr"), (3, "", "de"), (4, "", "en"), (5, None, "fr"), (6, None, "en"), (7, "\f\r\n\f", None)]
+    repeated = [(8, "one", "de"), (8, "other", "de"), (9, "twice", "es"), (9, "twice", "es")]
+    spark.createDataFrame([*large, *odd, *repeated], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    engine = duckdb.connect()
+    engine.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = engine.sql(catalogue.oracle_sql()["analysis_reuse"])
+    got = catalogue.queries()["analysis_reuse"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
